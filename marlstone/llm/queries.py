@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language_id, sentencepieces, token_counts, token_files
+from . import decontaminate, language_id, pii, sentencepieces, token_counts, token_files
 from .exact_dedup import exact_dedup
 from .shared import new_path
 
@@ -20,6 +20,19 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+#: The key under which this catalogue's query permutes; a caller of the operator brings its own.
+DEMONSTRATION_KEY = "marlstone demonstration key"
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonyms(table(spark, sf_dir, "documents"), DEMONSTRATION_KEY)
+    return found.select("doc_id", "text", "n_finds", F.array_join("finds.kind", " ").alias("kinds"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -45,6 +58,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
+    "op6_decontaminate": op6_decontaminate,
     "op5_token_counts": op5_token_counts,
     "op7_token_files": op7_token_files,
     "op8_sentencepiece": op8_sentencepiece,
