@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language_id, pii, sentencepieces, token_counts, token_files
+from . import decontaminate, language_id, pii, repeats, sentencepieces, token_counts, token_files
 from .exact_dedup import exact_dedup
 from .shared import new_path
 
@@ -29,6 +29,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "n_finds", F.array_join("finds.kind", " ").alias("kinds"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(repeats.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -59,6 +63,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op3_repeats": op3_repeats,
     "op6_decontaminate": op6_decontaminate,
     "op5_token_counts": op5_token_counts,
     "op7_token_files": op7_token_files,
