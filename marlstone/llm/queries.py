@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language_id, pii, repeats, sentencepieces, token_counts, token_files
+from . import decontaminate, jaccard, language_id, pii, repeats, sentencepieces, token_counts, token_files
 from .exact_dedup import exact_dedup
 from .shared import new_path
 
@@ -33,6 +33,10 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(repeats.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -64,6 +68,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii,
     "op3_repeats": op3_repeats,
+    "op4_jaccard": op4_jaccard,
     "op6_decontaminate": op6_decontaminate,
     "op5_token_counts": op5_token_counts,
     "op7_token_files": op7_token_files,
