@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .shared import by_bytes, bytes_of, texts_of
@@ -167,3 +168,22 @@ def predict(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str
     if not langs:
         return rows.select("doc_id", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, bits double")
+
+
+def keep_identified(docs: DataFrame, trees: Trees, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose text has a language, with all their columns; a null lang becomes the one found."""
+    langs = trees.langs
+    shared = docs.sparkSession.sparkContext.broadcast(trees)
+    place = docs.columns.index(lang_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, text_col, most=1 << 20):
+            raw, ends = bytes_of(texts_of(batch, text_col))
+            best = shared.value.code_lengths(raw, ends).argmin(axis=1)
+            label = batch.column(lang_col)
+            found = pa.array([langs[i] for i in best.tolist()], label.type)
+            yield batch.set_column(place, batch.schema.field(lang_col), pc.coalesce(label, found))
+
+    if not langs:
+        return docs.filter(F.lit(False))
+    return docs.filter(F.col(text_col).rlike(r"\p{L}")).mapInArrow(run, docs.schema)

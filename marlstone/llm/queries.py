@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard, language_id, pii, repeats, sentencepieces, token_counts, token_files
+from . import decontaminate, jaccard, language_id, line_dedup, pii, repeats, sentencepieces, token_counts, token_files
 from .exact_dedup import exact_dedup
 from .shared import new_path
 
@@ -29,6 +29,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "n_finds", F.array_join("finds.kind", " ").alias("kinds"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "n_near", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(repeats.remove_repeats(table(spark, sf_dir, "documents")))
 
@@ -67,6 +72,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_line_dedup": op2_line_dedup,
     "op3_repeats": op3_repeats,
     "op4_jaccard": op4_jaccard,
     "op6_decontaminate": op6_decontaminate,
