@@ -13,11 +13,18 @@ import numpy as np
 import pyarrow as pa
 
 #: Distinct chunks kept by a task; beyond it the table starts anew, which costs time but changes no result.
-TABLE_CHUNKS = 400_000
+TABLE_CHUNKS = 300_000
+
+
+def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter((i for x in lists for i in x), np.int32, int(lengths.sum())), lengths
 
 
 class ChunkTable:
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = TABLE_CHUNKS):
+    """``encode`` gives the ids of chunks one after another, and the number of each chunk's."""
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = TABLE_CHUNKS):
         self.encode, self.most = encode, most
         self._reset()
 
@@ -30,19 +37,19 @@ class ChunkTable:
 
     def slots(self, chunks: list[str]) -> np.ndarray:
         """The slot of each of these distinct chunks, new ones encoded."""
-        if len(self.slot) + len(chunks) > self.most and self.slot:
-            self._reset()
         slot = self.slot
         new = [c for c in chunks if c not in slot]
+        if slot and len(slot) + len(new) > self.most:
+            self._reset()
+            slot, new = self.slot, chunks
         if new:
-            found = self.encode(new)
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            need = int(lengths.sum())
+            found, lengths = self.encode(new)
+            need = len(found)
             if self.used + need > len(self.ids):
                 grown = np.zeros(max(2 * len(self.ids), self.used + need), np.int32)
                 grown[: self.used] = self.ids[: self.used]
                 self.ids = grown
-            self.ids[self.used : self.used + need] = np.fromiter((i for x in found for i in x), np.int32, need)
+            self.ids[self.used : self.used + need] = found
             first = len(slot)
             slot.update(zip(new, range(first, first + len(new))))
             self.start = np.concatenate([self.start, self.used + np.cumsum(lengths) - lengths])

@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .chunk_table import ChunkTable
+from .chunk_table import ChunkTable, flattened
 from .shared import by_bytes, id_text, offsets_of, texts_of
 
 MARK = "▁"
@@ -51,7 +51,7 @@ class Pieces:
                 raise ValueError(f"piece {i} crosses a white-space mark or a line feed: chunks are not independent")
         self.lead = m.encode("\n")
         self.end_id = m.eos_id()
-        self.table = ChunkTable(self._encode)
+        self.table = ChunkTable(lambda chunks: flattened(self._encode(chunks)))
         self.decoded: dict[str, str] = {}
 
     def _encode(self, chunks: list[str]) -> list[list[int]]:

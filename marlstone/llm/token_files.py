@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .chunk_table import ChunkTable
+from .chunk_table import ChunkTable, flattened
 from .shared import by_bytes, id_text, offsets_of, texts_of
 
 SCHEMA = "doc_id long, part int, seq long, start_in_part long, n_tokens long, ids array<int>"
@@ -45,11 +45,20 @@ FORMAT = {
     "parquet.enable.dictionary": "true",
     "parquet.writer.version": "PARQUET_2_0",
 }
+#: Words of letters that are encoded as one text, and texts that are encoded in one call.
+JOINED, AT_ONCE = 100, 50
+#: Distinct words that a task keeps.
+TABLE_WORDS = 500_000
 _loaded: dict[str, "Words"] = {}
 
 
 class Words:
-    """The tokenizer with a table of distinct words."""
+    """The tokenizer with a table of distinct words.
+
+    The tokenizer splits at white space, and between a letter or digit and a punctuation mark that white space
+    follows; it puts ASCII letters into lower case. Both are done before words are counted as distinct, and
+    neither changes a token (texts that hold the opening of a special token are left as they are).
+    """
 
     def __init__(self, tokenizer_path: str):
         import os
@@ -58,13 +67,52 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.table = ChunkTable(lambda words: [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)])
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.table = ChunkTable(self._encode, TABLE_WORDS)
+
+    def _each(self, words: list[str]) -> list[list[int]]:
+        """Ids of each of these; few at a time, as the library's results are large."""
+        parts = (words[i : i + AT_ONCE] for i in range(0, len(words), AT_ONCE))
+        return [x.ids for part in parts for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of letters alone end in exactly one word-ending piece: they are encoded many at a time and told apart by it."""
+        plain = np.fromiter(map(str.isalpha, words), bool, len(words))
+        ids: list[np.ndarray] = []
+        lengths = np.zeros(len(words), np.int64)
+        starts = np.zeros(len(words), np.int64)
+        used = 0
+
+        def put(at: np.ndarray, found: np.ndarray, sizes: np.ndarray) -> None:
+            nonlocal used
+            lengths[at], starts[at] = sizes, used + np.cumsum(sizes) - sizes
+            ids.append(found)
+            used += len(found)
+
+        at = np.flatnonzero(plain)
+        groups = [at[i : i + JOINED] for i in range(0, len(at), JOINED)]
+        for group, found in zip(groups, self._each([" ".join([words[i] for i in g.tolist()]) for g in groups])):
+            found = np.asarray(found, np.int32)
+            stops = np.flatnonzero(self.ends_word[found]) + 1
+            if len(stops) == len(group) and stops[-1] == len(found):
+                put(group, found, np.diff(stops, prepend=0))
+            else:
+                put(group, *flattened(self._each([words[i] for i in group.tolist()])))
+        at = np.flatnonzero(~plain)
+        put(at, *flattened(self._each([words[i] for i in at.tolist()])))
+        whole = np.concatenate(ids)
+        order = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(whole))
+        return whole[order], lengths
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end id after each text, and the offsets of the texts."""
         spaced = texts
         for c in "\n\t\r":
             spaced = pc.replace_substring(spaced, c, " ")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            spaced = pc.replace_substring_regex(pc.ascii_lower(spaced), r"([\pL\pN])([.,;:!?]) ", r"\1 \2 ")
         lists = pc.split_pattern(spaced, " ")
         flat, offsets = lists.flatten(), offsets_of(lists)
         full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
@@ -87,7 +135,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, part, seq, start = words(tokenizer_path), TaskContext.get().partitionId(), 0, 0
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, most=6 << 20):
             ids, ends = model.encode(texts_of(batch), end_id)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
