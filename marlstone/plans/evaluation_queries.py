@@ -1,2 +1,180 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""Evaluation: agreement with a remote ranking, graded metrics, strata, gold sets.
+
+The dense channel stands in for the remote ranking; the legacy scorer, BM25 and fusion are what is compared."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..operators import dense, evaluation, fusion, gold, lexical
+from ..sources.tables import table
+from . import binding
+from .search_queries import KNOWN, bm25_sql, cosine_sql, fused_sql, legacy_sql
+
+
+def remote(spark: SparkSession, sf: str, top: int = 50) -> DataFrame:
+    own = binding.vectors(spark, sf).join(binding.corpus(spark, sf).select("doc_id"), "doc_id", "left_semi")
+    return dense.cosine_search(binding.query_vectors(spark, sf), own, top)
+
+
+def rankings(spark: SparkSession, sf: str, top: int = 10) -> DataFrame:
+    """(query_id, strategy, doc_id, rank) of three strategies."""
+    queries, corpus = binding.queries(spark, sf), binding.corpus(spark, sf)
+    words = lexical.bm25(queries, corpus, fusion.POOL)
+    fused = fusion.fuse({"lexical": (words, 0.4), "dense": (remote(spark, sf), 1.0)})
+    parts = {"legacy": lexical.keyword_hits(queries, corpus, top), "bm25": words, "fusion": fused}
+    rows = [df.filter(F.col("rank") <= top).select("query_id", F.lit(name).alias("strategy"), "doc_id", "rank") for name, df in parts.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _measured(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.agreement(rankings(spark, sf), remote(spark, sf))
+
+
+def overlap_mrr(spark: SparkSession, sf: str) -> DataFrame:
+    return _measured(spark, sf).select("query_id", "strategy", "overlap5", "overlap10", "mrr", "top1")
+
+
+def ndcg_vs_remote(spark: SparkSession, sf: str) -> DataFrame:
+    return _measured(spark, sf).select("query_id", "strategy", "ndcg")
+
+
+def overlap_full_remote(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.overlap_with_all(rankings(spark, sf), remote(spark, sf))
+
+
+def accuracy_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.accuracy(_measured(spark, sf))
+
+
+def accuracy_by_stratum(spark: SparkSession, sf: str) -> DataFrame:
+    queries = binding.scoped_queries(spark, sf)
+    absent = lexical.unmatched(queries, binding.corpus(spark, sf)).groupBy("query_id").agg(F.collect_set("term").alias("unmatched"))
+    known = queries.join(absent, "query_id", "left").select("query_id", "text", "unmatched", F.concat(F.lit("user_id="), "user_id").alias("scope"))
+    return evaluation.accuracy_by_stratum(_measured(spark, sf), known).select("strategy", "stratum", "label", "n", "mean_ndcg", "mean_overlap10", "mean_mrr", "top1_rate", "zero10_rate", "indicative_only")
+
+
+def replay_eval(spark: SparkSession, sf: str) -> DataFrame:
+    names = spark.createDataFrame([("legacy",), ("bm25",), ("fusion",), ("none",)], "strategy string")
+    return evaluation.replay(_measured(spark, sf), binding.queries(spark, sf).select("query_id").crossJoin(F.broadcast(names)))
+
+
+def winloss(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.win_loss(_measured(spark, sf), "legacy", "fusion")
+
+
+def pool_union(spark: SparkSession, sf: str) -> DataFrame:
+    return gold.pool(rankings(spark, sf), binding.corpus(spark, sf))
+
+
+def pool_median(spark: SparkSession, sf: str) -> DataFrame:
+    return gold.pool_sizes(pool_union(spark, sf))
+
+
+def pool_domination(spark: SparkSession, sf: str) -> DataFrame:
+    return gold.domination(rankings(spark, sf), pool_union(spark, sf))
+
+
+def _pool_grades(spark: SparkSession, sf: str) -> DataFrame:
+    return pool_union(spark, sf).join(binding.grades(spark, sf), "doc_id").select("query_id", "doc_id", "grade")
+
+
+def graded_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.graded(rankings(spark, sf), _pool_grades(spark, sf))
+
+
+def graded_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.graded_summary(graded_metrics(spark, sf))
+
+
+def compare_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """BM25 before, fusion after, on the queries that both have."""
+    scored = graded_metrics(spark, sf)
+    run = lambda name: scored.filter(F.col("strategy") == name).withColumn("strategy", F.lit("run"))
+    return evaluation.compared(run("bm25"), run("fusion"))
+
+
+def grade_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """New grades of documents of good quality, over two files of prior ones."""
+    labelled = pool_union(spark, sf).join(table(spark, sf, "labels"), "doc_id")
+    new = labelled.filter("quality = 1").select("query_id", "doc_id", F.lit(2).alias("grade"))
+    files = [labelled.filter("toxic = 0").select("query_id", "doc_id", F.col("quality").alias("grade"), F.lit(0).alias("file"))]
+    files.append(labelled.select("query_id", "doc_id", (F.lit(1) - F.col("toxic")).alias("grade"), F.lit(1).alias("file")))
+    return gold.merged_grades(new, reduce(DataFrame.unionByName, files), pool_union(spark, sf))
+
+
+def judge_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    labelled = pool_union(spark, sf).join(table(spark, sf, "labels"), "doc_id")
+    first = labelled.select("query_id", "doc_id", (F.col("quality") + 1 - F.col("toxic")).alias("grade"))
+    return gold.agreement(first, labelled.select("query_id", "doc_id", (F.col("quality") * 2).alias("grade")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        overlap_mrr, ndcg_vs_remote, overlap_full_remote, accuracy_summary, accuracy_by_stratum, replay_eval, winloss,
+        pool_union, pool_median, pool_domination, graded_metrics, graded_summary, compare_runs, grade_merge, judge_agreement,
+    )
+}
+
+_RANKS = f"""{bm25_sql(50)}, {cosine_sql(50, where=KNOWN)}, {fused_sql(0.4)}, {legacy_sql(10)}, remote AS (SELECT query_id, doc_id, rank FROM cosine),
+    r AS (SELECT query_id, 'legacy' AS strategy, doc_id, rank FROM legacy UNION ALL SELECT query_id, 'bm25', doc_id, rank FROM bm25 WHERE rank <= 10
+        UNION ALL SELECT query_id, 'fusion', doc_id, rank FROM fused WHERE rank <= 10)"""
+_MEASURED = f"""{_RANKS}, best AS (SELECT query_id, sum(CASE WHEN rank = 1 THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END / log2(rank + 1)) AS idcg FROM remote WHERE rank <= 10 GROUP BY 1),
+    measured AS (SELECT r.query_id, r.strategy, count(*) FILTER (r.rank <= 5 AND m.rank <= 5) AS overlap5, count(*) FILTER (r.rank <= 10 AND m.rank <= 10) AS overlap10,
+        round(coalesce(max(CASE WHEN m.rank = 1 THEN 1.0::DOUBLE / r.rank END), 0), 6) AS mrr, coalesce(bool_or(m.rank = 1 AND r.rank = 1), false) AS top1,
+        round(sum(CASE WHEN m.rank = 1 THEN 3.0::DOUBLE WHEN m.rank <= 10 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END / log2(r.rank + 1)) / any_value(b.idcg), 6) AS ndcg
+        FROM r JOIN best b ON b.query_id = r.query_id LEFT JOIN remote m ON m.query_id = r.query_id AND m.doc_id = r.doc_id GROUP BY ALL)"""
+_POOL = f"{_RANKS}, pool AS (SELECT DISTINCT query_id, doc_id FROM r)"
+_GRADED = f"""{_POOL}, g AS (SELECT p.query_id, p.doc_id, quality + 1 - toxic AS grade FROM pool p JOIN labels l ON l.doc_id = p.doc_id),
+    ideal AS (SELECT query_id, sum(CASE WHEN n <= 10 THEN CASE WHEN grade >= 2 THEN 3.0::DOUBLE WHEN grade = 1 THEN 1.0::DOUBLE ELSE 0 END / log2(n + 1) ELSE 0 END) AS idcg, count(*) FILTER (grade >= 1) AS relevant
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS n FROM g) GROUP BY 1),
+    scored AS (SELECT r.query_id, r.strategy, any_value(idcg) AS idcg, any_value(relevant) AS relevant,
+        sum(CASE WHEN g.grade >= 2 THEN 3.0::DOUBLE WHEN g.grade = 1 THEN 1.0::DOUBLE ELSE 0 END / log2(r.rank + 1)) AS dcg, count(*) FILTER (g.grade >= 1) AS found,
+        count(*) FILTER (g.grade >= 1 AND r.rank <= 5) AS found5, max(CASE WHEN g.grade >= 1 THEN 1.0::DOUBLE / r.rank END) AS mrr
+        FROM r JOIN ideal i ON i.query_id = r.query_id LEFT JOIN g ON g.query_id = r.query_id AND g.doc_id = r.doc_id GROUP BY ALL),
+    metrics AS (SELECT query_id, strategy, round(dcg / nullif(idcg, 0), 6) AS ndcg, round(found::DOUBLE / nullif(relevant, 0), 6) AS recall, round(found5 / 5.0::DOUBLE, 6) AS prec5,
+        round(coalesce(mrr, 0), 6) AS mrr, (found > 0)::INTEGER AS hit, (found = 0)::INTEGER AS zero, (relevant = 0)::INTEGER AS no_answer FROM scored)"""
+_ACCURACY = """count(*) AS n, round(avg(ndcg), 6) AS mean_ndcg, round(avg(overlap5), 6) AS mean_overlap5, round(avg(overlap10), 6) AS mean_overlap10, round(avg(mrr), 6) AS mean_mrr,
+    round(avg(top1::INTEGER), 6) AS top1_rate, round(avg((overlap10 = 0)::INTEGER), 6) AS zero10_rate, round(avg((mrr > 0)::INTEGER), 6) AS top1_in_10_rate,
+    round(avg((overlap5 >= 5)::INTEGER), 6) AS perfect5_rate, count(*) < 30 AS indicative_only"""
+ORACLE_SQL = {
+    "overlap_mrr": f"WITH {_MEASURED} SELECT query_id, strategy, overlap5, overlap10, mrr, top1 FROM measured",
+    "ndcg_vs_remote": f"WITH {_MEASURED} SELECT query_id, strategy, ndcg FROM measured",
+    "overlap_full_remote": f"WITH {_RANKS} SELECT r.query_id, r.strategy, count(m.doc_id) AS overlap FROM r LEFT JOIN remote m ON m.query_id = r.query_id AND m.doc_id = r.doc_id GROUP BY ALL",
+    "accuracy_summary": f"WITH {_MEASURED} SELECT strategy, {_ACCURACY} FROM measured GROUP BY strategy",
+    "accuracy_by_stratum": f"""WITH {binding.SCOPED}, {_MEASURED}, absent AS (SELECT DISTINCT query_id FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM scoped)
+            WHERE term NOT IN (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) FROM documents)),
+        known AS (SELECT query_id, CASE WHEN query_id IN (SELECT query_id FROM absent) THEN 'terms absent from corpus' ELSE 'terms present' END AS vocabulary,
+            CASE WHEN length(trim(text, ' ')) = 0 THEN 'empty' WHEN length(trim(text, ' ')) <= 8 THEN '<=8' WHEN length(trim(text, ' ')) <= 24 THEN '9-24' ELSE '>24' END AS bucket, 'user_id=' || user_id AS scope FROM scoped),
+        rows_ AS (SELECT * FROM measured JOIN known USING (query_id)),
+        long AS (SELECT *, 'overall' AS stratum, 'all' AS label FROM rows_ UNION ALL SELECT *, 'vocabulary', vocabulary FROM rows_
+            UNION ALL SELECT *, 'length', bucket FROM rows_ UNION ALL SELECT *, 'scope', scope FROM rows_)
+        SELECT * EXCLUDE (mean_overlap5, top1_in_10_rate, perfect5_rate) FROM (SELECT strategy, stratum, label, {_ACCURACY} FROM long GROUP BY ALL)""",
+    "replay_eval": f"""WITH {_MEASURED}, everything AS (SELECT item_id AS query_id, s AS strategy FROM benchmark CROSS JOIN (SELECT unnest(['legacy', 'bm25', 'fusion', 'none']) AS s))
+        SELECT strategy, count(*) AS n, round(avg(coalesce(overlap5, 0)), 6) AS overlap5, round(avg(coalesce(overlap10, 0)), 6) AS overlap10, round(avg(coalesce(mrr, 0)), 6) AS mrr,
+            round(avg((coalesce(mrr, 0) = 1)::INTEGER), 6) AS top1, round(avg((coalesce(mrr, 0) > 0)::INTEGER), 6) AS top1_in_10,
+            round(avg((coalesce(overlap5, 0) = 0)::INTEGER), 6) AS zero5, round(avg((overlap5 IS NULL)::INTEGER), 6) AS empty
+        FROM everything LEFT JOIN measured USING (query_id, strategy) GROUP BY strategy""",
+    "winloss": f"""WITH {_MEASURED} SELECT count(*) FILTER (b.overlap10 > a.overlap10) AS better, count(*) FILTER (b.overlap10 < a.overlap10) AS worse, count(*) FILTER (b.overlap10 = a.overlap10) AS unchanged
+        FROM measured a JOIN measured b ON a.query_id = b.query_id AND a.strategy = 'legacy' AND b.strategy = 'fusion'""",
+    "pool_union": f"WITH {_POOL} SELECT query_id, doc_id FROM pool",
+    "pool_median": f"""WITH {_POOL}, s AS (SELECT count(*) AS size FROM pool GROUP BY query_id)
+        SELECT list_sort(list(size))[(count(*) // 2 + 1)::BIGINT] AS median, min(size) AS least, max(size) AS most FROM s""",
+    "pool_domination": f"""WITH {_POOL}, s AS (SELECT query_id, count(*) AS size FROM pool GROUP BY 1), o AS (SELECT query_id, strategy, count(*) AS own FROM r GROUP BY ALL)
+        SELECT strategy, round(avg(own::DOUBLE / size), 6) AS share FROM o JOIN s USING (query_id) GROUP BY strategy""",
+    "graded_metrics": f"WITH {_GRADED} SELECT * FROM metrics",
+    "graded_summary": f"""WITH {_GRADED} SELECT strategy, count(*) AS n, round(coalesce(avg(ndcg), 0), 6) AS mean_ndcg, round(coalesce(avg(recall), 0), 6) AS mean_recall, round(avg(prec5), 6) AS mean_prec5,
+        round(avg(mrr), 6) AS mean_mrr, round(avg(hit), 6) AS mean_hit, round(avg(zero), 6) AS mean_zero, sum(no_answer)::BIGINT AS no_answer FROM metrics GROUP BY strategy""",
+    "compare_runs": f"""WITH {_GRADED} SELECT 'run' AS strategy, count(*) AS shared,
+        round(coalesce(avg(a.ndcg), 0), 6) AS ndcg_before, round(coalesce(avg(b.ndcg), 0), 6) AS ndcg_after, round(coalesce(avg(b.ndcg), 0) - coalesce(avg(a.ndcg), 0), 6) AS ndcg_delta,
+        round(coalesce(avg(a.recall), 0), 6) AS recall_before, round(coalesce(avg(b.recall), 0), 6) AS recall_after, round(coalesce(avg(b.recall), 0) - coalesce(avg(a.recall), 0), 6) AS recall_delta,
+        round(avg(a.mrr), 6) AS mrr_before, round(avg(b.mrr), 6) AS mrr_after, round(avg(b.mrr) - avg(a.mrr), 6) AS mrr_delta
+        FROM metrics a JOIN metrics b ON a.query_id = b.query_id AND a.strategy = 'bm25' AND b.strategy = 'fusion'""",
+    "grade_merge": f"""WITH {_POOL}, l AS (SELECT p.query_id, p.doc_id, quality, toxic FROM pool p JOIN labels l ON l.doc_id = p.doc_id)
+        SELECT query_id, doc_id, CASE WHEN quality = 1 THEN 2 WHEN toxic = 0 THEN quality ELSE 1 - toxic END AS grade, CASE WHEN quality = 1 THEN 'new' ELSE 'prior' END AS source FROM l""",
+    "judge_agreement": f"""WITH {_POOL}, c AS (SELECT quality + 1 - toxic AS first, quality * 2 AS second, count(*) AS n FROM pool p JOIN labels l ON l.doc_id = p.doc_id GROUP BY ALL)
+        SELECT first, second, n, round(n::DOUBLE / sum(n) OVER (), 6) AS share FROM c""",
+}

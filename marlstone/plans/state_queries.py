@@ -1,2 +1,198 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""Mutations, operation logs and request gates, in batch and as streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from ..operators import gates, mutations
+from ..sources.tables import table
+from ..streaming import runs
+from ..streaming.gate import gated
+from . import binding
+
+
+def store_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """This session's copy is what has a label, the disk's copy is every document; ages, tombstones and cuts differ."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    disk = docs.select(F.col("doc_id").alias("id"), F.lit("disk").alias("side"), (F.col("n_chars") % 3).cast("long").alias("at"), (F.col("n_chars") % 5 == 0).alias("deleted"), (F.col("n_chars") > 4000).alias("overflowed"))
+    mine = docs.join(labels, "doc_id").select(F.col("doc_id").alias("id"), F.lit("mine").alias("side"), (F.col("doc_id") % 3).alias("at"), (F.col("toxic") == 1).alias("deleted"), (F.col("n_chars") > 2000).alias("overflowed"))
+    return mutations.merged(mine, disk)
+
+
+def counter_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters per type of event and day, of two halves of the month."""
+    days = table(spark, sf, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    half = lambda late: days.filter((F.dayofmonth("day") > 15) == late).groupBy(F.col("event_type").alias("name")).agg(F.max("n").alias("value"))
+    return mutations.counters(half(False), half(True))
+
+
+def _ops(spark: SparkSession, sf: str, kinds: dict[str, str]) -> DataFrame:
+    e, t = table(spark, sf, "events"), F.col("event_type")
+    rows = e.filter(t.isin(*kinds)).select(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])[t].alias("kind"), F.col("user_id").alias("memory_id"), F.lit(None).cast("string").alias("query"), F.to_unix_timestamp(F.date_trunc("day", "ts")).alias("at"), F.col("event_id").alias("seq"))
+    return rows.withColumn("op_key", mutations.op_key(F.col("kind"), F.col("memory_id"), F.col("query"), F.col("at")))
+
+
+def op_union_minus_done(spark: SparkSession, sf: str) -> DataFrame:
+    """Updates and deletes of one session, all three kinds on disk; what was clicked that day is done."""
+    columns = ["op_key", "kind", "memory_id", "at"]
+    mine = _ops(spark, sf, {"purchase": "update", "error": "delete"}).select(*columns).distinct()
+    disk = _ops(spark, sf, {"signup": "update", "view": "delete-all"}).select(*columns).distinct()
+    done = _ops(spark, sf, {"click": "update"}).select("op_key").distinct()
+    return mutations.open_ops(mine, disk, done)
+
+
+def tombstone_cap(spark: SparkSession, sf: str) -> DataFrame:
+    done = _ops(spark, sf, {"purchase": "update"}).groupBy("op_key").agg(F.max("seq").alias("done_at"))
+    return mutations.newest_done(done)
+
+
+def replay_order(spark: SparkSession, sf: str) -> DataFrame:
+    rows = lambda kinds, prefix: _ops(spark, sf, kinds).select(F.concat(F.lit(prefix), F.col("memory_id").cast("string")).alias("id"), "at", "seq")
+    return mutations.replay_order(rows({"signup": "add"}, "local-"), rows({"error": "delete"}, ""))
+
+
+def _statuses(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("int")
+    return table(spark, sf, "events").select(F.col("user_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"), (F.lit(398) + k % 34).alias("status"))
+
+
+def permanent_status(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _statuses(spark, sf)
+    return rows.groupBy("status", mutations.permanent(F.col("status")).alias("permanent")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def retire_after_three(spark: SparkSession, sf: str) -> DataFrame:
+    return mutations.retired(_statuses(spark, sf))
+
+
+def replay_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's queue of a day's requests, worked off once; the outcome of every item."""
+    at = F.row_number().over(Window.partitionBy("store").orderBy("at", "seq"))
+    k = F.get_json_object("props", "$.k").cast("int")
+    queue = table(spark, sf, "events").select(F.col("user_id").alias("store"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"), F.lit("op").alias("kind"), F.col("event_type").alias("id"), F.when(k < 60, 200).when(k < 99, 422).otherwise(503).alias("status"), F.lit(0).alias("failures"))
+    return mutations.replay(queue.withColumn("position", at.cast("long")).drop("at", "seq"), 0).select("store", "position", "outcome")
+
+
+def cache_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads of four keys, kept for a day or until a write."""
+    rows = binding.requests(spark, sf).withColumns({"status": F.lit(200), "kind": F.when(F.col("key") == "purchase", "write-update").otherwise("read-other")})
+    out = gates.folded(rows, interval=0)
+    return out.filter("outcome <> 'write'").select("tenant", "seq", (F.col("outcome") == "hit").alias("hit"))
+
+
+def _fresh(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"status": F.lit(200), "kind": F.lit("read-search")})
+
+
+def freshness_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """At most one read an hour goes to the service."""
+    out = gates.folded(_fresh(binding.requests(spark, sf)), ttl=0)
+    return out.select("tenant", "seq", (F.col("outcome") == "miss").alias("open"))
+
+
+def breaker_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """A full service says when to come back; until then nothing goes out."""
+    retry = table(spark, sf, "events").select(F.col("event_id").alias("seq"), (F.col("value") * 1000).alias("retry_after"))
+    rows = binding.requests(spark, sf).drop("retry_after").join(retry, "seq").withColumn("kind", F.lit("read-search"))
+    out = gates.folded(rows, ttl=0, interval=0)
+    return out.select("tenant", "seq", F.col("outcome").startswith("gated").alias("gated"))
+
+
+def outcome_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return gates.counted(gates.folded(_fresh(binding.requests(spark, sf)), ttl=0))
+
+
+def gate_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole state machine: cache, breaker, freshness, fallbacks, writes."""
+    return gates.folded(binding.requests(spark, sf))
+
+
+def error_tally(spark: SparkSession, sf: str) -> DataFrame:
+    errors = table(spark, sf, "events").filter("event_type = 'error'").select(F.lit("dense").alias("channel"), F.col("props").alias("error"))
+    return gates.error_tally(errors)
+
+
+def stream_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """The freshness gate as a stateful stream."""
+    events = runs.source(spark, sf, "events")
+    rows = events.select(
+        F.col("user_id").alias("tenant"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.lit("read-search").alias("kind"),
+        F.col("event_type").alias("key"), F.lit(200).alias("status"), F.lit(None).cast("double").alias("retry_after"), F.lit(True).alias("local"),
+    )
+    return runs.drained(gated(rows, ttl=0)).select("tenant", "seq", (F.col("outcome") == "miss").alias("open"))
+
+
+def stream_outcome_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Events per day and type in tumbling windows, as a stream in complete mode."""
+    events = runs.source(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = runs.drained(runs.windowed_counts(events, "event_type"), "complete")
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        store_merge, counter_merge, op_union_minus_done, tombstone_cap, replay_order, permanent_status, retire_after_three, replay_run,
+        cache_hits, freshness_gate, breaker_windows, outcome_counts, gate_outcomes, error_tally, stream_gate, stream_outcome_counts,
+    )
+}
+
+_OPS = """(SELECT CASE event_type {kinds} END AS kind, user_id AS memory_id, epoch(date_trunc('day', ts))::BIGINT AS "at", event_id AS seq FROM events WHERE event_type IN ({types}))"""
+
+
+def _ops_sql(kinds: dict[str, str]) -> str:
+    return _OPS.format(kinds=" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in kinds.items()), types=", ".join(f"'{k}'" for k in kinds))
+
+
+_KEY = """kind || '|' || memory_id || '||' || "at" """
+_AT = "epoch_ms(ts)"
+_OPEN = f"""numbered AS (SELECT user_id AS tenant, event_id AS seq, {_AT} AS "at", row_number() OVER (PARTITION BY user_id ORDER BY {_AT}, event_id) AS n FROM events),
+    opened AS (SELECT tenant, seq, n, "at" AS last, true AS open FROM numbered WHERE n = 1 UNION ALL
+        SELECT b.tenant, b.seq, b.n, CASE WHEN b."at" - a.last >= 3600000 THEN b."at" ELSE a.last END, b."at" - a.last >= 3600000
+        FROM opened a JOIN numbered b ON b.tenant = a.tenant AND b.n = a.n + 1)"""
+_STATUS = """(SELECT user_id AS id, epoch_us(ts) AS "at", event_id AS seq, (398 + (props::JSON->>'$.k')::INTEGER % 34)::INTEGER AS status FROM events)"""
+_PERMANENT = "(status BETWEEN 400 AND 499 AND status NOT IN (401, 403, 404, 408, 429))"
+_PICK = """CASE WHEN d.id IS NULL THEN true WHEN m.id IS NULL THEN false WHEN m.overflowed AND NOT d.overflowed THEN true
+    WHEN m.deleted AND NOT d.deleted AND m."at" >= d."at" THEN true WHEN d.deleted AND NOT m.deleted THEN false
+    WHEN m."at" > d."at" THEN true WHEN m."at" < d."at" THEN false ELSE m.deleted END"""
+ORACLE_SQL = {
+    "store_merge": f"""WITH d AS (SELECT doc_id AS id, 'disk' AS side, (n_chars % 3)::BIGINT AS "at", n_chars % 5 = 0 AS deleted, n_chars > 4000 AS overflowed FROM documents),
+        m AS (SELECT d.doc_id AS id, 'mine' AS side, d.doc_id % 3 AS "at", toxic = 1 AS deleted, n_chars > 2000 AS overflowed FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+        b AS (SELECT {_PICK} AS mine, d, m FROM m FULL JOIN d ON m.id = d.id)
+        SELECT CASE WHEN mine THEN m.id ELSE d.id END AS id, CASE WHEN mine THEN m.side ELSE d.side END AS side, CASE WHEN mine THEN m."at" ELSE d."at" END AS "at",
+            CASE WHEN mine THEN m.deleted ELSE d.deleted END AS deleted, CASE WHEN mine THEN m.overflowed ELSE d.overflowed END AS overflowed FROM b""",
+    "counter_merge": "SELECT event_type AS name, max(n) AS value FROM (SELECT event_type, ts::DATE AS day, count(*) AS n FROM events GROUP BY ALL) GROUP BY 1",
+    "op_union_minus_done": f"""WITH both_ AS (SELECT DISTINCT {_KEY} AS op_key, kind, memory_id, "at" FROM (SELECT * FROM {_ops_sql({"purchase": "update", "error": "delete"})} UNION ALL SELECT * FROM {_ops_sql({"signup": "update", "view": "delete-all"})}))
+        SELECT * FROM both_ WHERE op_key NOT IN (SELECT {_KEY} FROM {_ops_sql({"click": "update"})})""",
+    "tombstone_cap": f"SELECT {_KEY} AS op_key, max(seq) AS done_at FROM {_ops_sql({'purchase': 'update'})} GROUP BY 1 ORDER BY done_at DESC, op_key LIMIT 500",
+    "replay_order": f"""WITH q AS (SELECT 'add' AS kind, 'local-' || memory_id AS id, "at", seq FROM {_ops_sql({"signup": "add"})} UNION ALL SELECT 'op', memory_id::VARCHAR, "at", seq FROM {_ops_sql({"error": "delete"})})
+        SELECT kind, id, "at", row_number() OVER (ORDER BY "at", kind, seq, id)::INTEGER AS position FROM q""",
+    "permanent_status": f"SELECT status, {_PERMANENT} AS permanent, count(*) AS n FROM {_STATUS} GROUP BY ALL",
+    "retire_after_three": f"""SELECT id, "at" FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY "at", seq) AS n FROM {_STATUS} WHERE {_PERMANENT}) WHERE n = 3""",
+    "replay_run": """WITH q AS (SELECT user_id AS store, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position, event_type AS id, (props::JSON->>'$.k')::INTEGER AS k FROM events),
+        s AS (SELECT *, min(CASE WHEN k >= 99 THEN position END) OVER (PARTITION BY store) AS stop,
+            sum(CASE WHEN k BETWEEN 60 AND 98 THEN 1 ELSE 0 END) OVER (PARTITION BY store, id ORDER BY position) AS fails FROM q)
+        SELECT store, position, CASE WHEN position > stop THEN 'waiting' WHEN position = stop THEN 'backoff' WHEN k < 60 THEN 'applied' WHEN fails >= 3 THEN 'retired' ELSE 'failed' END AS outcome FROM s""",
+    "cache_hits": f"""WITH RECURSIVE o AS (SELECT user_id AS tenant, event_id AS seq, {_AT} AS "at", event_type AS key, row_number() OVER (PARTITION BY user_id ORDER BY {_AT}, event_id) AS pos FROM events),
+        w AS (SELECT *, max(CASE WHEN key = 'purchase' THEN pos END) OVER (PARTITION BY tenant ORDER BY pos) AS wrote FROM o),
+        r AS (SELECT *, row_number() OVER (PARTITION BY tenant, key ORDER BY pos) AS n FROM w WHERE key <> 'purchase'),
+        f AS (SELECT tenant, key, seq, n, "at" AS saved, pos AS saved_pos, false AS hit FROM r WHERE n = 1 UNION ALL
+            SELECT b.tenant, b.key, b.seq, b.n, CASE WHEN b."at" - a.saved < 86400000 AND coalesce(b.wrote, 0) < a.saved_pos THEN a.saved ELSE b."at" END,
+                CASE WHEN b."at" - a.saved < 86400000 AND coalesce(b.wrote, 0) < a.saved_pos THEN a.saved_pos ELSE b.pos END,
+                b."at" - a.saved < 86400000 AND coalesce(b.wrote, 0) < a.saved_pos
+            FROM f a JOIN r b ON b.tenant = a.tenant AND b.key = a.key AND b.n = a.n + 1)
+        SELECT tenant, seq, hit FROM f""",
+    "freshness_gate": f"WITH RECURSIVE {_OPEN} SELECT tenant, seq, open FROM opened",
+    "breaker_windows": f"""WITH RECURSIVE numbered AS (SELECT user_id AS tenant, event_id AS seq, {_AT} AS "at", event_type = 'error' AS bad, floor(value * 1000 * 1000)::BIGINT AS wait,
+            row_number() OVER (PARTITION BY user_id ORDER BY {_AT}, event_id) AS n FROM events),
+        f AS (SELECT tenant, seq, n, CASE WHEN bad THEN "at" + wait ELSE 0 END AS until_, false AS gated FROM numbered WHERE n = 1 UNION ALL
+            SELECT b.tenant, b.seq, b.n, CASE WHEN b."at" < a.until_ THEN a.until_ WHEN b.bad THEN b."at" + b.wait ELSE 0 END, b."at" < a.until_
+            FROM f a JOIN numbered b ON b.tenant = a.tenant AND b.n = a.n + 1)
+        SELECT tenant, seq, gated FROM f""",
+    "outcome_counts": f"""WITH RECURSIVE {_OPEN}, k AS (SELECT o.*, e.event_type AS key FROM opened o JOIN events e ON e.event_id = o.seq),
+        s AS (SELECT *, coalesce(bool_or(open) OVER (PARTITION BY tenant, key ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS known FROM k)
+        SELECT CASE WHEN open THEN 'miss' WHEN known THEN 'gated-stale' ELSE 'gated-local' END AS outcome, count(*) AS n FROM s GROUP BY 1""",
+    "error_tally": "SELECT 'dense' AS channel, substr(props, 1, 60) AS error, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY ALL ORDER BY n DESC, error LIMIT 4",
+    "stream_gate": f"WITH RECURSIVE {_OPEN} SELECT tenant, seq, open FROM opened",
+    "stream_outcome_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
+}
