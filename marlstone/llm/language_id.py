@@ -73,7 +73,8 @@ class Trees:
         self.deeper[own] = R * R + np.arange(len(own), dtype=np.int32)
         shallow = np.flatnonzero(self.deeper < 0)
         self.deeper[shallow] = (shallow % (R * R)).astype(np.int32)
-        self.costs = np.stack([self._costs(ranked[lang], own) for lang in self.langs], axis=1)
+        costs = [self._costs(ranked[lang], own) for lang in self.langs]
+        self.costs = np.stack(costs, axis=1) if costs else np.zeros((0, 0), np.int32)
 
     def _costs(self, texts: list[np.ndarray], own: np.ndarray) -> np.ndarray:
         """Cost of each rank after each row's context."""
