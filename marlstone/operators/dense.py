@@ -115,7 +115,7 @@ def embedded(batches: DataFrame, embed: Callable[[list[str]], list[list[float]]]
         try:
             vectors = _units(np.asarray(embed(pdf["memory"].str.slice(0, 8000).tolist()), np.float64))
         except Exception:
-            return pd.DataFrame({c: [] for c in ("id", "model", "hash", "vec", "dims", "normalized")})
+            return pd.DataFrame({c: [] for c in ("id", "model", "hash", "vec", "dims", "normalized")}, dtype=object)
         hashes = [hashlib.sha1(t.encode()).hexdigest() for t in pdf["memory"]]
         return pd.DataFrame({"id": pdf["id"], "model": model, "hash": hashes, "vec": list(vectors.tolist()), "dims": vectors.shape[1], "normalized": True})
 

@@ -79,7 +79,7 @@ def sample(rows: DataFrame, size: int, seed: int, per_bucket: int, order: str =
     picked = rows.select("query_id", "shape", order).groupBy("shape").applyInPandas(pick, f"query_id long, shape string, {order} long, at int")
     chosen = picked.orderBy("shape", "at").limit(quota * shapes).collect()
     ids = [r.query_id for r in shuffle(chosen, seed)[:size]]
-    return rows.filter(F.col("query_id").isin(ids)).orderBy("text")
+    return rows.filter(F.col("query_id").isin(ids)).orderBy("text", "query_id")
 
 
 def merged_grades(new: DataFrame, prior: DataFrame, pools: DataFrame) -> DataFrame:
