@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ranking import DIGITS, ranked
 from ..functions.vectors import norm, unit
@@ -138,3 +138,15 @@ def first_of_text(queries: DataFrame) -> DataFrame:
     """One row of each distinct query text, so that none is embedded twice."""
     order = Window.partitionBy("text").orderBy("query_id")
     return queries.withColumn("at", F.row_number().over(order)).filter("at = 1").drop("at")
+
+
+def cache_key(text: Column) -> Column:
+    """The key of a text in a cache of embeddings."""
+    return F.substr(F.sha2(text, 256), F.lit(1), F.lit(16))
+
+
+def from_cache(texts: DataFrame, cache: DataFrame, model: str) -> tuple[DataFrame, DataFrame]:
+    """(known, missing) of texts (text): with the vector of this model's cache (key, model, vec), and each distinct other."""
+    keyed = texts.select("text").distinct().withColumn("key", cache_key(F.col("text")))
+    own = cache.filter(F.col("model") == model).select("key", "vec")
+    return keyed.join(own, "key"), keyed.join(own.select("key"), "key", "left_anti")

@@ -163,6 +163,37 @@ def compared(before: DataFrame, after: DataFrame, metrics: tuple[str, ...] = ("n
     return both.groupBy("strategy").agg(F.count(F.lit(1)).alias("shared"), *columns)
 
 
+def fair_subset(remote: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(query_id): queries whose remote results are all still in the corpus."""
+    gone = remote.join(corpus.select("doc_id"), "doc_id", "left_anti").select("query_id")
+    return remote.select("query_id").distinct().join(gone, "query_id", "left_anti")
+
+
+def head_to_head(measured: DataFrame) -> DataFrame:
+    """Per strategy, over the queries for which every strategy of ``measured`` ran: one denominator for all."""
+    strategies = measured.agg(F.countDistinct("strategy").alias("all"))
+    shared = measured.groupBy("query_id").agg(F.countDistinct("strategy").alias("n")).crossJoin(F.broadcast(strategies)).filter("n = all").select("query_id")
+    rows = measured.join(shared, "query_id", "left_semi")
+    return rows.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), *[_r(F.avg(c)).alias(c) for c in ("overlap5", "overlap10", "mrr")], _r(F.avg((F.col("mrr") == 1).cast("int"))).alias("top1"))
+
+
+def run_totals(runs: DataFrame) -> DataFrame:
+    """One row of a judging run (query_id, judgments, missing, tokens, cost)."""
+    return runs.agg(
+        F.count(F.lit(1)).alias("queries"),
+        F.sum("judgments").alias("judgments"),
+        F.count_if(F.col("missing") > 0).alias("incomplete"),
+        F.sum("tokens").alias("tokens"),
+        _r(F.sum("cost")).alias("cost"),
+    )
+
+
+def by_local_date(entries: DataFrame) -> DataFrame:
+    """(day, strategy, n, mean overlap): entries (ts in ms, strategy, overlap) by calendar day of the session's time zone."""
+    day = F.date_format(F.timestamp_millis("ts"), "yyyy-MM-dd")
+    return entries.groupBy(day.alias("day"), "strategy").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("overlap")).alias("overlap"))
+
+
 def report_text(rows: list, columns: tuple[str, ...], indicative: str = "indicative_only") -> str:
     """A fixed-width table of an accuracy result that was collected, best nDCG first."""
     ordered = sorted(rows, key=lambda r: -(r["mean_ndcg"] or 0))

@@ -40,6 +40,29 @@ def cache_key(method: Column, path: Column, query: Column, body: Column) -> Colu
     return F.concat(method, F.lit(" "), path, F.coalesce(query, F.lit("")), F.lit(" "), F.coalesce(body, F.lit("")))
 
 
+def without_wildcards(body: Column) -> Column:
+    """A JSON body without the entity filters that are ``*``; a body without such filters stays as it is."""
+    from .ingest import ENTITY_KEYS
+
+    fields = F.from_json(body, "map<string,string>")
+    filters = F.from_json(fields["filters"], "map<string,string>")
+    star = lambda k, v: k.isin(*ENTITY_KEYS) & (v == "*")
+    some = F.coalesce(F.exists(F.map_entries(filters), lambda e: star(e["key"], e["value"])), F.lit(False))
+    quoted = lambda v: F.when(v.rlike(r"^(-?[0-9.eE+-]+|true|false|null|[\[{].*)$"), v).otherwise(F.to_json(F.array(v)).substr(F.lit(2), F.length(F.to_json(F.array(v))) - 2))
+    written = lambda m: F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ","), F.lit("}"))
+    clean = written(F.transform_values(F.map_filter(filters, lambda k, v: ~star(k, v)), lambda _, v: quoted(v)))
+    whole = written(F.transform_values(fields, lambda k, v: F.when(k == "filters", clean).otherwise(quoted(v))))
+    return F.when(some, whole).otherwise(body)
+
+
+def filters_from_cache(cache: DataFrame) -> DataFrame:
+    """(filters): those of the first cached request (key, seq) that lists or searches with some."""
+    body = F.regexp_extract("key", r"(?s)^\S+ \S+ (.*)$", 1)
+    filters = F.from_json(F.get_json_object(body, "$.filters"), "map<string,string>")
+    rows = cache.filter(F.col("key").startswith("POST /v3/memories/")).select("seq", filters.alias("filters")).filter(F.size("filters") > 0)
+    return rows.agg(F.min_by("filters", "seq").alias("filters"))
+
+
 @dataclass
 class Gate:
     """What one tenant's gate remembers."""
@@ -96,6 +119,14 @@ def counted(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+def service_stats(outcomes: DataFrame, ops: DataFrame, store: DataFrame) -> DataFrame:
+    """One row: counters of outcomes, operations that wait, local rows that wait."""
+    n = lambda *kinds: F.count_if(F.col("outcome").isin(*kinds))
+    counters = outcomes.agg(n("hit").alias("hits"), n("miss").alias("misses"), n("stale", "gated-stale").alias("stale_served"), n("fallback", "gated-local").alias("fallbacks"), n("gated-stale", "gated-local", "gated-none").alias("gated"), n("write-local").alias("local_writes"))
+    waiting = store.agg(F.count_if((F.col("source") == "local") & ~F.coalesce("deleted", F.lit(False))).alias("pending"))
+    return counters.crossJoin(ops.agg(F.count(F.lit(1)).alias("ops"))).crossJoin(waiting)
+
+
 def error_tally(errors: DataFrame, top: int = 4, chars: int = 60) -> DataFrame:
     """(channel, error, n): the most frequent messages, cut to a length."""
     cut = errors.select("channel", F.substr("error", F.lit(1), F.lit(chars)).alias("error"))

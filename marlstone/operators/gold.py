@@ -101,6 +101,14 @@ def agreement(first: DataFrame, second: DataFrame) -> DataFrame:
     return cells.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
 
 
+def prompts(queries: DataFrame, pools: DataFrame, corpus: DataFrame, instructions: str, chars: int = MAX_POOL_CHARS) -> DataFrame:
+    """(query_id, prompt): the query, its scope, the instructions and one line for each document of its pool, in order."""
+    line = F.concat(F.col("doc_id").cast("string"), F.lit(": "), F.regexp_replace(F.substr("text", F.lit(1), F.lit(chars)), r"\s+", " "))
+    listed = pools.join(corpus.select("doc_id", "text"), "doc_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", line.alias("line")))).alias("lines"))
+    head = F.concat(F.lit("Query: "), F.col("text"), F.lit("\nScope: "), F.coalesce("scope", F.lit("(unscoped)")), F.lit(f"\n\n{instructions}\n\n"))
+    return queries.join(listed, "query_id").select("query_id", F.concat(head, F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("prompt"))
+
+
 def normal_grade(value: Column) -> Column:
     """0, 1 or 2 from a number; null if it is none or not finite."""
     number = value.try_cast("double")

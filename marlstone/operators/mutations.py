@@ -123,6 +123,18 @@ def replay_order(adds: DataFrame, ops: DataFrame) -> DataFrame:
     return both.withColumn("position", F.row_number().over(Window.orderBy("at", "kind", "seq", "id"))).drop("seq")
 
 
+def with_scope(adds: DataFrame, store: DataFrame) -> DataFrame:
+    """Pending adds (add_payload: a map) without any entity key get those of the first row of the store (by ``seq``)
+    that is not local and has one."""
+    from .ingest import ENTITY_KEYS
+
+    own = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, ENTITY_KEYS)), F.array(*[F.col(k).cast("string") for k in ENTITY_KEYS])), lambda _, v: v.isNotNull() & (v != ""))
+    first = store.filter("source <> 'local'").withColumn("_scope", own).filter(F.size("_scope") > 0).agg(F.min_by("_scope", "seq").alias("_scope"))
+    has = F.exists(F.map_entries("add_payload"), lambda e: e["key"].isin(*ENTITY_KEYS) & e["value"].isNotNull() & (e["value"] != ""))
+    repaired = F.when(~has & F.col("_scope").isNotNull(), F.map_concat(F.map_filter("add_payload", lambda k, _: ~k.isin(*ENTITY_KEYS)), F.col("_scope"))).otherwise(F.col("add_payload"))
+    return adds.crossJoin(F.broadcast(first)).withColumn("add_payload", repaired).drop("_scope")
+
+
 def permanent(status: Column) -> Column:
     """A client error that no repetition mends."""
     return status.between(400, 499) & ~status.isin(401, 403, 404, 408, 429)

@@ -111,11 +111,55 @@ def judge_agreement(spark: SparkSession, sf: str) -> DataFrame:
     return gold.agreement(first, labelled.select("query_id", "doc_id", (F.col("quality") * 2).alias("grade")))
 
 
+def fair_subset(spark: SparkSession, sf: str) -> DataFrame:
+    """Nearest neighbours over all vectors, some of which have no document."""
+    near = dense.cosine_search(binding.query_vectors(spark, sf), binding.vectors(spark, sf), 5)
+    judged = table(spark, sf, "documents").filter("n_chars <= 4000")
+    return evaluation.fair_subset(near, judged)
+
+
+def head_to_head(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.head_to_head(_measured(spark, sf))
+
+
+def fusion_unweighted(spark: SparkSession, sf: str) -> DataFrame:
+    words = lexical.bm25(binding.queries(spark, sf), binding.corpus(spark, sf))
+    fused = fusion.fuse({"lexical": (words, 1.0), "dense": (remote(spark, sf, 10), 1.0)}, 10)
+    return fused.select("query_id", "doc_id", "score", "rank")
+
+
+def run_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """A conversation as a judging run: its turns as judgments, its users' characters as tokens."""
+    runs = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("query_id")).agg(
+        F.count(F.lit(1)).alias("judgments"), F.count_if(F.col("role") == "system").alias("missing"), F.sum(F.char_length("text")).alias("tokens"), (F.sum(F.char_length("text")) * 0.001).alias("cost")
+    )
+    return evaluation.run_totals(runs)
+
+
+def log_by_date(spark: SparkSession, sf: str) -> DataFrame:
+    entries = table(spark, sf, "events").select(F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), F.col("event_type").alias("strategy"), F.floor("value").alias("overlap"))
+    return evaluation.by_local_date(entries)
+
+
+def judge_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    queries = binding.scoped_queries(spark, sf).select("query_id", "text", F.concat(F.lit("user_id="), "user_id").alias("scope"))
+    return gold.prompts(queries, pool_union(spark, sf), binding.corpus(spark, sf), "Grade 0, 1 or 2.").select("query_id", F.md5("prompt").alias("prompt_md5"))
+
+
+def embed_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """What users said, in a cache of what everyone said in first turns."""
+    turns = table(spark, sf, "conversations")
+    cache = turns.filter("turn = 0").select(dense.cache_key(F.col("text")).alias("key")).distinct().select("key", F.lit("m").alias("model"), F.array(F.lit(1.0)).alias("vec"))
+    known, missing = dense.from_cache(turns.filter("role = 'user'"), cache, "m")
+    return known.select("key", F.lit(True).alias("known")).unionByName(missing.select("key", F.lit(False).alias("known")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         overlap_mrr, ndcg_vs_remote, overlap_full_remote, accuracy_summary, accuracy_by_stratum, replay_eval, winloss,
         pool_union, pool_median, pool_domination, graded_metrics, graded_summary, compare_runs, grade_merge, judge_agreement,
+        fair_subset, head_to_head, fusion_unweighted, run_totals, log_by_date, judge_prompts, embed_cache,
     )
 }
 
@@ -177,4 +221,18 @@ ORACLE_SQL = {
         SELECT query_id, doc_id, CASE WHEN quality = 1 THEN 2 WHEN toxic = 0 THEN quality ELSE 1 - toxic END AS grade, CASE WHEN quality = 1 THEN 'new' ELSE 'prior' END AS source FROM l""",
     "judge_agreement": f"""WITH {_POOL}, c AS (SELECT quality + 1 - toxic AS first, quality * 2 AS second, count(*) AS n FROM pool p JOIN labels l ON l.doc_id = p.doc_id GROUP BY ALL)
         SELECT first, second, n, round(n::DOUBLE / sum(n) OVER (), 6) AS share FROM c""",
+    "fair_subset": f"""WITH {cosine_sql(5)}, judged AS (SELECT doc_id FROM documents WHERE n_chars <= 4000)
+        SELECT query_id FROM cosine GROUP BY 1 HAVING count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM judged)) = 0""",
+    "head_to_head": f"""WITH {_MEASURED}, shared AS (SELECT query_id FROM measured GROUP BY 1 HAVING count(DISTINCT strategy) = (SELECT count(DISTINCT strategy) FROM measured))
+        SELECT strategy, count(*) AS n, round(avg(overlap5), 6) AS overlap5, round(avg(overlap10), 6) AS overlap10, round(avg(mrr), 6) AS mrr, round(avg((mrr = 1)::INTEGER), 6) AS top1
+        FROM measured WHERE query_id IN (SELECT query_id FROM shared) GROUP BY strategy""",
+    "fusion_unweighted": f"WITH {bm25_sql(10)}, {cosine_sql(10, where=KNOWN)}, {fused_sql(1.0, top=10)} SELECT query_id, doc_id, score, rank FROM fused",
+    "run_totals": """WITH r AS (SELECT count(*) AS judgments, count(*) FILTER (role = 'system') AS missing, sum(length(text)) AS tokens FROM conversations GROUP BY conv_id)
+        SELECT count(*) AS queries, sum(judgments)::BIGINT AS judgments, count(*) FILTER (missing > 0) AS incomplete, sum(tokens)::BIGINT AS tokens, round(sum(tokens::DOUBLE * 0.001::DOUBLE), 6) AS cost FROM r""",
+    "log_by_date": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS strategy, count(*) AS n, round(avg(floor(value)), 6) AS overlap FROM events GROUP BY ALL",
+    "judge_prompts": f"""WITH {binding.SCOPED}, {_POOL}, lines AS (SELECT p.query_id, string_agg(p.doc_id || ': ' || regexp_replace(substr(d.text, 1, 1200), '\\s+', ' ', 'g'), chr(10) ORDER BY p.doc_id) AS body
+            FROM pool p JOIN documents d ON d.doc_id = p.doc_id GROUP BY 1)
+        SELECT query_id, md5('Query: ' || text || chr(10) || 'Scope: user_id=' || user_id || chr(10) || chr(10) || 'Grade 0, 1 or 2.' || chr(10) || chr(10) || body) AS prompt_md5 FROM scoped JOIN lines USING (query_id)""",
+    "embed_cache": """WITH c AS (SELECT substr(sha256(text), 1, 16) AS key FROM conversations WHERE turn = 0)
+        SELECT DISTINCT substr(sha256(text), 1, 16) AS key, substr(sha256(text), 1, 16) IN (SELECT key FROM c) AS known FROM conversations WHERE role = 'user'""",
 }

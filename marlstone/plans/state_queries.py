@@ -112,6 +112,11 @@ def error_tally(spark: SparkSession, sf: str) -> DataFrame:
     return gates.error_tally(errors)
 
 
+def service_stats(spark: SparkSession, sf: str) -> DataFrame:
+    outcomes = gates.folded(_fresh(binding.requests(spark, sf)), ttl=0)
+    return gates.service_stats(outcomes, op_union_minus_done(spark, sf), binding.memories(spark, sf))
+
+
 def stream_gate(spark: SparkSession, sf: str) -> DataFrame:
     """The freshness gate as a stateful stream."""
     events = runs.source(spark, sf, "events")
@@ -133,7 +138,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         store_merge, counter_merge, op_union_minus_done, tombstone_cap, replay_order, permanent_status, retire_after_three, replay_run,
-        cache_hits, freshness_gate, breaker_windows, outcome_counts, gate_outcomes, error_tally, stream_gate, stream_outcome_counts,
+        cache_hits, freshness_gate, breaker_windows, outcome_counts, gate_outcomes, error_tally, service_stats, stream_gate, stream_outcome_counts,
     )
 }
 
@@ -192,6 +197,12 @@ ORACLE_SQL = {
     "outcome_counts": f"""WITH RECURSIVE {_OPEN}, k AS (SELECT o.*, e.event_type AS key FROM opened o JOIN events e ON e.event_id = o.seq),
         s AS (SELECT *, coalesce(bool_or(open) OVER (PARTITION BY tenant, key ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS known FROM k)
         SELECT CASE WHEN open THEN 'miss' WHEN known THEN 'gated-stale' ELSE 'gated-local' END AS outcome, count(*) AS n FROM s GROUP BY 1""",
+    "service_stats": f"""WITH RECURSIVE {_OPEN}, k AS (SELECT o.*, e.event_type AS key FROM opened o JOIN events e ON e.event_id = o.seq),
+        s AS (SELECT *, coalesce(bool_or(open) OVER (PARTITION BY tenant, key ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS known FROM k)
+        SELECT 0::BIGINT AS hits, count(*) FILTER (open) AS misses, count(*) FILTER (NOT open AND known) AS stale_served, count(*) FILTER (NOT open AND NOT known) AS fallbacks, count(*) FILTER (NOT open) AS gated,
+            0::BIGINT AS local_writes, (SELECT count(DISTINCT {_KEY}) FROM (SELECT * FROM {_ops_sql({"purchase": "update", "error": "delete"})} UNION ALL SELECT * FROM {_ops_sql({"signup": "update", "view": "delete-all"})})
+                WHERE {_KEY} NOT IN (SELECT {_KEY} FROM {_ops_sql({"click": "update"})})) AS ops,
+            (SELECT count(*) FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE quality = 1 AND toxic = 0) AS pending FROM s""",
     "error_tally": "SELECT 'dense' AS channel, substr(props, 1, 60) AS error, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY ALL ORDER BY n DESC, error LIMIT 4",
     "stream_gate": f"WITH RECURSIVE {_OPEN} SELECT tenant, seq, open FROM opened",
     "stream_outcome_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
