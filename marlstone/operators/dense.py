@@ -15,6 +15,8 @@ from .lexical import best_of_batch
 
 # Inputs and characters of an embedding batch, and batches of a call.
 BATCH_INPUTS, BATCH_CHARS, BATCHES = 64, 16_000, 8
+#: Scores of a task's matrix at a time.
+SCORES = 1 << 21
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -51,11 +53,10 @@ def _scan(block: pd.DataFrame, top: int, positive: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         against = _units(np.stack(targets)) if targets else np.zeros((0, 0))
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            docs = batch.column("doc_id").to_numpy()
-            scores = np.round(_units(_matrix(batch.column("vec"))) @ against.T, DIGITS) + 0.0
+        step = max(1, SCORES // max(1, len(ids)))
+        for part in (batch.slice(at, step) for batch in batches for at in range(0, batch.num_rows, step) if len(ids)):
+            docs = part.column("doc_id").to_numpy()
+            scores = np.round(_units(_matrix(part.column("vec"))) @ against.T, DIGITS) + 0.0
             rows, qs = best_of_batch(scores, docs, top)
             values = scores[rows, qs]
             keep = values > 0 if positive else np.ones(len(values), bool)

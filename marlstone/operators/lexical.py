@@ -62,7 +62,7 @@ def unmatched(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return query_terms(queries.select("query_id", "text")).join(known, "term", "left_anti").select("query_id", "term")
 
 
-def keyword_hits(queries: DataFrame, corpus: DataFrame, top: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
+def keyword_hits(queries: DataFrame, corpus: DataFrame, top: int = 10, block_bytes: int = 512 << 10) -> DataFrame:
     """(query_id, doc_id, score, rank): the number of a query's tokens, repeats counted, that a text contains anywhere.
 
     All distinct tokens of a block of queries form one automaton, so a text is read once for a block whatever the

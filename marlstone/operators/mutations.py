@@ -118,9 +118,10 @@ def pending_adds(store: DataFrame, quarantined: DataFrame) -> DataFrame:
 
 
 def replay_order(adds: DataFrame, ops: DataFrame) -> DataFrame:
-    """(position, kind, id, at): adds by creation and operations by time, one queue, adds before operations at a tie."""
-    both = adds.select(F.lit("add").alias("kind"), "id", "at", "seq").unionByName(ops.select(F.lit("op").alias("kind"), "id", "at", "seq"))
-    return both.withColumn("position", F.row_number().over(Window.orderBy("at", "kind", "seq", "id"))).drop("seq")
+    """(store, position, kind, id, at): each store's adds by creation and operations by time, one queue, adds before
+    operations at a tie."""
+    both = adds.select("store", F.lit("add").alias("kind"), "id", "at", "seq").unionByName(ops.select("store", F.lit("op").alias("kind"), "id", "at", "seq"))
+    return both.withColumn("position", F.row_number().over(Window.partitionBy("store").orderBy("at", "kind", "seq", "id"))).drop("seq")
 
 
 def with_scope(adds: DataFrame, store: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def tombstone_cap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def replay_order(spark: SparkSession, sf: str) -> DataFrame:
-    rows = lambda kinds, prefix: _ops(spark, sf, kinds).select(F.concat(F.lit(prefix), F.col("memory_id").cast("string")).alias("id"), "at", "seq")
+    rows = lambda kinds, prefix: _ops(spark, sf, kinds).select(F.col("memory_id").alias("store"), F.concat(F.lit(prefix), F.col("seq").cast("string")).alias("id"), "at", "seq")
     return mutations.replay_order(rows({"signup": "add"}, "local-"), rows({"error": "delete"}, ""))
 
 
@@ -170,8 +170,8 @@ ORACLE_SQL = {
     "op_union_minus_done": f"""WITH both_ AS (SELECT DISTINCT {_KEY} AS op_key, kind, memory_id, "at" FROM (SELECT * FROM {_ops_sql({"purchase": "update", "error": "delete"})} UNION ALL SELECT * FROM {_ops_sql({"signup": "update", "view": "delete-all"})}))
         SELECT * FROM both_ WHERE op_key NOT IN (SELECT {_KEY} FROM {_ops_sql({"click": "update"})})""",
     "tombstone_cap": f"SELECT {_KEY} AS op_key, max(seq) AS done_at FROM {_ops_sql({'purchase': 'update'})} GROUP BY 1 ORDER BY done_at DESC, op_key LIMIT 500",
-    "replay_order": f"""WITH q AS (SELECT 'add' AS kind, 'local-' || memory_id AS id, "at", seq FROM {_ops_sql({"signup": "add"})} UNION ALL SELECT 'op', memory_id::VARCHAR, "at", seq FROM {_ops_sql({"error": "delete"})})
-        SELECT kind, id, "at", row_number() OVER (ORDER BY "at", kind, seq, id)::INTEGER AS position FROM q""",
+    "replay_order": f"""WITH q AS (SELECT memory_id AS store, 'add' AS kind, 'local-' || seq AS id, "at", seq FROM {_ops_sql({"signup": "add"})} UNION ALL SELECT memory_id, 'op', seq::VARCHAR, "at", seq FROM {_ops_sql({"error": "delete"})})
+        SELECT store, kind, id, "at", row_number() OVER (PARTITION BY store ORDER BY "at", kind, seq, id)::INTEGER AS position FROM q""",
     "permanent_status": f"SELECT status, {_PERMANENT} AS permanent, count(*) AS n FROM {_STATUS} GROUP BY ALL",
     "retire_after_three": f"""SELECT id, "at" FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY "at", seq) AS n FROM {_STATUS} WHERE {_PERMANENT}) WHERE n = 3""",
     "replay_run": """WITH q AS (SELECT user_id AS store, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position, event_type AS id, (props::JSON->>'$.k')::INTEGER AS k FROM events),
