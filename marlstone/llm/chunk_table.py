@@ -22,7 +22,8 @@ def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class ChunkTable:
-    """``encode`` gives the ids of chunks one after another, and the number of each chunk's."""
+    """``encode`` gives the ids of chunks one after another, and the number of each chunk's; it may append a note
+    on each chunk to ``notes``, which are kept by slot."""
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = TABLE_CHUNKS):
         self.encode, self.most = encode, most
@@ -30,6 +31,7 @@ class ChunkTable:
 
     def _reset(self) -> None:
         self.slot: dict[str, int] = {}
+        self.notes: list[str] = []
         self.ids = np.zeros(1 << 16, np.int32)
         self.used = 0
         self.start = np.zeros(0, np.int64)
@@ -57,8 +59,9 @@ class ChunkTable:
             self.used += need
         return np.fromiter((slot[c] for c in chunks), np.int64, len(chunks))
 
-    def join(self, flat: pa.Array, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all chunks in order, and the offsets that delimit the texts (from ``offsets`` in chunks)."""
+    def join(self, flat: pa.Array, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """The ids of all chunks in order, the offsets that delimit the texts (from ``offsets`` in chunks), and the notes
+        on the chunks in order (if there are any)."""
         coded = flat.dictionary_encode()
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
@@ -68,4 +71,5 @@ class ChunkTable:
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.ids[np.repeat(self.start[each] - (ends - lengths), lengths) + np.arange(total)] if total else np.zeros(0, np.int32)
-        return ids, np.concatenate([[0], ends])[offsets]
+        notes = pa.array([self.notes[s] for s in slots.tolist()], pa.string()).take(coded.indices) if self.notes else pa.array([], pa.string())
+        return ids, np.concatenate([[0], ends])[offsets], notes

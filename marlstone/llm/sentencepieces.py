@@ -35,6 +35,8 @@ MARK = "▁"
 #: Chunks of a text whose spaces are marks: marks with what follows them, a line feed, what follows a line feed.
 CHUNK_RE = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 _CUT = "\x01"
+#: Chunks that go to the library in one call.
+AT_ONCE = 10_000
 _loaded: dict[str, "Pieces"] = {}
 
 
@@ -51,13 +53,18 @@ class Pieces:
                 raise ValueError(f"piece {i} crosses a white-space mark or a line feed: chunks are not independent")
         self.lead = m.encode("\n")
         self.end_id = m.eos_id()
-        self.table = ChunkTable(lambda chunks: flattened(self._encode(chunks)))
-        self.decoded: dict[str, str] = {}
+        self.table = ChunkTable(self._encode)
 
-    def _encode(self, chunks: list[str]) -> list[list[int]]:
-        """A line feed before the chunk takes the mark that the library puts first."""
+    def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each chunk; what they decode to is noted beside them. A line feed before the chunk takes the mark that
+        the library puts first, and the one that it takes away."""
         skip = len(self.lead)
-        return [x[skip:] for x in self.model.encode(["\n" + c for c in chunks], num_threads=1)]
+        found = []
+        for at in range(0, len(chunks), AT_ONCE):
+            ids = self.model.encode(["\n" + c for c in chunks[at : at + AT_ONCE]], num_threads=1)
+            self.table.notes += [t[1:] for t in self.model.decode(ids)]
+            found += [x[skip:] for x in ids]
+        return flattened(found)
 
     def chunks(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """All chunks in order and the offsets of each text's."""
@@ -84,26 +91,18 @@ class Pieces:
     def encode(self, texts: pa.Array) -> tuple[pa.ListArray, pa.Array]:
         """Ids (with the end id) and the text that they decode to."""
         flat, offsets = self.chunks(texts)
-        ids, ends = self.table.join(flat, offsets)
+        ids, ends, decoded = self.table.join(flat, offsets)
         n = len(texts)
         out = np.full(len(ids) + n, self.end_id, np.int32)
         sizes = np.diff(ends)
         out[np.arange(len(ids)) + np.repeat(np.arange(n), sizes)] = ids
         lists = pa.ListArray.from_arrays(pa.array(ends + np.arange(n + 1), pa.int32()), pa.array(out))
-        return lists, self.decode_chunks(flat, offsets)
-
-    def decode_chunks(self, flat: pa.Array, offsets: np.ndarray) -> pa.Array:
-        """Each distinct chunk's ids decoded once, joined by position; the first mark of a text is the library's own and goes."""
-        coded = flat.dictionary_encode()
-        known = coded.dictionary.to_pylist()
-        if len(self.decoded) > self.table.most:
-            self.decoded.clear()
-        new = [c for c in known if c not in self.decoded]
-        if new:
-            self.decoded.update(zip(new, (x[1:] for x in self.model.decode([self.lead + x for x in self._encode(new)]))))
-        table = pa.array([self.decoded[c] for c in known], pa.string())
-        pieces = table.take(coded.indices) if len(known) else pa.array([], pa.string())
-        whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pieces), "")
+        return lists, self.joined(decoded, offsets)
+
+    @staticmethod
+    def joined(decoded: pa.Array, offsets: np.ndarray) -> pa.Array:
+        """Texts from their chunks' texts, by position; the first mark of a text is the library's own and goes."""
+        whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), decoded), "")
         return pc.if_else(pc.starts_with(whole, " "), pc.utf8_slice_codeunits(whole, 1), whole)
 
 

@@ -117,7 +117,7 @@ class Words:
         flat, offsets = lists.flatten(), offsets_of(lists)
         full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
         kept = np.concatenate([[0], np.cumsum(full)])
-        ids, ends = self.table.join(flat.filter(pa.array(full)), kept[offsets - offsets[0]])
+        ids, ends, _ = self.table.join(flat.filter(pa.array(full)), kept[offsets - offsets[0]])
         n = len(texts)
         out = np.full(len(ids) + n, end_id, np.int32)
         out[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(ends))] = ids
