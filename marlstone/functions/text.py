@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 # The scripts that are cut into bigrams, and the size caps.
 CJK = r"㐀-䶿一-鿿豈-﫿぀-ヿ가-힯"
@@ -75,3 +76,14 @@ def scope_label(scope: Column) -> Column:
     """Sorted ``key=value`` joined by spaces, or ``unscoped``."""
     pairs = F.transform(F.array_sort(F.map_entries(scope)), lambda e: F.concat_ws("=", e["key"], e["value"]))
     return F.when(scope.isNull() | (F.size(scope) == 0), F.lit("unscoped")).otherwise(F.array_join(pairs, " "))
+
+
+def clamped_utf16(text: Column) -> Column:
+    """The cap in UTF-16 units, never inside a surrogate pair: for texts beyond the basic plane, where the built-in
+    functions count characters. A half pair at the cut goes."""
+
+    def cut(texts: pd.Series) -> pd.Series:
+        within = lambda t: t is None or len(t) <= MAX_CHARS // 2
+        return texts.map(lambda t: t if within(t) else t.encode("utf-16-le", "surrogatepass")[: 2 * MAX_CHARS].decode("utf-16-le", "ignore"))
+
+    return F.pandas_udf(cut, T.StringType())(text)

@@ -100,6 +100,46 @@ def written(store: DataFrame, writes: DataFrame, compat: bool = False) -> DataFr
     return rows.select(*store.columns)
 
 
+def echoed(store: DataFrame, writes: DataFrame) -> DataFrame:
+    """The store after writes that the service confirmed (kind, memory_id, text, at), of which each id's last counts.
+
+    An update sets text and time, and makes an observed row of an unknown id; deletes leave tombstones whose time
+    stays; a delete-all takes every row that no later update revives."""
+    per_id = Window.partitionBy("memory_id").orderBy(F.col("at").desc())
+    single = writes.filter("kind <> 'delete-all'").withColumn("_n", F.row_number().over(per_id)).filter("_n = 1")
+    single = single.select(F.col("memory_id").alias("id"), "kind", "text", F.col("at").alias("w_at"))
+    wipe = F.broadcast(writes.filter("kind = 'delete-all'").agg(F.max("at").alias("wipe_at")))
+    rows = store.join(single, "id", "full_outer").crossJoin(wipe)
+    known, update = F.col("created_at").isNotNull(), F.coalesce(F.col("kind") == "update", F.lit(False))
+    wiped = F.coalesce(F.col("wipe_at") >= F.coalesce("w_at", "wipe_at"), F.lit(False))
+    gone = F.when(update, wiped).otherwise(wiped | F.coalesce(F.col("kind") == "delete", F.lit(False)))
+    rows = rows.filter(known | update).withColumns(
+        {
+            "memory": F.when(update, F.col("text")).otherwise(F.col("memory")),
+            "deleted": F.when(gone, True).when(update & ~known, False).otherwise(F.coalesce("deleted", F.lit(False))),
+            "source": F.when(known, F.col("source")).otherwise("observed"),
+            "created_at": F.coalesce("created_at", "w_at"),
+            "updated_at": F.when(update, F.col("w_at")).otherwise(F.col("updated_at")),
+        }
+    )
+    return rows.select(*store.columns)
+
+
+def replayed(store: DataFrame, done: DataFrame, now: str) -> DataFrame:
+    """The store after a replay's confirmed items (kind, id, status).
+
+    An add makes its row observed; an update of what is gone (404) and a delete drop the row; a delete-all drops every
+    tombstone."""
+    last = done.filter("kind <> 'delete-all'").groupBy("id").agg(F.max_by(F.struct("kind", "status"), F.when(F.col("kind") == "delete", 1).otherwise(0)).alias("_d"))
+    wiped = F.broadcast(done.agg(F.coalesce(F.max(F.col("kind") == "delete-all"), F.lit(False)).alias("_wiped")))
+    rows = store.join(last, "id", "left").crossJoin(wiped)
+    kind, status = F.col("_d.kind"), F.col("_d.status")
+    drop = F.coalesce((kind == "delete") | ((kind == "update") & (status == 404)), F.lit(False)) | (F.col("_wiped") & F.coalesce("deleted", F.lit(False)))
+    added_ = F.coalesce(kind == "add", F.lit(False))
+    rows = rows.filter(~drop).withColumns({"source": F.when(added_, "observed").otherwise(F.col("source")), "updated_at": F.when(added_, F.lit(now)).otherwise(F.col("updated_at"))})
+    return rows.select(*store.columns)
+
+
 def added(writes: DataFrame, new_id: Column) -> DataFrame:
     """Local rows of offline adds (messages, scope as a map, at): contents joined by line ends, or ``(empty)``."""
     text = F.array_join(F.filter(F.transform("messages", lambda m: m["content"]), lambda c: c.isNotNull()), "\n")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import gates, mutations
+from ..sources import logs
 from ..sources.tables import table
 from ..streaming import runs
 from ..streaming.gate import gated
@@ -107,6 +108,43 @@ def gate_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return gates.folded(binding.requests(spark, sf))
 
 
+def _store(spark: SparkSession, sf: str) -> DataFrame:
+    rows = binding.memories(spark, sf)
+    return rows.select(F.col("id").cast("string").alias("id"), "memory", F.lit("0").alias("created_at"), F.lit("0").alias("updated_at"), "deleted", "source", "app_id")
+
+
+def _writes(spark: SparkSession, sf: str) -> DataFrame:
+    """Purchases update the document of the event's number, errors delete it."""
+    e, t = table(spark, sf, "events").filter("event_type IN ('purchase', 'error')"), F.col("event_type")
+    return e.select(F.when(t == "error", "delete").otherwise("update").alias("kind"), F.col("event_id").cast("string").alias("memory_id"), F.col("props").alias("text"), F.lit(None).cast("string").alias("app_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+def offline_writes(spark: SparkSession, sf: str) -> DataFrame:
+    return mutations.written(_store(spark, sf), _writes(spark, sf)).select("id", F.md5("memory").alias("memory_md5"), "updated_at", "deleted", "source")
+
+
+def remote_echo(spark: SparkSession, sf: str) -> DataFrame:
+    return mutations.echoed(_store(spark, sf), _writes(spark, sf)).select("id", F.md5("memory").alias("memory_md5"), "updated_at", "deleted", "source")
+
+
+def replay_effects(spark: SparkSession, sf: str) -> DataFrame:
+    t, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("int")
+    kind = F.when(t == "signup", "add").when(t == "error", "delete").otherwise("update")
+    done = table(spark, sf, "events").select(kind.alias("kind"), F.col("event_id").cast("string").alias("id"), F.when(k < 50, 200).otherwise(404).alias("status"))
+    return mutations.replayed(_store(spark, sf), done, "now").select("id", "updated_at", "source", "deleted")
+
+
+def report_header(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as log entries: what was viewed was compared, errors fell back."""
+    t = F.col("event_type")
+    hit = F.array(F.struct(F.lit("1").alias("id"), F.lit(1.0).alias("score")))
+    entries = table(spark, sf, "events").select(
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), F.when(t == "error", "fallback").otherwise("remote").alias("mode"),
+        F.when(t == "view", hit).otherwise(F.array().cast("array<struct<id:string,score:double>>")).alias("remote"), F.when(t != "click", t).alias("codeVersion"),
+    )
+    return logs.header(entries)
+
+
 def error_tally(spark: SparkSession, sf: str) -> DataFrame:
     errors = table(spark, sf, "events").filter("event_type = 'error'").select(F.lit("dense").alias("channel"), F.col("props").alias("error"))
     return gates.error_tally(errors)
@@ -138,7 +176,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         store_merge, counter_merge, op_union_minus_done, tombstone_cap, replay_order, permanent_status, retire_after_three, replay_run,
-        cache_hits, freshness_gate, breaker_windows, outcome_counts, gate_outcomes, error_tally, service_stats, stream_gate, stream_outcome_counts,
+        cache_hits, freshness_gate, breaker_windows, outcome_counts, gate_outcomes, error_tally, service_stats, offline_writes, remote_echo, replay_effects, report_header, stream_gate, stream_outcome_counts,
     )
 }
 
@@ -150,7 +188,7 @@ def _ops_sql(kinds: dict[str, str]) -> str:
 
 
 _KEY = """kind || '|' || memory_id || '||' || "at" """
-_AT = "epoch_ms(ts)"
+_AT = "(epoch_us(ts) // 1000)"
 _OPEN = f"""numbered AS (SELECT user_id AS tenant, event_id AS seq, {_AT} AS "at", row_number() OVER (PARTITION BY user_id ORDER BY {_AT}, event_id) AS n FROM events),
     opened AS (SELECT tenant, seq, n, "at" AS last, true AS open FROM numbered WHERE n = 1 UNION ALL
         SELECT b.tenant, b.seq, b.n, CASE WHEN b."at" - a.last >= 3600000 THEN b."at" ELSE a.last END, b."at" - a.last >= 3600000
@@ -160,6 +198,8 @@ _PERMANENT = "(status BETWEEN 400 AND 499 AND status NOT IN (401, 403, 404, 408,
 _PICK = """CASE WHEN d.id IS NULL THEN true WHEN m.id IS NULL THEN false WHEN m.overflowed AND NOT d.overflowed THEN true
     WHEN m.deleted AND NOT d.deleted AND m."at" >= d."at" THEN true WHEN d.deleted AND NOT m.deleted THEN false
     WHEN m."at" > d."at" THEN true WHEN m."at" < d."at" THEN false ELSE m.deleted END"""
+_WRITES = """SELECT event_id::VARCHAR AS id, CASE event_type WHEN 'error' THEN 'delete' ELSE 'update' END AS kind, props AS text, strftime(ts, '%Y-%m-%d %H:%M:%S') AS t
+    FROM events WHERE event_type IN ('purchase', 'error')"""
 ORACLE_SQL = {
     "store_merge": f"""WITH d AS (SELECT doc_id AS id, 'disk' AS side, (n_chars % 3)::BIGINT AS "at", n_chars % 5 = 0 AS deleted, n_chars > 4000 AS overflowed FROM documents),
         m AS (SELECT d.doc_id AS id, 'mine' AS side, d.doc_id % 3 AS "at", toxic = 1 AS deleted, n_chars > 2000 AS overflowed FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
@@ -203,6 +243,19 @@ ORACLE_SQL = {
             0::BIGINT AS local_writes, (SELECT count(DISTINCT {_KEY}) FROM (SELECT * FROM {_ops_sql({"purchase": "update", "error": "delete"})} UNION ALL SELECT * FROM {_ops_sql({"signup": "update", "view": "delete-all"})})
                 WHERE {_KEY} NOT IN (SELECT {_KEY} FROM {_ops_sql({"click": "update"})})) AS ops,
             (SELECT count(*) FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE quality = 1 AND toxic = 0) AS pending FROM s""",
+    "offline_writes": f"""WITH {binding.MEMORIES}, w AS ({_WRITES}) SELECT coalesce(m.id::VARCHAR, w.id) AS id,
+        md5(CASE WHEN w.kind = 'update' THEN w.text ELSE m.memory END) AS memory_md5, coalesce(w.t, '0') AS updated_at,
+        CASE WHEN w.kind = 'delete' THEN true WHEN m.id IS NULL THEN false ELSE m.deleted END AS deleted, coalesce(m.source, 'local') AS source
+        FROM memories m FULL JOIN w ON w.id = m.id::VARCHAR WHERE m.id IS NOT NULL OR w.kind = 'update'""",
+    "remote_echo": f"""WITH {binding.MEMORIES}, w AS ({_WRITES}) SELECT coalesce(m.id::VARCHAR, w.id) AS id,
+        md5(CASE WHEN w.kind = 'update' THEN w.text ELSE m.memory END) AS memory_md5, CASE WHEN w.kind = 'update' THEN w.t ELSE '0' END AS updated_at,
+        CASE WHEN w.kind = 'delete' THEN true WHEN m.id IS NULL THEN false ELSE m.deleted END AS deleted, coalesce(m.source, 'observed') AS source
+        FROM memories m FULL JOIN w ON w.id = m.id::VARCHAR WHERE m.id IS NOT NULL OR w.kind = 'update'""",
+    "replay_effects": f"""WITH {binding.MEMORIES}, d AS (SELECT event_id AS id, event_type AS t, (props::JSON->>'$.k')::INTEGER AS k FROM events)
+        SELECT m.id::VARCHAR AS id, CASE WHEN t = 'signup' THEN 'now' ELSE '0' END AS updated_at, CASE WHEN t = 'signup' THEN 'observed' ELSE m.source END AS source, m.deleted
+        FROM memories m LEFT JOIN d ON d.id = m.id WHERE NOT coalesce(t = 'error' OR (t IN ('view', 'click', 'purchase') AND k >= 50), false)""",
+    "report_header": f"""SELECT count(*) AS entries, count(*) FILTER (event_type = 'view') AS comparisons, count(*) FILTER (event_type = 'error') AS fallbacks,
+        'view signup purchase error' AS versions, count(*) FILTER (event_type = 'click') AS unfingerprinted, min({_AT}) AS first_ts, max({_AT}) AS last_ts FROM events""",
     "error_tally": "SELECT 'dense' AS channel, substr(props, 1, 60) AS error, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY ALL ORDER BY n DESC, error LIMIT 4",
     "stream_gate": f"WITH RECURSIVE {_OPEN} SELECT tenant, seq, open FROM opened",
     "stream_outcome_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",

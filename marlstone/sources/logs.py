@@ -46,3 +46,17 @@ def remote_entries(entries: DataFrame, version: str | None = None, since: str |
     if since is not None:
         out = out.filter(F.date_format(F.timestamp_millis("ts"), "yyyy-MM-dd") >= since)
     return out
+
+
+def header(entries: DataFrame) -> DataFrame:
+    """One row: entries, comparisons, fallbacks, versions (newest first), entries without one, first and last time."""
+    compared = (F.col("mode") == "remote") & (F.coalesce(F.size("remote"), F.lit(0)) > 0)
+    return entries.agg(
+        F.count(F.lit(1)).alias("entries"),
+        F.count_if(compared).alias("comparisons"),
+        F.count_if(F.col("mode") == "fallback").alias("fallbacks"),
+        F.array_join(F.sort_array(F.collect_set("codeVersion"), False), " ").alias("versions"),
+        F.count_if(F.col("codeVersion").isNull()).alias("unfingerprinted"),
+        F.min("ts").alias("first_ts"),
+        F.max("ts").alias("last_ts"),
+    )

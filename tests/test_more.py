@@ -36,3 +36,34 @@ def test_embedding_cache(spark):
     cache = spark.createDataFrame([("a", "m"), ("b", "other")], "t string, model string").select(dense.cache_key(F.col("t")).alias("key"), "model", F.array(F.lit(1.0)).alias("vec"))
     known, missing = dense.from_cache(texts, cache, "m")
     assert [r.text for r in known.collect()] == ["a"] and [r.text for r in missing.collect()] == ["b"]
+
+
+STORE = "id string, memory string, created_at string, updated_at string, deleted boolean, source string"
+WRITES = "kind string, memory_id string, text string, at string"
+
+
+def test_echo(spark):
+    store = spark.createDataFrame([(i, "t", "1", "1", False, "observed") for i in "abc"], STORE)
+    writes = spark.createDataFrame([("update", "a", "new", "2"), ("delete", "b", None, "2"), ("update", "z", "made", "3")], WRITES)
+    rows = {r.id: r for r in mutations.echoed(store, writes).collect()}
+    assert rows["a"].memory == "new" and rows["a"].updated_at == "2" and rows["b"].deleted and rows["b"].updated_at == "1"
+    assert rows["z"].source == "observed" and not rows["c"].deleted
+    wiped = mutations.echoed(store, writes.unionByName(spark.createDataFrame([("delete-all", None, None, "2")], WRITES)))
+    assert {r.id: r.deleted for r in wiped.collect()} == {"a": True, "b": True, "c": True, "z": False}
+
+
+def test_replay_effects(spark):
+    store = spark.createDataFrame([(i, "t", "1", "1", d, s) for i, d, s in (("a", False, "local"), ("b", False, "observed"), ("c", True, "observed"), ("d", False, "observed"), ("e", True, "observed"))], STORE)
+    done = spark.createDataFrame([("add", "a", 200), ("update", "b", 404), ("delete", "c", 200), ("update", "d", 200)], "kind string, id string, status int")
+    rows = {r.id: (r.source, r.updated_at) for r in mutations.replayed(store, done, "now").collect()}
+    assert rows == {"a": ("observed", "now"), "d": ("observed", "1"), "e": ("observed", "1")}
+    all_ = done.unionByName(spark.createDataFrame([("delete-all", "x", 200)], "kind string, id string, status int"))
+    assert {r.id for r in mutations.replayed(store, all_, "now").collect()} == {"a", "d"}
+
+
+def test_utf16_cap(spark):
+    from marlstone.functions.text import clamped_utf16
+
+    texts = ["x" * 4001, "x" * 3999 + "🙂", "🙂" * 2001, "short", None]
+    out = [r.t for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1).select("i", clamped_utf16("t").alias("t")).orderBy("i").collect()]
+    assert out == ["x" * 4000, "x" * 3999, "🙂" * 2000, "short", None]
