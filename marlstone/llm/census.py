@@ -29,16 +29,22 @@ from .shared import id_text
 PAYLOAD = "bucket int, chunk int, hashes binary, many binary"
 REPLY = "chunk int, bucket int, counts binary"
 #: Bytes of text in a chunk: a task holds one chunk, and some thirty times its size in arrays.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+#: Chunks to a bucket: rows between them are chunks * buckets, and a bucket holds a chunk's share of so many chunks.
+CHUNKS_PER_BUCKET = 4
 
 
 def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """(chunk, doc_id, text) and the number of chunks, from the bytes of all texts."""
+    """(chunk, doc_id, text) and the number of buckets; that of chunks comes from the bytes of all texts."""
     rows = id_text(docs, id_col, text_col)
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(total / chunk_bytes))
+    n = chunk_count(rows, "text", chunk_bytes)
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
-    return rows.select(chunk.alias("chunk"), "doc_id", F.coalesce("text", F.lit("")).alias("text")), n
+    return rows.select(chunk.alias("chunk"), "doc_id", F.coalesce("text", F.lit("")).alias("text")), math.ceil(n / CHUNKS_PER_BUCKET)
+
+
+def chunk_count(docs: DataFrame, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> int:
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(1, math.ceil(total / chunk_bytes))
 
 
 def in_order(table: pa.Table) -> pa.Table:

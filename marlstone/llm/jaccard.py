@@ -226,8 +226,8 @@ def _links(table: pa.Table, percent: int) -> pa.Table:
 
 def jaccard_components(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = census.CHUNK_BYTES, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
-    dealt, chunks = census.chunked(docs, id_col, text_col, chunk_bytes)
-    counted = census.replies(dealt, chunks, lambda table: Sets(table, n).distinct())
+    dealt, buckets = census.chunked(docs, id_col, text_col, chunk_bytes)
+    counted = census.replies(dealt, buckets, lambda table: Sets(table, n).distinct())
     found = stash(dealt.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(lambda left, right: _select(left, right, n, percent), ROWS), "jaccard")
 
     set_of = ["high", "low"]

@@ -35,13 +35,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import census
 from .census import column
-from .shared import stash
+from .shared import by_bytes, stash
 from .wordhash import _powers, mix
 
 TAU = 2
 MIN_CHARS = 32
 # Odd multipliers that set lengths and segment numbers apart in keys.
 _FACTOR, _LENGTH, _SEGMENT = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+#: Characters of the matrices of pairs that are verified in step.
+MATRIX = 1 << 20
 #: Sketch bits that TAU edits can flip: an edit takes up to two bigrams away and brings up to two.
 FLIPS = 4 * TAU
 
@@ -211,10 +213,15 @@ def within(a: list[str], b: list[str], most: int = TAU) -> np.ndarray:
     distance on the diagonal is counted along, and the last rows' differences lead from there to the corner.
     """
     out = np.full(len(a), most + 1, np.int64)
-    order = np.argsort([len(x) for x in b], kind="stable")
-    for block in np.array_split(order, max(1, -(-len(order) // 4096))):
-        if len(block):
-            out[block] = _band([a[i] for i in block.tolist()], [b[i] for i in block.tolist()], most)
+    lengths = np.array([len(x) for x in b], np.int64)
+    order = np.argsort(lengths, kind="stable")
+    at = 0
+    while at < len(order):
+        # As many pairs as fill a matrix of a set size, at the length of the longest of them.
+        sizes = np.arange(1, len(order) - at + 1) * (lengths[order[at:]] + 1)
+        block = order[at : at + max(1, int(np.searchsorted(sizes, MATRIX, side="right")))]
+        out[block] = _band([a[i] for i in block.tolist()], [b[i] for i in block.tolist()], most)
+        at += len(block)
     return np.minimum(out, most + 1)
 
 
@@ -264,8 +271,7 @@ def _band(a: list[str], b: list[str], most: int) -> np.ndarray:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 8192):
-            part = batch.slice(at, 8192)
+        for part in by_bytes([batch], "line_a"):
             edits = within(part.column("line_a").to_pylist(), part.column("line_b").to_pylist())
             near = part.drop_columns(["line_a", "line_b"]).append_column("edits", pa.array(edits.astype(np.int32)))
             yield near.filter(pa.array(edits <= TAU))
@@ -276,9 +282,10 @@ class LineJoin:
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, chunk_bytes: int = census.CHUNK_BYTES):
         rows = docs.select(F.struct(F.lit(None).cast("boolean").alias("_"), *[F.col(c) for c in docs.columns if c != text_col]).alias("rest"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(text_col).isNull().alias("was_null"))
-        _, chunks = census.chunked(docs, id_col, text_col, chunk_bytes)
+        chunks = census.chunk_count(docs, text_col, chunk_bytes)
+        buckets = -(-chunks // (4 * census.CHUNKS_PER_BUCKET))  # a line sends a few keys, not one for each word
         self.dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
-        sent = self.dealt.groupBy("chunk").applyInArrow(lambda t: _send(t, chunks, min_chars), "bucket int, chunk int, keys binary, lines binary, probes binary")
+        sent = self.dealt.groupBy("chunk").applyInArrow(lambda t: _send(t, buckets, min_chars), "bucket int, chunk int, keys binary, lines binary, probes binary")
         matched = sent.groupBy("bucket").applyInArrow(_match, "chunk int, bucket int, has binary, hit binary")
         self.found = stash(self.dealt.groupBy("chunk").cogroup(matched.groupBy("chunk")).applyInArrow(lambda left, right: _select(left, right, min_chars), ROWS), "lines")
         self.links = stash(self._links(), "line-links")
