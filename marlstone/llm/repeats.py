@@ -8,7 +8,7 @@ which windows really repeat, which have one successor wherever they occur, and
 which have one predecessor. Two adjoining windows belong to one nonbranching
 path if the first has one successor and the second one predecessor, and then
 they do so at every place: each document's repeated windows compact into a few
-path occurrences (document, first word, length), with a 128-bit hash of the
+path occurrences (document, first word, length), with two 64-bit hashes of the
 words they cover. A join of the occurrences by content verifies them: an
 occurrence whose words occur nowhere else, which only a collision can cause,
 is no repeat. What remains is cut from the texts at its source coordinates.
@@ -25,11 +25,8 @@ columns are left out.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from . import census
@@ -93,8 +90,8 @@ class Chunk:
         many = np.minimum(np.diff(np.concatenate([starts, [len(ordered)]])), 2).astype(np.uint8)
         return ordered[starts], _one(after[self.at][order], starts), _one(before[self.at][order], starts), many
 
-    def paths(self, flags: np.ndarray) -> list[tuple[int, int, int, bytes]]:
-        """(ordinal of the document, first word, words, content hash) of each occurrence of a path."""
+    def paths(self, flags: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each occurrence of a path: ordinal of the document, first word, number of words, two hashes of the words."""
         known = np.zeros(int(self.offsets[-1]), np.uint8)
         known[self.at] = flags[self.group]
         repeated = (known & REPEATED) > 0
@@ -106,13 +103,9 @@ class Chunk:
         open_ = np.concatenate([joined[1:], [False]]) & repeated
         stops = np.flatnonzero(repeated & ~open_)
         doc = np.searchsorted(self.offsets, starts, side="right") - 1
-        found = []
-        for d, a, b in zip(doc.tolist(), starts.tolist(), stops.tolist()):
-            first = a - int(self.offsets[d])
-            word = int(self.words.first[d]) + first
-            n = b - a + self.k
-            found.append((d, first, n, xxhash.xxh128_digest(self.words.text(word, word + n))))
-        return found
+        first = starts - self.offsets[doc]
+        n = stops - starts + self.k
+        return doc, first, n, *(self.words.spans(self.words.first[doc] + first, n, seed).view(np.int64) for seed in (0, 1))
 
 
 def _second_payload(chunk: int, parts: tuple[np.ndarray, ...], buckets: int) -> pa.Table:
@@ -141,7 +134,7 @@ def _second_tally(table: pa.Table) -> pa.Table:
 
 
 def path_occurrences(docs: DataFrame, k: int, buckets: int) -> DataFrame:
-    """(chunk, ordinal, doc_id, start, n, content) of every occurrence of a nonbranching path of repeated windows."""
+    """(chunk, ordinal, doc_id, start, n, content_a, content_b) of every occurrence of a nonbranching path of repeated windows."""
     first = census.replies(docs, buckets, lambda table: Chunk(table, k).first())
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -156,25 +149,29 @@ def path_occurrences(docs: DataFrame, k: int, buckets: int) -> DataFrame:
         chunk = Chunk(left, k)
         stage = column(right, "stage").to_numpy()
         chunk.second(census.answers(right.filter(pa.array(stage == 1))))
-        found = chunk.paths(census.answers(right.filter(pa.array(stage == 2))))
-        d, start, n, content = zip(*found) if found else ((), (), (), ())
-        ids = column(chunk.table, "doc_id").take(pa.array(d, pa.int64()))
+        doc, start, n, one, two = chunk.paths(census.answers(right.filter(pa.array(stage == 2))))
+        ids = column(chunk.table, "doc_id").take(pa.array(doc))
         at = column(left, "chunk")[0].as_py()
-        return pa.table({"chunk": pa.array([at] * len(d), pa.int32()), "ordinal": pa.array(d, pa.int32()), "doc_id": ids, "start": pa.array(start, pa.int64()), "n": pa.array(n, pa.int64()), "content": pa.array(content, pa.binary())})
+        return pa.table({"chunk": np.full(len(doc), at, np.int32), "ordinal": doc.astype(np.int32), "doc_id": ids, "start": start, "n": n, "content_a": one, "content_b": two})
 
-    return docs.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(compact, "chunk int, ordinal int, doc_id long, start long, n long, content binary")
+    schema = "chunk int, ordinal int, doc_id long, start long, n long, content_a long, content_b long"
+    return docs.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(compact, schema)
 
 
 def verified(occurrences: DataFrame) -> DataFrame:
-    """The occurrences whose words are also those of another occurrence."""
-    alone = occurrences.groupBy("content", "n").agg(F.count(F.lit(1)).alias("places")).filter("places = 1").select("content", "n")
-    return occurrences.join(alone, ["content", "n"], "left_anti")
+    """The occurrences whose words are also those of another occurrence.
+
+    Those that stand alone are found by counting contents (a partial aggregation, whatever the most frequent one) and
+    leave by their coordinates, which are spread evenly."""
+    at = ["chunk", "ordinal", "start"]
+    counted = occurrences.groupBy("content_a", "content_b", "n").agg(F.count(F.lit(1)).alias("places"), *[F.min(c).alias(c) for c in at])
+    return occurrences.join(counted.filter("places = 1").select(*at), at, "left_anti")
 
 
 def remove_repeats(docs: DataFrame, k: int = 35, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = census.CHUNK_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (its other words, joined by one space)."""
-    dealt, chunks = census.chunked(docs, id_col, text_col, chunk_bytes)
-    spans = verified(path_occurrences(dealt, k, chunks)).select("chunk", "ordinal", "start", "n")
+    dealt, buckets = census.chunked(docs, id_col, text_col, chunk_bytes)
+    spans = verified(path_occurrences(dealt, k, buckets)).select("chunk", "ordinal", "start", "n")
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:

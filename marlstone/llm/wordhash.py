@@ -64,27 +64,28 @@ class Words:
         self.starts = np.flatnonzero(opens)
         self.stops = np.flatnonzero(closes) + 1
         self.first = np.searchsorted(self.starts, ends)
+        self._hashes: dict[int, np.ndarray] = {}
 
     def hashes(self, seed: int = 0) -> np.ndarray:
-        up, down = _powers(_FACTORS[seed][0], len(self.raw) + 1)
-        sums = np.zeros(len(self.raw) + 1, np.uint64)
-        np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-        length = (self.stops - self.starts).astype(np.uint64)
-        return mix((sums[self.stops] - sums[self.starts]) * down[self.starts] + length * np.uint64(_FACTORS[seed][1]))
-
-    def runs(self, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all runs of k words within one text, in order, and for each text the offset of its first."""
-        sizes = np.diff(self.first)
-        n = np.maximum(sizes - k + 1, 0)
-        offsets = np.concatenate([[0], np.cumsum(n)])
+        if seed not in self._hashes:
+            up, down = _powers(_FACTORS[seed][0], len(self.raw) + 1)
+            sums = np.zeros(len(self.raw) + 1, np.uint64)
+            np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+            length = (self.stops - self.starts).astype(np.uint64)
+            self._hashes[seed] = mix((sums[self.stops] - sums[self.starts]) * down[self.starts] + length * np.uint64(_FACTORS[seed][1]))
+        return self._hashes[seed]
+
+    def spans(self, first: np.ndarray, n: np.ndarray | int, seed: int = 0) -> np.ndarray:
+        """Hashes of runs of n words from the given words on."""
         w = self.hashes(seed)
         up, down = _powers(_FACTORS[seed][1], len(w) + 1)
         sums = np.zeros(len(w) + 1, np.uint64)
         np.cumsum(w * up[:-1], out=sums[1:])
-        at = np.repeat(self.first[:-1] - offsets[:-1], n) + np.arange(int(offsets[-1]))
-        return mix((sums[at + k] - sums[at]) * down[at]), offsets
+        return mix((sums[first + n] - sums[first]) * down[first])
 
-    def text(self, a: int, b: int) -> bytes:
-        """Words a to b joined by one space."""
-        raw = self.raw
-        return b" ".join(raw[s:e].tobytes() for s, e in zip(self.starts[a:b].tolist(), self.stops[a:b].tolist()))
+    def runs(self, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all runs of k words within one text, in order, and for each text the offset of its first."""
+        n = np.maximum(np.diff(self.first) - k + 1, 0)
+        offsets = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat(self.first[:-1] - offsets[:-1], n) + np.arange(int(offsets[-1]))
+        return self.spans(at, k, seed), offsets
