@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .shared import by_bytes, bytes_of, texts_of
 
@@ -124,19 +124,40 @@ def _after(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
     return counts / np.maximum(n + d, 1) + escape * shorter
 
 
+def _smallest(rows: DataFrame, n: int) -> list[tuple[str, str, int]]:
+    """(lang, pick, doc_id): the n smallest picks of each language, in order.
+
+    ``pick`` is hexadecimal and evenly spread, so a bound on its leading digits that should leave 2n of a language's
+    rows goes into the filter, and no more than these reach the driver, whatever the rows and tasks; a language that
+    is left with too few is asked again with a bound twice as large."""
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = {lang: min(1.0, 2 * n / count) for lang, count in counts.items()}
+    out: list[tuple[str, str, int]] = []
+    while share:
+        bound = F.create_map(*[F.lit(x) for lang, part in share.items() for x in (lang, "g" if part >= 1 else f"{int(part * 2**32):08x}")])[F.col("lang")]
+        near = rows.filter(F.col("lang").isin(list(share)) & (F.substring("pick", 1, 8) < bound)).distinct().collect()
+        for lang in list(share):
+            own = sorted((r.lang, r.pick, r.doc_id) for r in near if r.lang == lang)
+            if len(own) >= min(n, counts[lang]) or share[lang] >= 1:
+                out += own[:n]
+                del share[lang]
+            else:
+                share[lang] = min(1.0, 2 * share[lang])
+    return sorted(out)
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 300, sample_bytes: int = 1 << 20) -> Trees:
     """Models from the labelled documents that are not held out; the sample is bounded by its two parameters."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    order = Window.partitionBy("lang").orderBy("pick", "doc_id")
-    # Ids alone are ranked (the limit reaches the map side); only the chosen documents' texts are read.
-    picked = rows.select("lang", "doc_id", F.md5(F.col("doc_id").cast("string")).alias("pick")).withColumn("at", F.row_number().over(order)).filter(F.col("at") <= sample_docs)
-    chosen = [(r.lang, r.doc_id, r.at) for r in picked.select("lang", "doc_id", "at").collect()]
-    ids = sorted({d for _, d, _ in chosen})
-    texts = {(r.lang, r.doc_id): r.text for r in rows.filter(F.col("doc_id").isin(ids)).select("lang", "doc_id", "text").collect()} if ids else {}
+    chosen = _smallest(rows.select("lang", "doc_id", F.md5(F.col("doc_id").cast("string")).alias("pick")), sample_docs)
+    ids = sorted({d for _, _, d in chosen})
+    # Only the chosen documents' texts are read; of rows with one id the smallest text.
+    found = rows.filter(F.col("doc_id").isin(ids)).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect() if ids else []
+    texts = {(r.lang, r.doc_id): r.text for r in found}
     samples: dict[str, list[bytes]] = {}
     used: dict[str, int] = {}
-    for lang, doc_id, _ in sorted(chosen, key=lambda x: (x[0], x[2])):
+    for lang, _, doc_id in chosen:
         raw = texts[lang, doc_id].encode()
         if raw and used.get(lang, 0) + len(raw) <= sample_bytes:
             used[lang] = used.get(lang, 0) + len(raw)

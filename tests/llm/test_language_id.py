@@ -78,3 +78,14 @@ def test_nothing_to_learn_from(spark):
     docs = awkward(spark).withColumn("lang", __import__("pyspark").sql.functions.lit(None).cast("string"))
     assert {r.lang_pred for r in language_id.predict(docs, language_id.learn(docs)).collect()} == {"und"}
     assert language_id.predict(nothing(spark), language_id.learn(nothing(spark))).collect() == []
+
+
+def test_the_sample_is_the_smallest_picks(spark):
+    rows = [("en", i) for i in range(3000)] + [("fr", i) for i in range(40)] + [("de", 7)] * 50
+    df = spark.createDataFrame(rows, "lang string, doc_id long").repartition(9).selectExpr("lang", "doc_id", "md5(cast(doc_id AS string)) AS pick")
+    import hashlib
+
+    expected = []
+    for lang in ("de", "en", "fr"):
+        expected += sorted((lang, hashlib.md5(str(d).encode()).hexdigest(), d) for d in {d for x, d in rows if x == lang})[:50]
+    assert language_id._smallest(df, 50) == expected
