@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
@@ -13,10 +15,37 @@ MAX_POOL_CHARS = 1200
 
 def tokens(text: Column) -> Column:
     """Lower-cased Latin runs whole, CJK runs as overlapping bigrams, a lone CJK character alone."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(f"([a-z0-9_]+|[{CJK}]+)"), F.lit(1))
+    low = F.lower(text)
+    runs = F.regexp_extract_all(low, F.lit(f"([a-z0-9_]+|[{CJK}]+)"), F.lit(1))
     bigrams = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substr(r, i, F.lit(2)))
     cut = lambda r: F.when(r.rlike("^[a-z0-9_]") | (F.length(r) == 1), F.array(r)).otherwise(bigrams(r))
-    return F.flatten(F.transform(runs, cut))
+    # Without CJK text a run is a token: no function need be applied to each.
+    return F.when(low.rlike(f"[{CJK}]"), F.flatten(F.transform(runs, cut))).otherwise(F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), F.lit(0)))
+
+
+def token_count(text: Column) -> Column:
+    """The number of ``tokens`` without making them where that is possible."""
+    low = F.lower(text)
+    return F.when(low.rlike(f"[{CJK}]"), F.size(tokens(text))).otherwise(F.regexp_count(low, F.lit("[a-z0-9_]+")))
+
+
+_RUN = re.compile(f"[a-z0-9_]+|[{CJK}]+")
+_PLAIN = re.compile("[a-z0-9_]+")
+_CJK = re.compile(f"[{CJK}]")
+
+
+def split_tokens(text: str) -> list[str]:
+    """The same tokens in Python, for operators that work through whole batches."""
+    low = text.lower()
+    if not _CJK.search(low):
+        return _PLAIN.findall(low)
+    out: list[str] = []
+    for run in _RUN.findall(low):
+        if len(run) == 1 or _PLAIN.match(run):
+            out.append(run)
+        else:
+            out += [run[i : i + 2] for i in range(len(run) - 1)]
+    return out
 
 
 def keyword_tokens(text: Column) -> Column:

@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as tx
-from ..functions.ranking import ranked
+from ..functions.ranking import DIGITS, ranked
 
 # Saturation and length normalization.
 K1, B = 1.2, 0.75
+#: Terms of all queries up to which they go to the documents, and scores of a task's matrix at a time.
+BLOCK_TERMS, SCORES = 200_000, 1 << 20
 
 
 def tokenised(corpus: DataFrame, text_col: str = "text") -> DataFrame:
@@ -34,8 +36,10 @@ def bm25_scores(queries: DataFrame, corpus: DataFrame, scope: list[str] | None =
     follows the queries' terms and not the corpus's words.
     """
     scope = scope or []
-    words = tokenised(corpus.select("doc_id", "text", *scope))
-    grouped = words.groupBy(*scope) if scope else words.groupBy()
+    corpus = corpus.select("doc_id", "text", *scope)
+    words = tokenised(corpus)
+    lengths = corpus.select(*scope, tx.token_count(F.col("text")).alias("dl"))
+    grouped = lengths.groupBy(*scope) if scope else lengths.groupBy()
     stats = grouped.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     terms = query_terms(queries.select("query_id", "text", *scope))
     wanted = terms.select("term").distinct()
@@ -51,9 +55,105 @@ def bm25_scores(queries: DataFrame, corpus: DataFrame, scope: list[str] | None =
     return weights.join(postings, [*scope, "term"]).groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
-def bm25(queries: DataFrame, corpus: DataFrame, top: int = 10, scope: list[str] | None = None) -> DataFrame:
-    """(query_id, doc_id, score, rank): the best documents of each query, ties by id."""
-    return ranked(bm25_scores(queries, corpus, scope), ["query_id"], top=top)
+def bm25(queries: DataFrame, corpus: DataFrame, top: int = 10, scope: list[str] | None = None, block_terms: int = BLOCK_TERMS) -> DataFrame:
+    """(query_id, doc_id, score, rank): the best documents of each query, ties by id.
+
+    If the queries have no more than ``block_terms`` distinct terms in all, they go to the documents: one pass counts
+    the documents of each term, a second scores whole batches and keeps each batch's best, and all that is shuffled is
+    counts and best rows. Beyond that, postings and terms are joined."""
+    scope = scope or []
+    asked = queries.select("query_id", F.to_json(F.struct(*scope)).alias("scope") if scope else F.lit("").alias("scope"), F.array_distinct(tx.tokens(F.col("text"))).alias("terms"))
+    if (asked.agg(F.sum(F.size("terms"))).first()[0] or 0) > block_terms:
+        return ranked(bm25_scores(queries, corpus, scope), ["query_id"], top=top)
+    block = Block([(r.query_id, r.scope, r.terms) for r in asked.collect()])
+    rows = corpus.select("doc_id", "text", F.to_json(F.struct(*scope)).alias("scope") if scope else F.lit("").alias("scope"))
+    counted = rows.mapInArrow(block.count, "scope string, term int, n long, dl long").groupBy("scope", "term").agg(F.sum("n").alias("n"), F.sum("dl").alias("dl"))
+    block.weigh([(r.scope, r.term, r.n, r.dl) for r in counted.collect()])  # scopes and terms of the block, no more
+    return ranked(rows.mapInArrow(lambda batches: block.score(batches, top), "query_id long, doc_id long, score double"), ["query_id"], top=top)
+
+
+class Block:
+    """A block of queries that is matched against batches of documents."""
+
+    def __init__(self, asked: list[tuple[int, str, list[str]]]):
+        self.queries = sorted(asked)
+        self.ids = np.array([q for q, _, _ in self.queries], np.int64)
+        self.number: dict[str, int] = {}
+        for _, _, terms in self.queries:
+            for t in terms:
+                self.number.setdefault(t, len(self.number))
+        self.scopes = sorted({s for _, s, _ in self.queries})
+        self.weights: dict[str, tuple[float, np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def _entries(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, term, times) of the block's terms in texts, and the number of tokens of each text."""
+        known, flat, held, lengths = self.number, [], [], []
+        for text in texts:
+            tokens = tx.split_tokens(text or "")
+            found = [known[t] for t in tokens if t in known]
+            flat += found
+            held.append(len(found))
+            lengths.append(len(tokens))
+        pair = np.repeat(np.arange(len(texts)), held) * max(1, len(known)) + np.array(flat, np.int64)
+        distinct, times = np.unique(pair, return_counts=True)
+        return distinct // max(1, len(known)), distinct % max(1, len(known)), times, np.array(lengths, np.int64)
+
+    def _parts(self, batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[str, pa.RecordBatch]]:
+        """Batches of one scope and of a bounded number of rows."""
+        for batch in batches:
+            scopes = batch.column("scope").to_numpy(zero_copy_only=False)
+            for scope in self.scopes:
+                own = batch.filter(pa.array(scopes == scope)) if (scopes != scope).any() else batch
+                for at in range(0, own.num_rows, rows):
+                    yield scope, own.slice(at, rows)
+
+    def count(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents of each term; under term -1 all documents and their tokens."""
+        total: dict[str, list] = {}
+        for scope, part in self._parts(batches, 2048):
+            _, term, _, lengths = self._entries(part.column("text").to_pylist())
+            held = total.setdefault(scope, [np.zeros(len(self.number), np.int64), 0, 0])
+            held[0] += np.bincount(term, minlength=len(self.number))
+            held[1] += len(lengths)
+            held[2] += int(lengths.sum())
+        for scope, (df, n, dl) in total.items():
+            some = np.flatnonzero(df)
+            term = np.concatenate([[-1], some]).astype(np.int32)
+            lengths = np.zeros(len(term), np.int64)
+            lengths[0] = dl
+            yield pa.RecordBatch.from_arrays([pa.array([scope] * len(term)), pa.array(term), pa.array(np.concatenate([[n], df[some]])), pa.array(lengths)], ["scope", "term", "n", "dl"])
+
+    def weigh(self, counts: list[tuple[str, int, int, int]]) -> None:
+        """From the counts of the whole corpus: for each scope the mean length, and the queries of each term with its weight."""
+        for scope in self.scopes:
+            n, dl = next(((n, dl) for s, t, n, dl in counts if s == scope and t < 0), (0, 0))
+            df = np.zeros(len(self.number))
+            for s, t, docs, _ in counts:
+                if s == scope and t >= 0:
+                    df[t] = docs
+            idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+            pairs = sorted((self.number[t], q) for q, (_, s, terms) in enumerate(self.queries) if s == scope for t in terms)
+            term, query = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
+            firsts = np.searchsorted(term, np.arange(len(self.number) + 1))
+            self.weights[scope] = (dl / n if n else 0.0, idf, query, firsts)
+
+    def score(self, batches: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.RecordBatch]:
+        """Each batch's best documents of each query."""
+        many = max(1, len(self.queries))
+        for scope, part in self._parts(batches, max(1, SCORES // many)):
+            avgdl, idf, query, firsts = self.weights[scope]
+            doc, term, times, lengths = self._entries(part.column("text").to_pylist())
+            ratio = lengths[doc] / avgdl if avgdl else np.ones(len(doc))
+            value = idf[term] * times * (K1 + 1) / (times + K1 * (1 - B + B * ratio))
+            asked = firsts[term + 1] - firsts[term]
+            at = np.repeat(firsts[term] - (np.cumsum(asked) - asked), asked) + np.arange(int(asked.sum()))
+            cell = np.repeat(doc, asked) * many + query[at]
+            scores = np.round(np.bincount(cell, weights=np.repeat(value, asked), minlength=part.num_rows * many).reshape(part.num_rows, many), DIGITS)
+            docs = part.column("doc_id").to_numpy()
+            rows, qs = best_of_batch(scores, docs, top)
+            values = scores[rows, qs]
+            some = values > 0
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[qs[some]]), pa.array(docs[rows[some]]), pa.array(values[some])], ["query_id", "doc_id", "score"])
 
 
 def unmatched(queries: DataFrame, corpus: DataFrame) -> DataFrame:

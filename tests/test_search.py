@@ -30,6 +30,22 @@ def test_bm25_orderings(spark):
     assert len(search(spark, "x", [(i, "x") for i in range(30)], top=7)) == 7
 
 
+def test_bm25_both_ways(spark):
+    rng = random.Random(3)
+    words = ["香港出发", "备份", "cat", "dog", "Bird", "x1", "猫", "it_is"]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randint(0, 12))), rng.choice("ab")) for i in range(300)] + [(900, None, "a")]
+    asked = [(i, " ".join(rng.choices(words + ["unknown"], k=rng.randint(0, 4))), rng.choice("abc")) for i in range(20)]
+    Q_, D_ = spark.createDataFrame(asked, Q + ", user_id string"), spark.createDataFrame(docs, D + ", user_id string").repartition(3)
+    for scope in (None, ["user_id"]):
+        one, two = (sorted(tuple(r) for r in lexical.bm25(Q_, D_.fillna(""), 7, scope, block_terms=n).collect()) for n in (0, 10_000))
+        assert one == two and one
+    texts = [t for _, t, _ in docs if t] + ["K İ Σας 𠀀", "a香b港c"]
+    from marlstone.functions import text as tx
+
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.tokens(F.col("t")).alias("x"), tx.token_count(F.col("t")).alias("n")).collect()
+    assert all(tx.split_tokens(r.t) == r.x and len(r.x) == r.n for r in got)
+
+
 def test_ties_by_id(spark):
     assert search(spark, "x", [(3, "x"), (1, "x"), (2, "x")]) == [1, 2, 3]
 
