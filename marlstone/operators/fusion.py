@@ -71,8 +71,11 @@ def term_coverage(queries: DataFrame, corpus: DataFrame, pool: DataFrame) -> Dat
     from ..functions.text import tokens
 
     q = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("asked"))
-    rows = pool.select("query_id", "doc_id", "rank").join(corpus.select("doc_id", "text"), "doc_id").join(q, "query_id")
-    held = F.size(F.array_intersect("asked", tokens(F.col("text"))))
+    # A document is cut into tokens once, however many queries have it in their pools.
+    texts = corpus.select("doc_id", "text").join(pool.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = texts.select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("tokens"))
+    rows = pool.select("query_id", "doc_id", "rank").join(texts, "doc_id").join(q, "query_id")
+    held = F.size(F.array_intersect("asked", "tokens"))
     share = F.when(F.size("asked") == 0, 0.0).otherwise(F.round(held / F.size("asked"), 6))
     order = Window.partitionBy("query_id").orderBy(F.col("share").desc(), "rank")
     return rows.withColumn("share", share).select("query_id", "doc_id", (F.row_number().over(order) - 1).cast("long").alias("position"))
