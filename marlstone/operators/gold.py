@@ -67,7 +67,8 @@ def shuffle(items: list, seed: int) -> list:
 def sample(rows: DataFrame, size: int, seed: int, per_bucket: int, order: str = "seq") -> DataFrame:
     """About ``size`` queries, an equal quota of each shape, by seeded shuffles of each shape's rows in order.
 
-    Only ids reach a shape's task; the result is bounded by ``size``."""
+    The shuffle is sequential by its definition, so one task takes a shape's ids (not its texts); the result is bounded
+    by ``size``."""
     shapes = rows.select("shape").distinct().count()
     quota = min(max(1, -(-size // max(1, shapes))), per_bucket)
 
