@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import id_text
+from .shared import id_text, released
 
 PAYLOAD = "bucket int, chunk int, hashes binary, many binary"
 REPLY = "chunk int, bucket int, counts binary"
@@ -98,7 +98,7 @@ def replies(docs: DataFrame, buckets: int, distinct: Callable[[pa.Table], tuple[
     """The answers to all chunks. ``distinct`` gives a chunk's distinct hashes, ascending, and their counts."""
 
     def send(table: pa.Table) -> pa.Table:
-        return payload(column(table, "chunk")[0].as_py(), *distinct(in_order(table)), buckets)
+        return released(payload(column(table, "chunk")[0].as_py(), *distinct(in_order(table)), buckets))
 
     sent = docs.groupBy("chunk").applyInArrow(send, PAYLOAD)
-    return sent.groupBy("bucket").applyInArrow(tally, REPLY)
+    return sent.groupBy("bucket").applyInArrow(lambda table: released(tally(table)), REPLY)

@@ -27,9 +27,9 @@ class ChunkTable:
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = TABLE_CHUNKS):
         self.encode, self.most = encode, most
-        self._reset()
+        self.clear()
 
-    def _reset(self) -> None:
+    def clear(self) -> None:
         self.slot: dict[str, int] = {}
         self.notes: list[str] = []
         self.ids = np.zeros(1 << 16, np.int32)
@@ -42,7 +42,7 @@ class ChunkTable:
         slot = self.slot
         new = [c for c in chunks if c not in slot]
         if slot and len(slot) + len(new) > self.most:
-            self._reset()
+            self.clear()
             slot, new = self.slot, chunks
         if new:
             found, lengths = self.encode(new)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import census
 from .census import column, in_order
 from .components import components
-from .shared import stash
+from .shared import released, stash
 from .wordhash import Words, mix
 
 #: Documents of a family in one block; a task holds two blocks.
@@ -228,7 +228,7 @@ def jaccard_components(docs: DataFrame, percent: int = 90, n: int = 3, id_col: s
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     dealt, buckets = census.chunked(docs, id_col, text_col, chunk_bytes)
     counted = census.replies(dealt, buckets, lambda table: Sets(table, n).distinct())
-    found = stash(dealt.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(lambda left, right: _select(left, right, n, percent), ROWS), "jaccard")
+    found = stash(dealt.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(lambda left, right: released(_select(left, right, n, percent)), ROWS), "jaccard")
 
     set_of = ["high", "low"]
     nodes = stash(found.filter(F.col("kind") == DOC).filter("n > 0").groupBy(*set_of).agg(F.min("doc_id").alias("node")), "nodes")
@@ -239,7 +239,7 @@ def jaccard_components(docs: DataFrame, percent: int = 90, n: int = 3, id_col: s
     own = F.pmod(F.xxhash64(*set_of), F.col("blocks")).cast("int")
     dealt_out = members.select(*set_of, "members", "label", own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tasks = dealt_out.withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")}).drop("other")
-    links = tasks.groupBy("label", "one", "two").applyInArrow(lambda table: _links(table, percent), "high_a long, low_a long, high_b long, low_b long")
+    links = tasks.groupBy("label", "one", "two").applyInArrow(lambda table: released(_links(table, percent)), "high_a long, low_a long, high_b long, low_b long")
 
     a, b = (nodes.select(F.col("high").alias(f"high_{s}"), F.col("low").alias(f"low_{s}"), F.col("node").alias(s)) for s in "ab")
     links = links.join(a, ["high_a", "low_a"]).join(b, ["high_b", "low_b"]).select("a", "b")

@@ -7,7 +7,7 @@ distinct) it passes to the next shorter context, and below the empty context to
 a uniform distribution over 256 bytes. Statistics are frozen after learning, so
 the cost of a byte depends only on the bytes before it, and the tree compiles to
 tables: two bytes of context choose a row directly, a third refines it where a
-deeper context exists in the tree. Costs are fixed-point code lengths (1/4096
+deeper context exists in the tree. Costs are fixed-point code lengths (1/2048
 bit), so a text's code length is an exact integer sum, the same in any order
 and in any batch; whole texts are scored.
 
@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .shared import by_bytes, bytes_of, texts_of
 
-#: Fixed point of a code length: units in a bit.
-UNITS = 4096
+#: Fixed point of a code length: units in a bit; a cost is at most what 16 bits hold, some 31 bits.
+UNITS = 2048
 UNDETERMINED = "und"
 
 
@@ -74,7 +74,7 @@ class Trees:
         shallow = np.flatnonzero(self.deeper < 0)
         self.deeper[shallow] = (shallow % (R * R)).astype(np.int32)
         costs = [self._costs(ranked[lang], own) for lang in self.langs]
-        self.costs = np.stack(costs, axis=1) if costs else np.zeros((0, 0), np.int32)
+        self.costs = np.stack(costs, axis=1) if costs else np.zeros((0, 0), np.uint16)
 
     def _costs(self, texts: list[np.ndarray], own: np.ndarray) -> np.ndarray:
         """Cost of each rank after each row's context."""
@@ -91,7 +91,7 @@ class Trees:
         p1 = _after(one, p[None, :])
         p2 = _after(two, np.tile(p1, (R, 1)))
         p3 = _after(three, p2[own % (R * R)])
-        return np.round(-np.log2(np.concatenate([p2, p3])) * UNITS).astype(np.int32).reshape(-1)
+        return np.minimum(np.round(-np.log2(np.concatenate([p2, p3])) * UNITS), 2**16 - 1).astype(np.uint16).reshape(-1)
 
     def code_lengths(self, raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Units of each text (rows) in each language (columns). ``ends``: offsets of the texts in ``raw``."""
@@ -110,7 +110,7 @@ class Trees:
                 b[at[at < len(x)]] = first
             before.append(b)
         row = self.deeper[(before[2] * R + before[1]) * R + before[0]].astype(np.int64) * R + x
-        cost = np.concatenate([self.costs[row], np.zeros((1, len(self.langs)), np.int32)])
+        cost = np.concatenate([self.costs[row], np.zeros((1, len(self.langs)), np.uint16)])
         out = np.add.reduceat(cost, ends[:-1], axis=0, dtype=np.int64)
         out[np.diff(ends) == 0] = 0
         return out

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import census
 from .census import column
-from .shared import by_bytes, stash
+from .shared import by_bytes, released, stash
 from .wordhash import _powers, mix
 
 TAU = 2
@@ -275,6 +275,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             edits = within(part.column("line_a").to_pylist(), part.column("line_b").to_pylist())
             near = part.drop_columns(["line_a", "line_b"]).append_column("edits", pa.array(edits.astype(np.int32)))
             yield near.filter(pa.array(edits <= TAU))
+    released()
 
 
 class LineJoin:
@@ -285,9 +286,9 @@ class LineJoin:
         chunks = census.chunk_count(docs, text_col, chunk_bytes)
         buckets = -(-chunks // (4 * census.CHUNKS_PER_BUCKET))  # a line sends a few keys, not one for each word
         self.dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
-        sent = self.dealt.groupBy("chunk").applyInArrow(lambda t: _send(t, buckets, min_chars), "bucket int, chunk int, keys binary, lines binary, probes binary")
-        matched = sent.groupBy("bucket").applyInArrow(_match, "chunk int, bucket int, has binary, hit binary")
-        self.found = stash(self.dealt.groupBy("chunk").cogroup(matched.groupBy("chunk")).applyInArrow(lambda left, right: _select(left, right, min_chars), ROWS), "lines")
+        sent = self.dealt.groupBy("chunk").applyInArrow(lambda t: released(_send(t, buckets, min_chars)), "bucket int, chunk int, keys binary, lines binary, probes binary")
+        matched = sent.groupBy("bucket").applyInArrow(lambda t: released(_match(t)), "chunk int, bucket int, has binary, hit binary")
+        self.found = stash(self.dealt.groupBy("chunk").cogroup(matched.groupBy("chunk")).applyInArrow(lambda left, right: released(_select(left, right, min_chars)), ROWS), "lines")
         self.links = stash(self._links(), "line-links")
 
     def _links(self) -> DataFrame:

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import census
 from .census import column, in_order
+from .shared import released
 from .wordhash import Words
 
 SECOND = "bucket int, chunk int, hashes binary, after binary, before binary, many binary"
@@ -141,8 +142,8 @@ def path_occurrences(docs: DataFrame, k: int, buckets: int) -> DataFrame:
         chunk = Chunk(left, k)
         return _second_payload(column(left, "chunk")[0].as_py(), chunk.second(census.answers(right)), buckets)
 
-    sent = docs.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(send, SECOND)
-    second = sent.groupBy("bucket").applyInArrow(_second_tally, census.REPLY)
+    sent = docs.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(lambda left, right: released(send(left, right)), SECOND)
+    second = sent.groupBy("bucket").applyInArrow(lambda table: released(_second_tally(table)), census.REPLY)
     both = first.withColumn("stage", F.lit(1)).unionByName(second.withColumn("stage", F.lit(2)))
 
     def compact(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -155,7 +156,7 @@ def path_occurrences(docs: DataFrame, k: int, buckets: int) -> DataFrame:
         return pa.table({"chunk": np.full(len(doc), at, np.int32), "ordinal": doc.astype(np.int32), "doc_id": ids, "start": start, "n": n, "content_a": one, "content_b": two})
 
     schema = "chunk int, ordinal int, doc_id long, start long, n long, content_a long, content_b long"
-    return docs.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(compact, schema)
+    return docs.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(lambda left, right: released(compact(left, right)), schema)
 
 
 def verified(occurrences: DataFrame) -> DataFrame:

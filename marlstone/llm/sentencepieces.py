@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .chunk_table import ChunkTable, flattened
-from .shared import by_bytes, id_text, offsets_of, texts_of
+from .shared import by_bytes, id_text, offsets_of, released, texts_of
 
 MARK = "▁"
 #: Chunks of a text whose spaces are marks: marks with what follows them, a line feed, what follows a line feed.
@@ -117,9 +117,11 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(model_path)
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, most=2 << 20):
             ids, decoded = model.encode(texts_of(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, decoded], ["doc_id", "ids", "decoded"])
+        model.table.clear()
+        released()
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -97,3 +98,14 @@ def bytes_of(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 SPACE_RE = re.compile(SPACES)
+
+
+def released(result=None):
+    """The result, after memory that is free was given back: a worker serves many stages, and an executor's memory is
+    shared by all of them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it gives memory back by rules of its own
+        pass
+    return result
