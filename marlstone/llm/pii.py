@@ -1,13 +1,14 @@
 r"""Operator 1: format-preserving pseudonyms for personal data, in DataFrame functions only.
 
-One pattern finds candidates; each is validated by kind (a Luhn sum, the IBAN
+One pattern finds candidates; each is validated by kind (with ``check_luhn`` a Luhn sum, the IBAN
 remainder, octets below 256, a real calendar date) and replaced by the image of
 a keyed permutation of its own format, so the same value has the same pseudonym
 in every document, and different values of a kind have different ones:
 
 * payment and account numbers of 13 to 19 digits: all digits but the last are
   permuted; the last keeps its distance from the Luhn digit, so valid numbers
-  stay valid and others stay invalid;
+  stay valid and others stay invalid; with ``check_luhn`` only valid ones are finds and
+  others stay byte for byte (without it account numbers, which have no Luhn digit, count too);
 * IBANs of right remainder: the digits after the fourth character are permuted
   and the two check digits made anew;
 * telephone numbers (the country code stays) and social security numbers: digits;
@@ -199,7 +200,11 @@ def _date(text: Column, key: str) -> Column:
     return F.when(text.contains("-"), F.date_format(moved, _FORMATS["-"])).when(text.contains("."), F.date_format(moved, _FORMATS["."])).otherwise(F.date_format(moved, _FORMATS["/"]))
 
 
-def kind(text: Column) -> Column:
+def _luhn_valid(text: Column) -> Column:
+    return _let(_digits(text), lambda d: F.element_at(d, -1) == _luhn(F.slice(d, F.lit(1), F.size(d) - 1)))
+
+
+def kind(text: Column, check_luhn: bool = False) -> Column:
     """The kind of a candidate, or null if its validation fails."""
     return (
         F.when(text.contains("@"), F.lit("email"))
@@ -207,7 +212,7 @@ def kind(text: Column) -> Column:
         .when(_whole(text, DATE), F.when(_day(text).isNotNull(), F.lit("date")))
         .when(_whole(text, SSN), F.lit("ssn"))
         .when(_whole(text, PHONE), F.lit("phone"))
-        .when(_whole(text, NUMBER), F.lit("number"))
+        .when(_whole(text, NUMBER), F.when(_luhn_valid(text), F.lit("number")) if check_luhn else F.lit("number"))
         .when(_whole(text, SECRET), F.lit("secret"))
         .when(_whole(text, IBAN), F.when(_remainder(_bare(text)) == 1, F.lit("iban")))
     )
@@ -227,12 +232,12 @@ def pseudonym(text: Column, kind_: Column, key: str) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", finds_col: str = "finds") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", finds_col: str = "finds", check_luhn: bool = False) -> DataFrame:
     """The table with its text pseudonymised and ``finds_col``, an array of (kind, pseudonym) in order."""
     text = F.col(text_col)
     # Only texts with a digit or an at sign can hold a candidate.
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    replaced = F.transform(found, lambda m: _let(kind(m), lambda k: F.struct(k.alias("kind"), pseudonym(m, k, key).alias("pseudonym"))))
+    replaced = F.transform(found, lambda m: _let(kind(m, check_luhn), lambda k: F.struct(k.alias("kind"), pseudonym(m, k, key).alias("pseudonym"))))
     between = F.split(text, ANY, -1)
     joined = F.zip_with(between, F.transform(F.col("_found"), lambda x: x["pseudonym"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     some = F.size("_found") > 0
@@ -242,7 +247,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", finds_col: s
     return out.withColumn(finds_col, finds).drop("_found")
 
 
-def pseudonyms(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonyms(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", check_luhn: bool = False) -> DataFrame:
     """One row per document: doc_id, text (pseudonymised), finds, n_finds."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return pseudonymise(rows, key).withColumn("n_finds", F.size("finds").cast("long"))
+    return pseudonymise(rows, key, check_luhn=check_luhn).withColumn("n_finds", F.size("finds").cast("long"))

@@ -25,7 +25,7 @@ DEMONSTRATION_KEY = "marlstone demonstration key"
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.pseudonyms(table(spark, sf_dir, "documents"), DEMONSTRATION_KEY)
+    found = pii.pseudonyms(table(spark, sf_dir, "documents"), DEMONSTRATION_KEY, check_luhn=True)
     return found.select("doc_id", "text", "n_finds", F.array_join("finds.kind", " ").alias("kinds"))
 
 

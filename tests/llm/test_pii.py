@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm import pii
+from marlstone.llm import pii, queries
 
 from .helpers import awkward, nothing
 
@@ -47,6 +47,17 @@ def test_numbers_keep_format_and_validity(spark):
     assert valid != "4111 1111 1111 1111"
 
 
+def test_numbers_that_fail_luhn_stay(spark, tmp_path):
+    cards = ["4111 1111 1111 1111", "4111111111111111", "378282246310005", "3782 822463 10005"]
+    decoys = ["4111-1111-1111-1112", "9807915762804490", "7086638319846192", "3782 822463 10006"]
+    docs = spark.createDataFrame([(1, " x ".join(decoys)), (2, " ".join(f"a {c} b {d}." for c, d in zip(cards, decoys)))], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    clean, mixed = queries.op1_pii(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert clean.text == " x ".join(decoys) and clean.n_finds == 0
+    assert mixed.kinds == "number number number number"
+    assert all(d in mixed.text for d in decoys) and not any(c in mixed.text for c in cards)
+
+
 def test_same_value_same_pseudonym_other_key_other(spark):
     a, b = run(spark, "see 97.51.17.173.", "97.51.17.173 again")
     assert a[4:-1] == b[:-6] != "97.51.17.173"
