@@ -17,9 +17,11 @@ many pairs at a time.
 
 A line goes if the same line stands earlier in the corpus, or if a line within
 TAU edits of it first stands earlier, in the order of document id and line.
+Shorter lines of at least ``equal_chars`` characters are compared for equality
+only (default: none are; 1: every line that is not blank).
 
-Cases: a null text has no lines; shorter lines stay and are not compared (they are
-too common to be evidence); an empty text stays empty; rows with equal ids count
+Cases: a null text has no lines; lines under both bounds, and blank ones, stay and
+are not compared; an empty text stays empty; rows with equal ids count
 as one document, whose equal lines stay in each; lines of any length are taken;
 an empty table gives none; other columns pass through.
 """
@@ -58,16 +60,17 @@ PROBES = [
 
 
 class Lines:
-    """The distinct long lines of a chunk and where they stand."""
+    """The distinct lines of a chunk that are compared, where they stand, and which of them are long enough to be near others."""
 
-    def __init__(self, table: pa.Table, min_chars: int):
+    def __init__(self, table: pa.Table, min_chars: int, equal_chars: int):
         self.table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
+        least = min(min_chars, equal_chars)
         number: dict[str, int] = {}
         ordinal, line_no, line = [], [], []
         for d, text in enumerate(column(self.table, "text").to_pylist()):
             for n, raw in enumerate(text.split("\n")):
                 bare = raw.strip()
-                if len(bare) >= min_chars:
+                if len(bare) >= least:
                     ordinal.append(d)
                     line_no.append(n)
                     line.append(number.setdefault(bare, len(number)))
@@ -78,26 +81,28 @@ class Lines:
         self.low = np.array([d & (1 << 64) - 1 for d in digests], np.uint64)
         self.length = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
         self.start = np.cumsum(self.length) - self.length
+        self.long = np.flatnonzero(self.length >= min_chars)
         self.code = np.frombuffer("".join(self.texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         up, self.down = _powers(_FACTOR, len(self.code) + 1)
         self.sums = np.zeros(len(self.code) + 1, np.uint64)
         np.cumsum((self.code + np.uint64(1)) * up[:-1], out=self.sums[1:])
 
     def keys(self, less: int, segment: int, shift: int) -> np.ndarray:
-        """For each line the key of its substring that a line shorter by ``less`` may have as a segment (shifted)."""
-        shorter = self.length - less
+        """For each long line the key of its substring that a line shorter by ``less`` may have as a segment (shifted)."""
+        length, start = self.length[self.long], self.start[self.long]
+        shorter = length - less
         a, b = shorter * segment // (TAU + 1), shorter * (segment + 1) // (TAU + 1)
-        at = self.start + np.clip(a + shift, 0, self.length - (b - a))
+        at = start + np.clip(a + shift, 0, length - (b - a))
         h = (self.sums[at + (b - a)] - self.sums[at]) * self.down[at]
         return mix(h + shorter.astype(np.uint64) * np.uint64(_LENGTH) + np.uint64((segment + 1) * _SEGMENT & (1 << 64) - 1))
 
     def index_keys(self) -> np.ndarray:
-        return np.stack([self.keys(0, i, 0) for i in range(TAU + 1)]) if self.texts else np.zeros((TAU + 1, 0), np.uint64)
+        return np.stack([self.keys(0, i, 0) for i in range(TAU + 1)]) if len(self.long) else np.zeros((TAU + 1, 0), np.uint64)
 
     def probe_keys(self) -> np.ndarray:
         """All probes but a line's own segments, which stand for themselves."""
         rest = [p for p in PROBES if p[0] or p[2]]
-        return np.stack([self.keys(*p) for p in rest]) if self.texts else np.zeros((len(rest), 0), np.uint64)
+        return np.stack([self.keys(*p) for p in rest]) if len(self.long) else np.zeros((len(rest), 0), np.uint64)
 
     def sketches(self) -> np.ndarray:
         """64 parities of the numbers of bigrams by a hash of them."""
@@ -114,7 +119,7 @@ class Lines:
     def sent(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct index keys, the line that has each (0 if several have), distinct probe keys; all ascending."""
         keys = self.index_keys().reshape(-1)
-        lines = np.tile(self.high, TAU + 1)
+        lines = np.tile(self.high[self.long], TAU + 1)
         order = np.argsort(keys, kind="stable")
         keys, lines = keys[order], lines[order]
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
@@ -123,9 +128,9 @@ class Lines:
         return keys[starts], lines.astype(np.uint64), np.unique(self.probe_keys())
 
 
-def _send(table: pa.Table, buckets: int, min_chars: int) -> pa.Table:
+def _send(table: pa.Table, buckets: int, min_chars: int, equal_chars: int) -> pa.Table:
     chunk = column(table, "chunk")[0].as_py()
-    index, lines, probes = Lines(table, min_chars).sent()
+    index, lines, probes = Lines(table, min_chars, equal_chars).sent()
     edges = np.arange(buckets + 1)
     at, to = (np.searchsorted(census.bucket_of(k, buckets), edges).tolist() for k in (index, probes))
     index, probes = index.astype("<u4"), probes.astype("<u4")
@@ -167,9 +172,9 @@ ROWS = "kind int, chunk int, ordinal int, doc_id long, line_no int, high long, l
 PLACE, KEY, TEXT = 0, 1, 2
 
 
-def _select(left: pa.Table, right: pa.Table, min_chars: int) -> pa.Table:
+def _select(left: pa.Table, right: pa.Table, min_chars: int, equal_chars: int) -> pa.Table:
     """Of a chunk: where its lines stand, the keys that other lines may share, and the texts of lines with such keys."""
-    lines = Lines(left, min_chars)
+    lines = Lines(left, min_chars, equal_chars)
     index, _, probes = lines.sent()
     has, hit = census.answers(right, "has"), census.answers(right, "hit")
     own, far = lines.index_keys(), lines.probe_keys()
@@ -178,7 +183,7 @@ def _select(left: pa.Table, right: pa.Table, min_chars: int) -> pa.Table:
     # A segment goes as such if anything matches it, and as a probe if another line has it in the same place.
     found = [(own[own_flag > 0], np.nonzero(own_flag > 0)[1], False), (own[own_flag > 1], np.nonzero(own_flag > 1)[1], True), (far[far_flag > 0], np.nonzero(far_flag > 0)[1], True)]
     key = np.concatenate([k for k, _, _ in found])
-    key_line = np.concatenate([x for _, x, _ in found])
+    key_line = lines.long[np.concatenate([x for _, x, _ in found])]
     probe = np.concatenate([np.full(len(k), p) for k, _, p in found])
     text_line = np.unique(key_line)
     line = np.concatenate([lines.line, key_line, text_line])
@@ -281,14 +286,15 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class LineJoin:
     """The chunks of a corpus, its lines, and the links between different lines (written once, read by all that follows)."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, chunk_bytes: int = census.CHUNK_BYTES):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, chunk_bytes: int = census.CHUNK_BYTES, equal_chars: int | None = None):
+        equal_chars = min_chars if equal_chars is None else max(1, equal_chars)
         rows = docs.select(F.struct(F.lit(None).cast("boolean").alias("_"), *[F.col(c) for c in docs.columns if c != text_col]).alias("rest"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(text_col).isNull().alias("was_null"))
         chunks = census.chunk_count(docs, text_col, chunk_bytes)
         buckets = -(-chunks // (4 * census.CHUNKS_PER_BUCKET))  # a line sends a few keys, not one for each word
         self.dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
-        sent = self.dealt.groupBy("chunk").applyInArrow(lambda t: released(_send(t, buckets, min_chars)), "bucket int, chunk int, keys binary, lines binary, probes binary")
+        sent = self.dealt.groupBy("chunk").applyInArrow(lambda t: released(_send(t, buckets, min_chars, equal_chars)), "bucket int, chunk int, keys binary, lines binary, probes binary")
         matched = sent.groupBy("bucket").applyInArrow(lambda t: released(_match(t)), "chunk int, bucket int, has binary, hit binary")
-        self.found = stash(self.dealt.groupBy("chunk").cogroup(matched.groupBy("chunk")).applyInArrow(lambda left, right: released(_select(left, right, min_chars)), ROWS), "lines")
+        self.found = stash(self.dealt.groupBy("chunk").cogroup(matched.groupBy("chunk")).applyInArrow(lambda left, right: released(_select(left, right, min_chars, equal_chars)), ROWS), "lines")
         self.links = stash(self._links(), "line-links")
 
     def _links(self) -> DataFrame:
@@ -353,13 +359,13 @@ class LineJoin:
         return dealt.groupBy("chunk").cogroup(self.removals().groupBy("chunk")).applyInArrow(apply, schema)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, chunk_bytes: int = census.CHUNK_BYTES) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, chunk_bytes: int = census.CHUNK_BYTES, equal_chars: int | None = None) -> DataFrame:
     """One row per document: doc_id, text (without the lines that go), n_lines, n_removed, n_near (removed for a line that is not the same)."""
-    return LineJoin(docs.select(id_col, text_col), id_col, text_col, min_chars, chunk_bytes).cut().drop("rest")
+    return LineJoin(docs.select(id_col, text_col), id_col, text_col, min_chars, chunk_bytes, equal_chars).cut().drop("rest")
 
 
-def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, equal_chars: int | None = None) -> DataFrame:
     """``docs`` with its texts cut, all columns kept; a document of which no word is left goes."""
-    cut = LineJoin(docs, id_col, text_col, min_chars).cut()
+    cut = LineJoin(docs, id_col, text_col, min_chars, equal_chars=equal_chars).cut()
     kept = cut.filter(F.col("text").isNull() | (F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return kept.select(*[F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in docs.columns])

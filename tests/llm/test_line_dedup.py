@@ -1,8 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from marlstone.llm import line_dedup
+from marlstone.llm import line_dedup, queries
 
 from .helpers import awkward, nothing, rows_of, texts_of
 
@@ -100,5 +101,17 @@ def test_a_document_of_repeated_lines_goes(spark):
     assert texts_of(line_dedup.without_repeated_lines(docs)) == [(1, line), (3, "short"), (4, "short")]
 
 
+def test_short_lines_go_if_equal(spark, tmp_path):
+    near = "a line that is long enough to be compared with others"
+    rows = [(1, f"MIT License.\n\nx\n{near}"), (2, f" MIT License.\n\nMIT Licence.\n{near}s"), (3, "x"), (4, None), (5, "MIT License.\ny\nx\ny\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text"))
+    cut = rows_of(line_dedup.dedup_lines(docs, equal_chars=1, chunk_bytes=40), *COLUMNS)
+    assert cut == [(1, rows[0][1], 4, 0, 0), (2, "\nMIT Licence.", 4, 2, 1), (3, "", 1, 1, 0), (4, None, 0, 0, 0), (5, "y\n", 5, 3, 0)]
+    # The registered query compares every line that is not blank.
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows_of(queries.op2_line_dedup(spark, str(tmp_path)), "doc_id", "n_removed", "n_near") == [(d, r, n) for d, _, _, r, n in cut]
+    assert texts_of(line_dedup.without_repeated_lines(docs, equal_chars=1)) == [(d, t) for d, t, *_ in cut if d != 3]
+
+
 def test_empty(spark):
     assert line_dedup.dedup_lines(nothing(spark)).collect() == []
