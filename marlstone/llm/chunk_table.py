@@ -39,25 +39,29 @@ class ChunkTable:
 
     def slots(self, chunks: list[str]) -> np.ndarray:
         """The slot of each of these distinct chunks, new ones encoded."""
-        slot = self.slot
-        new = [c for c in chunks if c not in slot]
-        if slot and len(slot) + len(new) > self.most:
+        found = list(map(self.slot.get, chunks))
+        new = [c for c, s in zip(chunks, found) if s is None]
+        if not new:
+            return np.array(found, np.int64)
+        if self.slot and len(self.slot) + len(new) > self.most:
             self.clear()
-            slot, new = self.slot, chunks
-        if new:
-            found, lengths = self.encode(new)
-            need = len(found)
-            if self.used + need > len(self.ids):
-                grown = np.zeros(max(2 * len(self.ids), self.used + need), np.int32)
-                grown[: self.used] = self.ids[: self.used]
-                self.ids = grown
-            self.ids[self.used : self.used + need] = found
-            first = len(slot)
-            slot.update(zip(new, range(first, first + len(new))))
-            self.start = np.concatenate([self.start, self.used + np.cumsum(lengths) - lengths])
-            self.length = np.concatenate([self.length, lengths])
-            self.used += need
-        return np.fromiter((slot[c] for c in chunks), np.int64, len(chunks))
+            found, new = [None] * len(chunks), chunks
+        ids, lengths = self.encode(new)
+        need = len(ids)
+        if self.used + need > len(self.ids):
+            grown = np.zeros(max(2 * len(self.ids), self.used + need), np.int32)
+            grown[: self.used] = self.ids[: self.used]
+            self.ids = grown
+        self.ids[self.used : self.used + need] = ids
+        first = len(self.slot)
+        self.slot.update(zip(new, range(first, first + len(new))))
+        self.start = np.concatenate([self.start, self.used + np.cumsum(lengths) - lengths])
+        self.length = np.concatenate([self.length, lengths])
+        self.used += need
+        # New chunks took slots in the order in which they stand.
+        out = np.fromiter((-1 if s is None else s for s in found), np.int64, len(found))
+        out[out < 0] = np.arange(first, first + len(new))
+        return out
 
     def join(self, flat: pa.Array, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         """The ids of all chunks in order, the offsets that delimit the texts (from ``offsets`` in chunks), and the notes
@@ -70,6 +74,12 @@ class ChunkTable:
         lengths = self.length[each] if len(each) else np.zeros(0, np.int64)
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(self.start[each] - (ends - lengths), lengths) + np.arange(total)] if total else np.zeros(0, np.int32)
+        if total:
+            place = np.int32 if max(total, self.used) < 2**31 else np.int64
+            at = np.repeat((self.start[each] - (ends - lengths)).astype(place), lengths)
+            at += np.arange(total, dtype=place)
+            ids = self.ids.take(at)
+        else:
+            ids = np.zeros(0, np.int32)
         notes = pa.array([self.notes[s] for s in slots.tolist()], pa.string()).take(coded.indices) if self.notes else pa.array([], pa.string())
         return ids, np.concatenate([[0], ends])[offsets], notes

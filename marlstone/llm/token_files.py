@@ -16,12 +16,14 @@ The first token of a part in the whole sequence is the sum of the parts before
 it, a table with one row per written part.
 
 Cases: null counts as empty, and its row holds the end id alone; rows with equal
-ids stay in some order of their own, each with its own start; a null id comes
+ids stand in the order of their texts, each with its own start; a null id comes
 first; an empty table gives no row; other columns are left out.
 """
 
 from __future__ import annotations
 
+import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -47,6 +49,12 @@ FORMAT = {
 }
 #: Words of letters that are encoded as one text, and texts that are encoded in one call.
 JOINED, AT_ONCE = 100, 50
+#: ASCII punctuation but the apostrophe, which opens contractions.
+MARKS = r"[!-&(-/:-@\[-`{-~]"
+#: Words of ASCII letters and small Latin-1 letters: the tokenizer's normaliser and splitter leave them as they are.
+PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
+#: Bytes of text in a part, and the least to which parts shrink so that every core has work.
+PART_BYTES, LEAST_PART_BYTES = 128 << 20, 4 << 20
 #: Distinct words that a task keeps.
 TABLE_WORDS = 500_000
 _loaded: dict[str, "Words"] = {}
@@ -55,31 +63,36 @@ _loaded: dict[str, "Words"] = {}
 class Words:
     """The tokenizer with a table of distinct words.
 
-    The tokenizer splits at white space, and between a letter or digit and a punctuation mark that white space
-    follows; it puts ASCII letters into lower case. Both are done before words are counted as distinct, and
-    neither changes a token (texts that hold the opening of a special token are left as they are).
+    The tokenizer splits at white space, and between a letter or digit and a run of punctuation marks that white
+    space follows; it puts ASCII letters into lower case. Both are done before words are counted as distinct, and
+    neither changes a token (texts that hold the opening of a special token are left as they are). Plain words go
+    to the same model without normaliser and splitter, which have nothing to do on them.
     """
 
     def __init__(self, tokenizer_path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.bare = Tokenizer.from_file(tokenizer_path)
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.table = ChunkTable(self._encode, TABLE_WORDS)
 
-    def _each(self, words: list[str]) -> list[list[int]]:
+    def _each(self, words: list[str], bare: bool = False) -> list[list[int]]:
         """Ids of each of these; few at a time, as the library's results are large."""
         parts = (words[i : i + AT_ONCE] for i in range(0, len(words), AT_ONCE))
-        return [x.ids for part in parts for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        encode = (self.bare if bare else self.tokenizer).encode_batch_fast
+        return [x.ids for part in parts for x in encode(part, add_special_tokens=False)]
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Words of letters alone end in exactly one word-ending piece: they are encoded many at a time and told apart by it."""
-        plain = np.fromiter(map(str.isalpha, words), bool, len(words))
+        """Plain words end in exactly one word-ending piece: they are encoded many at a time and told apart by it."""
+        plain = np.fromiter((PLAIN(x) is not None for x in words), bool, len(words))
         ids: list[np.ndarray] = []
         lengths = np.zeros(len(words), np.int64)
         starts = np.zeros(len(words), np.int64)
@@ -93,7 +106,7 @@ class Words:
 
         at = np.flatnonzero(plain)
         groups = [at[i : i + JOINED] for i in range(0, len(at), JOINED)]
-        for group, found in zip(groups, self._each([" ".join([words[i] for i in g.tolist()]) for g in groups])):
+        for group, found in zip(groups, self._each([" ".join([words[i] for i in g.tolist()]) for g in groups], bare=True)):
             found = np.asarray(found, np.int32)
             stops = np.flatnonzero(self.ends_word[found]) + 1
             if len(stops) == len(group) and stops[-1] == len(found):
@@ -112,7 +125,7 @@ class Words:
         for c in "\n\t\r":
             spaced = pc.replace_substring(spaced, c, " ")
         if not pc.any(pc.match_substring(texts, "<|")).as_py():
-            spaced = pc.replace_substring_regex(pc.ascii_lower(spaced), r"([\pL\pN])([.,;:!?]) ", r"\1 \2 ")
+            spaced = pc.replace_substring_regex(pc.ascii_lower(spaced), r"([\pL\pN])(" + MARKS + "+) ", r"\1 \2 ")
         lists = pc.split_pattern(spaced, " ")
         flat, offsets = lists.flatten(), offsets_of(lists)
         full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
@@ -130,8 +143,15 @@ def words(tokenizer_path: str) -> Words:
     return _loaded[tokenizer_path]
 
 
+def part_count(rows: DataFrame) -> int:
+    """Parts of ``PART_BYTES`` of text; smaller ones, as many as the session has shuffle partitions, if that is more."""
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, math.ceil(total / PART_BYTES), min(most, math.ceil(total / LEAST_PART_BYTES)))
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> None:
-    """Encode every text and write the files; ``parts`` defaults to the session's shuffle partitions."""
+    """Encode every text and write the files, in ``parts`` ranges of ids (default: by the bytes of all texts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, part, seq, start = words(tokenizer_path), TaskContext.get().partitionId(), 0, 0
@@ -152,8 +172,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
             seq, start = seq + n, start + int(ends[-1])
 
     rows = id_text(docs, id_col, text_col)
-    n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    n = parts or part_count(rows)
+    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, SCHEMA).write.options(**FORMAT).parquet(path)
 
 

@@ -14,7 +14,7 @@ from marlstone.llm.shared import new_path
 from .helpers import awkward, nothing, rows_of, texts_of
 
 ODD = ["  ", " a", "a ", "a  b", "\n", "\n\n a", " \n b", "▁a b▁ ▁", "x\x01y  z", "\x00", "日本 語 🙂", "a\tb\r\n c", "Ａ①", "it's <|endoftext|> I'LL", "éé ́x", " a", "a b", "\x85x", "q\x00\x02\x00z \x01"]
-ODD += ["a.b. c, d.", "İstanbul ŉx abc", "ABC <|ENDOFTEXT|> d", "x., y.. z! q", "ﬁne Σας ǅ é", "가 각", "🙂🙂x🙂", "xx x"]
+ODD += ["a.b. c, d.", "İstanbul ŉx abc", "ABC <|ENDOFTEXT|> d", "x., y.. z! q", "ﬁne Σας ǅ é", "가 각", "🙂🙂x🙂", "xx x", "a$$$ it's!! a's$ b'!! c$'s d  e'$ ''s' 3.$ é́$ ß%% ÷, ª! x'll. "]
 
 
 @pytest.fixture(scope="module")
