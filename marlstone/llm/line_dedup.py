@@ -38,11 +38,11 @@ from pyspark.sql import DataFrame, functions as F
 from . import census
 from .census import column
 from .shared import by_bytes, released, stash
-from .wordhash import _powers, mix
+from .wordhash import mix
 
 TAU = 2
 MIN_CHARS = 32
-# Odd multipliers that set lengths and segment numbers apart in keys.
+# Odd multipliers; one for the characters of a substring, two that set lengths and segment numbers apart.
 _FACTOR, _LENGTH, _SEGMENT = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 #: Characters of the matrices of pairs that are verified in step.
 MATRIX = 1 << 20
@@ -59,6 +59,19 @@ PROBES = [
 ]
 
 
+_tables: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the factor and of its inverse, modulo 2^64."""
+    if not _tables or len(_tables[0]) < n:
+        rows = [np.full(max(n, 1 << 16), f, np.uint64) for f in (_FACTOR, pow(_FACTOR, -1, 1 << 64))]
+        for row in rows:
+            row[0] = 1
+        _tables[:] = [np.cumprod(row, dtype=np.uint64) for row in rows]
+    return _tables[0][:n], _tables[1][:n]
+
+
 class Lines:
     """The distinct lines of a chunk that are compared, where they stand, and which of them are long enough to be near others."""
 
@@ -83,7 +96,7 @@ class Lines:
         self.start = np.cumsum(self.length) - self.length
         self.long = np.flatnonzero(self.length >= min_chars)
         self.code = np.frombuffer("".join(self.texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        up, self.down = _powers(_FACTOR, len(self.code) + 1)
+        up, self.down = _powers(len(self.code) + 1)
         self.sums = np.zeros(len(self.code) + 1, np.uint64)
         np.cumsum((self.code + np.uint64(1)) * up[:-1], out=self.sums[1:])
 

@@ -8,10 +8,12 @@ which windows really repeat, which have one successor wherever they occur, and
 which have one predecessor. Two adjoining windows belong to one nonbranching
 path if the first has one successor and the second one predecessor, and then
 they do so at every place: each document's repeated windows compact into a few
-path occurrences (document, first word, length), with two 64-bit hashes of the
-words they cover. A join of the occurrences by content verifies them: an
-occurrence whose words occur nowhere else, which only a collision can cause,
-is no repeat. What remains is cut from the texts at its source coordinates.
+path occurrences (document, first word, length). Each is read again at its
+source coordinates: a 128-bit BLAKE2 digest of the bytes of its words, one space
+between them, verifies it. An occurrence whose words occur nowhere else, which
+only a collision of the censuses' hashes can cause, is no repeat and stays; so
+a collision (one in 2^64 for two windows) can leave a passage in the text, but
+takes none away. What remains is cut from the texts at its source coordinates.
 
 No task holds more than one chunk or one bucket; a passage that a third of all
 documents share travels once for each chunk, and its occurrences meet in a
@@ -25,6 +27,8 @@ columns are left out.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -92,7 +96,7 @@ class Chunk:
         return ordered[starts], _one(after[self.at][order], starts), _one(before[self.at][order], starts), many
 
     def paths(self, flags: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of each occurrence of a path: ordinal of the document, first word, number of words, two hashes of the words."""
+        """Of each occurrence of a path: ordinal of the document, first word, number of words, both halves of a digest of the words."""
         known = np.zeros(int(self.offsets[-1]), np.uint8)
         known[self.at] = flags[self.group]
         repeated = (known & REPEATED) > 0
@@ -106,7 +110,14 @@ class Chunk:
         doc = np.searchsorted(self.offsets, starts, side="right") - 1
         first = starts - self.offsets[doc]
         n = stops - starts + self.k
-        return doc, first, n, *(self.words.spans(self.words.first[doc] + first, n, seed).view(np.int64) for seed in (0, 1))
+        return doc, first, n, *self._digests(self.words.first[doc] + first, n)
+
+    def _digests(self, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        text, opens, closes = self.words.spaced()
+        text = memoryview(text)
+        spans = zip(opens[first].tolist(), closes[first + n - 1].tolist())
+        digests = b"".join([blake2b(text[a:b], digest_size=16).digest() for a, b in spans])
+        return np.frombuffer(digests, "<i8").reshape(-1, 2).T
 
 
 def _second_payload(chunk: int, parts: tuple[np.ndarray, ...], buckets: int) -> pa.Table:

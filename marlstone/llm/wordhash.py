@@ -1,14 +1,17 @@
 """Hashes of words and of runs of words, for whole batches at once.
 
-A word's hash is a polynomial in its bytes modulo 2^64, read off prefix sums, so
-the cost is a few array operations on each byte whatever the words. Runs of a
-fixed number of words are hashed the same way from the hashes of their words.
+A word's hash takes its bytes eight at a time: each step adds eight bytes and
+spreads every bit over the whole number, so nothing cancels as it does in a
+polynomial. Long words are hashed one by one by xxh3. The hash of a run of k
+words is built from those of its halves in the same way, by powers of two, so
+that the cost is a few array operations for each binary digit of k.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from .shared import bytes_of
 
@@ -16,32 +19,26 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-# Odd multipliers; each seed has one for bytes and one for words.
-_FACTORS = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(factor: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd factor and of its inverse, modulo 2^64."""
-    if factor not in _tables or len(_tables[factor][0]) < n:
-        size = max(n, 1 << 16)
-        both = []
-        for f in (factor, pow(factor, -1, 1 << 64)):
-            p = np.full(size, f, np.uint64)
-            p[0] = 1
-            both.append(np.cumprod(p, dtype=np.uint64))
-        _tables[factor] = (both[0], both[1])
-    up, down = _tables[factor]
-    return up[:n], down[:n]
+# Odd multipliers, and for each seed a number to begin with.
+_STEP, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
+#: Bytes from which on a word is hashed alone.
+LONG = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread every bit over the whole number (a bijection)."""
     x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(33)
+    return x
+
+
+def both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of two runs, one after the other, from theirs."""
+    return mix(a * _PAIR + b)
 
 
 class Words:
@@ -68,24 +65,48 @@ class Words:
 
     def hashes(self, seed: int = 0) -> np.ndarray:
         if seed not in self._hashes:
-            up, down = _powers(_FACTORS[seed][0], len(self.raw) + 1)
-            sums = np.zeros(len(self.raw) + 1, np.uint64)
-            np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-            length = (self.stops - self.starts).astype(np.uint64)
-            self._hashes[seed] = mix((sums[self.stops] - sums[self.starts]) * down[self.starts] + length * np.uint64(_FACTORS[seed][1]))
+            length = self.stops - self.starts
+            padded = np.concatenate([self.raw, np.zeros(8, np.uint8)])
+            eight = np.ndarray((len(self.raw) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+            h = mix(length.astype(np.uint64) * _STEP + np.uint64(_SEEDS[seed]))
+            left = np.flatnonzero(length < LONG)
+            done = 0
+            while len(left):
+                some = np.minimum(length[left] - done, 8).astype(np.uint64)
+                block = eight[self.starts[left] + done] & (np.uint64(2**64 - 1) >> (np.uint64(64) - some * np.uint64(8)))
+                h[left] = mix((h[left] ^ block) * _STEP)
+                done += 8
+                left = left[length[left] > done]
+            raw = memoryview(np.ascontiguousarray(self.raw))
+            for i in np.flatnonzero(length >= LONG).tolist():
+                h[i] = xxhash.xxh3_64_intdigest(raw[self.starts[i] : self.stops[i]], seed=_SEEDS[seed])
+            self._hashes[seed] = h
         return self._hashes[seed]
 
-    def spans(self, first: np.ndarray, n: np.ndarray | int, seed: int = 0) -> np.ndarray:
-        """Hashes of runs of n words from the given words on."""
-        w = self.hashes(seed)
-        up, down = _powers(_FACTORS[seed][1], len(w) + 1)
-        sums = np.zeros(len(w) + 1, np.uint64)
-        np.cumsum(w * up[:-1], out=sums[1:])
-        return mix((sums[first + n] - sums[first]) * down[first])
-
     def runs(self, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of k words within one text, in order, and for each text the offset of its first."""
         n = np.maximum(np.diff(self.first) - k + 1, 0)
         offsets = np.concatenate([[0], np.cumsum(n)])
+        if not offsets[-1]:
+            return np.zeros(0, np.uint64), offsets
+        # Every run of k in a row, also over the ends of texts; those within a text are taken from it.
+        power, size, whole, taken = self.hashes(seed), 1, None, 0
+        places = len(power) - k + 1
+        while True:
+            if k & size:
+                part = power[taken : taken + places]
+                whole = part if whole is None else both(whole, part)
+                taken += size
+            if 2 * size > k:
+                break
+            power, size = both(power[: len(power) - size], power[size:]), 2 * size
         at = np.repeat(self.first[:-1] - offsets[:-1], n) + np.arange(int(offsets[-1]))
-        return self.spans(at, k, seed), offsets
+        return (whole if len(whole) == len(at) else whole[at]), offsets
+
+    def spaced(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes with every run of white space after a word as one space, and where each word starts and stops there."""
+        kept = ~_SPACE[self.raw]
+        after = self.stops[self.stops < len(self.raw)]
+        kept[after] = True  # the white space after a word, or the first byte of the next text
+        moved = np.concatenate([[0], np.cumsum(kept)])
+        return np.where(_SPACE[self.raw], np.uint8(0x20), self.raw)[kept], moved[self.starts], moved[self.stops]

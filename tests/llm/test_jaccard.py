@@ -6,6 +6,7 @@ import pytest
 from marlstone.llm import jaccard
 from marlstone.llm.components import components
 
+from .test_repeats import thue_morse
 from .helpers import LOWER, WORD, awkward, nothing, rows_of, texts_of
 
 COLUMNS = ("doc_id", "n_shingles", "component_id")
@@ -67,6 +68,16 @@ def test_awkward_rows(spark):
     assert jaccard.jaccard_components(awkward(spark)).count() == awkward(spark).count()
 
 
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_no_hash_cancels(spark, size):
+    one, other = thue_morse(size)
+    rows = [(1, "".join(one)), (2, "".join(other)), (3, " ".join(one)), (4, " ".join(other)), (5, " ".join([*one, "c"]))]
+    rows += [(6, f"x {''.join(one)} y"), (7, f"x {''.join(other)} y"), (8, f"x {''.join(one)} y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(jaccard.jaccard_components(docs), *COLUMNS) == brute(rows, 90, 3)
+    assert rows_of(jaccard.jaccard_components(docs, n=size), *COLUMNS) == brute(rows, 90, size)
+
+
 def test_empty(spark):
     assert jaccard.jaccard_components(nothing(spark)).collect() == []
 

@@ -38,7 +38,30 @@ def test_words_and_their_hashes():
     assert len(set.union(*by_word.values())) == len(by_word)
 
 
-@pytest.mark.parametrize("k, chunk_bytes", [(3, 300), (5, 1 << 20), (8, 300)])
+def thue_morse(n, a="a", b="b"):
+    """A sequence and its complement: polynomials modulo a power of two do not tell them apart from 1,024 symbols on."""
+    symbols = [bin(i).count("1") % 2 for i in range(n)]
+    return [(a, b)[x] for x in symbols], [(b, a)[x] for x in symbols]
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_no_hash_cancels(spark, size):
+    one, other = thue_morse(size)
+    words = Words(pa.array(["".join(one) + " " + "".join(other) + " " + " ".join(one) + " " + " ".join(other)]))
+    for seed in (0, 1):
+        assert words.hashes(seed)[0] != words.hashes(seed)[1]
+        runs = words.runs(size, seed)[0]
+        assert len(set(runs.tolist())) == len({tuple(x) for x in zip(*[(["x", "y"] + one + other)[i : i + len(runs)] for i in range(size)])})
+    # The words themselves in windows, and windows of the sequences.
+    filler = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*filler[:17], "".join(x), *filler[17:]])) for i, x in enumerate((one, other))]
+    rows += [(10 + i, " ".join(x)) for i, x in enumerate((one, other))] + [(20, " ".join(f"{w}{i}" for i, w in enumerate(one)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for k in (35, size):
+        assert rows_of(repeats.digests(repeats.remove_repeats(docs, k)), *COLUMNS) == brute(rows, k)
+
+
+@pytest.mark.parametrize("k, chunk_bytes", [(3, 300), (5, 1 << 20), (8, 300), (1, 500), (7, 1 << 20)])
 def test_against_brute_force(spark, k, chunk_bytes):
     rng = random.Random(5)
     rows = [(i, "".join(rng.choices(["a", "b", "c", " ", "  ", "\n"], k=rng.randint(0, 200)))) for i in range(200)]
