@@ -5,7 +5,8 @@ sends the distinct hashes of its documents to buckets, as one binary row for
 each bucket instead of one row for each hash: 32 bits of a hash and, where it
 is above one, its count in the chunk; the bucket stands for the leading bits.
 A bucket counts over all chunks and answers each chunk with one byte per hash,
-in the order in which the chunk sent them (that of the hashes). The chunk,
+in the order in which the chunk sent them (that of the hashes). The byte is the
+count up to 128 and grows with its logarithm beyond, to 4e11. The chunk,
 computing its hashes again from the same documents, reads the answers off.
 
 A hash that many documents hold reaches its bucket once per chunk, so a hot
@@ -62,22 +63,31 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
+#: The least count of each byte: itself up to 128, then four steps to each doubling.
+COUNTS = np.concatenate([np.arange(129), np.ceil(128 * 2 ** (np.arange(1, 128) / 4))]).astype(np.int64)[:256]
+
+
+def coded(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes that never fall when counts rise."""
+    return (np.searchsorted(COUNTS, counts, side="right") - 1).astype(np.uint8)
+
+
 def payload(chunk: int, distinct: np.ndarray, counts: np.ndarray, buckets: int) -> pa.Table:
     """What a chunk sends: ``distinct`` ascending, with its count in the chunk's documents."""
     at = np.searchsorted(bucket_of(distinct, buckets), np.arange(buckets + 1))
-    low, many = distinct.astype("<u4"), np.minimum(counts, 255).astype(np.uint8)
+    low, many = distinct.astype("<u4"), coded(counts)
     rows = [(b, low[s:e].tobytes(), many[s:e].tobytes() if (many[s:e] > 1).any() else None) for b, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())) if e > s]
     b, h, m = zip(*rows) if rows else ((), (), ())
     return pa.table({"bucket": pa.array(b, pa.int32()), "chunk": pa.array([chunk] * len(rows), pa.int32()), "hashes": pa.array(h, pa.binary()), "many": pa.array(m, pa.binary())})
 
 
 def tally(table: pa.Table) -> pa.Table:
-    """A bucket's answers: the counts over all chunks, up to 255."""
+    """A bucket's answers: the counts over all chunks, as bytes."""
     hashes, many = column(table, "hashes").to_pylist(), column(table, "many").to_pylist()
     sizes = [len(h) // 4 for h in hashes]
     each = np.concatenate([np.frombuffer(m, np.uint8) if m else np.ones(n, np.uint8) for m, n in zip(many, sizes)])
     _, inverse = np.unique(np.frombuffer(b"".join(hashes), "<u4"), return_inverse=True)
-    total = np.minimum(np.bincount(inverse, weights=each), 255).astype(np.uint8)[inverse]
+    total = coded(np.bincount(inverse, weights=COUNTS[each]))[inverse]
     cuts = np.concatenate([[0], np.cumsum(sizes)])
     return pa.table(
         {

@@ -3,22 +3,29 @@
 Documents link when 100 * |intersection| >= percent * |union| of their sets of
 hashed n-word shingles; the result has each document's connected component.
 
-The global order of shingles is by document frequency, then hash. It is cut into
-fragments (ranges of the hash, see `census`), and each fragment counts its part
-of all documents alone, which gives the frequencies. In that order a document
-that can link at all shares one of its first |x| - ceil(t |x|) + 1 shingles with
-its partner, and shingles of frequency one can be left out: most documents of a
-corpus have no other shingle there and are done. The rest meet by the shingles
-that remain; the groups in which they meet (families, found as components over
-one edge per document and shingle, not all pairs) are the units of the join.
-
-A family's sets travel once. A large family is cut into blocks, and each pair of
-blocks is a task of its own, so no task holds more than two blocks. A task cuts
-the order of its shingles into fragments once more, counts each fragment's
-partial overlaps for all pairs separately, and sums them per pair. It returns
-links that join its documents together, at most one fewer than it has
-documents: other links of the task are between documents that these connect.
-Documents of one set are one node from the start, told apart by 128 bits.
+A census counts the holders of every shingle. The global order of shingles is by
+that count, then by hash; it is cut into fragments that hold about equal numbers
+of occurrences, at pivots read off a histogram of the counts. Every set is cut at
+the pivots. A fragment's part of a group of sets is a task of its own that counts
+the partial overlaps of its pairs; partial overlaps meet by group, are summed for
+each pair, and decide the links. Pairs travel in bulk, not as a row each.
+
+Which sets meet in a group: in the global order a set that can link at all shares
+one of its first |x| - ceil(t |x|) + 1 shingles with its partner, and shingles of
+one holder can be left out, so that most documents of a corpus meet nobody. The
+sets that are connected by such shingles are a family. A small family is one
+group. In a large one sets go to bands of length, since only neighbouring bands
+can link, and to blocks. First each block is a group, together with a few leaders
+of its band and of the band before, which already connects near-copies however
+many they are, for a cost in proportion to their number. Then the sets that meet
+at one shingle and are not yet connected are compared, by pairs of blocks of
+which one holds sets outside the component that most of them are in.
+
+A group holds two blocks at most and returns links that join its sets, at most
+one fewer than it has sets: other links are between sets that these connect.
+Documents of one set are one node from the start. Shingles are 64-bit hashes and
+sets are told apart by 128 bits of them: two documents could only be taken for
+more alike than they are if two of their own shingles collided.
 
 Cases: a null or wordless text has the empty set, n_shingles 0 and is its own
 component; with fewer words than n the whole sequence is the one shingle; rows
@@ -28,12 +35,13 @@ under that id; an empty table gives none; other columns are left out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import census
 from .census import column, in_order
@@ -41,12 +49,16 @@ from .components import components
 from .shared import released, stash
 from .wordhash import Words, mix
 
-#: Documents of a family in one block; a task holds two blocks.
-BLOCK = 1500
-#: Fragments into which a task cuts the order of its shingles.
+#: Sets of a block, and shingles of its sets; a task holds two blocks' parts in one fragment.
+BLOCK, BLOCK_SHINGLES = 400, 1 << 20
+#: Fragments of the global order.
 FRAGMENTS = 4
 #: Parts into which the documents that meet at one shingle are first dealt.
 SALTS = 32
+#: Leaders of a band.
+LEADERS = 8
+#: Sets, and shingles of them, in the groups that one call takes together.
+CALL_SETS, CALL_SHINGLES = 2000, 1 << 20
 
 
 class Sets:
@@ -108,16 +120,44 @@ def _required(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
-ROWS = "kind int, doc_id long, n long, high long, low long, shingle long, members binary"
-DOC, MEETS, MEMBERS = 0, 1, 2
+ROWS = "kind int, doc_id long, n long, high long, low long, shingle long, fragment int, members binary"
+DOC, MEETS, SEGMENT = 0, 1, 2
 
 
-def _select(left: pa.Table, right: pa.Table, n: int, percent: int) -> pa.Table:
-    """Of a chunk: all documents; the shingles by which one of each set can meet others; and the sets of these."""
+def place(codes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places in the global order: by the census's byte, then by hash (less its last bits)."""
+    return codes.astype(np.uint64) << np.uint64(56) | hashes >> np.uint64(8)
+
+
+def _pivots(counted: DataFrame, fragments: int) -> np.ndarray:
+    """Where fragments of the order begin, so that they hold about equal numbers of occurrences of shared shingles."""
+
+    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(256, np.int64)
+        for batch in batches:
+            for counts in batch.column("counts"):
+                total += np.bincount(np.frombuffer(counts.as_buffer(), np.uint8), minlength=256)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256, dtype=np.int32)), pa.array(total)], ["code", "n"])
+
+    each = np.zeros(256)
+    rows = counted.select("counts").mapInArrow(histogram, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    for code, n in rows.collect():  # one row for each byte
+        each[code] = n
+    each[:2] = 0
+    ends = np.cumsum(each)
+    goals = ends[-1] * np.arange(1, fragments) / fragments
+    code = np.minimum(np.searchsorted(ends, goals), 255)
+    part = (goals - ends[code] + each[code]) / np.maximum(each[code], 1)  # hashes of one count are spread evenly
+    return (code.astype(np.uint64) << np.uint64(56)) + (np.clip(part, 0, 1 - 1e-9) * 2.0**56).astype(np.uint64)
+
+
+def _select(left: pa.Table, right: pa.Table, n: int, percent: int, pivots: np.ndarray) -> pa.Table:
+    """Of a chunk: all documents; the shingles by which one of each set can meet others; and the segments of these sets."""
     sets = Sets(left, n)
     sets.distinct()
     frequency = census.answers(right)
     meets: list[tuple[int, np.ndarray]] = []
+    segments: list[bytes] = []
     for i in sets.chosen.tolist():
         a, b = int(sets.offsets[i]), int(sets.offsets[i + 1])
         first = b - a - _required(b - a, percent) + 1
@@ -125,22 +165,27 @@ def _select(left: pa.Table, right: pa.Table, n: int, percent: int) -> pa.Table:
         shared = np.flatnonzero(f > 1)
         alone = (b - a) - len(shared)
         if b > a and alone < first:
-            order = shared[np.argsort(f[shared], kind="stable")][: first - alone]  # hashes ascend already
-            meets.append((i, sets.hashes[a + order].view(np.int64)))
-    at = np.array([i for i, _ in meets], np.int64)
+            order = shared[np.argsort(f[shared], kind="stable")]  # hashes ascend already
+            hashes = sets.hashes[a + order]
+            meets.append((i, hashes[: first - alone].view(np.int64)))
+            cuts = np.searchsorted(place(f[order], hashes), pivots)
+            segments += [x.astype("<u8").tobytes() for x in np.split(hashes, cuts)]
+    at, parts = np.array([i for i, _ in meets], np.int64), len(pivots) + 1
     each = np.repeat(at, [len(x) for _, x in meets]) if meets else at
-    parts = [(DOC, np.arange(len(sets.sizes))), (MEETS, each), (MEMBERS, at)]
-    rows = np.concatenate([x for _, x in parts])
-    none = lambda k: pa.nulls(k, pa.binary())
+    kinds = [(DOC, np.arange(len(sets.sizes))), (MEETS, each), (SEGMENT, np.repeat(at, parts))]
+    rows = np.concatenate([x for _, x in kinds])
+    sizes = [len(x) for _, x in kinds]
+    shingles = np.concatenate([x for _, x in meets]) if meets else np.zeros(0, np.int64)
     return pa.table(
         {
-            "kind": pa.array(np.repeat([k for k, _ in parts], [len(x) for _, x in parts]), pa.int32()),
+            "kind": pa.array(np.repeat([k for k, _ in kinds], sizes), pa.int32()),
             "doc_id": column(sets.table, "doc_id").take(pa.array(rows)),
             "n": pa.array(sets.sizes[rows].astype(np.int64)),
             "high": pa.array(sets.high[rows]),
             "low": pa.array(sets.low[rows]),
-            "shingle": pa.array(np.concatenate([np.zeros(len(sets.sizes), np.int64), *(x for _, x in meets), np.zeros(len(at), np.int64)])),
-            "members": pa.concat_arrays([none(len(sets.sizes) + len(each)), pa.array([bytes(sets.raw[i]) for i in at.tolist()], pa.binary())]),
+            "shingle": pa.array(np.concatenate([np.zeros(sizes[0], np.int64), shingles, np.zeros(sizes[2], np.int64)])),
+            "fragment": pa.array(np.concatenate([np.zeros(sizes[0] + sizes[1], np.int32), np.tile(np.arange(parts, dtype=np.int32), len(at))])),
+            "members": pa.concat_arrays([pa.nulls(sizes[0] + sizes[1], pa.binary()), pa.array(segments, pa.binary())]),
         }
     )
 
@@ -175,71 +220,177 @@ class _Forest:
         return True
 
 
-def linked(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
-    """A forest of the links between sets of a task: within a block if it holds one, else between its two sides.
+#: A group of sets as its fragments see it: the sets (the same in each), and the pairs with their partial overlaps.
+PARTIAL = "call int, unit long, fragment int, highs binary, lows binary, sizes binary, pairs binary, overlaps binary"
+
 
-    Fragments of the order (here of the shingles that two sets or more hold, by frequency) are counted one after
-    the other; the partial overlaps of a set with all others are summed over them.
-    """
+def partial_overlaps(sets: list[np.ndarray], sizes: np.ndarray, sides: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (x * m + y, x < y) of m segments that hold a shingle in common, and how many. Sets of lengths that cannot
+    link are left out, and with two sides the pairs within a side."""
     m = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    doc = np.repeat(np.arange(m), sizes)
+    doc = np.repeat(np.arange(m), [len(s) for s in sets])
     _, number, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    order = np.argsort(counts, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    number, doc, counts = rank[number], doc, counts[order]
     shared = counts[number] > 1
     number, doc = number[shared], doc[shared]
     by_number = np.argsort(number, kind="stable")
     holders, firsts = doc[by_number], np.searchsorted(number[by_number], np.arange(len(counts) + 1))
     lists = np.split(number, np.searchsorted(doc, np.arange(1, m)))
-    cuts = np.linspace(0, len(counts), FRAGMENTS + 1).astype(np.int64)
-    forest = _Forest(m)
+    pairs, overlaps = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     two = bool((sides != sides[0]).any())
-    for x in range(m):
-        mine = np.sort(lists[x])
-        if not len(mine):
-            continue
-        overlap = np.zeros(m, np.int64)
-        for part in np.split(mine, np.searchsorted(mine, cuts[1:-1])):
-            if len(part):
-                lengths = firsts[part + 1] - firsts[part]
-                at = np.repeat(firsts[part] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
-                overlap += np.bincount(holders[at], minlength=m)
-        links = 100 * overlap >= percent * (sizes + sizes[x] - overlap)
-        links[: x + 1] = False
-        if two:
-            links &= sides != sides[x]
-        for y in np.flatnonzero(links).tolist():
-            if forest.join(x, y):
-                yield x, y
-
-
-def _links(table: pa.Table, percent: int) -> pa.Table:
-    sets = [np.frombuffer(x, "<u8") for x in column(table, "members").to_pylist()]
-    pairs = list(linked(sets, column(table, "block").to_numpy(), percent))
-    x, y = (np.array(p, np.int64) for p in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
-    high, low = column(table, "high").to_numpy(), column(table, "low").to_numpy()
-    return pa.table({"high_a": high[x], "low_a": low[x], "high_b": high[y], "low_b": low[y]})
-
-
-def jaccard_components(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = census.CHUNK_BYTES, block: int = BLOCK) -> DataFrame:
+    for x, mine in enumerate(lists):
+        if len(mine):
+            lengths = firsts[mine + 1] - firsts[mine]
+            at = np.repeat(firsts[mine] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+            overlap = np.bincount(holders[at], minlength=m)[x + 1 :]
+            near = (overlap > 0) & (100 * np.minimum(sizes[x], sizes[x + 1 :]) >= percent * np.maximum(sizes[x], sizes[x + 1 :]))
+            if two:
+                near &= sides[x + 1 :] != sides[x]
+            found = np.flatnonzero(near)
+            pairs.append(x * m + x + 1 + found)
+            overlaps.append(overlap[found])
+    return np.concatenate(pairs), np.concatenate(overlaps)
+
+
+def _groups(units: np.ndarray) -> Iterator[tuple[int, int]]:
+    cuts = np.flatnonzero(np.diff(units)) + 1
+    yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(units)])
+
+
+def _count(table: pa.Table, percent: int) -> pa.Table:
+    """The partial overlaps of the groups of one call in one fragment."""
+    table = table.sort_by([("unit", "ascending"), ("side", "ascending"), ("high", "ascending"), ("low", "ascending")]).combine_chunks()
+    units, sides, high, low, sizes = (column(table, c).to_numpy() for c in ("unit", "side", "high", "low", "n"))
+    sets = [np.frombuffer(x.as_buffer(), "<u8") for x in column(table, "members")]
+    call, fragment = (column(table, c)[0].as_py() for c in ("call", "fragment"))
+    rows = []
+    for a, b in _groups(units):
+        pairs, overlaps = partial_overlaps(sets[a:b], sizes[a:b], sides[a:b], percent)
+        named = [x[a:b].tobytes() if not fragment else b"" for x in (high, low, sizes)]
+        rows.append((int(units[a]), *named, pairs.astype("<u4").tobytes(), overlaps.astype("<u4").tobytes()))
+    unit, *parts = zip(*rows)
+    names = ("highs", "lows", "sizes", "pairs", "overlaps")
+    same = lambda value: pa.array(np.full(len(rows), value, np.int32))
+    return pa.table({"call": same(call), "unit": pa.array(unit, pa.int64()), "fragment": same(fragment), **{k: pa.array(v, pa.binary()) for k, v in zip(names, parts)}})
+
+
+LINK = ["high_a", "low_a", "high_b", "low_b"]
+
+
+def _sum(table: pa.Table, percent: int) -> pa.Table:
+    """The sums over fragments of each pair's partial overlaps, and a forest of the links of each group."""
+    table = table.sort_by([("unit", "ascending"), ("fragment", "ascending")]).combine_chunks()
+    out: list[np.ndarray] = [np.zeros((0, 4), np.int64)]
+    value = lambda name, at, kind: np.frombuffer(table.column(name)[at].as_buffer(), kind)
+    for a, b in _groups(column(table, "unit").to_numpy()):
+        high, low, sizes = (value(c, a, "<i8") for c in ("highs", "lows", "sizes"))
+        pairs = np.concatenate([value("pairs", i, "<u4") for i in range(a, b)]).astype(np.int64)
+        overlaps = np.concatenate([value("overlaps", i, "<u4") for i in range(a, b)])
+        pairs, at = np.unique(pairs, return_inverse=True)
+        overlap = np.bincount(at, weights=overlaps, minlength=len(pairs)).astype(np.int64)
+        x, y = np.divmod(pairs, len(sizes))
+        links = 100 * overlap >= percent * (sizes[x] + sizes[y] - overlap)
+        forest = _Forest(len(sizes))
+        found = [(i, j) for i, j in zip(x[links].tolist(), y[links].tolist()) if forest.join(i, j)]
+        if found:
+            i, j = np.array(found, np.int64).T
+            out.append(np.stack([high[i], low[i], high[j], low[j]], axis=1))
+    return pa.table(dict(zip(LINK, np.concatenate(out).T.copy())))
+
+
+def _links(tasks: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+    """Links of groups: ``tasks`` has (unit, side, high, low, n), a row for each set of a group."""
+    rows, shingles = tasks.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    calls = max(1, math.ceil(rows / CALL_SETS), math.ceil(shingles / CALL_SHINGLES))
+    cut = tasks.join(segments, ["high", "low"]).withColumn("call", F.pmod(F.xxhash64("unit"), F.lit(calls)).cast("int"))
+    counted = cut.groupBy("call", "fragment").applyInArrow(lambda table: released(_count(table, percent)), PARTIAL)
+    return counted.groupBy("call").applyInArrow(lambda table: released(_sum(table, percent)), ", ".join(f"{c} long" for c in LINK))
+
+
+def _blocks(block: int) -> Column:
+    return F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+
+
+def _own_block(blocks: str = "blocks") -> Column:
+    return F.pmod(F.xxhash64("high", "low"), F.col(blocks)).cast("int").alias("block")
+
+
+SET = ["high", "low", "n"]
+
+
+def _first_groups(sets: DataFrame, block: int) -> DataFrame:
+    """Groups of large families: the blocks of a band of lengths, each with leaders of its band and the band before."""
+    sizes = sets.groupBy("label", "band").agg(_blocks(block))
+    unit = lambda: F.xxhash64("label", "band", "block").alias("unit")
+    own = sets.join(sizes, ["label", "band"]).withColumn("block", _own_block())
+    heads = sets.groupBy("label", "band", F.pmod(F.xxhash64("low", "high"), F.lit(LEADERS)).alias("salt")).agg(F.min(F.struct(*SET)).alias("set"))
+    heads = heads.select("label", "band", "set.*")
+    both = heads.withColumn("off", F.lit(0)).unionByName(heads.select("label", F.col("band") + 1, *SET, F.lit(1).alias("off")).toDF("label", "band", *SET, "off"))
+    led = both.join(sizes, ["label", "band"]).withColumn("mine", _own_block()).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    led = led.filter("off = 1 OR block <> mine")
+    return own.select(unit(), F.lit(0).alias("side"), *SET).unionByName(led.select(unit(), F.lit(0).alias("side"), *SET))
+
+
+def _second_groups(meets: DataFrame, block: int) -> DataFrame:
+    """Groups at one shingle (shingle, high, low, n, band, part): pairs of blocks, the first of sets outside the part in
+    which most sets are. Shingles at which the same sets meet count once."""
+    parts = meets.groupBy("shingle", "part").agg(F.count(F.lit(1)).alias("c"), *[F.bit_xor(x).alias(x) for x in ("high", "low")])
+    at = parts.groupBy("shingle").agg(F.max(F.struct("c", "part")).alias("most"), F.count(F.lit(1)).alias("parts"), F.sum("c").alias("c"), *[F.bit_xor(x).alias(x) for x in ("high", "low")])
+    at = at.filter("parts > 1").groupBy("c", "high", "low").agg(F.min(F.struct("shingle", F.col("most.part").alias("main"))).alias("s")).select("s.*")
+    sets = stash(meets.join(at, "shingle").withColumn("outside", F.col("part") != F.col("main")).drop("part", "main"), "jaccard-meets")
+    key = ["shingle", "band", "outside"]
+    sizes = sets.groupBy(*key).agg(_blocks(block))
+    rows = sets.join(sizes, key).withColumn("block", _own_block())
+    places = stash(sizes.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks"), "jaccard-blocks")
+    one, two = (places.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("band", "outside", "block")]) for s in "ab")
+    near = (F.abs(F.col("band_a") - F.col("band_b")) <= 1) & (~F.col("outside_b") | (F.struct("band_a", "block_a") <= F.struct("band_b", "block_b")))
+    pairs = one.filter("outside_a").join(two, "shingle").filter(near)
+    pairs = pairs.withColumn("unit", F.xxhash64("shingle", "band_a", "block_a", "band_b", "outside_b", "block_b"))
+
+    def side(s: str, number: int) -> DataFrame:
+        here = pairs if s == "a" else pairs.filter(~F.col("outside_b") | (F.col("band_a") != F.col("band_b")) | (F.col("block_a") != F.col("block_b")))
+        here = here.select("shingle", *[F.col(f"{c}_{s}").alias(c) for c in ("band", "outside", "block")], "unit")
+        return rows.join(here, [*key, "block"]).select("unit", F.lit(number).alias("side"), *SET)
+
+    return side("a", 0).unionByName(side("b", 1))
+
+
+def jaccard_components(
+    docs: DataFrame,
+    percent: int = 90,
+    n: int = 3,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    chunk_bytes: int = census.CHUNK_BYTES,
+    block: int = BLOCK,
+    fragments: int = FRAGMENTS,
+) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     dealt, buckets = census.chunked(docs, id_col, text_col, chunk_bytes)
-    counted = census.replies(dealt, buckets, lambda table: Sets(table, n).distinct())
-    found = stash(dealt.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(lambda left, right: released(_select(left, right, n, percent)), ROWS), "jaccard")
+    counted = stash(census.replies(dealt, buckets, lambda table: Sets(table, n).distinct()), "jaccard-counts")
+    pivots = _pivots(counted, fragments)
+    found = stash(dealt.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(lambda left, right: released(_select(left, right, n, percent, pivots)), ROWS), "jaccard")
 
     set_of = ["high", "low"]
     nodes = stash(found.filter(F.col("kind") == DOC).filter("n > 0").groupBy(*set_of).agg(F.min("doc_id").alias("node")), "nodes")
-    families = _families(found.filter(F.col("kind") == MEETS))
-    sizes = families.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    members = found.filter(F.col("kind") == MEMBERS).groupBy(*set_of).agg(F.first("members").alias("members"))
-    members = members.join(families.join(sizes, "label"), F.col("high") == F.col("node"))
-    own = F.pmod(F.xxhash64(*set_of), F.col("blocks")).cast("int")
-    dealt_out = members.select(*set_of, "members", "label", own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tasks = dealt_out.withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")}).drop("other")
-    links = tasks.groupBy("label", "one", "two").applyInArrow(lambda table: released(_links(table, percent)), "high_a long, low_a long, high_b long, low_b long")
+    meets, parts = found.filter(F.col("kind") == MEETS), found.filter(F.col("kind") == SEGMENT)
+    families = _families(meets)
+    segments = parts.groupBy(*set_of, "fragment").agg(F.first("members").alias("members"))
+    sets = parts.filter("fragment = 0").groupBy(*set_of).agg(F.first("n").alias("n")).join(families.withColumnRenamed("node", "high"), "high")
+    large = ((F.col("count") > block) | (F.col("shingles") > BLOCK_SHINGLES)).alias("large")
+    sizes = sets.groupBy("label").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("shingles")).filter("count > 1").select("label", large)
+    # Sets that can link differ in length by a factor of 100 / percent, which is one band, at most.
+    band = F.floor(F.log("n") / F.lit(max(math.log(100 / percent), 1e-9) * (1 + 1e-9))).alias("band")
+    sets = stash(sets.join(sizes, "label").select(*SET, "label", "large", band), "jaccard-sets")
+    links = _links(sets.filter("NOT large").select(F.col("label").alias("unit"), F.lit(0).alias("side"), *SET), segments, percent)
+    many = sets.filter("large")
+    if not many.isEmpty():
+        first = stash(_links(stash(_first_groups(many, block), "jaccard-first"), segments, percent), "jaccard-links")
+        name = lambda s: F.concat(F.hex(f"high{s}"), F.lit(" "), F.hex(f"low{s}"))
+        parts_of = components(first.select(name("_a").alias("a"), name("_b").alias("b"))).withColumnRenamed("label", "part")
+        left = meets.select(*set_of, "shingle").join(many.select(*SET, "band"), set_of).withColumn("node", name("")).join(parts_of, "node", "left")
+        left = left.select("shingle", *SET, "band", F.coalesce("part", "node").alias("part"))
+        second = _links(stash(_second_groups(stash(left, "jaccard-left"), block), "jaccard-second"), segments, percent)
+        links = links.unionByName(first).unionByName(second)
 
     a, b = (nodes.select(F.col("high").alias(f"high_{s}"), F.col("low").alias(f"low_{s}"), F.col("node").alias(s)) for s in "ab")
     links = links.join(a, ["high_a", "low_a"]).join(b, ["high_b", "low_b"]).select("a", "b")
