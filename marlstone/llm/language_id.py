@@ -5,22 +5,27 @@ Each language has a variable-order context model over bytes. A context of up to
 probability d / (n + d) (method C: n symbols seen in the context, d of them
 distinct) it passes to the next shorter context, and below the empty context to
 a uniform distribution over 256 bytes. Statistics are frozen after learning, so
-the cost of a byte depends only on the bytes before it, and the tree compiles to
-tables: two bytes of context choose a row directly, a third refines it where a
-deeper context exists in the tree. Costs are fixed-point code lengths (1/2048
-bit), so a text's code length is an exact integer sum, the same in any order
-and in any batch; whole texts are scored.
+the cost of a byte depends only on the bytes before it, and a language's tree
+compiles to a row of costs for each context that the language has: two bytes of
+context choose a node, a third refines it where the deeper context is in a tree,
+and a node points to the row of its longest suffix in the language's own tree.
+Costs are fixed-point code lengths (1/65536 bit, up to 65,536 bits), so a text's
+code length is an exact integer sum, the same in any order and in any batch;
+whole texts are scored.
 
 The learned language with the shortest code wins (ties: the smaller name); the
 score is its posterior under equal priors, 1 / sum of 2^-(difference in bits).
 
 Learning uses a bounded sample: per language the ``sample_docs`` labelled
 documents of smallest md5 of their id, whole texts, cut off only by
-``sample_bytes`` a language (whole documents up to that sum).
+``sample_bytes`` a language (whole documents up to that sum). The contexts of a
+language, and so its table, are bounded by its sample; more than ``most_langs``
+languages are refused.
 
 Cases: a null text or one without a letter is ``und`` with score 0; with no
-learned language every text is ``und``; a null lang is not learned from; other
-columns are left out.
+learned language every text is ``und``; a null lang is not learned from; rows
+with equal ids are scored one by one; an empty table gives none; other columns
+are left out.
 """
 
 from __future__ import annotations
@@ -29,13 +34,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import by_bytes, bytes_of, texts_of
 
-#: Fixed point of a code length: units in a bit; a cost is at most what 16 bits hold, some 31 bits.
-UNITS = 2048
+#: Fixed point of a code length: units in a bit. A cost fits in 32 bits whatever the sample: 65,536 bits.
+UNITS = 1 << 16
+#: Bits of a byte in the uniform code, and by how many bits of a text it must win before the text counts as of no language.
+UNIFORM, EVIDENCE = 8, 64
 UNDETERMINED = "und"
 
 
@@ -44,11 +50,12 @@ def held_out(doc_id="doc_id"):
 
 
 class Trees:
-    """Context models of order 3 of several languages, compiled into one table of costs.
+    """Context models of order 3 of several languages, compiled into tables of costs.
 
-    Bytes are ranked: those seen in learning get a rank, all others share one, whose cost is
-    that of a byte never seen. Contexts are ``rank[i-2] * R + rank[i-1]`` refined by ``rank[i-3]``;
-    a text starts as if after line feeds.
+    Bytes are ranked: those seen in learning get a rank, all others share one, whose cost is that of a byte never
+    seen. Nodes are contexts of two ranks, ``rank[i-2] * R + rank[i-1]``, and deeper ones, refined by ``rank[i-3]``,
+    that occur ``min_count`` times or more in all samples; a text starts as if after line feeds. A language has a row
+    of costs for each of its own contexts, and for each node the place of the row that applies.
     """
 
     def __init__(self, samples: dict[str, list[bytes]], min_count: int = 3):
@@ -61,37 +68,58 @@ class Trees:
         self.rank = np.full(256, int(seen.sum()), np.int64)
         self.rank[seen] = np.arange(int(seen.sum()))
         self.size = R = int(seen.sum()) + 1
-        ranked = {}
-        for lang in self.langs:
-            ranked[lang] = [np.concatenate([np.full(3, self.rank[10]), self.rank[np.frombuffer(t, np.uint8)]]) for t in samples[lang]]
-        deep = np.zeros(R**3, np.int64)
-        for texts in ranked.values():
-            for x in texts:
-                deep += np.bincount((x[:-3] * R + x[1:-2]) * R + x[2:-1], minlength=R**3)
-        self.deeper = np.full(R**3, -1, np.int32)
-        own = np.flatnonzero(deep >= min_count)
+        places = {lang: self._places(samples[lang]) for lang in self.langs}
+        contexts, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *(deep for deep, _ in places.values())]), return_counts=True)
+        own = contexts[counts >= min_count]
+        # Of all contexts of three bytes the node: its own, or that of its last two bytes.
+        self.deeper = np.tile(np.arange(R * R, dtype=np.int32), R)
         self.deeper[own] = R * R + np.arange(len(own), dtype=np.int32)
-        shallow = np.flatnonzero(self.deeper < 0)
-        self.deeper[shallow] = (shallow % (R * R)).astype(np.int32)
-        costs = [self._costs(ranked[lang], own) for lang in self.langs]
-        self.costs = np.stack(costs, axis=1) if costs else np.zeros((0, 0), np.uint16)
-
-    def _costs(self, texts: list[np.ndarray], own: np.ndarray) -> np.ndarray:
-        """Cost of each rank after each row's context."""
+        self.rows, self.costs = [], []
+        for lang in self.langs:
+            rows, costs = self._compiled(*places[lang], own)
+            self.rows.append(rows)
+            self.costs.append(costs)
+
+    def _places(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """For each byte of a language's sample its context of three ranks, as one number, and its rank."""
+        R, first = self.size, np.full(3, self.rank[10])
+        ranked = [np.concatenate([first, self.rank[np.frombuffer(t, np.uint8)]]) for t in texts]
+        join = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])
+        return join([(x[:-3] * R + x[1:-2]) * R + x[2:-1] for x in ranked]), join([x[3:] for x in ranked])
+
+    def _compiled(self, deep: np.ndarray, symbol: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each node the place of its row, and all rows of costs, one after another."""
         R = self.size
-        zero, one, two, three = np.zeros(R), np.zeros((R, R)), np.zeros((R * R, R)), np.zeros((len(own), R))
-        for x in texts:
-            zero += np.bincount(x[3:], minlength=R)
-            one += np.bincount(x[2:-1] * R + x[3:], minlength=R * R).reshape(R, R)
-            two += np.bincount((x[1:-2] * R + x[2:-1]) * R + x[3:], minlength=R**3).reshape(R * R, R)
-            row = self.deeper[(x[:-3] * R + x[1:-2]) * R + x[2:-1]] - R * R
-            at = row >= 0
-            three += np.bincount(row[at] * R + x[3:][at], minlength=three.size).reshape(three.shape)
-        p = _after(zero, np.full(R, 1 / 256))
-        p1 = _after(one, p[None, :])
-        p2 = _after(two, np.tile(p1, (R, 1)))
-        p3 = _after(three, p2[own % (R * R)])
-        return np.minimum(np.round(-np.log2(np.concatenate([p2, p3])) * UNITS), 2**16 - 1).astype(np.uint16).reshape(-1)
+        below = np.full((1, R), 1 / 256)
+        tables, row = [], np.zeros(1, np.int64)  # of each context of the order at hand, the row that applies
+        total = 0
+        for order in range(4):
+            context = deep % R**order
+            if order == 3:
+                at = np.searchsorted(own, context)
+                kept = at < len(own)
+                kept[kept] = own[at[kept]] == context[kept]
+                context, after = context[kept], symbol[kept]
+            else:
+                after = symbol
+            known, number = np.unique(context, return_inverse=True)
+            counts = np.bincount(number * R + after, minlength=len(known) * R).reshape(-1, R).astype(np.float64)
+            if order == 0:
+                p, known = _after(counts if len(counts) else np.zeros((1, R)), below), np.zeros(1, np.int64)
+                before = row
+            else:
+                # Ranges of contexts one byte longer, all on the row of their suffix until they have their own.
+                before = np.tile(row, R) if order < 3 else row[own % R**2]
+                at = known if order < 3 else np.searchsorted(own, known)
+                p = _after(counts, np.concatenate(tables)[before[at]]) if len(known) else np.zeros((0, R))
+            row = before.copy()
+            row[known if order < 3 else np.searchsorted(own, known)] = total + np.arange(len(known))
+            if order == 2:
+                two = row
+            total += len(known)
+            tables.append(p)
+        costs = np.round(-np.log2(np.concatenate(tables)) * UNITS).astype(np.uint32).reshape(-1)
+        return (np.concatenate([two, row]) * R).astype(np.int32 if len(costs) < 2**31 else np.int64), costs
 
     def code_lengths(self, raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Units of each text (rows) in each language (columns). ``ends``: offsets of the texts in ``raw``."""
@@ -109,9 +137,12 @@ class Trees:
                 at = starts + j
                 b[at[at < len(x)]] = first
             before.append(b)
-        row = self.deeper[(before[2] * R + before[1]) * R + before[0]].astype(np.int64) * R + x
-        cost = np.concatenate([self.costs[row], np.zeros((1, len(self.langs)), np.uint16)])
-        out = np.add.reduceat(cost, ends[:-1], axis=0, dtype=np.int64)
+        node = self.deeper[(before[2] * R + before[1]) * R + before[0]]
+        out = np.empty((n, len(self.langs)), np.int64)
+        cost = np.zeros(len(x) + 1, np.uint32)
+        for i, (rows, costs) in enumerate(zip(self.rows, self.costs)):
+            np.take(costs, rows[node] + x, out=cost[:-1])
+            out[:, i] = np.add.reduceat(cost, ends[:-1], dtype=np.int64)
         out[np.diff(ends) == 0] = 0
         return out
 
@@ -124,13 +155,15 @@ def _after(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
     return counts / np.maximum(n + d, 1) + escape * shorter
 
 
-def _smallest(rows: DataFrame, n: int) -> list[tuple[str, str, int]]:
+def _smallest(rows: DataFrame, n: int, most_langs: int = 1000) -> list[tuple[str, str, int]]:
     """(lang, pick, doc_id): the n smallest picks of each language, in order.
 
     ``pick`` is hexadecimal and evenly spread, so a bound on its leading digits that should leave 2n of a language's
     rows goes into the filter, and no more than these reach the driver, whatever the rows and tasks; a language that
     is left with too few is asked again with a bound twice as large."""
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_langs + 1).collect()}
+    if len(counts) > most_langs:
+        raise ValueError(f"more than {most_langs} languages: raise most_langs, or see whether the column holds languages")
     share = {lang: min(1.0, 2 * n / count) for lang, count in counts.items()}
     out: list[tuple[str, str, int]] = []
     while share:
@@ -146,11 +179,11 @@ def _smallest(rows: DataFrame, n: int) -> list[tuple[str, str, int]]:
     return sorted(out)
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 300, sample_bytes: int = 1 << 20) -> Trees:
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 300, sample_bytes: int = 1 << 20, most_langs: int = 1000) -> Trees:
     """Models from the labelled documents that are not held out; the sample is bounded by its two parameters."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    chosen = _smallest(rows.select("lang", "doc_id", F.md5(F.col("doc_id").cast("string")).alias("pick")), sample_docs)
+    chosen = _smallest(rows.select("lang", "doc_id", F.md5(F.col("doc_id").cast("string")).alias("pick")), sample_docs, most_langs)
     ids = sorted({d for _, _, d in chosen})
     # Only the chosen documents' texts are read; of rows with one id the smallest text.
     found = rows.filter(F.col("doc_id").isin(ids)).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect() if ids else []
@@ -193,7 +226,10 @@ def predict(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str
 
 
 def keep_identified(docs: DataFrame, trees: Trees, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose text has a language, with all their columns; a null lang becomes the one found."""
+    """The rows of ``docs`` whose text has a language, with all their columns and as ``lang`` the language predicted.
+
+    A text has none if it is null or has no letter, or if every language's model needs more bits for it than the
+    uniform code, eight for a byte, by ``EVIDENCE`` bits: then no model has anything to say of it."""
     langs = trees.langs
     shared = docs.sparkSession.sparkContext.broadcast(trees)
     place = docs.columns.index(lang_col)
@@ -201,10 +237,10 @@ def keep_identified(docs: DataFrame, trees: Trees, text_col: str = "text", lang_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, text_col, most=1 << 20):
             raw, ends = bytes_of(texts_of(batch, text_col))
-            best = shared.value.code_lengths(raw, ends).argmin(axis=1)
-            label = batch.column(lang_col)
-            found = pa.array([langs[i] for i in best.tolist()], label.type)
-            yield batch.set_column(place, batch.schema.field(lang_col), pc.coalesce(label, found))
+            cost = shared.value.code_lengths(raw, ends)
+            found = pa.array([langs[i] for i in cost.argmin(axis=1).tolist()], batch.column(lang_col).type)
+            known = cost.min(axis=1) <= UNITS * (UNIFORM * np.diff(ends) + EVIDENCE)
+            yield batch.set_column(place, batch.schema.field(lang_col), found).filter(pa.array(known))
 
     if not langs:
         return docs.filter(F.lit(False))
