@@ -1,19 +1,24 @@
 r"""Operator 1: format-preserving pseudonyms for personal data, in DataFrame functions only.
 
-One pattern finds candidates; each is validated by kind (with ``check_luhn`` a Luhn sum, the IBAN
-remainder, octets below 256, a real calendar date) and replaced by the image of
+One pattern finds candidates; each is validated by kind (a Luhn sum, the IBAN
+remainder, the areas, groups and serials that are issued, octets below 256, a real
+calendar date) and replaced by the image of
 a keyed permutation of its own format, so the same value has the same pseudonym
 in every document, and different values of a kind have different ones:
 
-* payment and account numbers of 13 to 19 digits: all digits but the last are
-  permuted; the last keeps its distance from the Luhn digit, so valid numbers
-  stay valid and others stay invalid; with ``check_luhn`` only valid ones are finds and
-  others stay byte for byte (without it account numbers, which have no Luhn digit, count too);
+* payment numbers of 13 to 19 digits with a right Luhn digit: all digits but the
+  last are permuted, and the last is made anew; other numbers of that form (order
+  numbers, times in milliseconds, ISBNs) stay byte for byte;
 * IBANs of right remainder: the digits after the fourth character are permuted
   and the two check digits made anew;
-* telephone numbers (the country code stays) and social security numbers: digits;
+* social security numbers: area (001 to 899 but 666), group (01 to 99) and serial
+  (0001 to 9999), as three digits of bases 898, 99 and 9999, so that a pseudonym is
+  a number that could be issued too;
+* telephone numbers, which have no check digit: the pattern decides, the country
+  code stays, the last ten digits are permuted;
 * IPv4 addresses: the four octets;
 * e-mail addresses: letters and digits of the local part, each within its class;
+  the domain stays in clear text;
 * hexadecimal secrets of 32 to 128 digits: digits of base 16;
 * dates (YYYY-MM-DD, DD.MM.YYYY, DD/MM/YYYY) of the years 1700 to 2099, the 146,097
   days of a Gregorian cycle: the day's number, as two digits of bases 189 and 773.
@@ -23,7 +28,9 @@ digits fall into two halves, and each of ten rounds adds to the digits of one
 half, modulo their bases, a keyed SHA-512 of the other. Every round is
 invertible, so the whole is a permutation of the format whatever the bases.
 
-It is a projection: no shuffle, no state, no Python on the executors. Patterns
+It is a projection: no shuffle, no state, no Python on the executors. The key is
+a literal of the plan: a session whose plans are logged should name it in
+``spark.sql.redaction.string.regex``. Patterns
 begin behind a look-behind and use possessive runs, so that a long run of
 characters costs time in proportion to its length.
 
@@ -107,8 +114,7 @@ def _luhn(payload: Column) -> Column:
 def _number(text: Column, key: str) -> Column:
     def made(d: Column) -> Column:
         payload = F.slice(d, F.lit(1), F.size(d) - 1)
-        off = F.pmod(F.element_at(d, -1) - _luhn(payload), F.lit(10))
-        return _let(permute(payload, _tens(payload), key, "number"), lambda p: F.concat(p, F.array(F.pmod(_luhn(p) + off, F.lit(10)))))
+        return _let(permute(payload, _tens(payload), key, "number"), lambda p: F.concat(p, F.array(_luhn(p))))
 
     return _let(_let(_digits(text), made), lambda d: _refill(text, d))
 
@@ -121,8 +127,20 @@ def _phone(text: Column, key: str) -> Column:
     return _let(_let(_digits(text), made), lambda d: _refill(text, d))
 
 
-def _plain_digits(text: Column, key: str, tweak: str) -> Column:
-    return _let(_let(_digits(text), lambda d: permute(d, _tens(d), key, tweak)), lambda d: _refill(text, d))
+def _ssn_parts(text: Column) -> Column:
+    """Area, group and serial."""
+    return F.transform(F.split(text, "-"), lambda x: x.cast("int"))
+
+
+def _ssn_valid(text: Column) -> Column:
+    return _let(_ssn_parts(text), lambda p: p[0].between(1, 899) & (p[0] != 666) & (p[1] > 0) & (p[2] > 0))
+
+
+def _ssn(text: Column, key: str) -> Column:
+    ranked = _let(_ssn_parts(text), lambda p: F.array(p[0] - F.when(p[0] > 666, 2).otherwise(1), p[1] - 1, p[2] - 1))
+    moved = _let(ranked, lambda r: permute(r, F.array(F.lit(898), F.lit(99), F.lit(9999)), key, "ssn"))
+    padded = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    return _let(moved, lambda m: F.concat_ws("-", padded(m[0] + F.when(m[0] >= 665, 2).otherwise(1), 3), padded(m[1] + 1, 2), padded(m[2] + 1, 4)))
 
 
 def _octets(text: Column) -> Column:
@@ -204,15 +222,15 @@ def _luhn_valid(text: Column) -> Column:
     return _let(_digits(text), lambda d: F.element_at(d, -1) == _luhn(F.slice(d, F.lit(1), F.size(d) - 1)))
 
 
-def kind(text: Column, check_luhn: bool = False) -> Column:
+def kind(text: Column) -> Column:
     """The kind of a candidate, or null if its validation fails."""
     return (
         F.when(text.contains("@"), F.lit("email"))
         .when(_whole(text, IPV4), F.when(F.forall(_octets(text), lambda o: o < 256), F.lit("ipv4")))
         .when(_whole(text, DATE), F.when(_day(text).isNotNull(), F.lit("date")))
-        .when(_whole(text, SSN), F.lit("ssn"))
+        .when(_whole(text, SSN), F.when(_ssn_valid(text), F.lit("ssn")))
         .when(_whole(text, PHONE), F.lit("phone"))
-        .when(_whole(text, NUMBER), F.when(_luhn_valid(text), F.lit("number")) if check_luhn else F.lit("number"))
+        .when(_whole(text, NUMBER), F.when(_luhn_valid(text), F.lit("number")))
         .when(_whole(text, SECRET), F.lit("secret"))
         .when(_whole(text, IBAN), F.when(_remainder(_bare(text)) == 1, F.lit("iban")))
     )
@@ -223,7 +241,7 @@ def pseudonym(text: Column, kind_: Column, key: str) -> Column:
         F.when(kind_ == "email", _email(text, key))
         .when(kind_ == "ipv4", _ipv4(text, key))
         .when(kind_ == "date", _date(text, key))
-        .when(kind_ == "ssn", _plain_digits(text, key, "ssn"))
+        .when(kind_ == "ssn", _ssn(text, key))
         .when(kind_ == "phone", _phone(text, key))
         .when(kind_ == "number", _number(text, key))
         .when(kind_ == "secret", _secret(text, key))
@@ -232,12 +250,12 @@ def pseudonym(text: Column, kind_: Column, key: str) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", finds_col: str = "finds", check_luhn: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", finds_col: str = "finds") -> DataFrame:
     """The table with its text pseudonymised and ``finds_col``, an array of (kind, pseudonym) in order."""
     text = F.col(text_col)
     # Only texts with a digit or an at sign can hold a candidate.
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    replaced = F.transform(found, lambda m: _let(kind(m, check_luhn), lambda k: F.struct(k.alias("kind"), pseudonym(m, k, key).alias("pseudonym"))))
+    replaced = F.transform(found, lambda m: _let(kind(m), lambda k: F.struct(k.alias("kind"), pseudonym(m, k, key).alias("pseudonym"))))
     between = F.split(text, ANY, -1)
     joined = F.zip_with(between, F.transform(F.col("_found"), lambda x: x["pseudonym"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     some = F.size("_found") > 0
@@ -247,7 +265,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", finds_col: s
     return out.withColumn(finds_col, finds).drop("_found")
 
 
-def pseudonyms(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", check_luhn: bool = False) -> DataFrame:
+def pseudonyms(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, text (pseudonymised), finds, n_finds."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return pseudonymise(rows, key, check_luhn=check_luhn).withColumn("n_finds", F.size("finds").cast("long"))
+    return pseudonymise(rows, key).withColumn("n_finds", F.size("finds").cast("long"))

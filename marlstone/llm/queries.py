@@ -25,12 +25,12 @@ DEMONSTRATION_KEY = "marlstone demonstration key"
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.pseudonyms(table(spark, sf_dir, "documents"), DEMONSTRATION_KEY, check_luhn=True)
+    found = pii.pseudonyms(table(spark, sf_dir, "documents"), DEMONSTRATION_KEY)
     return found.select("doc_id", "text", "n_finds", F.array_join("finds.kind", " ").alias("kinds"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), equal_chars=1)
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", "n_near", F.sha2("text", 256).alias("kept_sha256"))
 
 
@@ -87,6 +87,6 @@ ORACLE_SQL = {
     "op10_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-               doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+               row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)""",
 }
