@@ -19,7 +19,7 @@ def brute(rows):
     out = []
     for text, ids in groups.items():
         keep = min((i for i in ids if i is not None), default=None)
-        out += [(d, keep, len(ids), d == keep, hashlib.sha256(text.encode()).hexdigest()) for d in ids]
+        out += [(d, keep, len(ids), i == ids.index(keep), hashlib.sha256(text.encode()).hexdigest()) for i, d in enumerate(ids)]
     return sorted(out, key=repr)
 
 
