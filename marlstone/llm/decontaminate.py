@@ -6,15 +6,18 @@ Aho-Corasick automaton over all pieces finds the exact hits in one pass over eac
 whole text; around a hit, Myers' bit-parallel algorithm (the item in one long
 machine number) finds the end and the distance of the best occurrence. Texts and
 items are compared in lower case with every run of characters that are neither
-letters nor digits as one space.
+letters nor digits as one space. An item of fewer than `min_chars` normalised
+characters is a string that many words hold by chance: it counts only unchanged
+and as whole words.
 
 The items are the stated query set: they are read in blocks of at most
 `block_bytes` of text, and each block is matched against every row, so neither the
-driver nor a task ever holds more than one block. There is no shuffle.
+driver's Python nor a task ever holds more than one block. There is no shuffle; each
+further block is one more scan of the rows, and its items stay in a broadcast, which
+Spark may keep on disk, until the query is done.
 
 Cases: a null or empty text has no hit, nor has an item without letters or
-digits; an item of fewer than `min_chars` normalised characters is too common a
-string to be evidence and is not searched; several items of one text each hit;
+digits; several items of one text each hit;
 occurrences of one item in one text are reported once each, by their place;
 repeated rows give repeated hits; empty tables give none; other columns are left
 out of the hits and kept by `drop_contaminated`.
@@ -64,8 +67,8 @@ def best_end(masks: dict[str, int], size: int, text: str, most: int) -> tuple[in
 
 
 class Item:
-    def __init__(self, item_id: int, text: str, edits: int):
-        self.item_id, self.text, self.edits = item_id, text, edits
+    def __init__(self, item_id: int, text: str, edits: int, words: bool = False):
+        self.item_id, self.text, self.edits, self.words = item_id, text, edits, words
         self.masks: dict[str, int] = {}
         for i, c in enumerate(text):
             self.masks[c] = self.masks.get(c, 0) | 1 << i
@@ -81,7 +84,7 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], chars_per_edit: int, min_chars: int):
         import ahocorasick
 
-        self.items = [Item(i, t, len(t) // chars_per_edit) for i, t in ((i, normalise(t or "")) for i, t in items) if len(t) >= max(min_chars, 1)]
+        self.items = [Item(i, t, len(t) // chars_per_edit if len(t) >= min_chars else 0, len(t) < min_chars) for i, t in ((i, normalise(t or "")) for i, t in items) if t]
         by_piece: dict[str, list[tuple[Item, int]]] = {}
         for item in self.items:
             for offset, piece in item.pieces():
@@ -103,7 +106,10 @@ class Matcher:
                 if start < covered.get(item.item_id, 0):
                     continue
                 at, n, k = start - offset, len(item.text), item.edits
-                if at >= 0 and text.startswith(item.text, at):
+                if item.words:
+                    whole = (not start or text[start - 1] == " ") and text[last + 1 : last + 2] in ("", " ")
+                    best = (0, last + 1) if whole else None
+                elif at >= 0 and text.startswith(item.text, at):
                     best = (0, at + n)
                 elif tried.get(item.item_id) == at:
                     continue

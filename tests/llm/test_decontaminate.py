@@ -64,6 +64,18 @@ def test_awkward_rows(spark):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "!!!"), (4, "short"), (5, TEXT), (6, TEXT), (7, "one two three four five six seven")], "item_id long, text string")
     hits = decontaminate.find_contamination(docs, bench).collect()
     assert {(r.doc_id, r.item_id, r.edits) for r in hits} == {(13, 7, 0)} and len(hits) == 2  # it stands there twice
+
+
+def test_short_items_count_as_whole_words(spark):
+    docs = spark.createDataFrame([(1, "What is a Cat?"), (2, "concatenate cats"), (3, "a cat"), (4, "CAT"), (5, "the quick brown foxes (and so on)"), (6, "the, quick brown fox"), (7, "cat cat x cat")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "cat"), (2, "The quick brown fox!")], "item_id long, text string")
+    found = sorted((r.doc_id, r.item_id, r.start, r.end, r.edits) for r in decontaminate.find_contamination(docs, bench).collect())
+    assert found == [(1, 1, 10, 13, 0), (3, 1, 2, 5, 0), (4, 1, 0, 3, 0), (6, 2, 0, 19, 0), (7, 1, 0, 3, 0), (7, 1, 4, 7, 0), (7, 1, 10, 13, 0)]
+
+
+def test_drop_awkward_rows(spark):
+    docs = awkward(spark)
+    bench = spark.createDataFrame([(1, None), (2, ""), (3, "!!!"), (4, "short"), (5, TEXT), (6, TEXT), (7, "one two three four five six seven")], "item_id long, text string")
     clean = decontaminate.drop_contaminated(docs, bench)
     assert clean.columns == docs.columns and clean.count() == docs.count() - 1
     assert decontaminate.find_contamination(nothing(spark), bench).collect() == []
