@@ -17,10 +17,10 @@ many pairs at a time.
 
 A line goes if the same line stands earlier in the corpus, or if a line within
 TAU edits of it first stands earlier, in the order of document id and line.
-Shorter lines of at least ``equal_chars`` characters are compared for equality
-only (default: none are; 1: every line that is not blank).
+Shorter lines, down to ``equal_chars`` characters (default: every line that is not
+blank), are compared for equality only.
 
-Cases: a null text has no lines; lines under both bounds, and blank ones, stay and
+Cases: a null text has no lines; blank lines, and lines under both bounds, stay and
 are not compared; an empty text stays empty; rows with equal ids count
 as one document, whose equal lines stay in each; lines of any length are taken;
 an empty table gives none; other columns pass through.
@@ -299,8 +299,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class LineJoin:
     """The chunks of a corpus, its lines, and the links between different lines (written once, read by all that follows)."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, chunk_bytes: int = census.CHUNK_BYTES, equal_chars: int | None = None):
-        equal_chars = min_chars if equal_chars is None else max(1, equal_chars)
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, chunk_bytes: int = census.CHUNK_BYTES, equal_chars: int = 1):
+        equal_chars = max(1, equal_chars)
         rows = docs.select(F.struct(F.lit(None).cast("boolean").alias("_"), *[F.col(c) for c in docs.columns if c != text_col]).alias("rest"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(text_col).isNull().alias("was_null"))
         chunks = census.chunk_count(docs, text_col, chunk_bytes)
         buckets = -(-chunks // (4 * census.CHUNKS_PER_BUCKET))  # a line sends a few keys, not one for each word
@@ -372,12 +372,12 @@ class LineJoin:
         return dealt.groupBy("chunk").cogroup(self.removals().groupBy("chunk")).applyInArrow(apply, schema)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, chunk_bytes: int = census.CHUNK_BYTES, equal_chars: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, chunk_bytes: int = census.CHUNK_BYTES, equal_chars: int = 1) -> DataFrame:
     """One row per document: doc_id, text (without the lines that go), n_lines, n_removed, n_near (removed for a line that is not the same)."""
     return LineJoin(docs.select(id_col, text_col), id_col, text_col, min_chars, chunk_bytes, equal_chars).cut().drop("rest")
 
 
-def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, equal_chars: int | None = None) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, equal_chars: int = 1) -> DataFrame:
     """``docs`` with its texts cut, all columns kept; a document of which no word is left goes."""
     cut = LineJoin(docs, id_col, text_col, min_chars, equal_chars=equal_chars).cut()
     kept = cut.filter(F.col("text").isNull() | (F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))

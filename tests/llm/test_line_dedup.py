@@ -20,15 +20,15 @@ def distance(a, b):
     return row[-1]
 
 
-def brute(rows, least):
+def brute(rows, least, equal=1):
     places = {}
     rank = lambda d: (d is None, d or 0)
     for d, t in rows:
         for n, line in enumerate((t or "").split("\n")):
-            if len(line.strip()) >= least:
+            if len(line.strip()) >= min(least, equal):
                 places.setdefault(line.strip(), []).append((rank(d), n))
     first = {s: min(p) for s, p in places.items()}
-    lines, later, links = list(first), set(), 0
+    lines, later, links = [s for s in first if len(s) >= least], set(), 0
     for i, a in enumerate(lines):
         for b in lines[:i]:
             if abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2:
@@ -40,7 +40,7 @@ def brute(rows, least):
         parts = t.split("\n") if t else []
         for n, line in enumerate(parts):
             s = line.strip()
-            if len(s) >= least and (s in later or first[s] != (rank(d), n)):
+            if s in first and (s in later or first[s] != (rank(d), n)):
                 removed, near = removed + 1, near + (s in later)
             else:
                 keep.append(line)
@@ -89,28 +89,30 @@ def test_against_brute_force(spark, chunk_bytes):
 def test_awkward_rows(spark):
     docs = awkward(spark)
     assert rows_of(line_dedup.dedup_lines(docs, min_chars=20), *COLUMNS) == brute(texts_of(docs), 20)[0]
+    assert rows_of(line_dedup.dedup_lines(docs, min_chars=20, equal_chars=20), *COLUMNS) == brute(texts_of(docs), 20, 20)[0]
     kept = line_dedup.without_repeated_lines(docs)
     assert kept.columns == docs.columns
-    # Two lines of one text are equal: one of them goes; all other rows stay.
-    assert kept.count() == docs.count()
+    rows = brute(texts_of(docs), line_dedup.MIN_CHARS)[0]
+    assert kept.count() == sum(t is None or not gone or bool(t.strip()) for _, t, _, gone, _ in rows)
 
 
 def test_a_document_of_repeated_lines_goes(spark):
     line = "a line that is long enough to be compared with others"
     docs = spark.createDataFrame([(1, line), (2, line), (3, line + "\nshort"), (4, "short")], "doc_id long, text string")
-    assert texts_of(line_dedup.without_repeated_lines(docs)) == [(1, line), (3, "short"), (4, "short")]
+    assert texts_of(line_dedup.without_repeated_lines(docs)) == [(1, line), (3, "short")]
+    assert texts_of(line_dedup.without_repeated_lines(docs, equal_chars=10)) == [(1, line), (3, "short"), (4, "short")]
 
 
 def test_short_lines_go_if_equal(spark, tmp_path):
     near = "a line that is long enough to be compared with others"
     rows = [(1, f"MIT License.\n\nx\n{near}"), (2, f" MIT License.\n\nMIT Licence.\n{near}s"), (3, "x"), (4, None), (5, "MIT License.\ny\nx\ny\n")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text"))
-    cut = rows_of(line_dedup.dedup_lines(docs, equal_chars=1, chunk_bytes=40), *COLUMNS)
+    cut = rows_of(line_dedup.dedup_lines(docs, chunk_bytes=40), *COLUMNS)
     assert cut == [(1, rows[0][1], 4, 0, 0), (2, "\nMIT Licence.", 4, 2, 1), (3, "", 1, 1, 0), (4, None, 0, 0, 0), (5, "y\n", 5, 3, 0)]
     # The registered query compares every line that is not blank.
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert rows_of(queries.op2_line_dedup(spark, str(tmp_path)), "doc_id", "n_removed", "n_near") == [(d, r, n) for d, _, _, r, n in cut]
-    assert texts_of(line_dedup.without_repeated_lines(docs, equal_chars=1)) == [(d, t) for d, t, *_ in cut if d != 3]
+    assert texts_of(line_dedup.without_repeated_lines(docs)) == [(d, t) for d, t, *_ in cut if d != 3]
 
 
 def test_empty(spark):
