@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ranking import DIGITS, ranked
 from ..functions.vectors import norm, unit
-from .lexical import best_of_batch
+from . import scope as scopes
+from .lexical import Scopes, best_of_batch
 
 # Inputs and characters of an embedding batch, and batches of a call.
 BATCH_INPUTS, BATCH_CHARS, BATCHES = 64, 16_000, 8
@@ -20,9 +21,16 @@ SCORES = 1 << 21
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows, straight from the column's buffer."""
     if not len(column):
         return np.zeros((0, 0))
-    return np.stack([np.asarray(v, np.float64) for v in column.to_pylist()])
+    flat = column.flatten()
+    if column.null_count or flat.null_count or len(flat) % len(column):
+        raise ValueError("vectors must be there, without nulls, and of one length")
+    ends = column.offsets.to_numpy()
+    if (np.diff(ends) != len(flat) // len(column)).any():
+        raise ValueError("vectors must be of one length")
+    return flat.to_numpy().astype(np.float64).reshape(len(column), -1)
 
 
 def _units(m: np.ndarray) -> np.ndarray:
@@ -30,37 +38,42 @@ def _units(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def cosine_search(queries: DataFrame, vectors: DataFrame, top: int = 10, positive: bool = False, block_bytes: int = 16 << 20) -> DataFrame:
+def cosine_search(queries: DataFrame, vectors: DataFrame, top: int = 10, positive: bool = False, block_bytes: int = 16 << 20, scope: list[str] | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank) of the nearest vectors of each query.
 
-    ``queries``: query_id, vec; ``vectors``: doc_id, vec. Queries are read in blocks of bounded size; each batch of
-    vectors is one matrix product with a block and keeps its best rows of each query, so no pair is ever a row.
-    ``positive``: only scores above zero.
+    ``queries``: query_id, vec; ``vectors``: doc_id, vec; both with the columns of ``scope``. Queries are read in blocks
+    of bounded size; each batch of vectors is one matrix product with a block and keeps its best rows of each query, so
+    no pair is ever a row. ``positive``: only scores above zero. A query sees the vectors of its scope alone, by the
+    rule of `scope`, and one scan serves all scopes.
     """
-    found = None
-    size = queries.agg(F.sum(F.size("vec") * 8 + 16)).first()[0] or 0
+    found, names = None, scope or []
+    asked = queries.select("query_id", "vec", *scopes.asked(names))
+    rows = vectors.select("doc_id", "vec", *[F.col(c).cast("string").alias(c) for c in names])
+    size = asked.agg(F.sum(F.size("vec") * 8 + 16)).first()[0] or 0
     n = max(1, -(-int(size) // block_bytes))
     for b in range(n):
-        part = queries if n == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b)
-        block = part.select("query_id", "vec").toPandas()
-        hits = vectors.select("doc_id", "vec").mapInArrow(_scan(block, top, positive), "query_id long, doc_id long, score double")
+        part = asked if n == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b)
+        hits = rows.mapInArrow(_scan(part.toPandas(), names, top, positive), "query_id long, doc_id long, score double")
         found = hits if found is None else found.unionByName(hits)
     return ranked(found, ["query_id"], top=top)
 
 
-def _scan(block: pd.DataFrame, top: int, positive: bool):
+def _scan(block: pd.DataFrame, names: list[str], top: int, positive: bool):
     ids, targets = block["query_id"].to_numpy(np.int64), [np.asarray(v, np.float64) for v in block["vec"]]
+    wanted = [tuple(None if pd.isna(v) else v for v in row) for row in zip(*(block[c] for c in names))] if names else [()] * len(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         against = _units(np.stack(targets)) if targets else np.zeros((0, 0))
         step = max(1, SCORES // max(1, len(ids)))
+        own = Scopes(wanted, names)
         for part in (batch.slice(at, step) for batch in batches for at in range(0, batch.num_rows, step) if len(ids)):
             docs = part.column("doc_id").to_numpy()
             scores = np.round(_units(_matrix(part.column("vec"))) @ against.T, DIGITS) + 0.0
-            rows, qs = best_of_batch(scores, docs, top)
-            values = scores[rows, qs]
-            keep = values > 0 if positive else np.ones(len(values), bool)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[qs[keep]]), pa.array(docs[rows[keep]]), pa.array(values[keep])], ["query_id", "doc_id", "score"])
+            for number, seen in own.seen(part):
+                if seen is not None:
+                    scores[np.ix_(~seen, own.of == number)] = -np.inf
+            rows, qs = best_of_batch(scores, docs, top, least=0 if positive else -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[qs]), pa.array(docs[rows]), pa.array(scores[rows, qs])], ["query_id", "doc_id", "score"])
 
     return run
 

@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
 from ..functions.ranking import DIGITS, ranked
+from . import scope as scopes
 
 # Saturation and length normalization.
 K1, B = 1.2, 0.75
@@ -28,31 +30,41 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select(*[c for c in queries.columns if c != "text"], F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
 
 
+def once(queries: DataFrame, scope: list[str]) -> DataFrame:
+    """(query_id, text, columns of ``scope``), one row for each id: of several the one of the least text."""
+    rows = queries.select("query_id", F.coalesce("text", F.lit("")).alias("text"), *scopes.asked(scope))
+    least = rows.groupBy("query_id").agg(F.min(F.struct("text", *scope)).alias("q"))
+    return least.select("query_id", "q.*")
+
+
+def _scope_id(scope: list[str]) -> Column:
+    return F.to_json(F.struct(*scope)) if scope else F.lit("{}")
+
+
 def bm25_scores(queries: DataFrame, corpus: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """(query_id, doc_id, score) of every document that has a term of a query.
 
-    ``queries``: query_id, text and the columns of ``scope``; ``corpus``: doc_id, text and the same columns.
-    Statistics are those of the scope. Only terms that some query has become postings, so what is shuffled
-    follows the queries' terms and not the corpus's words.
+    ``queries``: query_id, text and the columns of ``scope``; ``corpus``: doc_id, text and the same columns. A query
+    sees the documents that have each value it asks for (null, empty or ``*`` asks for nothing), and statistics are
+    those of these documents. Only terms that some query has become postings, so what is shuffled follows the
+    queries' terms and not the corpus's words. A null text has no words and counts as a document.
     """
     scope = scope or []
-    corpus = corpus.select("doc_id", "text", *scope)
-    words = tokenised(corpus)
-    lengths = corpus.select(*scope, tx.token_count(F.col("text")).alias("dl"))
-    grouped = lengths.groupBy(*scope) if scope else lengths.groupBy()
-    stats = grouped.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    terms = query_terms(queries.select("query_id", "text", *scope))
+    corpus = corpus.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *scope)
+    asked = once(queries, scope).withColumn("scope_id", _scope_id(scope))
+    known = asked.select("scope_id", *scope).distinct()
+    seen = lambda rows: scopes.visible(rows, known, scope).drop(*scope)
+    terms = query_terms(asked.select("query_id", "scope_id", "text"))
+    stats = seen(corpus.select(*scope, tx.token_count(F.col("text")).alias("dl"))).groupBy("scope_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     wanted = terms.select("term").distinct()
-    postings = words.select("doc_id", "dl", *scope, F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
-    postings = postings.groupBy("doc_id", "dl", *scope, "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
-    weights = terms.join(df, [*scope, "term"])
-    weights = weights.join(stats, scope) if scope else weights.crossJoin(stats)
+    postings = tokenised(corpus).select("doc_id", "dl", *scope, F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
+    postings = seen(postings.groupBy("doc_id", "dl", *scope, "term").agg(F.count(F.lit(1)).alias("tf")))
+    df = postings.groupBy("scope_id", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = weights.select("query_id", *scope, "term", "avgdl", idf.alias("idf"))
+    weights = terms.join(df, ["scope_id", "term"]).join(stats, "scope_id").select("query_id", "scope_id", "term", "avgdl", idf.alias("idf"))
     ratio = F.when(F.col("avgdl") == 0, F.lit(1.0)).otherwise(F.col("dl") / F.col("avgdl"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * ratio))
-    return weights.join(postings, [*scope, "term"]).groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    return weights.join(postings, ["scope_id", "term"]).groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
 def bm25(queries: DataFrame, corpus: DataFrame, top: int = 10, scope: list[str] | None = None, block_terms: int = BLOCK_TERMS) -> DataFrame:
@@ -60,100 +72,131 @@ def bm25(queries: DataFrame, corpus: DataFrame, top: int = 10, scope: list[str]
 
     If the queries have no more than ``block_terms`` distinct terms in all, they go to the documents: one pass counts
     the documents of each term, a second scores whole batches and keeps each batch's best, and all that is shuffled is
-    counts and best rows. Beyond that, postings and terms are joined."""
+    counts and best rows. Beyond that, postings and terms are joined. Both ways give the same rows."""
     scope = scope or []
-    asked = queries.select("query_id", F.to_json(F.struct(*scope)).alias("scope") if scope else F.lit("").alias("scope"), F.array_distinct(tx.tokens(F.col("text"))).alias("terms"))
+    asked = once(queries, scope).select("query_id", *scope, F.array_distinct(tx.tokens(F.col("text"))).alias("terms"))
     if (asked.agg(F.sum(F.size("terms"))).first()[0] or 0) > block_terms:
         return ranked(bm25_scores(queries, corpus, scope), ["query_id"], top=top)
-    block = Block([(r.query_id, r.scope, r.terms) for r in asked.collect()])
-    rows = corpus.select("doc_id", "text", F.to_json(F.struct(*scope)).alias("scope") if scope else F.lit("").alias("scope"))
-    counted = rows.mapInArrow(block.count, "scope string, term int, n long, dl long").groupBy("scope", "term").agg(F.sum("n").alias("n"), F.sum("dl").alias("dl"))
+    block = Block([(r.query_id, tuple(r[c] for c in scope), r.terms) for r in asked.collect()], scope)
+    rows = corpus.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).cast("string").alias(c) for c in scope])
+    counted = rows.mapInArrow(block.count, "scope int, term int, n long, dl long").groupBy("scope", "term").agg(F.sum("n").alias("n"), F.sum("dl").alias("dl"))
     block.weigh([(r.scope, r.term, r.n, r.dl) for r in counted.collect()])  # scopes and terms of the block, no more
     return ranked(rows.mapInArrow(lambda batches: block.score(batches, top), "query_id long, doc_id long, score double"), ["query_id"], top=top)
 
 
+class Scopes:
+    """The distinct scopes of a block of queries, and which rows of a batch each may see."""
+
+    def __init__(self, asked: list[tuple[str | None, ...]], names: list[str]):
+        self.names = names
+        self.all = sorted(set(asked), key=repr)
+        number = {s: i for i, s in enumerate(self.all)}
+        self.of = np.array([number[s] for s in asked], np.int64)
+
+    def seen(self, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray | None]]:
+        """The number of each scope with its rows (none: all)."""
+        columns = [batch.column(c).dictionary_encode() for c in self.names]
+        places = [{v: i for i, v in enumerate(c.dictionary.to_pylist())} for c in columns]
+        values = [c.indices.fill_null(-1).to_numpy(zero_copy_only=False) for c in columns]
+        for number, wanted in enumerate(self.all):
+            match = None
+            for want, at, codes in zip(wanted, places, values):
+                if want is not None:
+                    own = codes == at.get(want, -2)
+                    match = own if match is None else match & own
+            yield number, match
+
+
 class Block:
     """A block of queries that is matched against batches of documents."""
 
-    def __init__(self, asked: list[tuple[int, str, list[str]]]):
-        self.queries = sorted(asked)
+    def __init__(self, asked: list[tuple[int, tuple, list[str]]], names: list[str]):
+        self.queries = sorted(asked, key=lambda q: q[0])
         self.ids = np.array([q for q, _, _ in self.queries], np.int64)
         self.number: dict[str, int] = {}
         for _, _, terms in self.queries:
             for t in terms:
                 self.number.setdefault(t, len(self.number))
-        self.scopes = sorted({s for _, s, _ in self.queries})
-        self.weights: dict[str, tuple[float, np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.scopes = Scopes([s for _, s, _ in self.queries], names)
+        self.weights: list[tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def _entries(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def _entries(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(document, term, times) of the block's terms in texts, and the number of tokens of each text."""
-        known, flat, held, lengths = self.number, [], [], []
-        for text in texts:
-            tokens = tx.split_tokens(text or "")
-            found = [known[t] for t in tokens if t in known]
-            flat += found
-            held.append(len(found))
-            lengths.append(len(tokens))
-        pair = np.repeat(np.arange(len(texts)), held) * max(1, len(known)) + np.array(flat, np.int64)
-        distinct, times = np.unique(pair, return_counts=True)
-        return distinct // max(1, len(known)), distinct % max(1, len(known)), times, np.array(lengths, np.int64)
-
-    def _parts(self, batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[str, pa.RecordBatch]]:
-        """Batches of one scope and of a bounded number of rows."""
-        for batch in batches:
-            scopes = batch.column("scope").to_numpy(zero_copy_only=False)
-            for scope in self.scopes:
-                own = batch.filter(pa.array(scopes == scope)) if (scopes != scope).any() else batch
-                for at in range(0, own.num_rows, rows):
-                    yield scope, own.slice(at, rows)
+        # Texts without characters that are cut into bigrams or that only a full lower-casing makes Latin.
+        odd = pc.match_substring_regex(texts, f"[İK{tx.CJK}]").to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
+        lists = pc.split_pattern(pc.replace_substring_regex(pc.ascii_lower(plain), "[^a-z0-9_]+", " "), " ")
+        offsets, flat = lists.offsets.to_numpy(), lists.values
+        full = np.concatenate([[0], np.cumsum(pc.not_equal(flat, "").to_numpy(zero_copy_only=False))])
+        lengths = np.diff(full[offsets])
+        terms = pa.array(list(self.number), pa.string())
+        found = pc.fill_null(pc.index_in(flat, terms), -1).to_numpy(zero_copy_only=False) if len(terms) else np.full(len(flat), -1)
+        doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
+        doc, found = doc[found >= 0], found[found >= 0]
+        if odd.any():
+            rows, more_doc, more = np.flatnonzero(odd), [], []
+            for d in rows.tolist():
+                tokens = tx.split_tokens(texts[d].as_py())
+                own = [self.number[t] for t in tokens if t in self.number]
+                lengths[d] = len(tokens)
+                more_doc += [d] * len(own)
+                more += own
+            doc, found = np.concatenate([doc, np.array(more_doc, np.int64)]), np.concatenate([found, np.array(more, np.int64)])
+        many = max(1, len(self.number))
+        distinct, times = np.unique(doc.astype(np.int64) * many + found, return_counts=True)
+        return distinct // many, distinct % many, times, lengths
 
     def count(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Documents of each term; under term -1 all documents and their tokens."""
-        total: dict[str, list] = {}
-        for scope, part in self._parts(batches, 2048):
-            _, term, _, lengths = self._entries(part.column("text").to_pylist())
-            held = total.setdefault(scope, [np.zeros(len(self.number), np.int64), 0, 0])
-            held[0] += np.bincount(term, minlength=len(self.number))
-            held[1] += len(lengths)
-            held[2] += int(lengths.sum())
-        for scope, (df, n, dl) in total.items():
-            some = np.flatnonzero(df)
+        """Documents of each term by scope; under term -1 all documents and their tokens."""
+        df = np.zeros((len(self.scopes.all), len(self.number)), np.int64)
+        n, dl = np.zeros(len(self.scopes.all), np.int64), np.zeros(len(self.scopes.all), np.int64)
+        for batch in batches:
+            doc, term, _, lengths = self._entries(batch.column("text"))
+            for scope, rows in self.scopes.seen(batch):
+                df[scope] += np.bincount(term if rows is None else term[rows[doc]], minlength=len(self.number))
+                n[scope] += len(lengths) if rows is None else int(rows.sum())
+                dl[scope] += int((lengths if rows is None else lengths[rows]).sum())
+        for scope in range(len(n)):
+            some = np.flatnonzero(df[scope])
             term = np.concatenate([[-1], some]).astype(np.int32)
             lengths = np.zeros(len(term), np.int64)
-            lengths[0] = dl
-            yield pa.RecordBatch.from_arrays([pa.array([scope] * len(term)), pa.array(term), pa.array(np.concatenate([[n], df[some]])), pa.array(lengths)], ["scope", "term", "n", "dl"])
-
-    def weigh(self, counts: list[tuple[str, int, int, int]]) -> None:
-        """From the counts of the whole corpus: for each scope the mean length, and the queries of each term with its weight."""
-        for scope in self.scopes:
-            n, dl = next(((n, dl) for s, t, n, dl in counts if s == scope and t < 0), (0, 0))
-            df = np.zeros(len(self.number))
-            for s, t, docs, _ in counts:
-                if s == scope and t >= 0:
-                    df[t] = docs
-            idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-            pairs = sorted((self.number[t], q) for q, (_, s, terms) in enumerate(self.queries) if s == scope for t in terms)
+            lengths[0] = dl[scope]
+            columns = [np.full(len(term), scope, np.int32), term, np.concatenate([n[scope : scope + 1], df[scope][some]]), lengths]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["scope", "term", "n", "dl"])
+
+    def weigh(self, counts: list[tuple[int, int, int, int]]) -> None:
+        """From the counts of the whole corpus, for each scope: the mean length, the terms' weights, the queries, and those of each term."""
+        count = np.zeros((len(self.scopes.all), 2), np.int64)
+        df = np.zeros((len(self.scopes.all), len(self.number)))
+        for scope, term, n, dl in counts:
+            if term < 0:
+                count[scope] += n, dl
+            else:
+                df[scope, term] += n
+        for scope, (n, dl) in enumerate(count.tolist()):
+            own = np.flatnonzero(self.scopes.of == scope)
+            pairs = sorted((self.number[t], i) for i, q in enumerate(own.tolist()) for t in self.queries[q][2])
             term, query = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
             firsts = np.searchsorted(term, np.arange(len(self.number) + 1))
-            self.weights[scope] = (dl / n if n else 0.0, idf, query, firsts)
+            self.weights.append((dl / n if n else 0.0, np.log(1 + (n - df[scope] + 0.5) / (df[scope] + 0.5)), own, query, firsts))
 
     def score(self, batches: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.RecordBatch]:
         """Each batch's best documents of each query."""
-        many = max(1, len(self.queries))
-        for scope, part in self._parts(batches, max(1, SCORES // many)):
-            avgdl, idf, query, firsts = self.weights[scope]
-            doc, term, times, lengths = self._entries(part.column("text").to_pylist())
-            ratio = lengths[doc] / avgdl if avgdl else np.ones(len(doc))
-            value = idf[term] * times * (K1 + 1) / (times + K1 * (1 - B + B * ratio))
-            asked = firsts[term + 1] - firsts[term]
-            at = np.repeat(firsts[term] - (np.cumsum(asked) - asked), asked) + np.arange(int(asked.sum()))
-            cell = np.repeat(doc, asked) * many + query[at]
-            scores = np.round(np.bincount(cell, weights=np.repeat(value, asked), minlength=part.num_rows * many).reshape(part.num_rows, many), DIGITS)
-            docs = part.column("doc_id").to_numpy()
-            rows, qs = best_of_batch(scores, docs, top)
-            values = scores[rows, qs]
-            some = values > 0
-            yield pa.RecordBatch.from_arrays([pa.array(self.ids[qs[some]]), pa.array(docs[rows[some]]), pa.array(values[some])], ["query_id", "doc_id", "score"])
+        step = max(1, SCORES // max(1, len(self.queries)))
+        for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
+            doc, term, times, lengths = self._entries(batch.column("text"))
+            docs = batch.column("doc_id").to_numpy()
+            for scope, rows in self.scopes.seen(batch):
+                avgdl, idf, own, query, firsts = self.weights[scope]
+                d, t, tf = (doc, term, times) if rows is None else (x[rows[doc]] for x in (doc, term, times))
+                ratio = lengths[d] / avgdl if avgdl else np.ones(len(d))
+                value = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * ratio))
+                asked = firsts[t + 1] - firsts[t]
+                at = np.repeat(firsts[t] - (np.cumsum(asked) - asked), asked) + np.arange(int(asked.sum()))
+                cell = np.repeat(d, asked) * len(own) + query[at]
+                scores = np.bincount(cell, weights=np.repeat(value, asked), minlength=batch.num_rows * len(own)).astype(np.float64).reshape(batch.num_rows, len(own))
+                r, q = best_of_batch(np.round(scores, DIGITS), docs, top, least=0)
+                yield pa.RecordBatch.from_arrays([pa.array(self.ids[own[q]]), pa.array(docs[r]), pa.array(np.round(scores[r, q], DIGITS))], ["query_id", "doc_id", "score"])
 
 
 def unmatched(queries: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -162,40 +205,52 @@ def unmatched(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return query_terms(queries.select("query_id", "text")).join(known, "term", "left_anti").select("query_id", "term")
 
 
-def keyword_hits(queries: DataFrame, corpus: DataFrame, top: int = 10, block_bytes: int = 512 << 10) -> DataFrame:
+def keyword_hits(queries: DataFrame, corpus: DataFrame, top: int = 10, block_bytes: int = 512 << 10, scope: list[str] | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): the number of a query's tokens, repeats counted, that a text contains anywhere.
 
     All distinct tokens of a block of queries form one automaton, so a text is read once for a block whatever the
     queries; hits times token counts are a matrix product, and each batch keeps its best documents of each query.
-    Queries are read in blocks of bounded size.
+    Queries are read in blocks of bounded size. A query sees the documents of its ``scope``, by the rule of `scope`.
     """
-    found = None
-    for block in _blocks(queries.select("query_id", tx.keyword_tokens(F.col("text")).alias("tokens")), block_bytes):
-        part = corpus.select("doc_id", F.lower("text").alias("text")).mapInArrow(_keyword_scan(block, top), "query_id long, doc_id long, score double")
+    found, names = None, scope or []
+    rows = corpus.select("doc_id", F.lower("text").alias("text"), *[F.col(c).cast("string").alias(c) for c in names])
+    for block in _blocks(once(queries, names).select("query_id", *names, tx.keyword_tokens(F.col("text")).alias("tokens")), names, block_bytes):
+        part = rows.mapInArrow(_keyword_scan(block, names, top), "query_id long, doc_id long, score double")
         found = part if found is None else found.unionByName(part)
     return ranked(found, ["query_id"], top=top)
 
 
-def _blocks(queries: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, list[str]]]]:
+def _blocks(queries: DataFrame, names: list[str], block_bytes: int) -> Iterator[list[tuple[int, tuple, list[str]]]]:
     size = queries.agg(F.sum(F.aggregate("tokens", F.lit(16), lambda s, t: s + 16 + F.octet_length(t)))).first()[0] or 0
     n = max(1, -(-int(size) // block_bytes))
     for b in range(n):
         part = queries if n == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b)
-        yield sorted((r.query_id, r.tokens) for r in part.collect())
+        yield sorted(((r.query_id, tuple(r[c] for c in names), r.tokens) for r in part.collect()), key=lambda q: q[0])
+
 
+def best_of_batch(scores: np.ndarray, ids: np.ndarray, top: int, least: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the best of each column of (rows, queries), by descending score, then id; above ``least``.
 
-def best_of_batch(scores: np.ndarray, ids: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each column of (rows, queries): places of its best rows, by descending score, then id."""
-    order = np.lexsort((np.broadcast_to(ids[:, None], scores.shape), -scores), axis=0)[:top]
-    return order.T.reshape(-1), np.repeat(np.arange(scores.shape[1]), order.shape[0])
+    A partition finds each column's last place, and only what is no worse is sorted, ties at the last place among it."""
+    n = len(scores)
+    if not scores.size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    good = scores >= np.partition(scores, n - top, axis=0)[n - top] if n > top else np.ones(scores.shape, bool)
+    if least is not None:
+        good &= scores > least
+    columns, rows = np.nonzero(good.T)
+    order = np.lexsort((ids[rows], -scores[rows, columns], columns))
+    rows, columns = rows[order], columns[order]
+    place = np.arange(len(columns)) - np.searchsorted(columns, columns)
+    return rows[place < top], columns[place < top]
 
 
-def _keyword_scan(block: list[tuple[int, list[str]]], top: int):
+def _keyword_scan(block: list[tuple[int, tuple, list[str]]], names: list[str], top: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
         number: dict[str, int] = {}
-        for _, tokens in block:
+        for _, _, tokens in block:
             for t in tokens:
                 number.setdefault(t, len(number))
         weight = np.zeros((len(number), len(block)), np.float32)
@@ -203,10 +258,11 @@ def _keyword_scan(block: list[tuple[int, list[str]]], top: int):
         for t, i in number.items():
             automaton.add_word(t, i)
         automaton.make_automaton()
-        for q, (_, tokens) in enumerate(block):
+        for q, (_, _, tokens) in enumerate(block):
             for t in tokens:
                 weight[number[t], q] += 1
-        query_ids = np.array([q for q, _ in block], np.int64)
+        query_ids = np.array([q for q, _, _ in block], np.int64)
+        scopes_ = Scopes([s for _, s, _ in block], names)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -216,9 +272,10 @@ def _keyword_scan(block: list[tuple[int, list[str]]], top: int):
                     if text and number:
                         hits[d, list({i for _, i in automaton.iter(text)})] = 1
                 scores = (hits @ weight).astype(np.float64)
-                rows, qs = best_of_batch(scores, ids, top)
-                values = scores[rows, qs]
-                some = values > 0
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[qs[some]]), pa.array(ids[rows[some]]), pa.array(values[some])], ["query_id", "doc_id", "score"])
+                for scope, seen in scopes_.seen(part):
+                    if seen is not None:
+                        scores[np.ix_(~seen, scopes_.of == scope)] = 0
+                rows, qs = best_of_batch(scores, ids, top, least=0)
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids[qs]), pa.array(ids[rows]), pa.array(scores[rows, qs])], ["query_id", "doc_id", "score"])
 
     return run

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans import strategy as st
-from . import dense, fusion, lexical
+from . import dense, fusion, lexical, scope as scopes
 
 Reranker = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
 
@@ -38,14 +38,17 @@ def recall(
 ) -> Found:
     """Rank ``corpus`` (doc_id, text, scope columns) for ``queries`` (query_id, text, scope columns).
 
-    The dense channel sees only documents in scope before it ranks; with ``reference_compat`` it ranks all vectors,
-    keeps ``top`` of them and only then applies the scope, so it may return fewer.
+    Every channel sees only documents in the query's scope, by the rule of `scope`: a null, empty or ``*`` value asks
+    for nothing. With ``reference_compat`` the dense channel and the legacy scorer rank all documents, keep ``top`` of
+    them and only then apply the scope, so they may return fewer.
     """
     no_dense = None if vectors is not None and query_vectors is not None else "no embedder"
     plan = st.resolve(requested, dense=no_dense, rerank=None if reranker else "no reranker")
     strategy = plan.strategy
     if strategy.name == "legacy":
-        return Found(lexical.keyword_hits(queries, corpus, top), "legacy", {}, plan.reason)
+        late = reference_compat and scope
+        hits = lexical.keyword_hits(queries, corpus, top, scope=None if late else scope)
+        return Found(_scoped_late(hits, queries, corpus, scope) if late else hits, "legacy", {}, plan.reason)
     channels: dict[str, tuple[DataFrame, float]] = {}
     status: dict[str, str] = {}
     for name in strategy.channels:
@@ -73,19 +76,18 @@ def _dense(queries, corpus, vectors, query_vectors, scope, pool, top, reference_
     known = vectors.join(corpus.select("doc_id"), "doc_id", "left_semi")
     if not scope:
         return dense.cosine_search(asked, known, pool)
-    own = corpus.select("doc_id", *scope)
     if reference_compat:
-        hits = dense.cosine_search(asked, known, top, positive=True)
-        return hits.join(own, "doc_id").join(queries.select("query_id", *scope), ["query_id", *scope], "left_semi").select(*hits.columns)
-    # One search for each scope in use: the scopes of a catalogue of queries, not of documents, bound the loop.
-    found = None
-    for row in queries.select(*scope).distinct().collect():
-        match = F.lit(True)
-        for c in scope:
-            match = match & F.col(c).eqNullSafe(F.lit(row[c]))
-        part = dense.cosine_search(asked.join(queries.filter(match), "query_id", "left_semi"), known.join(own.filter(match), "doc_id", "left_semi"), pool)
-        found = part if found is None else found.unionByName(part)
-    return found
+        return _scoped_late(dense.cosine_search(asked, known, top, positive=True), queries, corpus, scope)
+    asked = asked.join(queries.select("query_id", *scope), "query_id")
+    return dense.cosine_search(asked, known.join(corpus.select("doc_id", *scope), "doc_id"), pool, scope=scope)
+
+
+def _scoped_late(hits: DataFrame, queries: DataFrame, corpus: DataFrame, scope: list[str]) -> DataFrame:
+    """Of hits that are ranked already those in their query's scope."""
+    asked = queries.select("query_id", *[F.col(c).alias(f"asked_{c}") for c in scope])
+    both = hits.join(corpus.select("doc_id", *scope), "doc_id").join(asked, "query_id")
+    rule = scopes.matches_columns({c: F.col(c) for c in scope}, {c: F.col(f"asked_{c}") for c in scope})
+    return both.filter(rule).select(*hits.columns)
 
 
 def materialised(rankings: DataFrame, rows: DataFrame, top: int = fusion.TOP) -> DataFrame:

@@ -29,6 +29,35 @@ def matches_columns(row: dict[str, Column], scope: dict[str, Column]) -> Column:
     return out
 
 
+FREE = ("", "*")
+
+
+def asked(scope: list[str]) -> list[Column]:
+    """The scope columns of queries, null where nothing is asked for."""
+    return [F.when(~F.col(c).isin(*FREE), F.col(c).cast("string")).alias(c) for c in scope]
+
+
+def visible(rows: DataFrame, scopes: DataFrame, scope: list[str]) -> DataFrame:
+    """``rows`` with the ``scope_id`` of every scope that may see them, once for each.
+
+    ``scopes``: distinct (scope_id, columns of ``scope``, null where nothing is asked for). A row is seen by at most one
+    scope for each choice of keys, so rows are repeated 2 ^ keys times at most, and each choice is an equality join.
+    """
+    out = None
+    choices = scopes.select(*[F.col(c).isNotNull().alias(c) for c in scope]).distinct().collect()  # 2 ^ keys at most
+    for choice in sorted(tuple(r) for r in choices):
+        keys = [c for c, some in zip(scope, choice) if some]
+        match = [F.col(c).isNotNull() if some else F.col(c).isNull() for c, some in zip(scope, choice)]
+        own = scopes
+        for m in match:
+            own = own.filter(m)
+        own = own.select("scope_id", *keys)
+        part = rows.join(own, keys) if keys else rows.crossJoin(own)  # without keys there is one scope
+        part = part.select("scope_id", *rows.columns)
+        out = part if out is None else out.unionByName(part)
+    return rows.withColumn("scope_id", F.lit(None).cast("string")).filter(F.lit(False)) if out is None else out
+
+
 def bound(url: Column, body: Column) -> Column:
     """The scope of a request as a map: entity keys of the query string, overridden by the body's ``filters``."""
     parsed = F.try_parse_json(body)

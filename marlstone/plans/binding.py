@@ -47,6 +47,16 @@ def scoped_queries(spark: SparkSession, sf: str) -> DataFrame:
     return queries(spark, sf).withColumn("user_id", asked)
 
 
+def partly_scoped_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Of four queries one asks for a user, one for a user and an application, one for an application, one for all."""
+    turn, asked = F.col("query_id") % 4, scoped_queries(spark, sf)
+    user = F.when(turn == 0, "*").when(turn == 2, "").otherwise(F.element_at(F.array(*map(F.lit, SCOPES)), (F.col("query_id") % 3 + 1).cast("int")))
+    app = F.when(turn >= 2, F.concat(F.lit("src"), (F.col("query_id") % 5).cast("string")))
+    return asked.withColumns({"user_id": user, "app_id": app})
+
+
+PARTLY = """partly AS (SELECT item_id AS query_id, text, CASE item_id % 4 WHEN 0 THEN '*' WHEN 2 THEN '' ELSE (['en', 'fr', 'de', 'es'])[item_id % 3 + 1] END AS user_id,
+        CASE WHEN item_id % 4 >= 2 THEN 'src' || (item_id % 5) END AS app_id FROM benchmark)"""
 SCOPED = "scoped AS (SELECT item_id AS query_id, text, (['en', 'fr', 'de', 'es'])[item_id % 4 + 1] AS user_id FROM benchmark)"
 
 

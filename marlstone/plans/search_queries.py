@@ -47,6 +47,51 @@ def cosine_scoped_after(spark: SparkSession, sf: str) -> DataFrame:
     return _scoped(spark, sf, compat=True)
 
 
+def legacy_scoped_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return recall.recall(binding.scoped_queries(spark, sf), binding.corpus(spark, sf), requested="legacy", scope=["user_id"]).rankings
+
+
+def legacy_scoped_after(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranked first and scoped then, as an option."""
+    return recall.recall(binding.scoped_queries(spark, sf), binding.corpus(spark, sf), requested="legacy", scope=["user_id"], reference_compat=True).rankings
+
+
+def bm25_partial_scope(spark: SparkSession, sf: str) -> DataFrame:
+    """Queries that ask for a user, for an application, for both, or for neither."""
+    return lexical.bm25(binding.partly_scoped_queries(spark, sf), binding.corpus(spark, sf), scope=["user_id", "app_id"])
+
+
+def hybrid_scoped(spark: SparkSession, sf: str) -> DataFrame:
+    return recall.recall(
+        binding.scoped_queries(spark, sf), binding.corpus(spark, sf), binding.vectors(spark, sf), binding.query_vectors(spark, sf),
+        requested="fusion", scope=["user_id"],
+    ).rankings
+
+
+def ladder_auto(spark: SparkSession, sf: str) -> DataFrame:
+    """What serves a request for the best there is: without a reranker the dense channel alone."""
+    corpus = binding.corpus(spark, sf).select("doc_id", "text")
+    return recall.recall(binding.queries(spark, sf), corpus, binding.vectors(spark, sf), binding.query_vectors(spark, sf)).rankings
+
+
+def ladder_without_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The same request where nothing can embed a query: BM25."""
+    return recall.recall(binding.queries(spark, sf), binding.corpus(spark, sf).select("doc_id", "text")).rankings
+
+
+def dense_rerank(spark: SparkSession, sf: str) -> DataFrame:
+    return _recall(spark, sf, "dense+rerank").select("query_id", "doc_id", "rank")
+
+
+def rerank_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """Positions read off responses of a reranking service over pools of forty documents; some name no document."""
+    docs = table(spark, sf, "documents").select("doc_id", F.floor(F.col("doc_id") / 40).alias("query_id"), "n_chars")
+    pools = docs.groupBy("query_id").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    items = docs.join(pools, "query_id").select("query_id", F.struct((F.array_position("ids", F.col("doc_id")) - 1 + F.when(F.col("doc_id") % 7 == 0, 1000).otherwise(0)).alias("index"), (F.col("n_chars") % 97 + F.col("doc_id") / 1e6).alias("relevance_score")).alias("item"))
+    bodies = items.groupBy("query_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list("item")).alias("results"))).alias("body"))
+    return fusion.parsed_positions(bodies, pools)
+
+
 def _channels(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     own = binding.vectors(spark, sf).join(binding.corpus(spark, sf).select("doc_id"), "doc_id", "left_semi")
     return (
@@ -95,7 +140,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         hybrid_search, bm25_topk, bm25_scoped_topk, bm25_unmatched, legacy_topk, cosine_topk, cosine_scoped_before, cosine_scoped_after,
-        rrf_fusion, rrf_zero_weight, rerank_coverage, materialize_hits,
+        rrf_fusion, rrf_zero_weight, rerank_coverage, materialize_hits, legacy_scoped_topk, legacy_scoped_after, bm25_partial_scope,
+        hybrid_scoped, ladder_auto, ladder_without_vectors, dense_rerank, rerank_responses,
     )
 }
 
@@ -127,11 +173,15 @@ def cosine_sql(top: int, name: str = "cosine", where: str = "true", also: str =
 KNOWN = "v.vec_id IN (SELECT doc_id FROM documents)"
 
 
-def legacy_sql(top: int, name: str = "legacy") -> str:
+def legacy_sql(top: int, name: str = "legacy", also: str = "") -> str:
+    """``also``: a further join of the scores, which stand under s."""
     return f"""{name}_t AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+|[一-鿿＀-￯]')) AS term FROM benchmark) GROUP BY ALL),
         {name}_h AS (SELECT d.doc_id, t.term FROM (SELECT DISTINCT term FROM {name}_t) t JOIN (SELECT doc_id, lower(text) AS low FROM documents) d ON contains(d.low, t.term)),
         {name}_s AS (SELECT t.query_id, h.doc_id, sum(times)::DOUBLE AS score FROM {name}_t t JOIN {name}_h h ON h.term = t.term GROUP BY ALL),
-        {name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM {name}_s QUALIFY rank <= {top})"""
+        {name} AS (SELECT s.*, row_number() OVER (PARTITION BY s.query_id ORDER BY score DESC, s.doc_id)::INTEGER AS rank FROM {name}_s s {also} QUALIFY rank <= {top})"""
+
+
+OWN_USER = "JOIN scoped o ON o.query_id = s.query_id JOIN documents own ON own.doc_id = s.doc_id AND own.lang = o.user_id"
 
 
 def fused_sql(weight: float, lexical: str = "bm25", near: str = "cosine", name: str = "fused", top: int = 50) -> str:
@@ -140,6 +190,29 @@ def fused_sql(weight: float, lexical: str = "bm25", near: str = "cosine", name:
         {name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM {name}_s QUALIFY rank <= {top})"""
 
 
+def partial_bm25_sql(top: int) -> str:
+    """BM25 where a query sees what its own scope lets it see, statistics included, pair by pair."""
+    return f"""d AS (SELECT doc_id, lang AS user_id, source AS app_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS tokens FROM documents),
+        sc AS (SELECT DISTINCT nullif(nullif(user_id, ''), '*') AS user_id, nullif(nullif(app_id, ''), '*') AS app_id FROM partly),
+        seen AS (SELECT sc.user_id AS u, sc.app_id AS a, d.doc_id, len(d.tokens) AS dl FROM sc JOIN d ON (sc.user_id IS NULL OR d.user_id = sc.user_id) AND (sc.app_id IS NULL OR d.app_id = sc.app_id)),
+        n AS (SELECT u, a, count(*) AS n, avg(dl) AS avgdl FROM seen GROUP BY ALL),
+        t AS (SELECT DISTINCT query_id, nullif(nullif(user_id, ''), '*') AS u, nullif(nullif(app_id, ''), '*') AS a, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM partly),
+        p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM d) WHERE term IN (SELECT term FROM t) GROUP BY ALL),
+        f AS (SELECT u, a, term, count(*) AS df FROM seen JOIN p ON p.doc_id = seen.doc_id GROUP BY ALL),
+        s AS (SELECT t.query_id, p.doc_id, round(sum(ln(1 + (n.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+            FROM t JOIN n ON n.u IS NOT DISTINCT FROM t.u AND n.a IS NOT DISTINCT FROM t.a JOIN f ON f.u IS NOT DISTINCT FROM t.u AND f.a IS NOT DISTINCT FROM t.a AND f.term = t.term
+            JOIN p ON p.term = t.term JOIN seen ON seen.doc_id = p.doc_id AND seen.u IS NOT DISTINCT FROM t.u AND seen.a IS NOT DISTINCT FROM t.a GROUP BY ALL)
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s QUALIFY rank <= {top}"""
+
+
+def share_sql(pool: str) -> str:
+    """The pool in the order of the share of a query's distinct terms that a document holds."""
+    return f"""asked AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS terms FROM benchmark),
+        share AS (SELECT f.query_id, f.doc_id, f.rank AS r, round(len(list_intersect(a.terms, regexp_extract_all(lower(d.text), '[a-z0-9_]+'))) / len(a.terms), 6) AS s
+            FROM {pool} f JOIN asked a ON a.query_id = f.query_id JOIN documents d ON d.doc_id = f.doc_id)
+        SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, r)::INTEGER AS rank FROM share QUALIFY rank <= 10"""
+
+
 POOLS = f"{bm25_sql(50)}, {cosine_sql(50, where=KNOWN)}, {fused_sql(0.4)}"
 ORACLE_SQL = {
     "bm25_topk": f"WITH {bm25_sql(10)} SELECT query_id, doc_id, score, rank FROM bm25",
@@ -156,10 +229,18 @@ ORACLE_SQL = {
     "rrf_zero_weight": f"WITH {bm25_sql(50)}, {cosine_sql(50, where=KNOWN)}, {fused_sql(0.0)} SELECT query_id, doc_id, score, rank FROM fused",
     "hybrid_search": f"""WITH {POOLS} SELECT f.query_id, f.rank, f.doc_id, f.score, d.lang AS user_id, d.source AS app_id, md5(d.text) AS text_md5
         FROM fused f JOIN documents d ON d.doc_id = f.doc_id WHERE f.rank <= 10""",
-    "rerank_coverage": f"""WITH {POOLS}, asked AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS terms FROM benchmark),
-        share AS (SELECT f.query_id, f.doc_id, f.rank AS r, round(len(list_intersect(a.terms, regexp_extract_all(lower(d.text), '[a-z0-9_]+'))) / len(a.terms), 6) AS s
-            FROM fused f JOIN asked a ON a.query_id = f.query_id JOIN documents d ON d.doc_id = f.doc_id)
-        SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, r)::INTEGER AS rank FROM share QUALIFY rank <= 10""",
+    "rerank_coverage": f"WITH {POOLS}, {share_sql('fused')}",
+    "dense_rerank": f"WITH {cosine_sql(50, where=KNOWN)}, {share_sql('cosine')}",
+    "legacy_scoped_topk": f"WITH {binding.SCOPED}, {legacy_sql(10, also=OWN_USER)} SELECT query_id, doc_id, score, rank FROM legacy",
+    "legacy_scoped_after": f"WITH {binding.SCOPED}, {legacy_sql(10)} SELECT s.query_id, s.doc_id, s.score, s.rank FROM legacy s {OWN_USER}",
+    "bm25_partial_scope": f"WITH {binding.PARTLY}, {partial_bm25_sql(10)}",
+    "hybrid_scoped": f"""WITH {binding.SCOPED}, {bm25_sql(50, scope='user_id')},
+        {cosine_sql(50, where='v.vec_id IN (SELECT doc_id FROM documents d WHERE d.lang = s.user_id)', also='JOIN scoped s ON s.query_id = b.item_id')}, {fused_sql(0.4)}
+        SELECT query_id, doc_id, score, rank FROM fused WHERE rank <= 10""",
+    "ladder_auto": f"WITH {cosine_sql(10, where=KNOWN)} SELECT query_id, doc_id, score, rank FROM cosine",
+    "ladder_without_vectors": f"WITH {bm25_sql(10)} SELECT query_id, doc_id, score, rank FROM bm25",
+    "rerank_responses": """WITH d AS (SELECT doc_id, doc_id // 40 AS query_id, n_chars FROM documents)
+        SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY n_chars % 97 + doc_id / 1e6 DESC) - 1 AS position FROM d WHERE doc_id % 7 <> 0""",
     "materialize_hits": f"""WITH {binding.MEMORIES}, {bm25_sql(50)} SELECT b.query_id, b.doc_id, row_number() OVER (PARTITION BY b.query_id ORDER BY b.rank)::INTEGER AS rank, m.user_id, m.app_id
         FROM bm25 b JOIN memories m ON m.id = b.doc_id WHERE NOT m.deleted QUALIFY row_number() OVER (PARTITION BY b.query_id ORDER BY b.rank) <= 10""",
 }

@@ -37,7 +37,7 @@ def test_bm25_both_ways(spark):
     asked = [(i, " ".join(rng.choices(words + ["unknown"], k=rng.randint(0, 4))), rng.choice("abc")) for i in range(20)]
     Q_, D_ = spark.createDataFrame(asked, Q + ", user_id string"), spark.createDataFrame(docs, D + ", user_id string").repartition(3)
     for scope in (None, ["user_id"]):
-        one, two = (sorted(tuple(r) for r in lexical.bm25(Q_, D_.fillna(""), 7, scope, block_terms=n).collect()) for n in (0, 10_000))
+        one, two = (sorted(tuple(r) for r in lexical.bm25(Q_, D_, 7, scope, block_terms=n).collect()) for n in (0, 10_000))
         assert one == two and one
     texts = [t for _, t, _ in docs if t] + ["K İ Σας 𠀀", "a香b港c"]
     from marlstone.functions import text as tx
@@ -46,6 +46,54 @@ def test_bm25_both_ways(spark):
     assert all(tx.split_tokens(r.t) == r.x and len(r.x) == r.n for r in got)
 
 
+SCOPED_Q = [(1, "cat dog", "u1", None), (2, "cat", None, "a"), (3, "cat", "", "*"), (4, "cat dog", "u1", "a"), (5, "cat", "u9", None), (6, None, "u1", None), (7, "cat", "u1", ""), (7, "cat", "u1", "")]
+SCOPED_D = [(1, "cat", "u1", "a"), (2, "cat dog", "u1", None), (3, "cat cat", "u2", "a"), (4, "dog cat", None, None), (5, None, "u1", "a"), (6, "cat x", "", "a"), (7, "cat y", "*", "b")]
+
+
+def sees(asked, held):
+    return all(a in (None, "", "*") or a == h for a, h in zip(asked, held))
+
+
+def scoped_frames(spark):
+    more = ", user_id string, app_id string"
+    return spark.createDataFrame(SCOPED_Q, Q + more), spark.createDataFrame(SCOPED_D, D + more).repartition(3)
+
+
+def test_scopes_are_one_rule_in_every_channel(spark):
+    queries, docs = scoped_frames(spark)
+    names = ["user_id", "app_id"]
+    held = {(q, d) for q, text, *a in SCOPED_Q for d, doc, *h in SCOPED_D if text and doc and sees(a, h) and set(text.split()) & set(doc.split())}
+    by_block, by_join = (sorted(tuple(r) for r in lexical.bm25(queries, docs, 10, names, block_terms=n).collect()) for n in (10_000, 0))
+    assert by_block == by_join and {(q, d) for q, d, *_ in by_block} == held
+    # Statistics are those of what a query sees: its scope alone as a corpus gives the same scores.
+    for q, text, *a in SCOPED_Q[:5]:
+        own = docs.filter(F.col("doc_id").isin([d for d, _, *h in SCOPED_D if sees(a, h)] or [-1]))
+        alone = lexical.bm25(queries.filter(F.col("query_id") == q).select("query_id", "text"), own.select("doc_id", "text"), 10).collect()
+        assert sorted((r.doc_id, r.score) for r in alone) == sorted((d, s) for i, d, s, _ in by_block if i == q)
+    legacy = recall.recall(queries, docs, requested="legacy", scope=names)
+    assert {(r.query_id, r.doc_id) for r in legacy.rankings.collect()} == held
+    late = recall.recall(queries, docs, requested="legacy", scope=names, top=2, reference_compat=True).rankings.collect()
+    assert {(r.query_id, r.doc_id) for r in late} < held and len(late) < len(legacy.rankings.filter("rank <= 2").collect())
+    vectors = spark.createDataFrame([(d, [1.0, float(d)]) for d, *_ in SCOPED_D], "doc_id long, vec array<double>")
+    near = spark.createDataFrame([(q, [1.0, 1.0]) for q in range(1, 8)], "query_id long, vec array<double>")
+    found = recall.recall(queries.dropDuplicates(["query_id"]), docs, vectors, near, requested="dense", scope=names).rankings.collect()
+    assert {(r.query_id, r.doc_id) for r in found} == {(q, d) for q, _, *a in SCOPED_Q for d, _, *h in SCOPED_D if sees(a, h)}
+    late = recall.recall(queries.dropDuplicates(["query_id"]), docs, vectors, near, requested="dense", scope=names, top=3, reference_compat=True).rankings.collect()
+    assert {(r.query_id, r.doc_id) for r in late} == {(q, d) for q, _, *a in SCOPED_Q for d, _, *h in SCOPED_D if sees(a, h) and d <= 3}
+
+
+def test_the_best_of_a_batch():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n, m, top in ((0, 3, 2), (5, 0, 2), (4, 3, 10), (50, 4, 7), (200, 3, 10)):
+        scores, numbers = rng.integers(0, 4, (n, m)).astype(float), rng.permutation(n)
+        rows, columns = lexical.best_of_batch(scores, numbers, top, least=0)
+        found = [(c, numbers[r]) for r, c in zip(rows.tolist(), columns.tolist())]
+        expected = [(c, numbers[r]) for c in range(m) for r in sorted(range(n), key=lambda r: (-scores[r, c], numbers[r]))[:top] if scores[r, c] > 0]
+        assert found == expected
+
+
 def test_ties_by_id(spark):
     assert search(spark, "x", [(3, "x"), (1, "x"), (2, "x")]) == [1, 2, 3]
 
