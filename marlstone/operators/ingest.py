@@ -10,7 +10,7 @@ ENTITY_KEYS = ("user_id", "agent_id", "app_id", "run_id")
 ITEM = "struct<id:string,memory:string,created_at:string,updated_at:string,user_id:string,agent_id:string,app_id:string,run_id:string>"
 
 
-def _string(item: Column, key: str) -> Column:
+def string_field(item: Column, key: str) -> Column:
     """A field only if it is a JSON string; any other type counts as missing."""
     path = f"$.{key}"
     return F.when(F.schema_of_variant(F.try_variant_get(item, path, "variant")) == "STRING", F.try_variant_get(item, path, "string"))
@@ -21,7 +21,7 @@ def harvest(responses: DataFrame, body: str = "body", at: str = "at") -> DataFra
     parsed = F.try_parse_json(body)
     array = F.when(F.schema_of_variant(parsed).startswith("ARRAY"), parsed).otherwise(F.try_variant_get(parsed, "$.results", "variant"))
     items = responses.select(F.col(at), F.explode(F.try_variant_get(array, "$", "array<variant>")).alias("item"))
-    rows = items.select(F.col(at), *[_string(F.col("item"), k).alias(k) for k in ("id", "memory", "created_at", "updated_at", *ENTITY_KEYS)])
+    rows = items.select(F.col(at), *[string_field(F.col("item"), k).alias(k) for k in ("id", "memory", "created_at", "updated_at", *ENTITY_KEYS)])
     rows = rows.filter(F.col("id").isNotNull() & F.col("memory").isNotNull())
     now = F.col(at)
     return rows.withColumns({k: F.coalesce(k, now) for k in ("created_at", "updated_at")}).drop(at)

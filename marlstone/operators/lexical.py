@@ -18,6 +18,14 @@ K1, B = 1.2, 0.75
 #: Terms of all queries up to which they go to the documents, and scores of a task's matrix at a time.
 BLOCK_TERMS, SCORES = 200_000, 1 << 20
 
+#: Bytes as tokens have them: ASCII letters small, digits and the underscore, all else a space.
+_TOKEN = np.full(256, 0x20, np.uint8)
+for _c in b"abcdefghijklmnopqrstuvwxyz0123456789_":
+    _TOKEN[_c] = _TOKEN[ord(chr(_c).upper())] = _c
+#: First bytes of characters among which are those that tokens treat in another way.
+_RARE = np.zeros(256, bool)
+_RARE[[0xC4, *range(0xE2, 0xF0)]] = True
+
 
 def tokenised(corpus: DataFrame, text_col: str = "text") -> DataFrame:
     """The corpus with ``tokens`` in place of its text, and ``dl``, their number."""
@@ -122,10 +130,16 @@ class Block:
 
     def _entries(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(document, term, times) of the block's terms in texts, and the number of tokens of each text."""
-        # Texts without characters that are cut into bigrams or that only a full lower-casing makes Latin.
-        odd = pc.match_substring_regex(texts, f"[İK{tx.CJK}]").to_numpy(zero_copy_only=False)
-        plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
-        lists = pc.split_pattern(pc.replace_substring_regex(pc.ascii_lower(plain), "[^a-z0-9_]+", " "), " ")
+        ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        data = texts.buffers()[2]
+        raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+        ends = ends - ends[:1] if len(ends) else np.zeros(1, np.int32)
+        # Texts with characters that are cut into bigrams, or that only a full lower-casing makes Latin, go one by one.
+        odd = np.zeros(len(texts), bool)
+        odd[np.searchsorted(ends, np.flatnonzero(_RARE[raw]), side="right") - 1] = True
+        some = np.flatnonzero(odd)
+        odd[some] = pc.match_substring_regex(texts.take(pa.array(some)), f"[İK{tx.CJK}]").to_numpy(zero_copy_only=False)
+        lists = pc.split_pattern(pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends), pa.py_buffer(_TOKEN[raw])), " ")
         offsets, flat = lists.offsets.to_numpy(), lists.values
         full = np.concatenate([[0], np.cumsum(pc.not_equal(flat, "").to_numpy(zero_copy_only=False))])
         lengths = np.diff(full[offsets])
@@ -134,14 +148,15 @@ class Block:
         doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
         doc, found = doc[found >= 0], found[found >= 0]
         if odd.any():
-            rows, more_doc, more = np.flatnonzero(odd), [], []
-            for d in rows.tolist():
+            more_doc, more = [], []
+            for d in np.flatnonzero(odd).tolist():
                 tokens = tx.split_tokens(texts[d].as_py())
                 own = [self.number[t] for t in tokens if t in self.number]
                 lengths[d] = len(tokens)
                 more_doc += [d] * len(own)
                 more += own
-            doc, found = np.concatenate([doc, np.array(more_doc, np.int64)]), np.concatenate([found, np.array(more, np.int64)])
+            kept = ~odd[doc]
+            doc, found = np.concatenate([doc[kept], np.array(more_doc, np.int64)]), np.concatenate([found[kept], np.array(more, np.int64)])
         many = max(1, len(self.number))
         distinct, times = np.unique(doc.astype(np.int64) * many + found, return_counts=True)
         return distinct // many, distinct % many, times, lengths

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import dense, evaluation, fusion, gold, lexical
-from ..sources.tables import table
+from ..sources.tables import table, written
 from . import binding
 from .search_queries import KNOWN, bm25_sql, cosine_sql, fused_sql, legacy_sql
 
@@ -19,18 +19,22 @@ def remote(spark: SparkSession, sf: str, top: int = 50) -> DataFrame:
     return dense.cosine_search(binding.query_vectors(spark, sf), own, top)
 
 
-def rankings(spark: SparkSession, sf: str, top: int = 10) -> DataFrame:
-    """(query_id, strategy, doc_id, rank) of three strategies."""
+def searched(spark: SparkSession, sf: str, top: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(query_id, strategy, doc_id, rank) of three strategies, and the remote ranking: each searched once and written."""
     queries, corpus = binding.queries(spark, sf), binding.corpus(spark, sf)
-    words = lexical.bm25(queries, corpus, fusion.POOL)
-    fused = fusion.fuse({"lexical": (words, 0.4), "dense": (remote(spark, sf), 1.0)})
+    words, near = written(lexical.bm25(queries, corpus, fusion.POOL), "words"), written(remote(spark, sf), "near")
+    fused = fusion.fuse({"lexical": (words, 0.4), "dense": (near, 1.0)})
     parts = {"legacy": lexical.keyword_hits(queries, corpus, top), "bm25": words, "fusion": fused}
     rows = [df.filter(F.col("rank") <= top).select("query_id", F.lit(name).alias("strategy"), "doc_id", "rank") for name, df in parts.items()]
-    return reduce(DataFrame.unionByName, rows)
+    return written(reduce(DataFrame.unionByName, rows), "rankings"), near
+
+
+def rankings(spark: SparkSession, sf: str) -> DataFrame:
+    return searched(spark, sf)[0]
 
 
 def _measured(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluation.agreement(rankings(spark, sf), remote(spark, sf))
+    return evaluation.agreement(*searched(spark, sf))
 
 
 def overlap_mrr(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,7 +46,7 @@ def ndcg_vs_remote(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def overlap_full_remote(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluation.overlap_with_all(rankings(spark, sf), remote(spark, sf))
+    return evaluation.overlap_with_all(*searched(spark, sf))
 
 
 def accuracy_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,15 +78,14 @@ def pool_median(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pool_domination(spark: SparkSession, sf: str) -> DataFrame:
-    return gold.domination(rankings(spark, sf), pool_union(spark, sf))
-
-
-def _pool_grades(spark: SparkSession, sf: str) -> DataFrame:
-    return pool_union(spark, sf).join(binding.grades(spark, sf), "doc_id").select("query_id", "doc_id", "grade")
+    ranked = rankings(spark, sf)
+    return gold.domination(ranked, gold.pool(ranked, binding.corpus(spark, sf)))
 
 
 def graded_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluation.graded(rankings(spark, sf), _pool_grades(spark, sf))
+    ranked = rankings(spark, sf)
+    grades = gold.pool(ranked, binding.corpus(spark, sf)).join(binding.grades(spark, sf), "doc_id").select("query_id", "doc_id", "grade")
+    return evaluation.graded(ranked, grades)
 
 
 def graded_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,18 +94,19 @@ def graded_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 def compare_runs(spark: SparkSession, sf: str) -> DataFrame:
     """BM25 before, fusion after, on the queries that both have."""
-    scored = graded_metrics(spark, sf)
+    scored = written(graded_metrics(spark, sf), "graded")
     run = lambda name: scored.filter(F.col("strategy") == name).withColumn("strategy", F.lit("run"))
     return evaluation.compared(run("bm25"), run("fusion"))
 
 
 def grade_merge(spark: SparkSession, sf: str) -> DataFrame:
     """New grades of documents of good quality, over two files of prior ones."""
-    labelled = pool_union(spark, sf).join(table(spark, sf, "labels"), "doc_id")
+    pool = written(pool_union(spark, sf), "pool")
+    labelled = pool.join(table(spark, sf, "labels"), "doc_id")
     new = labelled.filter("quality = 1").select("query_id", "doc_id", F.lit(2).alias("grade"))
     files = [labelled.filter("toxic = 0").select("query_id", "doc_id", F.col("quality").alias("grade"), F.lit(0).alias("file"))]
     files.append(labelled.select("query_id", "doc_id", (F.lit(1) - F.col("toxic")).alias("grade"), F.lit(1).alias("file")))
-    return gold.merged_grades(new, reduce(DataFrame.unionByName, files), pool_union(spark, sf))
+    return gold.merged_grades(new, reduce(DataFrame.unionByName, files), pool)
 
 
 def judge_agreement(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.ingest import string_field
+
 HIT = "struct<id:string,score:double>"
 SCHEMA = (
     "ts long, schemaVersion int, codeVersion string, mode string, query string, "
@@ -24,9 +26,11 @@ def read(spark: SparkSession, folder: str, schema: str = SCHEMA) -> DataFrame:
 
 
 def remote_hits(body: Column, top: int = 10) -> Column:
-    """The first results of a response that have a string id: (id, score)."""
-    parsed = F.from_json(body, "results array<struct<id:string,score:double>>")["results"]
-    return F.coalesce(F.filter(F.slice(parsed, F.lit(1), F.lit(top)), lambda h: h["id"].isNotNull()), F.array().cast(f"array<{HIT}>"))
+    """Of the first results of a response those whose id is a JSON string: (id, score)."""
+    items = F.try_variant_get(F.try_parse_json(body), "$.results", "array<variant>")
+    hit = lambda v: F.struct(string_field(v, "id").alias("id"), F.try_variant_get(v, "$.score", "double").alias("score"))
+    parsed = F.transform(F.slice(items, F.lit(1), F.lit(top)), hit)
+    return F.coalesce(F.filter(parsed, lambda h: h["id"].isNotNull()), F.array().cast(f"array<{HIT}>"))
 
 
 def side_rankings(entries: DataFrame) -> DataFrame:

@@ -8,6 +8,15 @@ STORE_SCHEMA = "id string, memory string, created_at string, updated_at string,
 VECTOR_SCHEMA = "id string, model string, hash string, vec array<double>, dims int, normalized boolean"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows from a folder that driver and executors share: computed once, however often they are read."""
+    from ..streaming.runs import folder
+
+    path = f"{folder(df.sparkSession)}-{label}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
