@@ -17,9 +17,10 @@ sets that are connected by such shingles are a family. A small family is one
 group. In a large one sets go to bands of length, since only neighbouring bands
 can link, and to blocks. First each block is a group, together with a few leaders
 of its band and of the band before, which already connects near-copies however
-many they are, for a cost in proportion to their number. Then the sets that meet
-at one shingle and are not yet connected are compared, by pairs of blocks of
-which one holds sets outside the component that most of them are in.
+many they are, for a cost in proportion to their number. Then what is not yet
+connected is compared, by pairs of blocks of which one holds sets outside the
+component that most are in: among all sets of the family, or among those that
+meet at one shingle, whichever moves fewer shingles.
 
 A group holds two blocks at most and returns links that join its sets, at most
 one fewer than it has sets: other links are between sets that these connect.
@@ -49,7 +50,7 @@ from .components import components
 from .shared import released, stash
 from .wordhash import Words, mix
 
-#: Sets of a block, and shingles of its sets; a task holds two blocks' parts in one fragment.
+#: Sets of a block, and shingles of its sets; a group, so also a small family, holds two blocks at most.
 BLOCK, BLOCK_SHINGLES = 400, 1 << 20
 #: Fragments of the global order.
 FRAGMENTS = 4
@@ -221,7 +222,7 @@ class _Forest:
 
 
 #: A group of sets as its fragments see it: the sets (the same in each), and the pairs with their partial overlaps.
-PARTIAL = "call int, unit long, fragment int, highs binary, lows binary, sizes binary, pairs binary, overlaps binary"
+PARTIAL = "call long, unit long, fragment int, highs binary, lows binary, sizes binary, pairs binary, overlaps binary"
 
 
 def partial_overlaps(sets: list[np.ndarray], sizes: np.ndarray, sides: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -269,8 +270,8 @@ def _count(table: pa.Table, percent: int) -> pa.Table:
         rows.append((int(units[a]), *named, pairs.astype("<u4").tobytes(), overlaps.astype("<u4").tobytes()))
     unit, *parts = zip(*rows)
     names = ("highs", "lows", "sizes", "pairs", "overlaps")
-    same = lambda value: pa.array(np.full(len(rows), value, np.int32))
-    return pa.table({"call": same(call), "unit": pa.array(unit, pa.int64()), "fragment": same(fragment), **{k: pa.array(v, pa.binary()) for k, v in zip(names, parts)}})
+    same = lambda value, kind: pa.array(np.full(len(rows), value, kind))
+    return pa.table({"call": same(call, np.int64), "unit": pa.array(unit, pa.int64()), "fragment": same(fragment, np.int32), **{k: pa.array(v, pa.binary()) for k, v in zip(names, parts)}})
 
 
 LINK = ["high_a", "low_a", "high_b", "low_b"]
@@ -297,11 +298,15 @@ def _sum(table: pa.Table, percent: int) -> pa.Table:
     return pa.table(dict(zip(LINK, np.concatenate(out).T.copy())))
 
 
-def _links(tasks: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Links of groups: ``tasks`` has (unit, side, high, low, n), a row for each set of a group."""
-    rows, shingles = tasks.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    calls = max(1, math.ceil(rows / CALL_SETS), math.ceil(shingles / CALL_SHINGLES))
-    cut = tasks.join(segments, ["high", "low"]).withColumn("call", F.pmod(F.xxhash64("unit"), F.lit(calls)).cast("int"))
+def _links(tasks: DataFrame, segments: DataFrame, percent: int, apart: bool = False) -> DataFrame:
+    """Links of groups: ``tasks`` has (unit, side, high, low, n), a row for each set of a group. Small groups share calls;
+    with ``apart`` each has its own."""
+    if apart:
+        call = F.col("unit")
+    else:
+        rows, shingles = tasks.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        call = F.pmod(F.xxhash64("unit"), F.lit(max(1, math.ceil(rows / CALL_SETS), math.ceil(shingles / CALL_SHINGLES))))
+    cut = tasks.join(segments, ["high", "low"]).withColumn("call", call)
     counted = cut.groupBy("call", "fragment").applyInArrow(lambda table: released(_count(table, percent)), PARTIAL)
     return counted.groupBy("call").applyInArrow(lambda table: released(_sum(table, percent)), ", ".join(f"{c} long" for c in LINK))
 
@@ -330,28 +335,44 @@ def _first_groups(sets: DataFrame, block: int) -> DataFrame:
     return own.select(unit(), F.lit(0).alias("side"), *SET).unionByName(led.select(unit(), F.lit(0).alias("side"), *SET))
 
 
-def _second_groups(meets: DataFrame, block: int) -> DataFrame:
-    """Groups at one shingle (shingle, high, low, n, band, part): pairs of blocks, the first of sets outside the part in
-    which most sets are. Shingles at which the same sets meet count once."""
-    parts = meets.groupBy("shingle", "part").agg(F.count(F.lit(1)).alias("c"), *[F.bit_xor(x).alias(x) for x in ("high", "low")])
-    at = parts.groupBy("shingle").agg(F.max(F.struct("c", "part")).alias("most"), F.count(F.lit(1)).alias("parts"), F.sum("c").alias("c"), *[F.bit_xor(x).alias(x) for x in ("high", "low")])
-    at = at.filter("parts > 1").groupBy("c", "high", "low").agg(F.min(F.struct("shingle", F.col("most.part").alias("main"))).alias("s")).select("s.*")
-    sets = stash(meets.join(at, "shingle").withColumn("outside", F.col("part") != F.col("main")).drop("part", "main"), "jaccard-meets")
-    key = ["shingle", "band", "outside"]
+def _pairs_of_blocks(meets: DataFrame, block: int) -> DataFrame:
+    """Groups at each ``at`` of (at, label, high, low, n, band, part): pairs of blocks, the first of sets outside the part
+    in which most of its sets are. Places at which the same sets meet count once."""
+    folded = [F.bit_xor(x).alias(x) for x in ("high", "low")]
+    parts = meets.groupBy("at", "part").agg(F.count(F.lit(1)).alias("c"), *folded)
+    places = parts.groupBy("at").agg(F.max(F.struct("c", "part")).alias("most"), F.count(F.lit(1)).alias("parts"), F.sum("c").alias("c"), *folded)
+    places = places.filter("parts > 1").groupBy("c", "high", "low").agg(F.min(F.struct("at", F.col("most.part").alias("main"))).alias("s")).select("s.*")
+    sets = stash(meets.join(places, "at").withColumn("outside", F.col("part") != F.col("main")).drop("part", "main"), "jaccard-meets")
+    key = ["at", "band", "outside"]
     sizes = sets.groupBy(*key).agg(_blocks(block))
     rows = sets.join(sizes, key).withColumn("block", _own_block())
-    places = stash(sizes.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks"), "jaccard-blocks")
-    one, two = (places.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("band", "outside", "block")]) for s in "ab")
+    blocks = stash(sizes.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks"), "jaccard-blocks")
+    one, two = (blocks.select("at", *[F.col(c).alias(f"{c}_{s}") for c in ("band", "outside", "block")]) for s in "ab")
     near = (F.abs(F.col("band_a") - F.col("band_b")) <= 1) & (~F.col("outside_b") | (F.struct("band_a", "block_a") <= F.struct("band_b", "block_b")))
-    pairs = one.filter("outside_a").join(two, "shingle").filter(near)
-    pairs = pairs.withColumn("unit", F.xxhash64("shingle", "band_a", "block_a", "band_b", "outside_b", "block_b"))
+    pairs = one.filter("outside_a").join(two, "at").filter(near)
+    pairs = pairs.withColumn("unit", F.xxhash64("at", "band_a", "block_a", "band_b", "outside_b", "block_b"))
 
     def side(s: str, number: int) -> DataFrame:
         here = pairs if s == "a" else pairs.filter(~F.col("outside_b") | (F.col("band_a") != F.col("band_b")) | (F.col("block_a") != F.col("block_b")))
-        here = here.select("shingle", *[F.col(f"{c}_{s}").alias(c) for c in ("band", "outside", "block")], "unit")
-        return rows.join(here, [*key, "block"]).select("unit", F.lit(number).alias("side"), *SET)
+        here = here.select("at", *[F.col(f"{c}_{s}").alias(c) for c in ("band", "outside", "block")], "unit")
+        return rows.join(here, [*key, "block"]).select("label", "unit", F.lit(number).alias("side"), *SET)
+
+    return stash(side("a", 0).unionByName(side("b", 1)), "jaccard-pairs")
 
-    return side("a", 0).unionByName(side("b", 1))
+
+def _second_groups(meets: DataFrame, block: int) -> DataFrame:
+    """Groups of what is not yet connected in large families, from (shingle, label, high, low, n, band, part)."""
+    ways = {
+        "family": _pairs_of_blocks(meets.drop("shingle").distinct().withColumn("at", F.col("label")), block),
+        "shingle": _pairs_of_blocks(meets.withColumnRenamed("shingle", "at"), block),
+    }
+    cost = None
+    for way, rows in ways.items():
+        own = rows.groupBy("label").agg(F.sum(F.col("n") + 16).alias(way))
+        cost = own if cost is None else cost.join(own, "label", "full")
+    cost = stash(cost.select("label", (F.coalesce("family", F.lit(0)) > F.coalesce("shingle", F.lit(0))).alias("by_shingle")), "jaccard-ways")
+    chosen = [rows.join(cost.filter("by_shingle" if way == "shingle" else "NOT by_shingle").select("label"), "label", "left_semi") for way, rows in ways.items()]
+    return chosen[0].unionByName(chosen[1]).drop("label")
 
 
 def jaccard_components(
@@ -376,7 +397,7 @@ def jaccard_components(
     families = _families(meets)
     segments = parts.groupBy(*set_of, "fragment").agg(F.first("members").alias("members"))
     sets = parts.filter("fragment = 0").groupBy(*set_of).agg(F.first("n").alias("n")).join(families.withColumnRenamed("node", "high"), "high")
-    large = ((F.col("count") > block) | (F.col("shingles") > BLOCK_SHINGLES)).alias("large")
+    large = ((F.col("count") > 2 * block) | (F.col("shingles") > 2 * BLOCK_SHINGLES)).alias("large")
     sizes = sets.groupBy("label").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("shingles")).filter("count > 1").select("label", large)
     # Sets that can link differ in length by a factor of 100 / percent, which is one band, at most.
     band = F.floor(F.log("n") / F.lit(max(math.log(100 / percent), 1e-9) * (1 + 1e-9))).alias("band")
@@ -384,12 +405,12 @@ def jaccard_components(
     links = _links(sets.filter("NOT large").select(F.col("label").alias("unit"), F.lit(0).alias("side"), *SET), segments, percent)
     many = sets.filter("large")
     if not many.isEmpty():
-        first = stash(_links(stash(_first_groups(many, block), "jaccard-first"), segments, percent), "jaccard-links")
+        first = stash(_links(stash(_first_groups(many, block), "jaccard-first"), segments, percent, apart=True), "jaccard-links")
         name = lambda s: F.concat(F.hex(f"high{s}"), F.lit(" "), F.hex(f"low{s}"))
         parts_of = components(first.select(name("_a").alias("a"), name("_b").alias("b"))).withColumnRenamed("label", "part")
-        left = meets.select(*set_of, "shingle").join(many.select(*SET, "band"), set_of).withColumn("node", name("")).join(parts_of, "node", "left")
-        left = left.select("shingle", *SET, "band", F.coalesce("part", "node").alias("part"))
-        second = _links(stash(_second_groups(stash(left, "jaccard-left"), block), "jaccard-second"), segments, percent)
+        left = meets.select(*set_of, "shingle").join(many.select(*SET, "label", "band"), set_of).withColumn("node", name("")).join(parts_of, "node", "left")
+        left = left.select("shingle", "label", *SET, "band", F.coalesce("part", "node").alias("part"))
+        second = _links(stash(_second_groups(stash(left, "jaccard-left"), block), "jaccard-second"), segments, percent, apart=True)
         links = links.unionByName(first).unionByName(second)
 
     a, b = (nodes.select(F.col("high").alias(f"high_{s}"), F.col("low").alias(f"low_{s}"), F.col("node").alias(s)) for s in "ab")
