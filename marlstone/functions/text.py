@@ -63,22 +63,31 @@ def overflow(text: Column, most: int = MAX_CHARS) -> Column:
     return F.when(F.char_length(text) > most, record)
 
 
+# Fixed value: the characters that trimming takes off.
+BLANK = r"[\x09-\x0D\x20\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+
+
+def trimmed(text: Column) -> Column:
+    """Without any white space at its ends, not only spaces."""
+    return F.regexp_replace(text, f"^{BLANK}+|(?<!{BLANK}){BLANK}+$", "")
+
+
 def length_bucket(query: Column) -> Column:
-    n = F.char_length(F.trim(query))
+    n = F.char_length(trimmed(query))
     return F.when(n == 0, "empty").when(n <= 8, "<=8").when(n <= 24, "9-24").otherwise(">24")
 
 
 def query_shape(query: Column) -> Column:
     """What a retriever can take from a query: terse-cjk, mixed, cjk-only or latin."""
-    q = F.trim(query)
+    q = trimmed(query)
     cjk, latin = F.regexp_count(q, F.lit(r"[一-鿿]")), F.regexp_count(q, F.lit("[a-zA-Z0-9]+"))
     return F.when((F.char_length(q) <= 12) & (latin <= 1), "terse-cjk").when((cjk > 0) & (latin > 0), "mixed").when(cjk > 0, "cjk-only").otherwise("latin")
 
 
 def is_noise(query: Column, least: int = 8, most: int = 400) -> Column:
     """Strings that are no questions: pastes, paths, commands, payloads, logs, dispatch prompts."""
-    q = F.trim(query)
-    bare = F.trim(F.regexp_replace(q, "^['\"`]|['\"`]$", ""))
+    q = trimmed(query)
+    bare = trimmed(F.regexp_replace(q, "^['\"`]|['\"`]$", ""))
     # The patterns.
     return (
         ~F.char_length(q).between(least, most)

@@ -19,18 +19,22 @@ GATEABLE = ("read-search", "read-getall", "read-get")
 OUTCOMES = ("hit", "gated-stale", "gated-local", "gated-none", "miss", "stale", "fallback", "error", "write", "write-local", "pass")
 
 
+# The service's paths.
+ONE, HISTORY = r"^/v[13]/memories/[^/]+/?$", r"^/v[13]/memories/[^/]+/history/?$"
+SEARCH, ADD, LIST, ALL = r"^/v[23]/memories/search/?$", r"^/v3/memories/add/?$", r"^/v3/memories/?$", r"^/v1/memories/?$"
+
+
 def classify(method: Column, path: Column) -> Column:
     """The kind of a request to the service, by method and path."""
-    one, many = r"^/v[13]/memories/[^/]+/?$", r"^/v[13]/memories/[^/]+/history/?$"
     return (
-        F.when((method == "GET") & path.rlike(many), "read-history")
-        .when((method == "POST") & path.rlike(r"^/v[23]/memories/search/?$"), "read-search")
-        .when((method == "POST") & path.rlike(r"^/v3/memories/add/?$"), "write-add")
-        .when((method == "POST") & path.rlike(r"^/v3/memories/?$"), "read-getall")
-        .when((method == "GET") & path.rlike(one), "read-get")
-        .when(method.isin("PUT", "PATCH") & path.rlike(one), "write-update")
-        .when((method == "DELETE") & path.rlike(one), "write-delete")
-        .when((method == "DELETE") & path.rlike(r"^/v1/memories/?$"), "write-delete-all")
+        F.when((method == "GET") & path.rlike(HISTORY), "read-history")
+        .when((method == "POST") & path.rlike(SEARCH), "read-search")
+        .when((method == "POST") & path.rlike(ADD), "write-add")
+        .when((method == "POST") & path.rlike(LIST), "read-getall")
+        .when((method == "GET") & path.rlike(ONE), "read-get")
+        .when(method.isin("PUT", "PATCH") & path.rlike(ONE), "write-update")
+        .when((method == "DELETE") & path.rlike(ONE), "write-delete")
+        .when((method == "DELETE") & path.rlike(ALL), "write-delete-all")
         .when(method == "GET", "read-other")
         .otherwise("other")
     )

@@ -46,13 +46,18 @@ def pool_text(text: Column) -> Column:
     return F.substr(text, F.lit(1), F.lit(MAX_POOL_CHARS))
 
 
+# Fixed values of a published generator, so that seeded samples are the same: its step, its shifts and its odd masks.
+STEP, SHIFTS, MASKS = 0x6D2B79F5, (15, 7, 14), (1, 61)
+
+
 def uniform(seed: int, n: int) -> np.ndarray:
     """The first n numbers in [0, 1) of a 32-bit generator with a Weyl sequence as its state."""
     with np.errstate(over="ignore"):
-        state = (np.uint32(seed) + np.arange(1, n + 1, dtype=np.uint32) * np.uint32(0x6D2B79F5)).astype(np.uint32)
-        t = (state ^ (state >> np.uint32(15))) * (state | np.uint32(1))
-        t ^= t + (t ^ (t >> np.uint32(7))) * (t | np.uint32(61))
-        return (t ^ (t >> np.uint32(14))) / 2.0**32
+        state = (np.uint32(seed) + np.arange(1, n + 1, dtype=np.uint32) * np.uint32(STEP)).astype(np.uint32)
+        one, two, three = map(np.uint32, SHIFTS)
+        t = (state ^ (state >> one)) * (state | np.uint32(MASKS[0]))
+        t ^= t + (t ^ (t >> two)) * (t | np.uint32(MASKS[1]))
+        return (t ^ (t >> three)) / 2.0**32
 
 
 def shuffle(items: list, seed: int) -> list:
@@ -79,8 +84,8 @@ def sample(rows: DataFrame, size: int, seed: int, per_bucket: int, order: str =
 
     picked = rows.select("query_id", "shape", order).groupBy("shape").applyInPandas(pick, f"query_id long, shape string, {order} long, at int")
     chosen = picked.orderBy("shape", "at").limit(quota * shapes).collect()
-    ids = [r.query_id for r in shuffle(chosen, seed)[:size]]
-    return rows.filter(F.col("query_id").isin(ids)).orderBy("text", "query_id")
+    ids = rows.sparkSession.createDataFrame([(r.query_id,) for r in shuffle(chosen, seed)[:size]], "query_id long")
+    return rows.join(ids, "query_id", "left_semi").select(*rows.columns).orderBy("text", "query_id")
 
 
 def merged_grades(new: DataFrame, prior: DataFrame, pools: DataFrame) -> DataFrame:

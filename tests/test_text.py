@@ -11,12 +11,12 @@ def value(spark, column):
 @pytest.mark.parametrize(
     "text, tokens",
     [
-        ("HK Express", ["hk", "express"]),
-        ("gpdev: node >=24.18.0", ["gpdev", "node", "24", "18", "0"]),
-        ("香港出发", ["香港", "港出", "出发"]),
-        ("猫", ["猫"]),
-        ("veeam备份", ["veeam", "备份"]),
-        (" -- - ", []),
+        ("Blue KETTLE", ["blue", "kettle"]),
+        ("pump_2 (v0.9.31) <= 7%", ["pump_2", "v0", "9", "31", "7"]),
+        ("北方冬天", ["北方", "方冬", "冬天"]),
+        ("雪", ["雪"]),
+        ("kettle北方x", ["kettle", "北方", "x"]),
+        ("?! ... +", []),
         ("", []),
     ],
 )
@@ -24,29 +24,51 @@ def test_tokens(spark, text, tokens):
     assert value(spark, tx.tokens(F.lit(text))) == tokens
 
 
+def test_trimming_takes_every_kind_of_white_space(spark):
+    for text in ("coat", " \t\n coat \u3000\ufeff\u00a0", "  coat", "coat\r\n"):
+        assert value(spark, tx.trimmed(F.lit(text))) == "coat"
+    assert value(spark, tx.trimmed(F.lit(" a \t b "))) == "a \t b" and value(spark, tx.trimmed(F.lit(" \n "))) == ""
+
+
 def test_keyword_tokens(spark):
-    assert value(spark, tx.keyword_tokens(F.lit("Artrix 偏好 dark theme"))) == ["artrix", "偏", "好", "dark", "theme"]
+    assert value(spark, tx.keyword_tokens(F.lit("Blue 北方 kettle kettle"))) == ["blue", "北", "方", "kettle", "kettle"]
 
 
-@pytest.mark.parametrize("query, bucket", [("", "empty"), ("  ", "empty"), ("继续", "<=8"), ("fourteen chars", "9-24"), ("x" * 25, ">24")])
+@pytest.mark.parametrize("query, bucket", [("", "empty"), (" \t ", "empty"), ("雪", "<=8"), ("a" * 8, "<=8"), ("a" * 9, "9-24"), ("a" * 24, "9-24"), ("a" * 25, ">24")])
 def test_length_bucket(spark, query, bucket):
     assert value(spark, tx.length_bucket(F.lit(query))) == bucket
 
 
-@pytest.mark.parametrize("query, shape", [("继续", "terse-cjk"), ("hello", "terse-cjk"), ("香港 flight 出发 now please", "mixed"), ("香港出发的航班有哪些可以选择的呢", "cjk-only"), ("which flights leave", "latin")])
+@pytest.mark.parametrize("query, shape", [("雪", "terse-cjk"), ("kettle", "terse-cjk"), ("北方冬天 coat and boots 雪 please", "mixed"), ("北方的冬天下雪的时候应该穿什么衣服出门", "cjk-only"), ("what coat to wear in snow", "latin")])
 def test_shape(spark, query, shape):
     assert value(spark, tx.query_shape(F.lit(query))) == shape
 
 
-@pytest.mark.parametrize(
-    "query",
-    ["short", "x" * 401, "/usr/local/lib/thing", "~/notes/today.md", "C:\\temp\\file.txt", "/compact-now", "!!! ... ---", '{"a": 1, "b": 2}', "[build] see src/app/main", "error at line 12 in /a/b", "1. a 2. b 3. c 4. d", "Task: do the thing", "You are a research agent", "Reply with exactly: ok", '"/quoted/path/x"'],
-)
+NOISE = {
+    "too short": "coat",
+    "too long": "coat " * 90,
+    "an absolute path": "/srv/coats/winter/list",
+    "a path of the home folder": "~/coats/winter.txt",
+    "a path with a drive": "D:\\coats\\winter.txt",
+    "a command": "/list-coats",
+    "marks alone": "=== *** ===",
+    "a JSON object": '{"coat": 7, "boots": 9}',
+    "a bracketed tag before a path": "[coats] look at store/winter/list",
+    "an error with a path": "error at line 7 in /srv/coats",
+    "four numbered points": "1. hat 2. coat 3. boots 4. gloves",
+    "a task": "Task: fold the coats",
+    "a role": "You are an agent that folds coats",
+    "a prescribed answer": "Reply with exactly: coat",
+    "a quoted path": '"/srv/coats/winter"',
+}
+
+
+@pytest.mark.parametrize("query", NOISE.values(), ids=NOISE)
 def test_noise(spark, query):
     assert value(spark, tx.is_noise(F.lit(query)))
 
 
-@pytest.mark.parametrize("query", ["where did I put the keys", "香港出发的航班有哪些", "what does error mean here", "1. the first of two steps"])
+@pytest.mark.parametrize("query", ["which coat did I buy for the snow", "北方的冬天要穿什么衣服", "why is there an error in the coat's size", "1. the only point of the list"])
 def test_not_noise(spark, query):
     assert not value(spark, tx.is_noise(F.lit(query)))
 
@@ -58,6 +80,6 @@ def test_clamp_at_and_above_the_cap(spark):
 
 
 def test_scope_label(spark):
-    label = tx.scope_label(F.create_map(F.lit("user_id"), F.lit("u"), F.lit("app_id"), F.lit("a")))
-    assert value(spark, label) == "app_id=a user_id=u"
+    label = tx.scope_label(F.create_map(F.lit("user_id"), F.lit("mia"), F.lit("app_id"), F.lit("shop")))
+    assert value(spark, label) == "app_id=shop user_id=mia"
     assert value(spark, tx.scope_label(F.lit(None).cast("map<string,string>"))) == "unscoped"
