@@ -59,7 +59,7 @@ SALTS = 32
 #: Leaders of a band.
 LEADERS = 8
 #: Sets, and shingles of them, in the groups that one call takes together.
-CALL_SETS, CALL_SHINGLES = 2000, 1 << 20
+CALL_SETS, CALL_SHINGLES = 100, 1 << 17
 
 
 class Sets:
