@@ -55,6 +55,15 @@ def log_filters(spark: SparkSession, sf: str) -> DataFrame:
     return logs.remote_entries(_log(spark, sf), "v1").select("ts", "codeVersion", F.size("remote").alias("hits"))
 
 
+def log_compacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversation turns as the queries of entries, with long lists of hits and terms, as the log keeps them."""
+    hits = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.struct((F.col("conv_id") + i).cast("string").alias("id"), (F.col("conv_id") / (i + 6)).alias("score")))
+    terms = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.concat(F.lit("t"), i.cast("string")))
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("query"), hits.alias("localBm25"), terms.alias("unmatched"))
+    kept = logs.compacted(turns)
+    return kept.select("conv_id", "turn", F.md5("query").alias("query_md5"), F.size("localBm25").alias("hits"), F.col("localBm25")[9]["score"].alias("last_score"), F.array_join("unmatched", " ").alias("unmatched"))
+
+
 def remote_hits(spark: SparkSession, sf: str) -> DataFrame:
     """The first hits of response bodies, in which some ids are numbers."""
     e = table(spark, sf, "events").select("event_id", "user_id")
@@ -135,7 +144,7 @@ def reconciled_ops(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        store_roundtrip, log_sides, log_filters, remote_hits, request_kinds, request_keys, filters_of_cache, offline_adds, pending_adds,
+        store_roundtrip, log_sides, log_filters, log_compacted, remote_hits, request_kinds, request_keys, filters_of_cache, offline_adds, pending_adds,
         purged_rows, replay_scopes, reconciled_ops,
     )
 }
@@ -152,6 +161,8 @@ ORACLE_SQL = {
         UNION ALL SELECT event_id, 'fusion', 'm' || user_id, 1 FROM events WHERE event_type = 'purchase'
         UNION ALL SELECT event_id, 'fusion', event_id::VARCHAR, 2 FROM events WHERE event_type = 'purchase'""",
     "log_filters": """SELECT event_id AS ts, 'v1' AS codeVersion, 2 AS hits FROM events WHERE event_type = 'view' AND user_id % 3 = 1""",
+    "log_compacted": """SELECT conv_id, turn, md5(substr(text, 1, 200)) AS query_md5, 10 AS hits, round(conv_id / 16, 4) AS last_score,
+        't1 t2 t3 t4 t5 t6 t7 t8 t9 t10' AS unmatched FROM conversations""",
     "remote_hits": """SELECT event_id, 0 AS at, 'm' || user_id AS id, 0.75::DOUBLE AS score FROM events
         UNION ALL SELECT event_id, 1, event_id::VARCHAR, 0.5 FROM events WHERE event_id % 2 <> 0""",
     "request_kinds": """SELECT event_id, k AS kind, k IN ('read-search', 'read-getall', 'read-get') AS gateable

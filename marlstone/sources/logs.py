@@ -15,6 +15,22 @@ SCHEMA = (
 )
 
 
+# Characters of a query, terms, hits and decimals of a score that an entry keeps.
+QUERY_CHARS, TERMS, HITS, DECIMALS = 200, 10, 10, 4
+
+
+def compacted(entries: DataFrame) -> DataFrame:
+    """Entries as they are written: the start of the query, the first terms and hits, scores rounded. Columns of
+    ``SCHEMA`` that are missing stay missing."""
+    hits = lambda c: F.transform(F.slice(F.col(c), F.lit(1), F.lit(HITS)), lambda h: F.struct(h["id"].alias("id"), F.round(h["score"], DECIMALS).alias("score")))
+    short = {c: hits(c) for c in ("localVec", "localBm25") if c in entries.columns}
+    if "query" in entries.columns:
+        short["query"] = F.substr("query", F.lit(1), F.lit(QUERY_CHARS))
+    if "unmatched" in entries.columns:
+        short["unmatched"] = F.slice("unmatched", 1, TERMS)
+    return entries.withColumns(short)
+
+
 def append(entries: DataFrame, folder: str, rows_per_file: int = 10_000) -> None:
     entries.write.mode("append").option("maxRecordsPerFile", rows_per_file).json(folder)
 
