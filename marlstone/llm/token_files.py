@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .chunk_table import ChunkTable, flattened
-from .shared import by_bytes, id_text, offsets_of, texts_of
+from .shared import by_bytes, id_text, offsets_of, released, texts_of
 
 SCHEMA = "doc_id long, part int, seq long, start_in_part long, n_tokens long, ids array<int>"
 #: Writer settings: bytes of a row group, of a data page and of a dictionary page, and rows of a page.
@@ -155,7 +155,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, part, seq, start = words(tokenizer_path), TaskContext.get().partitionId(), 0, 0
-        for batch in by_bytes(batches, most=6 << 20):
+        for batch in by_bytes(batches, most=5 << 20):
             ids, ends = model.encode(texts_of(batch), end_id)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
@@ -170,6 +170,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
                 ["doc_id", "part", "seq", "start_in_part", "n_tokens", "ids"],
             )
             seq, start = seq + n, start + int(ends[-1])
+        released()
 
     rows = id_text(docs, id_col, text_col)
     n = parts or part_count(rows)
