@@ -86,7 +86,7 @@ def _requests(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", method.alias("method"), path.alias("path"), F.when(t == "click", F.lit("?x=1")).alias("query"), F.when(method == "POST", body).alias("body"))
 
 
-def request_kinds(spark: SparkSession, sf: str) -> DataFrame:
+def gateable_requests(spark: SparkSession, sf: str) -> DataFrame:
     """The kind of each call, and whether the gate may answer it."""
     kind = gates.classify(F.col("method"), F.col("path"))
     return _requests(spark, sf).select("event_id", kind.alias("kind"), kind.isin(*gates.GATEABLE).alias("gateable"))
@@ -144,7 +144,7 @@ def reconciled_ops(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        store_roundtrip, log_sides, log_filters, log_compacted, remote_hits, request_kinds, request_keys, filters_of_cache, offline_adds, pending_adds,
+        store_roundtrip, log_sides, log_filters, log_compacted, remote_hits, gateable_requests, request_keys, filters_of_cache, offline_adds, pending_adds,
         purged_rows, replay_scopes, reconciled_ops,
     )
 }
@@ -165,7 +165,7 @@ ORACLE_SQL = {
         't1 t2 t3 t4 t5 t6 t7 t8 t9 t10' AS unmatched FROM conversations""",
     "remote_hits": """SELECT event_id, 0 AS at, 'm' || user_id AS id, 0.75::DOUBLE AS score FROM events
         UNION ALL SELECT event_id, 1, event_id::VARCHAR, 0.5 FROM events WHERE event_id % 2 <> 0""",
-    "request_kinds": """SELECT event_id, k AS kind, k IN ('read-search', 'read-getall', 'read-get') AS gateable
+    "gateable_requests": """SELECT event_id, k AS kind, k IN ('read-search', 'read-getall', 'read-get') AS gateable
         FROM (SELECT event_id, CASE event_type WHEN 'view' THEN 'read-search' WHEN 'click' THEN 'read-get' WHEN 'signup' THEN 'read-getall' WHEN 'error' THEN 'read-history' ELSE 'write-delete' END AS k FROM events)""",
     "request_keys": f"WITH {_CALLS} SELECT event_id, method || ' ' || path || query || ' ' || body AS key FROM asked",
     "filters_of_cache": f"""WITH {_CALLS} SELECT nullif(arg_min(CASE WHEN user_id % 2 <> 0 THEN 'u' || user_id ELSE '' END, event_id) FILTER (method = 'POST'), '') AS user_id, 'web' AS app_id FROM asked""",

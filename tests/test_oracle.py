@@ -45,5 +45,9 @@ def test_every_query_but_the_whole_state_machine_has_sql():
     assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"gate_outcomes"}
 
 
+def test_no_query_takes_the_name_of_another():
+    assert len(catalogue.QUERIES) == sum(len(part.QUERIES) for part in catalogue._PARTS)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
