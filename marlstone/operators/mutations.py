@@ -10,6 +10,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import text
+
 OPS_DONE_MOST = 500
 RETIRE_AFTER = 3
 BACKOFF_MS = 3_600_000
@@ -54,6 +56,35 @@ def counters(mine: DataFrame, disk: DataFrame) -> DataFrame:
     return mine.unionByName(disk).groupBy("name").agg(F.max("value").alias("value"))
 
 
+def merged_state(mine: DataFrame, disk: DataFrame, most: int = OPS_DONE_MOST) -> DataFrame:
+    """Two copies of everything beside the rows of a store: (part, key, value long), a key of a part once in each copy.
+
+    ``failures``, ``backoff_until``, ``last_attempt_at``, ``reads_blocked_until`` and whatever else: the larger value;
+    ``stats``: the larger value of the counters that mine has; ``quarantined``: both, mine where they differ; ``done``:
+    likewise, and of these the newest ``most``. A null value counts as absent."""
+    sides = mine.select("part", "key", "value", F.lit(True).alias("own")).unionByName(disk.select("part", "key", "value", F.lit(False).alias("own")))
+    both = sides.filter("value IS NOT NULL").groupBy("part", "key").agg(F.max("value").alias("largest"), F.max(F.when(F.col("own"), F.col("value"))).alias("mine"))
+    unions = F.col("part").isin("quarantined", "done")
+    kept = both.filter((F.col("part") != "stats") | F.col("mine").isNotNull())
+    values = kept.select("part", "key", F.when(unions, F.coalesce("mine", "largest")).otherwise(F.col("largest")).alias("value"))
+    done = newest_done(values.filter("part = 'done'").select("part", F.col("key").alias("op_key"), F.col("value").alias("done_at")), most)
+    return values.filter("part <> 'done'").unionByName(done.select("part", F.col("op_key").alias("key"), F.col("done_at").alias("value")))
+
+
+def loaded(store: DataFrame, now: str) -> DataFrame:
+    """A store's rows as a session takes them up: a text over the cap is cut and recorded, and its row is as new as
+    ``now``, so that it wins the merge against the copy that was not cut. Rows within the cap keep their record."""
+    over = F.col("_cut").isNotNull()
+    kind = store.schema["overflow"].dataType
+    cut = store.withColumns({"_cut": text.overflow(F.col("memory")), "memory": text.clamped(F.col("memory"))})
+    return cut.withColumns({"overflow": F.when(over, F.col("_cut").cast(kind)).otherwise(F.col("overflow")), "updated_at": F.when(over, F.lit(now)).otherwise(F.col("updated_at"))}).drop("_cut")
+
+
+def without_done(ops: DataFrame, done: DataFrame) -> DataFrame:
+    """The operations of a file (with their ``op_key``) that no tombstone (op_key) says are done."""
+    return ops.join(done.select("op_key"), "op_key", "left_anti").select(*ops.columns)
+
+
 def open_ops(mine: DataFrame, disk: DataFrame, done: DataFrame) -> DataFrame:
     """Operations of either copy by ``op_key``, without those that are done."""
     return mine.unionByName(disk).dropDuplicates(["op_key"]).join(done.select("op_key"), "op_key", "left_anti").select(*mine.columns)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import gates, mutations
@@ -24,6 +26,45 @@ def store_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return tables.load(spark, at, "id long, memory string, user_id string, app_id string, deleted boolean, source string").select("id", "user_id", "app_id", "source", F.md5("memory").alias("memory_md5"))
 
 
+def store_saved_by_two(spark: SparkSession, sf: str) -> DataFrame:
+    """Two sessions save one after the other what each has cut or deleted; the second save merges with the first."""
+    at, docs = _folder(spark), table(spark, sf, "documents")
+    rows = docs.select(F.col("doc_id").alias("id"), (F.col("n_chars") % 3).cast("long").alias("at"), (F.col("n_chars") % 5 == 0).alias("deleted"), (F.col("n_chars") > 4000).alias("overflowed"))
+    schema = "id long, at long, deleted boolean, overflowed boolean"
+    tables.save_merged(rows.filter("id % 3 > 0"), at, mutations.merged, schema)
+    tables.save_merged(rows.filter("id % 3 < 2").withColumns({"at": F.col("id") % 3, "overflowed": F.lit(False)}), at, mutations.merged, schema)
+    return tables.load(spark, at, schema)
+
+
+def state_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """What a session counted, failed and finished on even days, merged with the odd days' copy on disk."""
+    e, t = table(spark, sf, "events"), F.col("event_type")
+    late = (F.dayofmonth("ts") % 2 == 0).alias("own")
+    n, last, user = F.count(F.lit(1)).alias("value"), F.max("event_id").alias("value"), F.col("user_id").cast("string").alias("key")
+    parts = {
+        "stats": e.filter((t != "signup") | (F.dayofmonth("ts") % 2 == 1)).groupBy(late, t.alias("key")).agg(n),
+        "failures": e.filter(t == "error").groupBy(late, user).agg(n),
+        "quarantined": e.filter(t == "signup").groupBy(late, user).agg(last),
+        "done": e.filter(t == "purchase").groupBy(late, F.concat(F.lit("op"), F.floor(F.col("event_id") / 2).cast("string")).alias("key")).agg(last),
+        "reads_blocked_until": e.filter(t == "error").groupBy(late, F.lit("").alias("key")).agg(last),
+    }
+    rows = reduce(DataFrame.unionByName, [df.withColumn("part", F.lit(name)) for name, df in parts.items()])
+    return mutations.merged_state(rows.filter("own"), rows.filter("NOT own"))
+
+
+def store_loaded(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows as a session takes them up: long texts cut, recorded and as new as the session."""
+    rows = binding.memories(spark, sf).withColumns({"overflow": F.lit(None).cast("struct<originalChars:bigint,truncatedAt:bigint>"), "updated_at": F.lit("2024-01-01")})
+    return mutations.loaded(rows, "2024-05-01").select("id", F.md5("memory").alias("memory_md5"), "updated_at", F.col("overflow.originalChars").alias("original_chars"))
+
+
+def ops_loaded(spark: SparkSession, sf: str) -> DataFrame:
+    """Operations of a file without those that a good label says are done."""
+    ops = table(spark, sf, "documents").select(mutations.op_key(F.lit("update"), F.col("doc_id"), F.lit(None), F.col("n_chars")).alias("op_key"), F.col("doc_id").alias("memory_id"), "n_chars")
+    done = ops.join(table(spark, sf, "labels").filter("quality = 1"), F.col("memory_id") == F.col("doc_id"), "left_semi")
+    return mutations.without_done(ops, done).select("op_key", "memory_id")
+
+
 def _entries(spark: SparkSession, sf: str) -> DataFrame:
     """Events as comparisons: views have a remote answer of one or two hits, purchases a fused ranking."""
     e, t = table(spark, sf, "events"), F.col("event_type")
@@ -145,7 +186,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         store_roundtrip, log_sides, log_filters, log_compacted, remote_hits, gateable_requests, request_keys, filters_of_cache, offline_adds, pending_adds,
-        purged_rows, replay_scopes, reconciled_ops,
+        purged_rows, replay_scopes, reconciled_ops, store_saved_by_two, state_merge, store_loaded, ops_loaded,
     )
 }
 
@@ -178,4 +219,20 @@ ORACLE_SQL = {
         SELECT m.id, CASE WHEN m.id % 2 = 0 THEN f.user_id ELSE m.user_id END AS user_id, CASE WHEN m.id % 2 = 0 THEN f.app_id END AS app_id,
             CASE WHEN m.id % 2 = 0 THEN 3 ELSE 2 END AS keys FROM memories m CROSS JOIN first f WHERE m.source = 'local'""",
     "reconciled_ops": "SELECT doc_id AS memory_id, source AS kind FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
+    "store_saved_by_two": """WITH r AS (SELECT doc_id AS id, n_chars % 3 AS at, n_chars % 5 = 0 AS deleted, n_chars > 4000 AS overflowed FROM documents),
+            m AS (SELECT id, id % 3 AS at, deleted, false AS overflowed FROM r WHERE id % 3 < 2), d AS (SELECT * FROM r WHERE id % 3 > 0)
+        SELECT coalesce(m.id, d.id) AS id, CASE WHEN t THEN m.at ELSE d.at END::BIGINT AS at, CASE WHEN t THEN m.deleted ELSE d.deleted END AS deleted, CASE WHEN t THEN m.overflowed ELSE d.overflowed END AS overflowed
+        FROM m FULL JOIN d ON m.id = d.id, LATERAL (SELECT CASE WHEN d.id IS NULL THEN true WHEN m.id IS NULL THEN false WHEN m.at > d.at THEN true WHEN m.at < d.at THEN false ELSE m.deleted END AS t)""",
+    "state_merge": """WITH e AS (SELECT *, day(ts) % 2 = 0 AS own FROM events),
+            r AS (SELECT 'stats' AS part, event_type AS key, own, count(*) AS value FROM e WHERE event_type <> 'signup' OR NOT own GROUP BY ALL
+                UNION ALL SELECT 'failures', user_id::VARCHAR, own, count(*) FROM e WHERE event_type = 'error' GROUP BY ALL
+                UNION ALL SELECT 'quarantined', user_id::VARCHAR, own, max(event_id) FROM e WHERE event_type = 'signup' GROUP BY ALL
+                UNION ALL SELECT 'done', 'op' || (event_id // 2), own, max(event_id) FROM e WHERE event_type = 'purchase' GROUP BY ALL
+                UNION ALL SELECT 'reads_blocked_until', '', own, max(event_id) FROM e WHERE event_type = 'error' GROUP BY ALL),
+            b AS (SELECT part, key, CASE WHEN part IN ('quarantined', 'done') THEN coalesce(max(value) FILTER (own), max(value)) ELSE max(value) END AS value
+                FROM r GROUP BY part, key HAVING part <> 'stats' OR count(*) FILTER (own) > 0)
+        SELECT part, key, value FROM b QUALIFY part <> 'done' OR row_number() OVER (PARTITION BY part ORDER BY value DESC, key) <= 500""",
+    "store_loaded": f"""WITH {binding.MEMORIES} SELECT id, md5(substr(memory, 1, 4000)) AS memory_md5, CASE WHEN length(memory) > 4000 THEN '2024-05-01' ELSE '2024-01-01' END AS updated_at,
+        CASE WHEN length(memory) > 4000 THEN length(memory)::BIGINT END AS original_chars FROM memories""",
+    "ops_loaded": """SELECT 'update|' || doc_id || '||' || n_chars AS op_key, doc_id AS memory_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)""",
 }

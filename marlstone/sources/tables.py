@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 STORE_SCHEMA = "id string, memory string, created_at string, updated_at string, deleted boolean, source string, user_id string, agent_id string, app_id string, run_id string, overflow struct<originalChars:bigint,truncatedAt:bigint>"
@@ -25,20 +28,61 @@ def empty(spark: SparkSession, schema: str = STORE_SCHEMA) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def load(spark: SparkSession, folder: str, schema: str = STORE_SCHEMA) -> DataFrame:
-    """The current version of a versioned table; an absent one is empty."""
+def load(spark: SparkSession, folder: str, schema: str = STORE_SCHEMA, tolerant: bool = False) -> DataFrame:
+    """The current version of a versioned table; an absent one is empty. ``tolerant``: files that can't be read count
+    as absent (do not save what was loaded so: their rows would go for good)."""
     versions = _versions(spark, folder)
-    return spark.read.schema(schema).parquet(f"{folder}/v{versions[-1]}") if versions else empty(spark, schema)
+    reader = spark.read.schema(schema).option("ignoreCorruptFiles", tolerant)
+    return reader.parquet(f"{folder}/v{versions[-1]}") if versions else empty(spark, schema)
 
 
 def save(df: DataFrame, folder: str) -> str:
-    """A new version; readers of the one before keep it, and a failed write leaves it current."""
+    """A new version in place of all before; readers of the one before keep it, and a failed write leaves it current."""
     versions = _versions(df.sparkSession, folder)
-    path = f"{folder}/v{versions[-1] + 1 if versions else 1}"
+    path = f"{folder}/v{_claimed(df.sparkSession, folder, versions[-1] + 1 if versions else 1)}"
     df.write.parquet(path)
     return path
 
 
+def save_merged(mine: DataFrame, folder: str, merge: Callable[[DataFrame, DataFrame], DataFrame], schema: str = STORE_SCHEMA) -> str:
+    """A new version that holds ``mine`` merged with what the folder holds (``merge(mine, disk)``).
+
+    Sessions may save at once: each version has one owner, who made its claim, and whoever finds after its write that
+    another version was committed since it read merges again into a further one, so no session's rows are lost. A
+    session that dies leaves a claim without a commit, which nobody waits for."""
+    spark = mine.sparkSession
+    while True:
+        versions = _versions(spark, folder)
+        base = versions[-1] if versions else 0
+        own = _claimed(spark, folder, base + 1)
+        disk = spark.read.schema(schema).parquet(f"{folder}/v{base}") if base else empty(spark, schema)
+        merge(mine, disk).write.parquet(f"{folder}/v{own}")
+        if all(v in (own, base) for v in _versions(spark, folder) if v >= base):
+            return f"{folder}/v{own}"
+
+
+def _claimed(spark: SparkSession, folder: str, least: int) -> int:
+    """The first version from ``least`` on that nobody else has claimed."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    while fs.exists(jvm.org.apache.hadoop.fs.Path(path, f"v{least}")) or not _created(fs, jvm.org.apache.hadoop.fs.Path(path, f"_claim-{least}")):
+        least += 1
+    return least
+
+
+def _created(fs, path) -> bool:
+    """Whether this call made the file: creation without overwriting has one winner."""
+    try:
+        fs.create(path, False).close()
+        return True
+    except Py4JJavaError as error:
+        if not fs.exists(path):
+            raise error
+        return False
+
+
 def _versions(spark: SparkSession, folder: str) -> list[int]:
     """Versions whose write was committed, ascending."""
     jvm = spark.sparkContext._jvm
