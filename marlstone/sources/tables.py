@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 STORE_SCHEMA = "id string, memory string, created_at string, updated_at string, deleted boolean, source string, user_id string, agent_id string, app_id string, run_id string, overflow struct<originalChars:bigint,truncatedAt:bigint>"
 VECTOR_SCHEMA = "id string, model string, hash string, vec array<double>, dims int, normalized boolean"
 
+_claims = threading.Lock()
+
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """The rows from a folder that driver and executors share: computed once, however often they are read."""
@@ -62,13 +65,17 @@ def save_merged(mine: DataFrame, folder: str, merge: Callable[[DataFrame, DataFr
 
 
 def _claimed(spark: SparkSession, folder: str, least: int) -> int:
-    """The first version from ``least`` on that nobody else has claimed."""
+    """The first version from ``least`` on that nobody else has claimed.
+
+    The file system decides between processes (HDFS creates a file exactly once; one that only looks first can let two
+    pass in the same instant), a lock between the threads of this one."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(path)
-    while fs.exists(jvm.org.apache.hadoop.fs.Path(path, f"v{least}")) or not _created(fs, jvm.org.apache.hadoop.fs.Path(path, f"_claim-{least}")):
-        least += 1
+    with _claims:
+        fs.mkdirs(path)
+        while fs.exists(jvm.org.apache.hadoop.fs.Path(path, f"v{least}")) or not _created(fs, jvm.org.apache.hadoop.fs.Path(path, f"_claim-{least}")):
+            least += 1
     return least
 
 
