@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import threading
+import uuid
 from collections.abc import Callable
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 STORE_SCHEMA = "id string, memory string, created_at string, updated_at string, deleted boolean, source string, user_id string, agent_id string, app_id string, run_id string, overflow struct<originalChars:bigint,truncatedAt:bigint>"
 VECTOR_SCHEMA = "id string, model string, hash string, vec array<double>, dims int, normalized boolean"
 
-_claims = threading.Lock()
-
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """The rows from a folder that driver and executors share: computed once, however often they are read."""
@@ -34,69 +32,76 @@ def empty(spark: SparkSession, schema: str = STORE_SCHEMA) -> DataFrame:
 def load(spark: SparkSession, folder: str, schema: str = STORE_SCHEMA, tolerant: bool = False) -> DataFrame:
     """The current version of a versioned table; an absent one is empty. ``tolerant``: files that can't be read count
     as absent (do not save what was loaded so: their rows would go for good)."""
-    versions = _versions(spark, folder)
-    reader = spark.read.schema(schema).option("ignoreCorruptFiles", tolerant)
-    return reader.parquet(f"{folder}/v{versions[-1]}") if versions else empty(spark, schema)
+    return _read(spark, folder, _version(spark, folder), schema, tolerant)
 
 
-def save(df: DataFrame, folder: str) -> str:
-    """A new version in place of all before; readers of the one before keep it, and a failed write leaves it current."""
-    versions = _versions(df.sparkSession, folder)
-    path = f"{folder}/v{_claimed(df.sparkSession, folder, versions[-1] + 1 if versions else 1)}"
-    df.write.parquet(path)
-    return path
+def save(df: DataFrame, folder: str) -> int:
+    """A new version in place of all before, and its number; a failed write leaves the one before current, and its
+    readers keep it."""
+    data = _staged(df, folder)
+    while not _committed(df.sparkSession, folder, data, version := _version(df.sparkSession, folder) + 1):
+        pass
+    return version
 
 
-def save_merged(mine: DataFrame, folder: str, merge: Callable[[DataFrame, DataFrame], DataFrame], schema: str = STORE_SCHEMA) -> str:
-    """A new version that holds ``mine`` merged with what the folder holds (``merge(mine, disk)``).
+def save_merged(mine: DataFrame, folder: str, merge: Callable[[DataFrame, DataFrame], DataFrame], schema: str = STORE_SCHEMA) -> int:
+    """A new version that holds ``mine`` merged with the current one (``merge(mine, disk)``), and its number.
 
-    Sessions may save at once: each version has one owner, who made its claim, and whoever finds after its write that
-    another version was committed since it read merges again into a further one, so no session's rows are lost. A
-    session that dies leaves a claim without a commit, which nobody waits for."""
+    Sessions may save at once: a version is committed only as the successor of the one it was merged with, else it
+    is merged again with the one that came first, so no session's rows are lost and one of them always gets on."""
     spark = mine.sparkSession
     while True:
-        versions = _versions(spark, folder)
-        base = versions[-1] if versions else 0
-        own = _claimed(spark, folder, base + 1)
-        disk = spark.read.schema(schema).parquet(f"{folder}/v{base}") if base else empty(spark, schema)
-        merge(mine, disk).write.parquet(f"{folder}/v{own}")
-        if all(v in (own, base) for v in _versions(spark, folder) if v >= base):
-            return f"{folder}/v{own}"
-
-
-def _claimed(spark: SparkSession, folder: str, least: int) -> int:
-    """The first version from ``least`` on that nobody else has claimed.
-
-    The file system decides between processes (HDFS creates a file exactly once; one that only looks first can let two
-    pass in the same instant), a lock between the threads of this one."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    with _claims:
-        fs.mkdirs(path)
-        while fs.exists(jvm.org.apache.hadoop.fs.Path(path, f"v{least}")) or not _created(fs, jvm.org.apache.hadoop.fs.Path(path, f"_claim-{least}")):
-            least += 1
-    return least
-
-
-def _created(fs, path) -> bool:
-    """Whether this call made the file: creation without overwriting has one winner."""
-    try:
-        fs.create(path, False).close()
-        return True
-    except Py4JJavaError as error:
-        if not fs.exists(path):
-            raise error
-        return False
-
-
-def _versions(spark: SparkSession, folder: str) -> list[int]:
-    """Versions whose write was committed, ascending."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    found = [s.getPath() for s in fs.listStatus(path)]
-    done = [p.getName() for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(int(n[1:]) for n in done if n[:1] == "v" and n[1:].isdigit())
+        base = _version(spark, folder)
+        data = _staged(merge(mine, _read(spark, folder, base, schema)), folder)
+        if _committed(spark, folder, data, base + 1):
+            return base + 1
+        _fs(spark, folder).delete(_path(spark, f"{folder}/{data}"), True)
+
+
+#: Of the threads of this process one commits at a time; between processes the file system decides.
+_commits = threading.Lock()
+
+
+def _staged(df: DataFrame, folder: str) -> str:
+    """The name of a folder of the rows that no version has yet."""
+    data = f"data-{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/{data}")
+    return data
+
+
+def _committed(spark: SparkSession, folder: str, data: str, version: int) -> bool:
+    """Whether ``version`` became that folder: its marker is written whole and renamed, which fails if there is one
+    (on HDFS in one step; a file system that only looks first can let two pass in the same instant)."""
+    fs, marker, draft = _fs(spark, folder), _path(spark, f"{folder}/v{version}"), _path(spark, f"{folder}/_draft-{data}")
+    out = fs.create(draft, False)
+    out.writeBytes(data)
+    out.close()
+    with _commits:
+        done = not fs.exists(marker) and fs.rename(draft, marker)
+    if not done:
+        fs.delete(draft, False)
+    return done
+
+
+def _version(spark: SparkSession, folder: str) -> int:
+    """The newest version, 0 if there is none."""
+    fs, path = _fs(spark, folder), _path(spark, folder)
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return max((int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()), default=0)
+
+
+def _read(spark: SparkSession, folder: str, version: int, schema: str, tolerant: bool = False) -> DataFrame:
+    if not version:
+        return empty(spark, schema)
+    marker = _fs(spark, folder).open(_path(spark, f"{folder}/v{version}"))
+    data = marker.readLine()
+    marker.close()
+    return spark.read.schema(schema).option("ignoreCorruptFiles", tolerant).parquet(f"{folder}/{data}")
+
+
+def _path(spark: SparkSession, name: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+
+
+def _fs(spark: SparkSession, folder: str):
+    return _path(spark, folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

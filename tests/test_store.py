@@ -14,20 +14,21 @@ def test_sessions_that_save_at_once_lose_nothing(spark, tmp_path):
     assert {(r.id, r.at) for r in tables.load(spark, at, ROWS).collect()} == {(i, min(i, 3)) for i in range(6)}
 
 
-def test_a_claim_without_a_commit_is_passed_over(spark, tmp_path):
+def test_a_version_has_one_owner_and_a_session_that_died_none(spark, tmp_path):
     at = f"file://{tmp_path}/store"
-    assert tables._claimed(spark, at, 1) == 1
     rows = spark.createDataFrame([(1, 1, False, False)], ROWS)
-    assert tables.save_merged(rows, at, mutations.merged, ROWS).endswith("/v2") and tables.save(rows.limit(0), at).endswith("/v3")
-    assert tables.load(spark, at, ROWS).count() == 0
+    tables._staged(rows.limit(0), at)
+    assert tables.load(spark, at, ROWS).count() == 0 and tables.save_merged(rows, at, mutations.merged, ROWS) == 1
+    assert not tables._committed(spark, at, tables._staged(rows.limit(0), at), 1) and tables.load(spark, at, ROWS).count() == 1
+    assert tables.save(rows.limit(0), at) == 2 and tables.load(spark, at, ROWS).count() == 0
 
 
 def test_torn_files_are_an_empty_store_if_asked(spark, tmp_path):
     at = f"file://{tmp_path}/store"
     tables.save(spark.createDataFrame([(1, 1, False, False)], ROWS).coalesce(1), at)
-    torn = next(p for p in (tmp_path / "store" / "v1").iterdir() if p.name.endswith(".parquet"))
+    torn = next(p for p in (tmp_path / "store").glob("data-*/*") if p.name.endswith(".parquet"))
     torn.write_bytes(b"torn")
-    for check in (tmp_path / "store" / "v1").glob(".*.crc"):
+    for check in (tmp_path / "store").glob("data-*/.*.crc"):
         check.unlink()
     assert tables.load(spark, at, ROWS, tolerant=True).count() == 0
 
