@@ -8,19 +8,20 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 # The scripts that are cut into bigrams, and the size caps.
+EVAL_CJK = r"一-鿿぀-ヿ가-힯"
 CJK = r"㐀-䶿一-鿿豈-﫿぀-ヿ가-힯"
 MAX_CHARS = 4000
 MAX_POOL_CHARS = 1200
 
 
-def tokens(text: Column) -> Column:
-    """Lower-cased Latin runs whole, CJK runs as overlapping bigrams, a lone CJK character alone."""
+def tokens(text: Column, cjk: str = CJK) -> Column:
+    """Lower-cased Latin runs whole, runs of ``cjk`` as overlapping bigrams, a lone character of these alone."""
     low = F.lower(text)
-    runs = F.regexp_extract_all(low, F.lit(f"([a-z0-9_]+|[{CJK}]+)"), F.lit(1))
+    runs = F.regexp_extract_all(low, F.lit(f"([a-z0-9_]+|[{cjk}]+)"), F.lit(1))
     bigrams = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substr(r, i, F.lit(2)))
     cut = lambda r: F.when(r.rlike("^[a-z0-9_]") | (F.length(r) == 1), F.array(r)).otherwise(bigrams(r))
     # Without CJK text a run is a token: no function need be applied to each.
-    return F.when(low.rlike(f"[{CJK}]"), F.flatten(F.transform(runs, cut))).otherwise(F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), F.lit(0)))
+    return F.when(low.rlike(f"[{cjk}]"), F.flatten(F.transform(runs, cut))).otherwise(F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), F.lit(0)))
 
 
 def token_count(text: Column) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ranking import DIGITS, ranked
@@ -16,6 +19,9 @@ from .lexical import Scopes, best_of_batch
 
 # Inputs and characters of an embedding batch, and batches of a call.
 BATCH_INPUTS, BATCH_CHARS, BATCHES = 64, 16_000, 8
+# Characters of an input, seconds after a failed batch, milliseconds without a service that fails.
+INPUT_CHARS, WAIT, COOLDOWN_MS = 8000, 0.5, 60_000
+VECTOR_COLUMNS = ("id", "model", "hash", "vec", "dims", "normalized")
 #: Scores of a task's matrix at a time.
 SCORES = 1 << 21
 
@@ -119,25 +125,111 @@ def packed(rows: DataFrame, inputs: int = BATCH_INPUTS, chars: int = BATCH_CHARS
     return folded.filter(F.col("batch") < batches)
 
 
-def embedded(batches: DataFrame, embed: Callable[[list[str]], list[list[float]]], model: str) -> DataFrame:
-    """(id, model, hash, vec, dims, normalized) from (id, batch, memory); a batch whose embedding fails is left out
-    and stays a target of the next call."""
+EMBEDDED = "id long, model string, hash string, vec array<double>, dims int, normalized boolean, batch long, error string"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import hashlib
 
-        try:
-            vectors = _units(np.asarray(embed(pdf["memory"].str.slice(0, 8000).tolist()), np.float64))
-        except Exception:
-            return pd.DataFrame({c: [] for c in ("id", "model", "hash", "vec", "dims", "normalized")}, dtype=object)
-        hashes = [hashlib.sha1(t.encode()).hexdigest() for t in pdf["memory"]]
-        return pd.DataFrame({"id": pdf["id"], "model": model, "hash": hashes, "vec": list(vectors.tolist()), "dims": vectors.shape[1], "normalized": True})
+def embedded(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], model: str, inputs: int = BATCH_INPUTS, chars: int = BATCH_CHARS, attempts: int = 1, wait: float = WAIT) -> DataFrame:
+    """(id, model, hash, vec, dims, normalized, batch, error) of rows (id, memory), all of them in one pass.
 
-    return batches.groupBy("batch").applyInPandas(run, "id long, model string, hash string, vec array<double>, dims int, normalized boolean")
+    Each task packs its own rows into batches, closed by the rule of ``packed``, and holds one batch at a time. A batch
+    fails if the service does, or if it answers with another number of vectors, with empty or with uneven ones; it is
+    tried ``attempts`` times, ``wait`` seconds apart, and its rows then have the error and no vector. Rows without a
+    text have no vector to get and are left out. Write the result before using it twice: every use asks the service."""
+
+    def asked(texts: list[str]) -> tuple[np.ndarray | None, str | None]:
+        error = None
+        for n in range(attempts):
+            if n:
+                time.sleep(wait)
+            try:
+                vectors = embed([t[:INPUT_CHARS] for t in texts])
+                if len(vectors) != len(texts) or len({len(v) for v in vectors}) != 1 or not len(vectors[0]):
+                    raise ValueError("malformed response body")
+                return _units(np.asarray(vectors, np.float64)), None
+            except Exception as failure:  # the service is not ours: whatever it raises fails this batch alone
+                error = str(failure) or type(failure).__name__
+        return None, error
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+
+        def done(ids: list, texts: list[str], number: int) -> pa.RecordBatch:
+            vectors, error = asked(texts)
+            n = len(ids)
+            vec = [None] * n if vectors is None else list(vectors)
+            columns = {
+                "id": pa.array(ids, pa.int64()),
+                "model": pa.array([model] * n, pa.string()),
+                "hash": pa.array([hashlib.sha1(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts], pa.string()),
+                "vec": pa.array(vec, pa.list_(pa.float64())),
+                "dims": pa.array([None if vectors is None else vectors.shape[1]] * n, pa.int32()),
+                "normalized": pa.array([vectors is not None] * n, pa.bool_()),
+                "batch": pa.array([first + number] * n, pa.int64()),
+                "error": pa.array([error] * n, pa.string()),
+            }
+            return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+        ids, texts, used, number = [], [], 0, 0
+        for batch in batches:
+            for i, text in zip(batch.column("id").to_pylist(), batch.column("memory").to_pylist()):
+                if ids and (len(ids) >= inputs or used + len(text) > chars):
+                    yield done(ids, texts, number)
+                    ids, texts, used, number = [], [], 0, number + 1
+                ids.append(i)
+                texts.append(text)
+                used += len(text)
+        if ids:
+            yield done(ids, texts, number)
+
+    return rows.filter("memory IS NOT NULL").select(F.col("id").cast("long").alias("id"), "memory").mapInArrow(run, EMBEDDED)
+
+
+def progress(fresh: DataFrame, corpus: DataFrame) -> DataFrame:
+    """One row of a pass (``embedded``) over the targets of a corpus: embedded, batches, failed_batches, remaining,
+    corpus, first_error (by batch), and the health that follows, for ``COOLDOWN_MS`` if it is ``persistent``.
+
+    Health: ``none`` without a failed batch, ``persistent`` if all failed, else ``partial``."""
+    failed = F.col("error").isNotNull()
+    one = fresh.agg(
+        F.count_if(~failed).alias("embedded"),
+        F.count_distinct("batch").alias("batches"),
+        F.count_distinct(F.when(failed, F.col("batch"))).alias("failed_batches"),
+        F.count_if(failed).alias("remaining"),
+        F.min_by(F.when(failed, F.col("error")), F.when(failed, F.col("batch"))).alias("first_error"),
+    )
+    health = F.when(F.col("failed_batches") == 0, "none").when(F.col("failed_batches") >= F.col("batches"), "persistent").otherwise("partial")
+    return one.crossJoin(corpus.agg(F.count(F.lit(1)).alias("corpus"))).withColumn("health", health)
+
+
+def upkeep(vectors: DataFrame, corpus: DataFrame, embed: Callable[[list[str]], list[list[float]]], model: str, passes: int = 8, **limits) -> tuple[DataFrame, list[dict]]:
+    """(vectors after upkeep, the progress of each pass): until no live row (id, memory) lacks a vector of this model
+    and its text, or all batches of a pass fail, or ``passes`` are over.
+
+    Vectors that were stored as they came become unit vectors; those of another model and of rows that are gone go. A
+    pass embeds all that remains, spread over the tasks, and what it got is written before the next, so a failure
+    costs its own batches only."""
+    from ..sources.tables import written
+
+    have, report = written(pruned(migrated(vectors), corpus, model).select(*VECTOR_COLUMNS), "vectors"), []
+    for _ in range(passes):
+        fresh = written(embedded(targets(corpus, have, model), embed, model, **limits), "embedded")
+        report.append(progress(fresh, corpus).first().asDict())
+        if report[-1]["embedded"]:
+            have = written(maintained(have, fresh, corpus, model), "vectors")
+        if report[-1]["health"] == "persistent" or not report[-1]["remaining"]:
+            break
+    return have, report
+
+
+def migrated(vectors: DataFrame) -> DataFrame:
+    """Vectors of unit length, also those that were stored before this was done on writing."""
+    done = F.coalesce("normalized", F.lit(False))
+    return vectors.withColumns({"vec": F.when(done, F.col("vec")).otherwise(unit(F.col("vec"))), "normalized": F.lit(True)})
 
 
 def maintained(vectors: DataFrame, fresh: DataFrame, corpus: DataFrame, model: str) -> DataFrame:
-    """Stored vectors after a call: pruned, another model's wiped, new ones in place of old."""
+    """Stored vectors after a call: pruned, another model's wiped, new ones in place of old; what failed changes nothing."""
+    fresh = fresh.filter("vec IS NOT NULL")
     kept = pruned(vectors, corpus, model).join(fresh.select("id"), "id", "left_anti")
     return kept.unionByName(fresh.select(*vectors.columns))
 

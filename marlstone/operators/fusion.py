@@ -36,19 +36,24 @@ def apply_rerank(pool: DataFrame, scores: DataFrame, top: int = TOP) -> DataFram
 
 
 def rerank(pool: DataFrame, queries: DataFrame, corpus: DataFrame, score: Callable[[str, list[str]], list[float]], chars: int = 4000) -> DataFrame:
-    """(query_id, doc_id, position) by an injected scorer of a query's texts; a query whose scoring fails has none."""
+    """(query_id, doc_id, position, error) by an injected scorer of a query's texts.
+
+    A query whose scoring fails, or does not give one score a text, has one row with the error and no document, and so
+    keeps the order of its pool."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank")
         try:
             values = score(pdf["query"].iloc[0], pdf["text"].str.slice(0, chars).tolist())
-        except Exception:
-            return pdf.iloc[:0][["query_id", "doc_id"]].assign(position=pd.Series(dtype="int64"))
+            if len(values) != len(pdf):
+                raise ValueError(f"{len(values)} scores for {len(pdf)} texts")
+        except Exception as failure:  # the scorer is not ours: whatever it raises fails this query alone
+            return pd.DataFrame({"query_id": pdf["query_id"].iloc[:1], "doc_id": None, "position": None, "error": str(failure) or type(failure).__name__})
         pdf = pdf.assign(value=values).sort_values(["value", "rank"], ascending=[False, True])
-        return pdf[["query_id", "doc_id"]].assign(position=range(len(pdf)))
+        return pdf[["query_id", "doc_id"]].assign(position=range(len(pdf)), error=None)
 
     rows = pool.join(corpus.select("doc_id", "text"), "doc_id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
-    return rows.groupBy("query_id").applyInPandas(run, "query_id long, doc_id long, position long")
+    return rows.groupBy("query_id").applyInPandas(run, "query_id long, doc_id long, position long, error string")
 
 
 def parsed_positions(responses: DataFrame, pools: DataFrame) -> DataFrame:

@@ -214,10 +214,16 @@ class Block:
                 yield pa.RecordBatch.from_arrays([pa.array(self.ids[own[q]]), pa.array(docs[r]), pa.array(np.round(scores[r, q], DIGITS))], ["query_id", "doc_id", "score"])
 
 
-def unmatched(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(query_id, term): distinct query terms that no document has."""
-    known = tokenised(corpus.select("doc_id", "text")).select(F.explode("tokens").alias("term")).distinct()
-    return query_terms(queries.select("query_id", "text")).join(known, "term", "left_anti").select("query_id", "term")
+def unmatched(queries: DataFrame, corpus: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """(query_id, term): distinct query terms that no document has, of those that the query's ``scope`` lets it see."""
+    scope = scope or []
+    terms = query_terms(queries.select("query_id", "text", *scopes.asked(scope))).withColumn("scope_id", _scope_id(scope))
+    wanted = terms.select("term").distinct()
+    words = tokenised(corpus.select("doc_id", "text", *scope)).select(*scope, F.explode("tokens").alias("term"))
+    known = words.join(wanted, "term", "left_semi").distinct()
+    if scope:
+        known = scopes.visible(known, terms.select("scope_id", *scope).distinct(), scope).select("scope_id", "term").distinct()
+    return terms.join(known, known.columns, "left_anti").select("query_id", "term")
 
 
 def keyword_hits(queries: DataFrame, corpus: DataFrame, top: int = 10, block_bytes: int = 512 << 10, scope: list[str] | None = None) -> DataFrame:

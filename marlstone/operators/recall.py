@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans import strategy as st
@@ -58,7 +59,7 @@ def recall(
             else:
                 channels[name] = (_dense(queries, corpus, vectors, query_vectors, scope, pool, top, reference_compat), 1.0)
             status[name] = "ok"
-        except Exception as error:  # a channel that cannot be planned is dropped and reported
+        except PySparkException as error:  # a channel that cannot be planned is dropped and reported; one that fails later fails the job
             status[name] = str(error)
     if not channels:
         return Found(queries.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int"), "none", status, plan.reason)
@@ -71,6 +72,11 @@ def recall(
     return Found(ranked, st.served(strategy, set(channels), strategy.rerank), status, plan.reason)
 
 
+def near(queries: DataFrame, corpus: DataFrame, vectors: DataFrame, query_vectors: DataFrame, scope: list[str] | None = None, pool: int = fusion.POOL) -> DataFrame:
+    """(query_id, doc_id, score, rank): the dense channel alone."""
+    return _dense(queries, corpus, vectors, query_vectors, scope, pool, fusion.TOP, False)
+
+
 def _dense(queries, corpus, vectors, query_vectors, scope, pool, top, reference_compat) -> DataFrame:
     asked = query_vectors.join(queries.select("query_id"), "query_id", "left_semi")
     known = vectors.join(corpus.select("doc_id"), "doc_id", "left_semi")

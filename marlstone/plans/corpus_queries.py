@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import text as tx
 from ..functions.vectors import norm
 from ..operators import dense, gates, gold, ingest, lexical, scope
-from ..sources.tables import table
+from ..sources.tables import table, written
 from . import binding
 from .binding import MEMORIES
 
@@ -136,6 +136,36 @@ def batch_packing(spark: SparkSession, sf: str) -> DataFrame:
     return dense.packed(dense.targets(ingest.live(binding.memories(spark, sf)), _stored(spark, sf), MODEL))
 
 
+def _letters(texts: list[str]) -> list[list[float]]:
+    """A service that stands in for an embedder: length, number of a's, one."""
+    return [[float(len(t)), float(t.count("a")), 1.0] for t in texts]
+
+
+def vector_upkeep(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored vectors brought up to date: made unit vectors, those of dead rows gone, new and changed texts embedded."""
+    raw = binding.vectors(spark, sf).select(F.col("doc_id").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    stored = _stored(spark, sf).join(raw, "id").withColumns({"dims": F.size("vec"), "normalized": F.lit(False)})
+    kept, _ = dense.upkeep(stored, ingest.live(binding.memories(spark, sf)), _letters, MODEL)
+    return kept.select("id", "hash", "dims", F.round(F.col("vec")[0], 5).alias("x"))
+
+
+def vector_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """A pass in which the service refuses every batch, one text at a time: what remains, and the health that follows."""
+    live = ingest.live(binding.memories(spark, sf))
+
+    def refusing(texts: list[str]) -> list[list[float]]:
+        raise ValueError("503: no body")
+
+    fresh = dense.embedded(dense.targets(live, _stored(spark, sf), MODEL), refusing, MODEL, inputs=1)
+    return dense.progress(written(fresh, "embedded"), live)
+
+
+def eval_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of the evaluation's own tokenizer, which knows fewer scripts; each turn has some of both kinds."""
+    mixed = F.concat(F.col("text"), F.lit(" 数据工程 㐀㐁 カナ 한"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.size(tx.tokens(mixed, tx.EVAL_CJK)).alias("n"), F.array_join(F.slice(F.reverse(tx.tokens(mixed, tx.EVAL_CJK)), 1, 5), " ").alias("last"))
+
+
 def page_stop_rule(spark: SparkSession, sf: str) -> DataFrame:
     """A pull in pages of 20: the pages of the crawl in order, the last one short."""
     counted = table(spark, sf, "pages").groupBy((F.floor(F.col("page_id") / 20) + 1).alias("page")).agg(F.count(F.lit(1)).alias("fetched"))
@@ -148,7 +178,7 @@ QUERIES = {
     for f in (
         scan_live_documents, clamp_overflow, quarantine, harvest_upsert, scope_filter, scope_label, scope_from_url, request_kinds,
         tokenize_counts, doc_lengths, df_table, corpus_stats, keyword_token_counts, query_shape, length_bucket, noise_filter, dedupe_queries,
-        vector_norms, vector_targets, vector_prune, vector_coverage, batch_packing, page_stop_rule,
+        vector_norms, vector_targets, vector_prune, vector_coverage, batch_packing, page_stop_rule, vector_upkeep, vector_failures, eval_tokens,
     )
 }
 
@@ -214,4 +244,10 @@ ORACLE_SQL = {
             coalesce(sum(fetched) OVER w, 0) AS got, coalesce(max(CASE WHEN fetched < 20 THEN 1 ELSE 0 END) OVER w, 0) AS short
             FROM c WINDOW w AS (ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
         SELECT page, fetched, total FROM r WHERE short = 0 AND (got < total OR page = 1)""",
+    "vector_upkeep": f"""WITH {_TARGETS}, kept AS (SELECT s.id, s.hash, list_transform(e.embedding::DOUBLE[], lambda v: v) AS vec FROM stored s JOIN live l ON l.id = s.id AND sha1(l.memory) = s.hash JOIN embeddings e ON e.vec_id = s.id),
+        new AS (SELECT id, hash, length(substr(memory, 1, 8000))::DOUBLE AS n, (length(substr(memory, 1, 8000)) - length(replace(substr(memory, 1, 8000), 'a', '')))::DOUBLE AS a FROM targets)
+        SELECT id, hash, len(vec)::INTEGER AS dims, round(vec[1] / sqrt(list_sum(list_transform(vec, lambda v: v * v))), 5) AS x FROM kept UNION ALL SELECT id, hash, 3, round(n / sqrt(n * n + a * a + 1), 5) FROM new""",
+    "vector_failures": f"""WITH {_TARGETS} SELECT 0::BIGINT AS embedded, count(*) AS batches, count(*) AS failed_batches, count(*) AS remaining, '503: no body' AS first_error,
+        (SELECT count(*) FROM live) AS corpus, 'persistent' AS health FROM targets""",
+    "eval_tokens": """SELECT conv_id, turn, (len(regexp_extract_all(lower(text), '[a-z0-9_]+')) + 5)::INTEGER AS n, '한 カナ 工程 据工 数据' AS last FROM conversations""",
 }

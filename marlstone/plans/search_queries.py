@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import dense, fusion, lexical, recall
-from ..sources.tables import table
+from ..operators import dense, fusion, lexical, recall, recorder
+from ..sources.tables import table, written
 from . import binding
 
 
@@ -136,12 +136,31 @@ def materialize_hits(spark: SparkSession, sf: str) -> DataFrame:
     return recall.materialised(hits, rows).select("query_id", "doc_id", "rank", "user_id", "app_id")
 
 
+def comparison_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Each question ranked six ways beside a service that answers nine of ten by keywords."""
+    asked, corpus = binding.queries(spark, sf), binding.corpus(spark, sf).select("doc_id", "text")
+    ranked = recorder.sides(asked, corpus, binding.vectors(spark, sf), binding.query_vectors(spark, sf), lambda pool, queries, docs: fusion.term_coverage(queries, docs, pool))
+    ranked = written(ranked, "sides")
+    remote = ranked.filter("strategy = 'legacy' AND query_id % 10 > 0")
+    e = recorder.entries(asked, corpus, remote, ranked, F.col("query_id") + 1000, version="v1")
+    joined = lambda c: F.array_join(c, " ")
+    ids = lambda c: joined(F.transform(c, lambda h: h["id"]))
+    lists = [ids("remote").alias("remote"), ids("localBm25").alias("bm25"), joined("localFusion").alias("fusion"), joined("localDense").alias("dense"), joined("localDenseRerank").alias("rerank"), ids("localVec").alias("vec"), joined("unmatched").alias("unmatched")]
+    measures = [F.col(a).alias(b) for a, b in (("overlap5", "legacy5"), ("mrr", "legacy_mrr"), ("overlapBm25_5", "bm25_5"), ("overlapBm25_10", "bm25_10"), ("overlapFusion10", "fusion_10"), ("overlapDense10", "dense_10"))]
+    return e.select("query_id", "ts", F.md5("query").alias("query_md5"), *lists, *measures, F.round("mrrBm25", 6).alias("bm25_mrr"), F.round("mrrFusion", 6).alias("fusion_mrr"))
+
+
+def unmatched_scoped(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms of questions that no document of the application or user they ask for has."""
+    return lexical.unmatched(binding.partly_scoped_queries(spark, sf), binding.corpus(spark, sf), ["user_id", "app_id"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         hybrid_search, bm25_topk, bm25_scoped_topk, bm25_unmatched, legacy_topk, cosine_topk, cosine_scoped_before, cosine_scoped_after,
         rrf_fusion, rrf_zero_weight, rerank_coverage, materialize_hits, legacy_scoped_topk, legacy_scoped_after, bm25_partial_scope,
-        hybrid_scoped, ladder_auto, ladder_without_vectors, dense_rerank, rerank_responses,
+        hybrid_scoped, ladder_auto, ladder_without_vectors, dense_rerank, rerank_responses, comparison_entries, unmatched_scoped,
     )
 }
 
@@ -207,10 +226,15 @@ def partial_bm25_sql(top: int) -> str:
 
 def share_sql(pool: str) -> str:
     """The pool in the order of the share of a query's distinct terms that a document holds."""
+    return f"{reranked_sql(pool)} SELECT query_id, doc_id, rank FROM reranked"
+
+
+def reranked_sql(pool: str) -> str:
+    """CTEs that end in ``reranked`` (query_id, doc_id, rank)."""
     return f"""asked AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS terms FROM benchmark),
         share AS (SELECT f.query_id, f.doc_id, f.rank AS r, round(len(list_intersect(a.terms, regexp_extract_all(lower(d.text), '[a-z0-9_]+'))) / len(a.terms), 6) AS s
-            FROM {pool} f JOIN asked a ON a.query_id = f.query_id JOIN documents d ON d.doc_id = f.doc_id)
-        SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, r)::INTEGER AS rank FROM share QUALIFY rank <= 10"""
+            FROM {pool} f JOIN asked a ON a.query_id = f.query_id JOIN documents d ON d.doc_id = f.doc_id),
+        reranked AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, r)::INTEGER AS rank FROM share QUALIFY rank <= 10)"""
 
 
 POOLS = f"{bm25_sql(50)}, {cosine_sql(50, where=KNOWN)}, {fused_sql(0.4)}"
@@ -243,4 +267,20 @@ ORACLE_SQL = {
         SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY n_chars % 97 + doc_id / 1e6 DESC) - 1 AS position FROM d WHERE doc_id % 7 <> 0""",
     "materialize_hits": f"""WITH {binding.MEMORIES}, {bm25_sql(50)} SELECT b.query_id, b.doc_id, row_number() OVER (PARTITION BY b.query_id ORDER BY b.rank)::INTEGER AS rank, m.user_id, m.app_id
         FROM bm25 b JOIN memories m ON m.id = b.doc_id WHERE NOT m.deleted QUALIFY row_number() OVER (PARTITION BY b.query_id ORDER BY b.rank) <= 10""",
+    "unmatched_scoped": f"""WITH {binding.PARTLY}, t AS (SELECT DISTINCT query_id, nullif(nullif(user_id, ''), '*') AS u, nullif(nullif(app_id, ''), '*') AS a, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM partly),
+        d AS (SELECT DISTINCT lang, source, term FROM (SELECT lang, source, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM documents))
+        SELECT query_id, term FROM t WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.term = t.term AND (t.u IS NULL OR d.lang = t.u) AND (t.a IS NULL OR d.source = t.a))""",
+    "comparison_entries": f"""WITH {POOLS}, {legacy_sql(10)}, {reranked_sql('cosine')},
+        r AS (SELECT query_id, 'legacy' AS side, doc_id, rank FROM legacy UNION ALL SELECT query_id, 'bm25', doc_id, rank FROM bm25 WHERE rank <= 10 UNION ALL SELECT query_id, 'fusion', doc_id, rank FROM fused WHERE rank <= 10
+            UNION ALL SELECT query_id, 'dense', doc_id, rank FROM cosine WHERE rank <= 10 UNION ALL SELECT query_id, 'rerank', doc_id, rank FROM reranked UNION ALL SELECT query_id, 'vec', doc_id, rank FROM cosine WHERE rank <= 10 AND score > 0),
+        m AS (SELECT * FROM legacy WHERE query_id % 10 > 0),
+        s AS (SELECT r.query_id, r.side, string_agg(r.doc_id, ' ' ORDER BY r.rank) AS ids, count(*) FILTER (r.rank <= 5 AND m.rank <= 5)::INTEGER AS five, count(m.rank)::INTEGER AS ten, coalesce(max(CASE WHEN m.rank = 1 THEN 1.0::DOUBLE / r.rank END), 0) AS mrr
+            FROM r LEFT JOIN m ON m.query_id = r.query_id AND m.doc_id = r.doc_id GROUP BY ALL),
+        o AS (SELECT query_id, string_agg(term, ' ' ORDER BY n) FILTER (n <= 10) AS absent FROM (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS n
+            FROM (SELECT query_id, term, min(pos) AS pos FROM (SELECT item_id AS query_id, unnest(terms) AS term, generate_subscripts(terms, 1) AS pos FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS terms FROM benchmark)) GROUP BY ALL)
+            WHERE term NOT IN (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) FROM documents)) GROUP BY ALL)
+        SELECT b.item_id AS query_id, b.item_id + 1000 AS ts, md5(substr(b.text, 1, 200)) AS query_md5, CASE WHEN b.item_id % 10 > 0 THEN coalesce(l.ids, '') ELSE '' END AS remote, w.ids AS bm25, f.ids AS fusion, d.ids AS dense, k.ids AS rerank, v.ids AS vec,
+            CASE WHEN w.ids IS NOT NULL THEN coalesce(o.absent, '') END AS unmatched, coalesce(l.five, 0) AS legacy5, coalesce(l.mrr, 0) AS legacy_mrr, w.five AS bm25_5, w.ten AS bm25_10, f.ten AS fusion_10, d.ten AS dense_10, round(w.mrr, 6) AS bm25_mrr, round(f.mrr, 6) AS fusion_mrr
+        FROM benchmark b LEFT JOIN s l ON l.query_id = b.item_id AND l.side = 'legacy' LEFT JOIN s w ON w.query_id = b.item_id AND w.side = 'bm25' LEFT JOIN s f ON f.query_id = b.item_id AND f.side = 'fusion'
+            LEFT JOIN s d ON d.query_id = b.item_id AND d.side = 'dense' LEFT JOIN s k ON k.query_id = b.item_id AND k.side = 'rerank' LEFT JOIN s v ON v.query_id = b.item_id AND v.side = 'vec' LEFT JOIN o ON o.query_id = b.item_id""",
 }

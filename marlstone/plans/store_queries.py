@@ -6,8 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import gates, mutations
-from ..sources import logs, tables
+from ..operators import gates, gold, ingest, mutations
+from ..sources import logs, providers, tables
 from ..sources.tables import table
 from ..streaming import runs
 from . import binding
@@ -182,11 +182,29 @@ def reconciled_ops(spark: SparkSession, sf: str) -> DataFrame:
     return mutations.reconciled(ops, confirmed)
 
 
+def embedding_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers of an embedding service, one for each part, items in no order of their index: some refused, some torn."""
+    parts = table(spark, sf, "part").select("p_partkey", F.floor(F.col("p_partkey") / 4).alias("answer"), (F.col("p_partkey") % 4).cast("int").alias("at"))
+    vec = F.array(F.col("p_partkey").cast("double"), F.col("at").cast("double"))
+    items = parts.select("answer", F.struct((-F.col("at")).alias("order"), F.col("at").alias("index"), F.when((F.col("answer") % 7 != 0) | (F.col("at") != 1), vec).alias("embedding")).alias("item"))
+    bodies = items.groupBy("answer").agg(F.to_json(F.struct(F.array_sort(F.collect_list("item")).alias("data"))).alias("body"))
+    rows = bodies.select("answer", F.when(F.col("answer") % 5 == 0, 429).otherwise(200).alias("status"), F.when(F.col("answer") % 5 == 0, F.lit("")).otherwise(F.col("body")).alias("body"))
+    vectors = providers.vectors_of(F.col("body"))
+    return rows.select("answer", providers.error_of("embedder", F.col("status"), F.col("body")).alias("error"), F.size(vectors).alias("vectors"), F.element_at(vectors, -1)[0].alias("last"))
+
+
+def pool_of_sides(spark: SparkSession, sf: str) -> DataFrame:
+    """The pool of each logged comparison: what any of its sides ranked, if it is live."""
+    sides = logs.side_rankings(_log(spark, sf)).select(F.col("ts").alias("query_id"), F.expr("try_cast(id AS BIGINT)").alias("doc_id"), "rank")
+    return gold.pool(sides, ingest.live(binding.memories(spark, sf)).select(F.col("id").alias("doc_id")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         store_roundtrip, log_sides, log_filters, log_compacted, remote_hits, gateable_requests, request_keys, filters_of_cache, offline_adds, pending_adds,
         purged_rows, replay_scopes, reconciled_ops, store_saved_by_two, state_merge, store_loaded, ops_loaded,
+        embedding_responses, pool_of_sides,
     )
 }
 
@@ -235,4 +253,9 @@ ORACLE_SQL = {
     "store_loaded": f"""WITH {binding.MEMORIES} SELECT id, md5(substr(memory, 1, 4000)) AS memory_md5, CASE WHEN length(memory) > 4000 THEN '2024-05-01' ELSE '2024-01-01' END AS updated_at,
         CASE WHEN length(memory) > 4000 THEN length(memory)::BIGINT END AS original_chars FROM memories""",
     "ops_loaded": """SELECT 'update|' || doc_id || '||' || n_chars AS op_key, doc_id AS memory_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)""",
+    "embedding_responses": """WITH a AS (SELECT p_partkey // 4 AS answer, count(*)::INTEGER AS n, max(p_partkey)::DOUBLE AS last, bool_or(p_partkey % 4 = 1) AS torn FROM part GROUP BY 1)
+        SELECT answer, CASE WHEN answer % 5 = 0 THEN 'embedder 429: no body' WHEN answer % 7 = 0 AND torn THEN 'embedder: malformed response body' END AS error,
+            CASE WHEN NOT (answer % 5 = 0 OR answer % 7 = 0 AND torn) THEN n END AS vectors, CASE WHEN NOT (answer % 5 = 0 OR answer % 7 = 0 AND torn) THEN last END AS last FROM a""",
+    "pool_of_sides": f"""WITH {binding.MEMORIES}, s AS (SELECT event_id AS query_id, user_id AS doc_id FROM events WHERE event_type = 'view' UNION SELECT event_id, event_id FROM events WHERE event_type IN ('view', 'purchase'))
+        SELECT query_id, doc_id FROM s WHERE doc_id IN (SELECT id FROM memories WHERE NOT deleted)""",
 }

@@ -23,16 +23,19 @@ class GateProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         known = self.numbers.get() if self.numbers.exists() else (None, 0)
-        gate = Gate(known[0], known[1] or 0, {k[0]: v[0] for k, v in self.saved.iterator()})
+        before = {k[0]: v[0] for k, v in self.saved.iterator()}
+        gate = Gate(known[0], known[1] or 0, dict(before))
         pdf = pd.concat(list(rows)).sort_values(["at", "seq"])
         outcomes = []
         for r in pdf.itertuples():
             retry = None if r.retry_after is None or r.retry_after != r.retry_after else float(r.retry_after)
             outcomes.append(step(gate, int(r.at), r.kind, r.key, int(r.status), retry, bool(r.local), self.ttl, self.interval))
         self.numbers.update((gate.last_read, gate.blocked_until))
-        self.saved.clear()
+        for k in before.keys() - gate.saved.keys():
+            self.saved.removeKey((k,))
         for k, at in gate.saved.items():
-            self.saved.updateValue((k,), (at,))
+            if before.get(k) != at:
+                self.saved.updateValue((k,), (at,))
         yield pd.DataFrame({"tenant": pdf["tenant"], "seq": pdf["seq"], "outcome": outcomes})
 
     def close(self) -> None:

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -26,14 +27,19 @@ def source(spark: SparkSession, folder_: str, name: str) -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and read what it wrote; in complete mode, what it wrote last."""
+    """Run a stream over what is there and read what it wrote; in complete mode, what it wrote last. Its state is in
+    RocksDB; other streams of the session keep their own provider (a query takes its settings up when it starts)."""
     spark, at = stream.sparkSession, folder(stream.sparkSession)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     writer = stream.writeStream.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).outputMode(mode)
-    if mode == "append":
-        query = writer.format("parquet").option("path", f"{at}/out").start()
-    else:
-        query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{at}/out")).start()
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        if mode == "append":
+            query = writer.format("parquet").option("path", f"{at}/out").start()
+        else:
+            query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{at}/out")).start()
+    finally:
+        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
