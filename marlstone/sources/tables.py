@@ -86,7 +86,7 @@ def _committed(spark: SparkSession, folder: str, data: str, version: int) -> boo
 def _version(spark: SparkSession, folder: str) -> int:
     """The newest version, 0 if there is none."""
     fs, path = _fs(spark, folder), _path(spark, folder)
-    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    names = [s.getPath().getName() for s in fs.listStatus(path) if s.isFile()] if fs.exists(path) else []
     return max((int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()), default=0)
 
 
