@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import gates, gold, ingest, mutations
-from ..sources import logs, providers, tables
-from ..sources.tables import table
+from ..sources import logs, pages, providers, tables
+from ..sources.tables import table, written
 from ..streaming import runs
 from . import binding
 
@@ -193,6 +194,24 @@ def embedding_responses(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("answer", providers.error_of("embedder", F.col("status"), F.col("body")).alias("error"), F.size(vectors).alias("vectors"), F.element_at(vectors, -1)[0].alias("last"))
 
 
+def _serve(page: int, size: int) -> tuple[int, str]:
+    """A service with 130 rows, of which one in ten has no text."""
+    rows = [{"id": str(n)} | ({"memory": f"row {n}"} if n % 10 else {}) for n in range((page - 1) * size, min(page * size, 130))]
+    return 200, json.dumps({"results": rows, "count": 130})
+
+
+def pull_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """A whole pull in pages of 20 into a store of every third document."""
+    store = table(spark, sf, "documents").filter("doc_id % 3 = 0").select(F.col("doc_id").alias("id"))
+    return pages.summary(written(pages.pull(spark, _serve, 20), "pulled"), store)
+
+
+def pull_filters(spark: SparkSession, sf: str) -> DataFrame:
+    """What a mirror of all applications asks for, from the filters of each row's own read."""
+    wide = pages.pull_filters(F.create_map(F.lit("user_id"), F.col("user_id"), F.lit("app_id"), F.col("app_id")))
+    return binding.memories(spark, sf).select("id", wide["user_id"].alias("user_id"), wide["app_id"].alias("app_id"), F.size(wide).alias("keys"))
+
+
 def pool_of_sides(spark: SparkSession, sf: str) -> DataFrame:
     """The pool of each logged comparison: what any of its sides ranked, if it is live."""
     sides = logs.side_rankings(_log(spark, sf)).select(F.col("ts").alias("query_id"), F.expr("try_cast(id AS BIGINT)").alias("doc_id"), "rank")
@@ -204,7 +223,7 @@ QUERIES = {
     for f in (
         store_roundtrip, log_sides, log_filters, log_compacted, remote_hits, gateable_requests, request_keys, filters_of_cache, offline_adds, pending_adds,
         purged_rows, replay_scopes, reconciled_ops, store_saved_by_two, state_merge, store_loaded, ops_loaded,
-        embedding_responses, pool_of_sides,
+        embedding_responses, pool_of_sides, pull_summary, pull_filters,
     )
 }
 
@@ -258,4 +277,7 @@ ORACLE_SQL = {
             CASE WHEN NOT (answer % 5 = 0 OR answer % 7 = 0 AND torn) THEN n END AS vectors, CASE WHEN NOT (answer % 5 = 0 OR answer % 7 = 0 AND torn) THEN last END AS last FROM a""",
     "pool_of_sides": f"""WITH {binding.MEMORIES}, s AS (SELECT event_id AS query_id, user_id AS doc_id FROM events WHERE event_type = 'view' UNION SELECT event_id, event_id FROM events WHERE event_type IN ('view', 'purchase'))
         SELECT query_id, doc_id FROM s WHERE doc_id IN (SELECT id FROM memories WHERE NOT deleted)""",
+    "pull_summary": """SELECT 7::BIGINT AS pages, 130::BIGINT AS fetched, count(*) FILTER (n % 10 <> 0 AND n NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0)) AS new, 130::BIGINT AS total,
+        NULL::INTEGER AS failed_status FROM range(130) r(n)""",
+    "pull_filters": f"WITH {binding.MEMORIES} SELECT id, user_id, NULL::VARCHAR AS app_id, 1 AS keys FROM memories",
 }
