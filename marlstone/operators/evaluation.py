@@ -126,6 +126,16 @@ def graded(rankings: DataFrame, grades: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
+def recorded(sides: DataFrame, top: int = 10) -> DataFrame:
+    """(query_id, strategy, doc_id, rank): logged sides as they were ranked then, and ``fusion_recorded``, the sides
+    ``bm25`` and ``dense`` fused at equal weights, for scorers that cannot ask the embedder again."""
+    from . import fusion
+
+    kept = sides.filter(F.col("rank") <= top).select("query_id", "strategy", "doc_id", "rank")
+    both = {name: (kept.filter(F.col("strategy") == name), 1.0) for name in ("bm25", "dense")}
+    return kept.unionByName(fusion.fuse(both, top).select("query_id", F.lit("fusion_recorded").alias("strategy"), "doc_id", "rank"))
+
+
 def graded_summary(scored: DataFrame) -> DataFrame:
     means = [_r(F.coalesce(F.avg(c), F.lit(0.0))).alias(f"mean_{c}") for c in ("ndcg", "recall", "prec5", "mrr", "hit", "zero")]
     return scored.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), *means, F.sum("no_answer").alias("no_answer"))

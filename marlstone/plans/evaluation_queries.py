@@ -88,6 +88,15 @@ def graded_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.graded(ranked, grades)
 
 
+def recorded_graded(spark: SparkSession, sf: str) -> DataFrame:
+    """Two logged sides and their fusion at equal weights against the grades of what they ranked."""
+    words, near = lexical.bm25(binding.queries(spark, sf), binding.corpus(spark, sf)), remote(spark, sf, 10)
+    sides = [df.select("query_id", F.lit(name).alias("strategy"), "doc_id", "rank") for name, df in (("bm25", words), ("dense", near))]
+    ranked = evaluation.recorded(written(sides[0].unionByName(sides[1]), "sides"))
+    grades = gold.pool(ranked, binding.corpus(spark, sf)).join(binding.grades(spark, sf), "doc_id").select("query_id", "doc_id", "grade")
+    return evaluation.graded(ranked, grades)
+
+
 def graded_summary(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.graded_summary(graded_metrics(spark, sf))
 
@@ -163,7 +172,7 @@ QUERIES = {
     for f in (
         overlap_mrr, ndcg_vs_remote, overlap_full_remote, accuracy_summary, accuracy_by_stratum, replay_eval, winloss,
         pool_union, pool_median, pool_domination, graded_metrics, graded_summary, compare_runs, grade_merge, judge_agreement,
-        fair_subset, head_to_head, fusion_unweighted, run_totals, log_by_date, judge_prompts, embed_cache,
+        fair_subset, head_to_head, fusion_unweighted, recorded_graded, run_totals, log_by_date, judge_prompts, embed_cache,
     )
 }
 
@@ -185,6 +194,8 @@ _GRADED = f"""{_POOL}, g AS (SELECT p.query_id, p.doc_id, quality + 1 - toxic AS
         FROM r JOIN ideal i ON i.query_id = r.query_id LEFT JOIN g ON g.query_id = r.query_id AND g.doc_id = r.doc_id GROUP BY ALL),
     metrics AS (SELECT query_id, strategy, round(dcg / nullif(idcg, 0), 6) AS ndcg, round(found::DOUBLE / nullif(relevant, 0), 6) AS recall, round(found5 / 5.0::DOUBLE, 6) AS prec5,
         round(coalesce(mrr, 0), 6) AS mrr, (found > 0)::INTEGER AS hit, (found = 0)::INTEGER AS zero, (relevant = 0)::INTEGER AS no_answer FROM scored)"""
+_RECORDED = f"""{bm25_sql(10)}, {cosine_sql(10, where=KNOWN)}, {fused_sql(1.0, top=10)}, r AS (SELECT query_id, 'bm25' AS strategy, doc_id, rank FROM bm25
+        UNION ALL SELECT query_id, 'dense', doc_id, rank FROM cosine UNION ALL SELECT query_id, 'fusion_recorded', doc_id, rank FROM fused)"""
 _ACCURACY = """count(*) AS n, round(avg(ndcg), 6) AS mean_ndcg, round(avg(overlap5), 6) AS mean_overlap5, round(avg(overlap10), 6) AS mean_overlap10, round(avg(mrr), 6) AS mean_mrr,
     round(avg(top1::INTEGER), 6) AS top1_rate, round(avg((overlap10 = 0)::INTEGER), 6) AS zero10_rate, round(avg((mrr > 0)::INTEGER), 6) AS top1_in_10_rate,
     round(avg((overlap5 >= 5)::INTEGER), 6) AS perfect5_rate, count(*) < 30 AS indicative_only"""
@@ -230,6 +241,7 @@ ORACLE_SQL = {
     "head_to_head": f"""WITH {_MEASURED}, shared AS (SELECT query_id FROM measured GROUP BY 1 HAVING count(DISTINCT strategy) = (SELECT count(DISTINCT strategy) FROM measured))
         SELECT strategy, count(*) AS n, round(avg(overlap5), 6) AS overlap5, round(avg(overlap10), 6) AS overlap10, round(avg(mrr), 6) AS mrr, round(avg((mrr = 1)::INTEGER), 6) AS top1
         FROM measured WHERE query_id IN (SELECT query_id FROM shared) GROUP BY strategy""",
+    "recorded_graded": f"WITH {_GRADED.replace(_RANKS, _RECORDED)} SELECT * FROM metrics",
     "fusion_unweighted": f"WITH {bm25_sql(10)}, {cosine_sql(10, where=KNOWN)}, {fused_sql(1.0, top=10)} SELECT query_id, doc_id, score, rank FROM fused",
     "run_totals": """WITH r AS (SELECT count(*) AS judgments, count(*) FILTER (role = 'system') AS missing, sum(length(text)) AS tokens FROM conversations GROUP BY conv_id)
         SELECT count(*) AS queries, sum(judgments)::BIGINT AS judgments, count(*) FILTER (missing > 0) AS incomplete, sum(tokens)::BIGINT AS tokens, round(sum(tokens::DOUBLE * 0.001::DOUBLE), 6) AS cost FROM r""",
