@@ -256,3 +256,13 @@ def from_cache(texts: DataFrame, cache: DataFrame, model: str) -> tuple[DataFram
     keyed = texts.select("text").distinct().withColumn("key", cache_key(F.col("text")))
     own = cache.filter(F.col("model") == model).select("key", "vec")
     return keyed.join(own, "key"), keyed.join(own.select("key"), "key", "left_anti")
+
+
+def cold_cost(texts: DataFrame, cache: DataFrame, model: str, price: float, chars_per_token: float = 3.5) -> DataFrame:
+    """One row before a run: texts, mean_chars, unique_texts, uncached, tokens that these are about, and what a million
+    of them cost at ``price``."""
+    _, missing = from_cache(texts, cache, model)
+    every = texts.agg(F.count(F.lit(1)).alias("texts"), F.round(F.avg(F.char_length("text")), 1).alias("mean_chars"), F.count_distinct(cache_key(F.col("text"))).alias("unique_texts"))
+    tokens = F.coalesce(F.sum(F.char_length("text")), F.lit(0)) / chars_per_token
+    left = missing.agg(F.count(F.lit(1)).alias("uncached"), F.round(tokens, 3).alias("tokens"), F.round(tokens / 1e6 * price, 9).alias("cost"))
+    return every.crossJoin(left)

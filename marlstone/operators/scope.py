@@ -75,3 +75,11 @@ def host_is(url: Column, domain: str) -> Column:
     """The host is the domain or one below it."""
     host = F.try_parse_url(url, F.lit("HOST"))
     return F.coalesce((host == domain) | host.endswith(f".{domain}"), F.lit(False))
+
+
+def sizes(queries: DataFrame, corpus: DataFrame, scope: list[str]) -> DataFrame:
+    """(query_id, n): how many documents each query may see. The corpus is counted by its scope columns first."""
+    wanted = queries.select("query_id", *asked(scope)).withColumn("scope_id", F.to_json(F.struct(*scope)))
+    counted = corpus.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"))
+    seen = visible(counted, wanted.select("scope_id", *scope).distinct(), scope).groupBy("scope_id").agg(F.sum("n").alias("n"))
+    return wanted.join(seen, "scope_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n"))

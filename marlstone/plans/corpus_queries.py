@@ -160,6 +160,18 @@ def vector_failures(spark: SparkSession, sf: str) -> DataFrame:
     return dense.progress(written(fresh, "embedded"), live)
 
 
+def embedding_cost(spark: SparkSession, sf: str) -> DataFrame:
+    """What a cold run over the live rows would ask for, with the vectors of the local ones in a cache."""
+    live = ingest.live(binding.memories(spark, sf)).select("source", F.col("memory").alias("text"))
+    cache = live.filter("source = 'local'").select(dense.cache_key(F.col("text")).alias("key"), F.lit(MODEL).alias("model"), F.array(F.lit(1.0)).alias("vec")).distinct()
+    return dense.cold_cost(live, cache, MODEL, price=0.01)
+
+
+def scope_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """How many documents each question may see."""
+    return scope.sizes(binding.partly_scoped_queries(spark, sf), binding.corpus(spark, sf), ["user_id", "app_id"])
+
+
 def eval_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens of the evaluation's own tokenizer, which knows fewer scripts; each turn has some of both kinds."""
     mixed = F.concat(F.col("text"), F.lit(" 数据工程 㐀㐁 カナ 한"))
@@ -178,7 +190,7 @@ QUERIES = {
     for f in (
         scan_live_documents, clamp_overflow, quarantine, harvest_upsert, scope_filter, scope_label, scope_from_url, request_kinds,
         tokenize_counts, doc_lengths, df_table, corpus_stats, keyword_token_counts, query_shape, length_bucket, noise_filter, dedupe_queries,
-        vector_norms, vector_targets, vector_prune, vector_coverage, batch_packing, page_stop_rule, vector_upkeep, vector_failures, eval_tokens,
+        vector_norms, vector_targets, vector_prune, vector_coverage, batch_packing, page_stop_rule, vector_upkeep, vector_failures, eval_tokens, embedding_cost, scope_sizes,
     )
 }
 
@@ -250,4 +262,9 @@ ORACLE_SQL = {
     "vector_failures": f"""WITH {_TARGETS} SELECT 0::BIGINT AS embedded, count(*) AS batches, count(*) AS failed_batches, count(*) AS remaining, '503: no body' AS first_error,
         (SELECT count(*) FROM live) AS corpus, 'persistent' AS health FROM targets""",
     "eval_tokens": """SELECT conv_id, turn, (len(regexp_extract_all(lower(text), '[a-z0-9_]+')) + 5)::INTEGER AS n, '한 カナ 工程 据工 数据' AS last FROM conversations""",
+    "embedding_cost": f"""WITH {_LIVE}, missing AS (SELECT DISTINCT memory FROM live WHERE memory NOT IN (SELECT memory FROM live WHERE source = 'local'))
+        SELECT (SELECT count(*) FROM live) AS texts, (SELECT round(avg(length(memory)), 1) FROM live) AS mean_chars, (SELECT count(DISTINCT memory) FROM live) AS unique_texts,
+            count(*) AS uncached, round(sum(length(memory)) / 3.5::DOUBLE, 3) AS tokens, round(sum(length(memory)) / 3.5::DOUBLE / 1e6 * 0.01::DOUBLE, 9) AS cost FROM missing""",
+    "scope_sizes": f"""WITH {binding.PARTLY} SELECT query_id, count(d.doc_id) AS n FROM partly p LEFT JOIN documents d
+        ON (coalesce(p.user_id, '') IN ('', '*') OR d.lang = p.user_id) AND (coalesce(p.app_id, '') IN ('', '*') OR d.source = p.app_id) GROUP BY query_id""",
 }

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import dense, fusion, recorder
+from marlstone.operators import dense, fusion, recorder, scope as scopes
 from marlstone.sources import logs
 from marlstone.sources.providers import Provider, choose, error_of, vectors_of
 
@@ -98,3 +98,16 @@ def test_answers_of_an_embedder(spark):
     assert got == [[[1.0, 0.0], [2.0, 0.0]], [[1.0], [2.0]]] + [None] * 6
     errors = [r.e for r in df.withColumn("e", error_of("x", F.when(F.col("i") == 0, 403).otherwise(200), F.col("b"))).orderBy("i").collect()]
     assert errors[0].startswith("x 403: {") and errors[1] is None and errors[2] == "x: malformed response body"
+
+
+def test_scope_sizes_of_nothing_and_of_nobody(spark):
+    schema = "query_id long, user_id string"
+    corpus = spark.createDataFrame([(1, "u"), (2, "u"), (3, None)], "doc_id long, user_id string")
+    asked = spark.createDataFrame([(1, "u"), (2, None), (3, "*"), (4, "nobody"), (5, "")], schema)
+    assert {tuple(r) for r in scopes.sizes(asked, corpus, ["user_id"]).collect()} == {(1, 2), (2, 3), (3, 3), (4, 0), (5, 3)}
+    assert {r.n for r in scopes.sizes(asked, corpus.limit(0), ["user_id"]).collect()} == {0} and scopes.sizes(asked.limit(0), corpus, ["user_id"]).count() == 0
+
+
+def test_cost_of_an_empty_corpus(spark):
+    texts, cache = spark.createDataFrame([], "text string"), spark.createDataFrame([], "key string, model string, vec array<double>")
+    assert tuple(dense.cold_cost(texts, cache, "m", 1.0).first()) == (0, None, 0, 0, 0.0, 0.0)
