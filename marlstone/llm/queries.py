@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard, language_id, line_dedup, pii, repeats, sentencepieces, token_counts, token_files
+from . import decontaminate, jaccard, language_id, line_dedup, names, pii, repeats, sentencepieces, token_counts, token_files
 from .exact_dedup import exact_dedup
 from .shared import new_path
 
@@ -70,6 +70,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op13_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clients = table(spark, sf_dir, "clients").select(F.col("client_id").alias("id"), names.folded("name").alias("name"))
+    vendors = table(spark, sf_dir, "vendors").select(F.col("vendor_id").alias("id"), names.folded(names.misspelt("name", "vendor_id")).alias("name"))
+    found = names.near_names(clients, vendors)
+    return found.select(F.col("id").alias("vendor_id"), "distance", F.col("n").alias("n_clients"), F.col("first_id").alias("first_client_id"), F.col("crc").alias("clients_crc"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_line_dedup": op2_line_dedup,
@@ -81,12 +88,44 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
+    "op13_names": op13_names,
 }
 
+
+def _crc32_sql(text: str) -> str:
+    """DuckDB's expression for the unsigned CRC-32 of an ASCII text: a step for each bit."""
+    steps = f"flatten([[ascii(c), 0, 0, 0, 0, 0, 0, 0] for c in string_split({text}, '')])"
+    step = "lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}::BIGINT[]), {step}), 4294967295::BIGINT)"
+
+
+def _folded_sql(name: str) -> str:
+    return f"translate({name}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
 ORACLE_SQL = {
     "op10_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)""",
+    "op13_names": f"""
+        WITH RECURSIVE
+        c AS (SELECT client_id, {_folded_sql("name")} AS name, {_crc32_sql("client_id::VARCHAR")} AS crc FROM clients WHERE name <> ''),
+        h AS (SELECT vendor_id, name, {_crc32_sql("vendor_id::VARCHAR")} AS h FROM vendors WHERE name <> ''),
+        p AS (SELECT *, CASE WHEN h % 2 = 0 AND length(name) > 1 THEN (h % (length(name) - 1))::INT END AS p FROM h),
+        v AS (SELECT DISTINCT vendor_id, {_folded_sql("CASE WHEN p IS NULL THEN name ELSE left(name, p) || substr(name, p + 2, 1) || substr(name, p + 1, 1) || substr(name, p + 3) END")} AS name FROM p),
+        pairs AS (SELECT a.name AS a, b.name AS b FROM (SELECT DISTINCT name FROM c) a JOIN (SELECT DISTINCT name FROM v) b
+                  ON abs(length(a.name) - length(b.name)) <= 2),
+        d AS (  -- a cell of the matrix at each step: its row so far, and the two rows above; until two rows have no cell of 2
+            SELECT a, b, 1 AS i, 0 AS j, []::BIGINT[] AS two, range(length(b) + 1) AS one, [1]::BIGINT[] AS now FROM pairs
+            UNION ALL
+            SELECT a, b, CASE WHEN j = length(b) THEN i + 1 ELSE i END, CASE WHEN j = length(b) THEN 0 ELSE j + 1 END,
+                   CASE WHEN j = length(b) THEN one ELSE two END, CASE WHEN j = length(b) THEN now ELSE one END,
+                   CASE WHEN j = length(b) THEN [i + 1]::BIGINT[] ELSE list_append(now, least(one[j + 2] + 1, now[j + 1] + 1, one[j + 1] + (a[i] <> b[j + 1])::BIGINT,
+                       CASE WHEN i > 1 AND j > 0 AND a[i] = b[j] AND a[i - 1] = b[j + 1] THEN two[j] + 1 ELSE 99 END)) END
+            FROM d WHERE j < length(b) OR i < length(a) AND least(list_min(now), list_min(one)) <= 2),
+        near AS (SELECT a, b, now[length(b) + 1] AS distance FROM d WHERE i = length(a) AND j = length(b) AND now[length(b) + 1] <= 2)
+        SELECT vendor_id, distance::INT AS distance, count(*) AS n_clients, min(client_id) AS first_client_id, sum(crc)::BIGINT AS clients_crc
+        FROM v JOIN near ON v.name = b JOIN c ON c.name = a GROUP BY vendor_id, distance""",
 }
