@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard, language_id, line_dedup, names, pii, repeats, sentencepieces, token_counts, token_files
+from . import decontaminate, jaccard, language_id, line_dedup, names, packing, pii, repeats, sentencepieces, token_counts, token_files, treaps
 from .exact_dedup import exact_dedup
 from .shared import new_path
 
@@ -70,6 +70,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=0)
+    return packed.rows.drop("ids")
+
+
+def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treaps.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     clients = table(spark, sf_dir, "clients").select(F.col("client_id").alias("id"), names.folded("name").alias("name"))
     vendors = table(spark, sf_dir, "vendors").select(F.col("vendor_id").alias("id"), names.folded(names.misspelt("name", "vendor_id")).alias("name"))
@@ -88,6 +97,8 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_packing": op11_packing,
+    "op12_ranked": op12_ranked,
     "op13_names": op13_names,
 }
 
@@ -103,12 +114,27 @@ def _folded_sql(name: str) -> str:
     return f"translate({name}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def _terms_sql() -> str:
+    return r"regexp_extract_all(%s, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')" % _folded_sql("coalesce(text, '')")
+
+
 ORACLE_SQL = {
     "op10_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)""",
+    "op12_ranked": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_terms_sql()} AS t FROM documents),
+        n AS (SELECT r, doc_id, t, len(t) AS n FROM d WHERE len(t) > 0),
+        a AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM n),
+        q AS (SELECT item_id, text, term, count(*) AS c FROM (SELECT item_id, text, unnest({_terms_sql()}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+        p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM n) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+        w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), a),
+        i AS (SELECT r, term, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total)) AS i FROM p JOIN n USING (r), a),
+        s AS (SELECT item_id, q.text, n.doc_id, sum(c * w * i)::BIGINT AS score FROM q JOIN w USING (term) JOIN i USING (term) JOIN n USING (r) GROUP BY item_id, q.text, r, n.doc_id),
+        k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT item_id, rank::INT AS rank, doc_id, score FROM k WHERE rank <= 20""",
     "op13_names": f"""
         WITH RECURSIVE
         c AS (SELECT client_id, {_folded_sql("name")} AS name, {_crc32_sql("client_id::VARCHAR")} AS crc FROM clients WHERE name <> ''),
