@@ -12,8 +12,9 @@ as grams that stay keep their sequence.
 The inverted index is a join of prefixes on gram, position and length, one side
 with each shift d and difference D of lengths that |d| + |D - d| <= k allows. The
 join itself drops pairs by counts that fit in words: an edit flips at most two bits
-of the parities of code points and six of those of digrams. What is left, once for
-each pair of different names, is measured in a band of 2 k + 1 diagonals.
+of the parities of code points and six of those of digrams; and by the distance
+without exchanges, of which one counts two but flips no parity. What is left, once
+for each pair of different names, is measured in a band of 2 k + 1 diagonals.
 
 Names of t grams or fewer may share none: two such names meet in the buckets of
 their lengths, within a bucket by what k deletions leave of them, which is equal
@@ -243,6 +244,9 @@ def edit_join(left: DataFrame, right: DataFrame, edits: int = EDITS, q: int = GR
     a, b = (t.select("name").mapInArrow(_postings(order, q, edits, many), POSTING).alias(s) for t, s, many in ((left, "a", False), (right, "b", True)))
     flips = lambda c: F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")))
     met = (F.col("a.key") == F.col("b.key")) & (flips("points") <= 2 * edits) & (flips("digrams") <= 6 * edits)
+    # Without exchanges an exchange is two edits, and it alone flips no parity of code points: so the more flips, the fewer it can be.
+    apart = F.levenshtein(F.col("a.name"), F.col("b.name"), 2 * edits)
+    met = met & (apart >= 0) & (2 * apart + flips("points") <= 4 * edits)
     pairs = a.hint("merge").join(b, met).select(F.col("a.name").alias("a"), F.col("b.name").alias("b")).distinct()
     return pairs.mapInArrow(_measured(edits), "a string, b string, distance int")
 
