@@ -347,7 +347,7 @@ def _searched(asked: Questions, top: int):
                     rows.append((number[term], docs, impact, up))
         finish()
         item, score, doc, missing = best.columns
-        yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(doc, mask=missing), pa.array(score)], ["item", "doc_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(item.astype(np.int32)), pa.array(doc, mask=missing), pa.array(score)], ["item", "doc_id", "score"])
         released()
 
     return run
@@ -357,7 +357,7 @@ def search(index: Index, items: DataFrame, top: int = TOP, id_col: str = "item_i
     """(item_id, rank, doc_id, score): the ``top`` documents of each item with a score above 0, equal scores by id."""
     spark = items.sparkSession
     asked = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL").distinct()
-    size = asked.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    size = asked.agg(F.sum(F.least(F.octet_length("text") + 16, F.lit(block_bytes)))).first()[0] or 0  # a longer item fills one
     blocks = max(1, math.ceil(size / block_bytes))
     found = None
     for b in range(blocks):

@@ -122,7 +122,7 @@ def test_awkward_documents(spark, length):
 
 def test_equal_rows(spark):
     docs = spark.range(5_000).selectExpr("id % 2 AS doc_id", "'one and the same text' AS text")
-    packed = packing.pack_documents(docs, queries.tokenizer_file(FILE), end_id=0, pool=300)
+    packed = packing.pack_documents(docs, queries.tokenizer_file(FILE), end_id=0, pool=2_000)
     assert packed.rows.groupBy("sequence_id").agg({"length": "sum"}).selectExpr("max(`sum(length)`) <= 2048 AS ok").first().ok
     assert packed.sequences - packed.bound <= 1 and packed.rows.count() == 5_000
 

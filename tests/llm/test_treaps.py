@@ -91,7 +91,7 @@ def test_traversal_equals_every_document_scored(monkeypatch, leaf, nodes, top):
     assert scored < (0.9 if leaf < 64 else 1.01) * hits  # the rest was left out by bounds
 
 
-@pytest.mark.parametrize("shard_docs, block_bytes", [(3, 40), (1 << 14, 1 << 20)])
+@pytest.mark.parametrize("shard_docs, block_bytes", [(3, 100), (1 << 14, 1 << 20)])
 def test_awkward_documents_and_items(spark, shard_docs, block_bytes):
     docs = awkward(spark)
     items = [(1, "The THE the one"), (1, "The THE the one"), (1, "x y"), (2, None), (3, ""), (4, "no such terms"), (None, "a b c é"), (5, "längere 日本"), (6, "x" * 300_000), (7, "--")]
