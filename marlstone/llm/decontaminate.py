@@ -17,7 +17,8 @@ further block is one more scan of the rows, and its items stay in a broadcast, w
 Spark may keep on disk, until the query is done.
 
 Cases: a null or empty text has no hit, nor has an item without letters or
-digits; several items of one text each hit;
+digits; several items of one text each hit, and several texts under one id each for
+themselves; a null item_id is an id like any other; equal rows of items count once;
 occurrences of one item in one text are reported once each, by their place;
 repeated rows give repeated hits; empty tables give none; other columns are left
 out of the hits and kept by `drop_contaminated`.
@@ -99,11 +100,11 @@ class Matcher:
         if not len(self.automaton):
             return []
         text = normalise(text)
-        found, covered, tried = [], {}, {}
+        found, covered, tried = [], {}, {}  # by item: one id may have several
         for last, (size, uses) in self.automaton.iter(text):
             start = last + 1 - size
             for item, offset in uses:
-                if start < covered.get(item.item_id, 0):
+                if start < covered.get(item, 0):
                     continue
                 at, n, k = start - offset, len(item.text), item.edits
                 if item.words:
@@ -111,26 +112,26 @@ class Matcher:
                     best = (0, last + 1) if whole else None
                 elif at >= 0 and text.startswith(item.text, at):
                     best = (0, at + n)
-                elif tried.get(item.item_id) == at:
+                elif tried.get(item) == at:
                     continue
                 else:
-                    tried[item.item_id] = at
+                    tried[item] = at
                     low = max(0, at - k)
                     best = best_end(item.masks, n, text[low : at + n + k], k)
                     best = best and (best[0], low + best[1])
                 if best:
-                    covered[item.item_id] = best[1]
+                    covered[item] = best[1]
                     found.append((item.item_id, max(0, best[1] - n), best[1], best[0]))
         return found
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks, each collected alone; an item goes to its block by a hash of its id."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter(F.col("t").isNotNull())
+    items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter(F.col("t").isNotNull()).distinct()
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
     for b in range(n):
-        yield sorted((r.i, r.t) for r in (items if n == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)).collect())
+        yield sorted(((r.i, r.t) for r in (items if n == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)).collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
 def _matchers(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, chars_per_edit: int, min_chars: int, block_bytes: int):

@@ -24,9 +24,11 @@ meet at one shingle, whichever moves fewer shingles.
 
 A group holds two blocks at most and returns links that join its sets, at most
 one fewer than it has sets: other links are between sets that these connect.
-Documents of one set are one node from the start. Shingles are 64-bit hashes and
-sets are told apart by 128 bits of them: two documents could only be taken for
-more alike than they are if two of their own shingles collided.
+Documents of one set are one node from the start. Shingles are 64-bit hashes under
+a number that is drawn for each run and known to nobody, so that no words can be
+made to collide, and sets are told apart by 128 bits of them: two documents could
+only be taken for more alike than they are if two of their own shingles collided,
+by chance, once in 2^64.
 
 Cases: a null or wordless text has the empty set, n_shingles 0 and is its own
 component; with fewer words than n the whole sequence is the one shingle; rows
@@ -37,6 +39,7 @@ under that id; an empty table gives none; other columns are left out.
 from __future__ import annotations
 
 import math
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,9 +68,9 @@ CALL_SETS, CALL_SHINGLES = 100, 1 << 17
 class Sets:
     """The shingle sets of a chunk's documents: sorted distinct hashes, one after another."""
 
-    def __init__(self, table: pa.Table, n: int):
+    def __init__(self, table: pa.Table, n: int, secret: int):
         self.table = in_order(table)
-        words = Words(column(self.table, "text"), lower=True)
+        words = Words(column(self.table, "text"), lower=True, secret=secret)
         hashes, offsets = words.runs(n)
         sizes = np.diff(words.first)
         short = np.flatnonzero((sizes > 0) & (sizes < n))
@@ -152,9 +155,9 @@ def _pivots(counted: DataFrame, fragments: int) -> np.ndarray:
     return (code.astype(np.uint64) << np.uint64(56)) + (np.clip(part, 0, 1 - 1e-9) * 2.0**56).astype(np.uint64)
 
 
-def _select(left: pa.Table, right: pa.Table, n: int, percent: int, pivots: np.ndarray) -> pa.Table:
+def _select(left: pa.Table, right: pa.Table, n: int, secret: int, percent: int, pivots: np.ndarray) -> pa.Table:
     """Of a chunk: all documents; the shingles by which one of each set can meet others; and the segments of these sets."""
-    sets = Sets(left, n)
+    sets = Sets(left, n, secret)
     sets.distinct()
     frequency = census.answers(right)
     meets: list[tuple[int, np.ndarray]] = []
@@ -386,10 +389,12 @@ def jaccard_components(
     fragments: int = FRAGMENTS,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
+    assert 4 * block * block < 2**32, "pairs of two blocks are numbers of 32 bits"
+    secret = secrets.randbits(64)
     dealt, buckets = census.chunked(docs, id_col, text_col, chunk_bytes)
-    counted = stash(census.replies(dealt, buckets, lambda table: Sets(table, n).distinct()), "jaccard-counts")
+    counted = stash(census.replies(dealt, buckets, lambda table: Sets(table, n, secret).distinct()), "jaccard-counts")
     pivots = _pivots(counted, fragments)
-    found = stash(dealt.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(lambda left, right: released(_select(left, right, n, percent, pivots)), ROWS), "jaccard")
+    found = stash(dealt.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(lambda left, right: released(_select(left, right, n, secret, percent, pivots)), ROWS), "jaccard")
 
     set_of = ["high", "low"]
     nodes = stash(found.filter(F.col("kind") == DOC).filter("n > 0").groupBy(*set_of).agg(F.min("doc_id").alias("node")), "nodes")

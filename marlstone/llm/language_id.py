@@ -17,10 +17,9 @@ The learned language with the shortest code wins (ties: the smaller name); the
 score is its posterior under equal priors, 1 / sum of 2^-(difference in bits).
 
 Learning uses a bounded sample: per language the ``sample_docs`` labelled
-documents of smallest md5 of their id, whole texts, cut off only by
-``sample_bytes`` a language (whole documents up to that sum). The contexts of a
-language, and so its table, are bounded by its sample; more than ``most_langs``
-languages are refused.
+documents of smallest md5 of their id, up to ``sample_bytes`` of text, of which the
+last document gives its start. No more of any text than that reaches the driver.
+The contexts of a language are bounded by its sample.
 
 Cases: a null text or one without a letter is ``und`` with score 0; with no
 learned language every text is ``und``; a null lang is not learned from; rows
@@ -155,15 +154,13 @@ def _after(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
     return counts / np.maximum(n + d, 1) + escape * shorter
 
 
-def _smallest(rows: DataFrame, n: int, most_langs: int = 1000) -> list[tuple[str, str, int]]:
+def _smallest(rows: DataFrame, n: int) -> list[tuple[str, str, int]]:
     """(lang, pick, doc_id): the n smallest picks of each language, in order.
 
     ``pick`` is hexadecimal and evenly spread, so a bound on its leading digits that should leave 2n of a language's
     rows goes into the filter, and no more than these reach the driver, whatever the rows and tasks; a language that
     is left with too few is asked again with a bound twice as large."""
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_langs + 1).collect()}
-    if len(counts) > most_langs:
-        raise ValueError(f"more than {most_langs} languages: raise most_langs, or see whether the column holds languages")
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each language
     share = {lang: min(1.0, 2 * n / count) for lang, count in counts.items()}
     out: list[tuple[str, str, int]] = []
     while share:
@@ -179,22 +176,36 @@ def _smallest(rows: DataFrame, n: int, most_langs: int = 1000) -> list[tuple[str
     return sorted(out)
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 300, sample_bytes: int = 1 << 20, most_langs: int = 1000) -> Trees:
-    """Models from the labelled documents that are not held out; the sample is bounded by its two parameters."""
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 300, sample_bytes: int = 1 << 20) -> Trees:
+    """Models from the labelled documents that are not held out; the sample of a language is bounded by the two parameters:
+    its documents of the smallest picks, in that order, until ``sample_bytes`` are full. The document that fills the
+    bound gives its start, so that a language of long texts alone is learned too."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    chosen = _smallest(rows.select("lang", "doc_id", F.md5(F.col("doc_id").cast("string")).alias("pick")), sample_docs, most_langs)
-    ids = sorted({d for _, _, d in chosen})
-    # Only the chosen documents' texts are read; of rows with one id the smallest text.
-    found = rows.filter(F.col("doc_id").isin(ids)).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect() if ids else []
-    texts = {(r.lang, r.doc_id): r.text for r in found}
-    samples: dict[str, list[bytes]] = {}
-    used: dict[str, int] = {}
+    chosen = _smallest(rows.select("lang", "doc_id", F.md5(F.col("doc_id").cast("string")).alias("pick")), sample_docs)
+    if not chosen:
+        return Trees({})
+    spark = docs.sparkSession
+
+    def whole(wanted: DataFrame) -> DataFrame:
+        """The texts of chosen documents; of rows with one id the smallest."""
+        return rows.join(F.broadcast(wanted), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"), F.first("take").alias("take"))
+
+    def picked(take: dict[tuple[str, int], int]) -> DataFrame:  # a bounded number for each language
+        return spark.createDataFrame([(*k, n) for k, n in take.items()], "lang string, doc_id long, take int")
+
+    sizes = {(r.lang, r.doc_id): r.n for r in whole(picked({(lang, d): 0 for lang, _, d in chosen})).select("lang", "doc_id", F.octet_length("text").alias("n")).collect()}
+    left: dict[str, int] = {}
+    take: dict[tuple[str, int], int] = {}
     for lang, _, doc_id in chosen:
-        raw = texts[lang, doc_id].encode()
-        if raw and used.get(lang, 0) + len(raw) <= sample_bytes:
-            used[lang] = used.get(lang, 0) + len(raw)
-            samples.setdefault(lang, []).append(raw)
+        n = min(sizes[lang, doc_id], left.setdefault(lang, sample_bytes))
+        if n:
+            take[lang, doc_id] = n
+            left[lang] -= n
+    texts = {(r.lang, r.doc_id): r.text for r in whole(picked(take)).select("lang", "doc_id", F.expr("substring(text, 1, take)").alias("text")).collect()} if take else {}
+    samples: dict[str, list[bytes]] = {}
+    for (lang, doc_id), n in take.items():
+        samples.setdefault(lang, []).append(texts[lang, doc_id].encode()[:n])
     return Trees(samples)
 
 

@@ -296,6 +296,17 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     released()
 
 
+def _open(kind: pa.DataType) -> pa.DataType:
+    """The type with every field of a struct, and every element of a list, nullable."""
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, _open(f.type)) for f in kind])
+    if pa.types.is_list(kind):
+        return pa.list_(_open(kind.value_type))
+    if pa.types.is_map(kind):
+        return pa.map_(kind.key_type, pa.field("value", _open(kind.item_type)))
+    return kind
+
+
 class LineJoin:
     """The chunks of a corpus, its lines, and the links between different lines (written once, read by all that follows)."""
 
@@ -361,7 +372,7 @@ class LineJoin:
             removed = [len(gone.get(o, ())) for o in range(len(texts))]
             return pa.table(
                 {
-                    "rest": table.column("rest"),
+                    "rest": table.column("rest").cast(_open(table.schema.field("rest").type)),
                     "doc_id": table.column("doc_id"),
                     "text": pa.array([None if null else t for t, null in zip(out, table.column("was_null").to_pylist())], pa.string()),
                     **{n: pa.array(x, pa.int64()) for n, x in (("n_lines", lines), ("n_removed", removed), ("n_near", near))},

@@ -35,7 +35,8 @@ begin behind a look-behind and use possessive runs, so that a long run of
 characters costs time in proportion to its length.
 
 Cases: a null text stays null with no finds; an empty text stays empty;
-candidates that no validation accepts stay as they are; other columns are left
+candidates that no validation accepts stay as they are, but one that is no IBAN is
+searched for the other kinds that it may hold; other columns are left
 out by ``pseudonyms`` and kept by ``pseudonymise``.
 """
 
@@ -55,6 +56,10 @@ SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{10,14}(?![0-9])"
 NUMBER = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"
 ANY = "|".join((EMAIL, IBAN, SECRET, IPV4, DATE, SSN, PHONE, NUMBER))
+#: What a text must hold to have a candidate.
+SOME = r"[0-9@]|[a-f]{32}|[A-F]{32}"
+#: What may stand in a candidate that is no IBAN after all.
+WITHIN = "|".join((SSN, PHONE, NUMBER))
 
 
 def _let(value: Column, body) -> Column:
@@ -74,7 +79,9 @@ def permute(values: Column, bases: Column, key: str, tweak: str) -> Column:
     def round_(v: Column, r: Column) -> Column:
         odd = r % 2 == 1
         other = F.array_join(F.transform(v, lambda x, i: F.when(first(i) != odd, x.cast("string")).otherwise("")), ",")
-        stream = F.sha2(F.concat(F.lit(f"{key}|{tweak}|"), r.cast("string"), F.lit("|"), F.size(v).cast("string"), F.lit("|"), other), 512)
+        seed = F.concat(F.lit(f"{key}|{tweak}|"), r.cast("string"), F.lit("|"), F.size(v).cast("string"), F.lit("|"), other)
+        # 32 numbers of 16 bits from each hash, and as many hashes as digits need: no number serves two of them.
+        stream = F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / 32).cast("int")), lambda n: F.sha2(F.concat(seed, F.lit("|"), n.cast("string")), 512)), "")
 
         def add(s: Column) -> Column:
             return F.zip_with(
@@ -82,7 +89,7 @@ def permute(values: Column, bases: Column, key: str, tweak: str) -> Column:
                 bases,
                 lambda p, b: F.when(
                     (first(p["i"]) == odd) & (b > 1),
-                    F.pmod(p["x"] + F.conv(F.substr(s, (p["i"] % 32) * 4 + 1, F.lit(4)), 16, 10).cast("int"), b),
+                    F.pmod(p["x"] + F.conv(F.substr(s, p["i"] * 4 + 1, F.lit(4)), 16, 10).cast("int"), b),
                 ).otherwise(p["x"]),
             )
 
@@ -253,16 +260,20 @@ def pseudonym(text: Column, kind_: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", finds_col: str = "finds") -> DataFrame:
     """The table with its text pseudonymised and ``finds_col``, an array of (kind, pseudonym) in order."""
     text = F.col(text_col)
-    # Only texts with a digit or an at sign can hold a candidate.
-    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    replaced = F.transform(found, lambda m: _let(kind(m), lambda k: F.struct(k.alias("kind"), pseudonym(m, k, key).alias("pseudonym"))))
+    found = F.when(text.rlike(SOME), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     between = F.split(text, ANY, -1)
-    joined = F.zip_with(between, F.transform(F.col("_found"), lambda x: x["pseudonym"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    some = F.size("_found") > 0
-    out = docs.withColumn("_found", replaced)
-    out = out.withColumn(text_col, F.when(some, F.array_join(joined, "")).otherwise(text))
+    pair = lambda gap, candidate: F.struct(gap.alias("gap"), candidate.alias("candidate"))
+    # A candidate that is no IBAN makes way for what it holds of other kinds; an empty one stands for none.
+    failed = lambda m: _whole(m, IBAN) & ~_whole(m, SECRET) & (_remainder(_bare(m)) != 1)
+    within = lambda m: F.zip_with(F.split(m, WITHIN, -1), F.concat(F.regexp_extract_all(m, F.lit(WITHIN), F.lit(0)), F.array(F.lit(""))), pair)
+    parts = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda gap, m: F.when(failed(m), F.concat(F.array(pair(gap, F.lit(""))), within(m))).otherwise(F.array(pair(gap, m))))
+    out = docs.withColumn("_parts", F.when(F.size(found) > 0, F.flatten(parts)))
+    replaced = F.transform(F.col("_parts.candidate"), lambda m: _let(kind(m), lambda k: F.struct(k.alias("kind"), pseudonym(m, k, key).alias("pseudonym"))))
+    out = out.withColumn("_found", replaced)
+    joined = F.array_join(F.zip_with("_parts", "_found", lambda a, b: F.concat(a["gap"], b["pseudonym"])), "")
+    out = out.withColumn(text_col, F.when(F.col("_parts").isNotNull(), F.concat(joined, F.element_at(between, -1))).otherwise(text))
     finds = F.filter(F.coalesce(F.col("_found"), F.array()), lambda x: x["kind"].isNotNull())
-    return out.withColumn(finds_col, finds).drop("_found")
+    return out.withColumn(finds_col, finds).drop("_found", "_parts")
 
 
 def pseudonyms(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -44,10 +44,13 @@ def both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Words:
     """The words of a string array: runs of anything but ASCII white space.
 
+    Where results rest on hashes alone, ``secret`` is a number drawn for the run: no words can be made to collide under it.
+
     ``starts`` and ``stops`` are places in ``raw``; the words of text i are those from ``first[i]`` to ``first[i + 1]``.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, secret: int = 0):
+        self.secret = secret
         raw, ends = bytes_of(texts)
         self.raw = _LOWER[raw] if lower else raw
         word = ~_SPACE[raw]
@@ -68,7 +71,7 @@ class Words:
             length = self.stops - self.starts
             padded = np.concatenate([self.raw, np.zeros(8, np.uint8)])
             eight = np.ndarray((len(self.raw) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
-            h = mix(length.astype(np.uint64) * _STEP + np.uint64(_SEEDS[seed]))
+            h = mix(length.astype(np.uint64) * _STEP + np.uint64(_SEEDS[seed] ^ self.secret))
             left = np.flatnonzero(length < LONG)
             done = 0
             while len(left):
@@ -79,7 +82,7 @@ class Words:
                 left = left[length[left] > done]
             raw = memoryview(np.ascontiguousarray(self.raw))
             for i in np.flatnonzero(length >= LONG).tolist():
-                h[i] = xxhash.xxh3_64_intdigest(raw[self.starts[i] : self.stops[i]], seed=_SEEDS[seed])
+                h[i] = xxhash.xxh3_64_intdigest(raw[self.starts[i] : self.stops[i]], seed=_SEEDS[seed] ^ self.secret)
             self._hashes[seed] = h
         return self._hashes[seed]
 

@@ -81,3 +81,14 @@ def test_drop_awkward_rows(spark):
     assert decontaminate.find_contamination(nothing(spark), bench).collect() == []
     assert decontaminate.find_contamination(docs, bench.limit(0)).collect() == []
     assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == docs.count()
+
+
+def test_null_and_repeated_item_ids(spark):
+    first, second = "alpha beta gamma delta epsilon zeta", "delta epsilon zeta eta theta iota kappa"
+    text = "so alpha beta gamma delta epsilon zeta eta theta iota kappa it ends"
+    docs = spark.createDataFrame([(1, text), (2, "nothing of the kind")], "doc_id long, text string")
+    for ids in ((None, None), (7, 7), (None, 7)):
+        items = spark.createDataFrame([(ids[0], first), (ids[1], second), (ids[1], second)], "item_id long, text string")
+        found = sorted(((r.item_id, r.start) for r in decontaminate.find_contamination(docs, items).collect()), key=repr)
+        assert found == sorted([(ids[0], 3), (ids[1], 20)], key=repr)
+        assert [r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()] == [2]

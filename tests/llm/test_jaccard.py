@@ -86,3 +86,21 @@ def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1000), (7, 7)]
     found = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(301)}, 1000: 1000, 1001: 1000}
+
+
+def test_words_that_collide_under_known_numbers(spark):
+    from marlstone.llm import wordhash
+
+    pairs = [("ng5by1a2atpaaaaa", "1qne1nys594cup1i")]
+    rows = []
+    for i, (x, y) in enumerate(pairs * 3):
+        rows += [(10 * i, f"{x} is here today {i}"), (10 * i + 1, f"{y} is here today {i}"), (10 * i + 2, x * (i + 1)), (10 * i + 3, y * (i + 1))]
+    import numpy as np
+    import pyarrow as pa
+
+    known = wordhash.Words(pa.array([f"{x} {y}" for x, y in pairs])).hashes()
+    assert known[0] == known[1]
+    drawn = wordhash.Words(pa.array([f"{x} {y}" for x, y in pairs]), secret=0x1234567890ABCDEF).hashes()
+    assert drawn[0] != drawn[1] and len(np.unique(drawn)) == 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(jaccard.jaccard_components(docs), *COLUMNS) == brute(rows, 90, 3)

@@ -133,10 +133,21 @@ def test_texts_that_no_model_explains_go(spark):
     assert language_id.keep_identified(both.limit(0), trees).collect() == []
 
 
-def test_too_many_languages(spark):
-    docs = spark.range(20).selectExpr("id AS doc_id", "'some text' AS text", "cast(id AS string) AS lang")
-    with pytest.raises(ValueError, match="languages"):
-        language_id.learn(docs, most_langs=5)
+def test_any_number_of_languages(spark):
+    docs = spark.range(3_000).selectExpr("id AS doc_id", "concat('text of ', id % 1200) AS text", "cast(id % 1200 AS string) AS lang")
+    rows = docs.filter(~language_id.held_out())
+    assert len(language_id._smallest(rows.selectExpr("lang", "doc_id", "md5(cast(doc_id AS string)) AS pick"), 2)) >= 1_200
+    assert language_id.learn(docs.filter("lang < '11'")).langs == sorted(r.lang for r in rows.filter("lang < '11'").select("lang").distinct().collect())
+
+
+def test_languages_of_long_texts_alone_are_learned(spark):
+    english, german = "the quick brown fox jumps over the lazy dog and ", "der schnelle braune Fuchs springt über den faulen Hund und "
+    docs = spark.range(24).selectExpr("id AS doc_id", f"repeat(if(id % 2 = 0, '{english}', '{german}'), 23000) AS text", "if(id % 2 = 0, 'en', 'de') AS lang")
+    trees = language_id.learn(docs)
+    assert {r.lang_pred == ("de" if r.doc_id % 2 else "en") for r in language_id.predict(docs, trees).collect()} == {True}
+    assert language_id.keep_identified(docs, trees).count() == 24
+    small = language_id.learn(docs, sample_bytes=100)
+    assert small.langs == ["de", "en"]
 
 
 def test_nothing_to_learn_from(spark):

@@ -117,3 +117,11 @@ def test_short_lines_go_if_equal(spark, tmp_path):
 
 def test_empty(spark):
     assert line_dedup.dedup_lines(nothing(spark)).collect() == []
+
+
+def test_columns_that_are_never_null(spark):
+    line = "a line of more than thirty-two characters"
+    docs = spark.range(3).selectExpr("id AS doc_id", f"if(id < 2, '{line}', 'another') AS text", "'x' AS batch", "named_struct('a', id, 'b', array(1)) AS nested", "map('k', 1) AS pairs")
+    assert not docs.schema["doc_id"].nullable and not docs.schema["batch"].nullable
+    rows = {r.doc_id: r for r in line_dedup.without_repeated_lines(docs).collect()}
+    assert rows.keys() == {0, 2} and rows[2].nested.a == 2 and rows[0].batch == "x" and rows[0].pairs == {"k": 1}
