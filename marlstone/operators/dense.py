@@ -50,11 +50,11 @@ def cosine_search(queries: DataFrame, vectors: DataFrame, top: int = 10, positiv
     ``queries``: query_id, vec; ``vectors``: doc_id, vec; both with the columns of ``scope``. Queries are read in blocks
     of bounded size; each batch of vectors is one matrix product with a block and keeps its best rows of each query, so
     no pair is ever a row. ``positive``: only scores above zero. A query sees the vectors of its scope alone, by the
-    rule of `scope`, and one scan serves all scopes.
+    rule of `scope`, and one scan serves all scopes. Rows without an id or a vector are left out on both sides.
     """
     found, names = None, scope or []
-    asked = queries.select("query_id", "vec", *scopes.asked(names))
-    rows = vectors.select("doc_id", "vec", *[F.col(c).cast("string").alias(c) for c in names])
+    asked = queries.filter("query_id IS NOT NULL AND vec IS NOT NULL").select("query_id", "vec", *scopes.asked(names))
+    rows = vectors.filter("doc_id IS NOT NULL AND vec IS NOT NULL").select("doc_id", "vec", *[F.col(c).cast("string").alias(c) for c in names])
     size = asked.agg(F.sum(F.size("vec") * 8 + 16)).first()[0] or 0
     n = max(1, -(-int(size) // block_bytes))
     for b in range(n):

@@ -18,6 +18,17 @@ def _r(c: Column) -> Column:
     return F.round(c, 6)
 
 
+def mean(c: Column | str) -> Column:
+    """The mean of what is not null, from a sum of decimals: it does not depend on the order of rows, and is rounded by no one yet."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.sum(c.cast("decimal(30,12)")).cast("double") / F.count(c)
+
+
+def shown(measured: DataFrame) -> DataFrame:
+    """The measures of each query to six decimals, for reading: means are taken of the measures as they are."""
+    return measured.withColumns({c: _r(F.col(c)) for c in ("ndcg", "recall", "prec5", "mrr") if c in measured.columns})
+
+
 def ideal(grades: DataFrame, k: int) -> DataFrame:
     """(query_id, idcg): the best gain that a ranking of the graded documents can have."""
     sorted_ = F.slice(F.array_sort(F.collect_list(-gain(F.col("grade")))), F.lit(1), F.lit(k))
@@ -49,7 +60,7 @@ def agreement(rankings: DataFrame, remote: DataFrame, k: int = 10) -> DataFrame:
         F.coalesce(F.max((F.col("rank") == 1) & (F.col("remote_rank") == 1)), F.lit(False)).alias("top1"),
     )
     scored = out.join(ideal(remote_grades(remote, k), k), "query_id")
-    return scored.select("query_id", "strategy", "overlap5", "overlap10", _r(F.col("mrr")).alias("mrr"), _r(F.col("dcg") / F.nullif(F.col("idcg"), F.lit(0.0))).alias("ndcg"), "top1")
+    return scored.select("query_id", "strategy", "overlap5", "overlap10", "mrr", (F.col("dcg") / F.nullif(F.col("idcg"), F.lit(0.0))).alias("ndcg"), "top1")
 
 
 def overlap_with_all(rankings: DataFrame, remote: DataFrame, k: int = 10) -> DataFrame:
@@ -62,10 +73,10 @@ _MEANS = (("ndcg", "mean_ndcg"), ("overlap5", "mean_overlap5"), ("overlap10", "m
 
 
 def _accuracy() -> list[Column]:
-    rate = lambda c: _r(F.avg(c.cast("int")))
+    rate = lambda c: _r(mean(c.cast("int")))
     return [
         F.count(F.lit(1)).alias("n"),
-        *[_r(F.avg(a)).alias(b) for a, b in _MEANS],
+        *[_r(mean(a)).alias(b) for a, b in _MEANS],
         rate(F.col("top1")).alias("top1_rate"),
         rate(F.col("overlap10") == 0).alias("zero10_rate"),
         rate(F.col("mrr") > 0).alias("top1_in_10_rate"),
@@ -116,10 +127,10 @@ def graded(rankings: DataFrame, grades: DataFrame, k: int = 10) -> DataFrame:
     return out.select(
         "query_id",
         "strategy",
-        _r(F.col("dcg") / F.nullif(F.col("idcg"), F.lit(0.0))).alias("ndcg"),
-        _r(F.col("found") / F.nullif(F.col("relevant"), F.lit(0))).alias("recall"),
-        _r(F.col("prec5")).alias("prec5"),
-        _r(F.col("mrr")).alias("mrr"),
+        (F.col("dcg") / F.nullif(F.col("idcg"), F.lit(0.0))).alias("ndcg"),
+        (F.col("found") / F.nullif(F.col("relevant"), F.lit(0))).alias("recall"),
+        "prec5",
+        "mrr",
         (F.col("found") > 0).cast("int").alias("hit"),
         (F.col("found") == 0).cast("int").alias("zero"),
         (F.col("relevant") == 0).cast("int").alias("no_answer"),
@@ -137,7 +148,7 @@ def recorded(sides: DataFrame, top: int = 10) -> DataFrame:
 
 
 def graded_summary(scored: DataFrame) -> DataFrame:
-    means = [_r(F.coalesce(F.avg(c), F.lit(0.0))).alias(f"mean_{c}") for c in ("ndcg", "recall", "prec5", "mrr", "hit", "zero")]
+    means = [_r(F.coalesce(mean(c), F.lit(0.0))).alias(f"mean_{c}") for c in ("ndcg", "recall", "prec5", "mrr", "hit", "zero")]
     return scored.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), *means, F.sum("no_answer").alias("no_answer"))
 
 
@@ -147,13 +158,13 @@ def replay(measured: DataFrame, everything: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     return rows.groupBy("strategy").agg(
         F.count(F.lit(1)).alias("n"),
-        _r(F.avg(zero("overlap5"))).alias("overlap5"),
-        _r(F.avg(zero("overlap10"))).alias("overlap10"),
-        _r(F.avg(zero("mrr"))).alias("mrr"),
-        _r(F.avg((zero("mrr") == 1).cast("int"))).alias("top1"),
-        _r(F.avg((zero("mrr") > 0).cast("int"))).alias("top1_in_10"),
-        _r(F.avg((zero("overlap5") == 0).cast("int"))).alias("zero5"),
-        _r(F.avg(F.col("overlap5").isNull().cast("int"))).alias("empty"),
+        _r(mean(zero("overlap5"))).alias("overlap5"),
+        _r(mean(zero("overlap10"))).alias("overlap10"),
+        _r(mean(zero("mrr"))).alias("mrr"),
+        _r(mean((zero("mrr") == 1).cast("int"))).alias("top1"),
+        _r(mean((zero("mrr") > 0).cast("int"))).alias("top1_in_10"),
+        _r(mean((zero("overlap5") == 0).cast("int"))).alias("zero5"),
+        _r(mean(F.col("overlap5").isNull().cast("int"))).alias("empty"),
     )
 
 
@@ -168,8 +179,8 @@ def compared(before: DataFrame, after: DataFrame, metrics: tuple[str, ...] = ("n
     """Means of shared queries before and after, and their difference, per strategy."""
     old = before.select("query_id", "strategy", *[F.col(m).alias(f"{m}_old") for m in metrics])
     both = after.join(old, ["query_id", "strategy"])
-    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
-    columns = [c for m in metrics for c in (_r(mean(f"{m}_old")).alias(f"{m}_before"), _r(mean(m)).alias(f"{m}_after"), _r(mean(m) - mean(f"{m}_old")).alias(f"{m}_delta"))]
+    average = lambda c: F.coalesce(mean(c), F.lit(0.0))
+    columns = [c for m in metrics for c in (_r(average(f"{m}_old")).alias(f"{m}_before"), _r(average(m)).alias(f"{m}_after"), _r(average(m) - average(f"{m}_old")).alias(f"{m}_delta"))]
     return both.groupBy("strategy").agg(F.count(F.lit(1)).alias("shared"), *columns)
 
 
@@ -184,7 +195,7 @@ def head_to_head(measured: DataFrame) -> DataFrame:
     strategies = measured.agg(F.countDistinct("strategy").alias("all"))
     shared = measured.groupBy("query_id").agg(F.countDistinct("strategy").alias("n")).crossJoin(F.broadcast(strategies)).filter("n = all").select("query_id")
     rows = measured.join(shared, "query_id", "left_semi")
-    return rows.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), *[_r(F.avg(c)).alias(c) for c in ("overlap5", "overlap10", "mrr")], _r(F.avg((F.col("mrr") == 1).cast("int"))).alias("top1"))
+    return rows.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), *[_r(mean(c)).alias(c) for c in ("overlap5", "overlap10", "mrr")], _r(mean((F.col("mrr") == 1).cast("int"))).alias("top1"))
 
 
 def run_totals(runs: DataFrame) -> DataFrame:
@@ -201,7 +212,7 @@ def run_totals(runs: DataFrame) -> DataFrame:
 def by_local_date(entries: DataFrame) -> DataFrame:
     """(day, strategy, n, mean overlap): entries (ts in ms, strategy, overlap) by calendar day of the session's time zone."""
     day = F.date_format(F.timestamp_millis("ts"), "yyyy-MM-dd")
-    return entries.groupBy(day.alias("day"), "strategy").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("overlap")).alias("overlap"))
+    return entries.groupBy(day.alias("day"), "strategy").agg(F.count(F.lit(1)).alias("n"), _r(mean("overlap")).alias("overlap"))
 
 
 def report_text(rows: list, columns: tuple[str, ...], indicative: str = "indicative_only") -> str:

@@ -39,8 +39,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def once(queries: DataFrame, scope: list[str]) -> DataFrame:
-    """(query_id, text, columns of ``scope``), one row for each id: of several the one of the least text."""
-    rows = queries.select("query_id", F.coalesce("text", F.lit("")).alias("text"), *scopes.asked(scope))
+    """(query_id, text, columns of ``scope``), one row for each id that is not null: of several the one of the least text."""
+    rows = queries.filter("query_id IS NOT NULL").select("query_id", F.coalesce("text", F.lit("")).alias("text"), *scopes.asked(scope))
     least = rows.groupBy("query_id").agg(F.min(F.struct("text", *scope)).alias("q"))
     return least.select("query_id", "q.*")
 
@@ -55,10 +55,11 @@ def bm25_scores(queries: DataFrame, corpus: DataFrame, scope: list[str] | None =
     ``queries``: query_id, text and the columns of ``scope``; ``corpus``: doc_id, text and the same columns. A query
     sees the documents that have each value it asks for (null, empty or ``*`` asks for nothing), and statistics are
     those of these documents. Only terms that some query has become postings, so what is shuffled follows the
-    queries' terms and not the corpus's words. A null text has no words and counts as a document.
+    queries' terms and not the corpus's words. A null text has no words and counts as a document; a row without an id is
+    none, and a query without an id asks nothing.
     """
     scope = scope or []
-    corpus = corpus.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *scope)
+    corpus = corpus.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *scope)
     asked = once(queries, scope).withColumn("scope_id", _scope_id(scope))
     known = asked.select("scope_id", *scope).distinct()
     seen = lambda rows: scopes.visible(rows, known, scope).drop(*scope)
@@ -86,7 +87,7 @@ def bm25(queries: DataFrame, corpus: DataFrame, top: int = 10, scope: list[str]
     if (asked.agg(F.sum(F.size("terms"))).first()[0] or 0) > block_terms:
         return ranked(bm25_scores(queries, corpus, scope), ["query_id"], top=top)
     block = Block([(r.query_id, tuple(r[c] for c in scope), r.terms) for r in asked.collect()], scope)
-    rows = corpus.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).cast("string").alias(c) for c in scope])
+    rows = corpus.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).cast("string").alias(c) for c in scope])
     counted = rows.mapInArrow(block.count, "scope int, term int, n long, dl long").groupBy("scope", "term").agg(F.sum("n").alias("n"), F.sum("dl").alias("dl"))
     block.weigh([(r.scope, r.term, r.n, r.dl) for r in counted.collect()])  # scopes and terms of the block, no more
     return ranked(rows.mapInArrow(lambda batches: block.score(batches, top), "query_id long, doc_id long, score double"), ["query_id"], top=top)
@@ -229,14 +230,15 @@ def unmatched(queries: DataFrame, corpus: DataFrame, scope: list[str] | None = N
 def keyword_hits(queries: DataFrame, corpus: DataFrame, top: int = 10, block_bytes: int = 512 << 10, scope: list[str] | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): the number of a query's tokens, repeats counted, that a text contains anywhere.
 
-    All distinct tokens of a block of queries form one automaton, so a text is read once for a block whatever the
-    queries; hits times token counts are a matrix product, and each batch keeps its best documents of each query.
-    Queries are read in blocks of bounded size. A query sees the documents of its ``scope``, by the rule of `scope`.
+    A token is one character or lies within one run of letters and digits, so only the distinct runs of a batch of texts
+    meet the tokens of a block of queries, all tokens at once in an automaton; a run leads to its documents, a token to
+    its queries, and each batch keeps its best documents of each query. Queries are read in blocks of bounded size. A
+    query sees the documents of its ``scope``, by the rule of `scope`. Rows and queries without an id are left out.
     """
     found, names = None, scope or []
-    rows = corpus.select("doc_id", F.lower("text").alias("text"), *[F.col(c).cast("string").alias(c) for c in names])
+    rows = corpus.filter("doc_id IS NOT NULL").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"), *[F.col(c).cast("string").alias(c) for c in names])
     for block in _blocks(once(queries, names).select("query_id", *names, tx.keyword_tokens(F.col("text")).alias("tokens")), names, block_bytes):
-        part = rows.mapInArrow(_keyword_scan(block, names, top), "query_id long, doc_id long, score double")
+        part = rows.mapInArrow(lambda batches, block=block: Keywords(block, names).score(batches, top), "query_id long, doc_id long, score double")
         found = part if found is None else found.unionByName(part)
     return ranked(found, ["query_id"], top=top)
 
@@ -266,37 +268,78 @@ def best_of_batch(scores: np.ndarray, ids: np.ndarray, top: int, least: float |
     return rows[place < top], columns[place < top]
 
 
-def _keyword_scan(block: list[tuple[int, tuple, list[str]]], names: list[str], top: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Distinct runs whose tokens a task remembers, and scores of its matrix at a time.
+RUNS, KEYWORD_SCORES = 200_000, 1 << 19
+
+
+class Keywords:
+    """The tokens of a block of queries, looked for in runs of letters and digits."""
+
+    def __init__(self, block: list[tuple[int, tuple, list[str]]], names: list[str]):
         import ahocorasick
 
-        number: dict[str, int] = {}
-        for _, _, tokens in block:
-            for t in tokens:
-                number.setdefault(t, len(number))
-        weight = np.zeros((len(number), len(block)), np.float32)
-        automaton = ahocorasick.Automaton()
-        for t, i in number.items():
-            automaton.add_word(t, i)
-        automaton.make_automaton()
+        self.number: dict[str, int] = {}
+        pairs: dict[tuple[int, int], int] = {}
         for q, (_, _, tokens) in enumerate(block):
             for t in tokens:
-                weight[number[t], q] += 1
-        query_ids = np.array([q for q, _, _ in block], np.int64)
-        scopes_ = Scopes([s for _, s, _ in block], names)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts, ids = part.column("text").to_pylist(), part.column("doc_id").to_numpy()
-                hits = np.zeros((len(texts), len(number)), np.float32)
-                for d, text in enumerate(texts):
-                    if text and number:
-                        hits[d, list({i for _, i in automaton.iter(text)})] = 1
-                scores = (hits @ weight).astype(np.float64)
-                for scope, seen in scopes_.seen(part):
-                    if seen is not None:
-                        scores[np.ix_(~seen, scopes_.of == scope)] = 0
-                rows, qs = best_of_batch(scores, ids, top, least=0)
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[qs]), pa.array(ids[rows]), pa.array(scores[rows, qs])], ["query_id", "doc_id", "score"])
-
-    return run
+                key = (self.number.setdefault(t, len(self.number)), q)
+                pairs[key] = pairs.get(key, 0) + 1
+        self.ids = np.array([q for q, _, _ in block], np.int64)
+        self.scopes = Scopes([s for _, s, _ in block], names)
+        token, query, times = np.array([(*k, n) for k, n in sorted(pairs.items())], np.int64).reshape(-1, 3).T
+        self.query, self.times, self.first = query, times, np.searchsorted(token, np.arange(len(self.number) + 1))
+        self.automaton = ahocorasick.Automaton()
+        for t, i in self.number.items():
+            if t.isascii():
+                self.automaton.add_word(t, i)
+        self.automaton.make_automaton()
+        self.single = {t: i for t, i in self.number.items() if not t.isascii()}
+        self.known: dict[str, list[int]] = {}
+
+    def _within(self, run: str) -> list[int]:
+        found = self.known.get(run)
+        if found is None:
+            if len(self.known) >= RUNS:
+                self.known.clear()
+            found = self.known[run] = list({i for _, i in self.automaton.iter(run)}) if len(self.automaton) else []
+        return found
+
+    def held(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(document, token) of what small-letter texts contain, each once."""
+        ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        data = texts.buffers()[2]
+        raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+        lists = pc.split_pattern(pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends - ends[0]), pa.py_buffer(_TOKEN[raw])), " ")
+        coded = lists.values.dictionary_encode()
+        tokens = [self._within(run) if run else [] for run in coded.dictionary.to_pylist()]
+        each = np.array([len(x) for x in tokens], np.int64)
+        flat, first = np.array([i for x in tokens for i in x], np.int64), np.cumsum(each) - each
+        runs = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+        some = each[runs] > 0
+        many = max(1, len(tokens))
+        doc, runs = np.divmod(np.unique(doc[some] * many + runs[some]), many)
+        n = each[runs]
+        token = flat[np.repeat(first[runs] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        doc = np.repeat(doc, n)
+        if self.single:
+            own = [(d, self.single[c]) for d, t in enumerate(texts.to_pylist()) if not t.isascii() for c in set(t) & self.single.keys()]
+            more = np.array(own, np.int64).reshape(-1, 2)
+            doc, token = np.concatenate([doc, more[:, 0]]), np.concatenate([token, more[:, 1]])
+        many = max(1, len(self.number))
+        return np.divmod(np.unique(doc * many + token), many)
+
+    def score(self, batches: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.RecordBatch]:
+        step = max(1, KEYWORD_SCORES // max(1, len(self.ids)))
+        for part in (batch.slice(at, step) for batch in batches for at in range(0, batch.num_rows, step) if len(self.ids)):
+            doc, token = self.held(part.column("text"))
+            n = self.first[token + 1] - self.first[token]
+            at = np.repeat(self.first[token] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            cell = np.repeat(doc, n) * len(self.ids) + self.query[at]
+            scores = np.bincount(cell, weights=self.times[at], minlength=part.num_rows * len(self.ids)).astype(np.float64).reshape(part.num_rows, -1)
+            for scope, seen in self.scopes.seen(part):
+                if seen is not None:
+                    scores[np.ix_(~seen, self.scopes.of == scope)] = 0
+            ids = part.column("doc_id").to_numpy()
+            rows, qs = best_of_batch(scores, ids, top, least=0)
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[qs]), pa.array(ids[rows]), pa.array(scores[rows, qs])], ["query_id", "doc_id", "score"])

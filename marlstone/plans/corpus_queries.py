@@ -8,6 +8,8 @@ from ..functions import text as tx
 from ..functions.vectors import norm
 from ..operators import dense, gates, gold, ingest, lexical, scope
 from ..sources.tables import table, written
+from ..streaming import upkeep
+from ..streaming.runs import folder
 from . import binding
 from .binding import MEMORIES
 
@@ -149,6 +151,19 @@ def vector_upkeep(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("id", "hash", "dims", F.round(F.col("vec")[0], 5).alias("x"))
 
 
+def vector_upkeep_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors that follow a stream of rows: first all memories by their first 400 characters, then as they are, deletions too."""
+    at = folder(spark)
+    rows, place, vectors = (f"{at}-{x}" for x in ("rows", "place", "vectors"))
+    all_ = binding.memories(spark, sf)
+    first = all_.select("id", F.substr("memory", F.lit(1), F.lit(400)).alias("memory"), F.lit(False).alias("deleted"), F.lit(1).cast("long").alias("at"))
+    first.repartition(4).write.parquet(rows)
+    upkeep.follow(spark, rows, vectors, place, _letters, MODEL, files=2)
+    all_.select("id", "memory", "deleted", F.lit(2).cast("long").alias("at")).repartition(3).write.mode("append").parquet(rows)
+    upkeep.follow(spark, rows, vectors, place, _letters, MODEL, files=2)
+    return upkeep.vectors(spark, vectors, MODEL).select("id", "hash", "dims", F.round(F.col("vec")[0], 5).alias("x"))
+
+
 def vector_failures(spark: SparkSession, sf: str) -> DataFrame:
     """A pass in which the service refuses every batch, one text at a time: what remains, and the health that follows."""
     live = ingest.live(binding.memories(spark, sf))
@@ -190,7 +205,7 @@ QUERIES = {
     for f in (
         scan_live_documents, clamp_overflow, quarantine, harvest_upsert, scope_filter, scope_label, scope_from_url, request_kinds,
         tokenize_counts, doc_lengths, df_table, corpus_stats, keyword_token_counts, query_shape, length_bucket, noise_filter, dedupe_queries,
-        vector_norms, vector_targets, vector_prune, vector_coverage, batch_packing, page_stop_rule, vector_upkeep, vector_failures, eval_tokens, embedding_cost, scope_sizes,
+        vector_norms, vector_targets, vector_prune, vector_coverage, batch_packing, page_stop_rule, vector_upkeep, vector_upkeep_stream, vector_failures, eval_tokens, embedding_cost, scope_sizes,
     )
 }
 
@@ -259,6 +274,9 @@ ORACLE_SQL = {
     "vector_upkeep": f"""WITH {_TARGETS}, kept AS (SELECT s.id, s.hash, list_transform(e.embedding::DOUBLE[], lambda v: v) AS vec FROM stored s JOIN live l ON l.id = s.id AND sha1(l.memory) = s.hash JOIN embeddings e ON e.vec_id = s.id),
         new AS (SELECT id, hash, length(substr(memory, 1, 8000))::DOUBLE AS n, (length(substr(memory, 1, 8000)) - length(replace(substr(memory, 1, 8000), 'a', '')))::DOUBLE AS a FROM targets)
         SELECT id, hash, len(vec)::INTEGER AS dims, round(vec[1] / sqrt(list_sum(list_transform(vec, lambda v: v * v))), 5) AS x FROM kept UNION ALL SELECT id, hash, 3, round(n / sqrt(n * n + a * a + 1), 5) FROM new""",
+    "vector_upkeep_stream": f"""WITH {_LIVE}, new AS (SELECT id, sha1(memory) AS hash, length(substr(memory, 1, 8000))::DOUBLE AS n,
+            (length(substr(memory, 1, 8000)) - length(replace(substr(memory, 1, 8000), 'a', '')))::DOUBLE AS a FROM live WHERE memory IS NOT NULL)
+        SELECT id, hash, 3 AS dims, round(n / sqrt(n * n + a * a + 1), 5) AS x FROM new""",
     "vector_failures": f"""WITH {_TARGETS} SELECT 0::BIGINT AS embedded, count(*) AS batches, count(*) AS failed_batches, count(*) AS remaining, '503: no body' AS first_error,
         (SELECT count(*) FROM live) AS corpus, 'persistent' AS health FROM targets""",
     "eval_tokens": """SELECT conv_id, turn, (len(regexp_extract_all(lower(text), '[a-z0-9_]+')) + 5)::INTEGER AS n, '한 カナ 工程 据工 数据' AS last FROM conversations""",

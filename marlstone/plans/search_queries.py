@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import dense, fusion, lexical, recall, recorder
+from ..operators import cells, dense, fusion, inverted, lexical, recall, recorder
 from ..sources.tables import table, written
+from ..streaming.runs import folder
 from . import binding
 
 
@@ -17,6 +18,29 @@ def bm25_scoped_topk(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.bm25(binding.scoped_queries(spark, sf), binding.corpus(spark, sf), scope=["user_id"])
 
 
+def bm25_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same answers from a stored index."""
+    at = folder(spark)
+    inverted.build(binding.corpus(spark, sf), at)
+    return inverted.search(binding.queries(spark, sf), at)
+
+
+def bm25_indexed_changed(spark: SparkSession, sf: str) -> DataFrame:
+    """A store of which local memories were indexed by their first 400 characters only, until they came whole; then what
+    is deleted goes. The index is written anew at the end."""
+    at, then = folder(spark), folder(spark)
+    rows = binding.memories(spark, sf).withColumnRenamed("id", "doc_id")
+    first = F.when(F.col("source") == "local", F.substr("memory", F.lit(1), F.lit(400))).otherwise(F.col("memory"))
+    inverted.build(rows.select("doc_id", first.alias("text")), at)
+    local = rows.filter("source = 'local'")
+    inverted.changed(local.select("doc_id", first.alias("text")), local.select("doc_id", F.col("memory").alias("text")), at)
+    gone = rows.filter("deleted").select("doc_id", F.col("memory").alias("text"))
+    inverted.changed(gone, gone.limit(0), at)
+    inverted.compacted(spark, at, then)
+    changed, anew = (inverted.search(binding.queries(spark, sf), x) for x in (at, then))
+    return changed.join(anew.withColumnRenamed("score", "score_anew"), ["query_id", "doc_id", "rank"])
+
+
 def bm25_unmatched(spark: SparkSession, sf: str) -> DataFrame:
     """Terms of conversations that no document has."""
     turns = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
@@ -31,6 +55,13 @@ def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
     return dense.cosine_search(binding.query_vectors(spark, sf), binding.vectors(spark, sf))
 
 
+def cosine_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    """The same answers from vectors stored by cell."""
+    at = folder(spark)
+    cells.build(binding.vectors(spark, sf), at)
+    return cells.search(binding.query_vectors(spark, sf), at).rankings
+
+
 def _scoped(spark: SparkSession, sf: str, compat: bool) -> DataFrame:
     found = recall.recall(
         binding.scoped_queries(spark, sf), binding.corpus(spark, sf), binding.vectors(spark, sf), binding.query_vectors(spark, sf),
@@ -160,7 +191,7 @@ QUERIES = {
     for f in (
         hybrid_search, bm25_topk, bm25_scoped_topk, bm25_unmatched, legacy_topk, cosine_topk, cosine_scoped_before, cosine_scoped_after,
         rrf_fusion, rrf_zero_weight, rerank_coverage, materialize_hits, legacy_scoped_topk, legacy_scoped_after, bm25_partial_scope,
-        hybrid_scoped, ladder_auto, ladder_without_vectors, dense_rerank, rerank_responses, comparison_entries, unmatched_scoped,
+        hybrid_scoped, ladder_auto, ladder_without_vectors, dense_rerank, rerank_responses, comparison_entries, unmatched_scoped, cosine_pruned, bm25_indexed, bm25_indexed_changed,
     )
 }
 
@@ -240,11 +271,15 @@ def reranked_sql(pool: str) -> str:
 POOLS = f"{bm25_sql(50)}, {cosine_sql(50, where=KNOWN)}, {fused_sql(0.4)}"
 ORACLE_SQL = {
     "bm25_topk": f"WITH {bm25_sql(10)} SELECT query_id, doc_id, score, rank FROM bm25",
+    "bm25_indexed": f"WITH {bm25_sql(10)} SELECT query_id, doc_id, score, rank FROM bm25",
+    "bm25_indexed_changed": f"""WITH {binding.MEMORIES}, live AS (SELECT id AS doc_id, memory AS text FROM memories WHERE NOT deleted), {bm25_sql(10).replace("FROM documents)", "FROM live)")}
+        SELECT query_id, doc_id, score, score AS score_anew, rank FROM bm25""",
     "bm25_scoped_topk": f"WITH {binding.SCOPED}, {bm25_sql(10, scope='user_id')} SELECT query_id, doc_id, score, rank FROM bm25",
     "bm25_unmatched": """SELECT DISTINCT query_id, term FROM (SELECT conv_id * 1000 + turn AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM conversations)
         WHERE term NOT IN (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) FROM documents)""",
     "legacy_topk": f"WITH {legacy_sql(10)} SELECT query_id, doc_id, score, rank FROM legacy",
     "cosine_topk": f"WITH {cosine_sql(10)} SELECT query_id, doc_id, score, rank FROM cosine",
+    "cosine_pruned": f"WITH {cosine_sql(10)} SELECT query_id, doc_id, score, rank FROM cosine",
     "cosine_scoped_before": f"""WITH {binding.SCOPED}, {cosine_sql(10, where='v.vec_id IN (SELECT doc_id FROM documents d WHERE d.lang = s.user_id)', also='JOIN scoped s ON s.query_id = b.item_id')}
         SELECT query_id, doc_id, score FROM cosine""",
     "cosine_scoped_after": f"""WITH {binding.SCOPED}, {cosine_sql(10, where=KNOWN)} SELECT c.query_id, c.doc_id, c.score FROM cosine c

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import gates, gold, ingest, mutations
-from ..sources import logs, pages, providers, tables
+from ..sources import buckets, logs, pages, providers, tables
 from ..sources.tables import table, written
 from ..streaming import runs
 from . import binding
@@ -37,6 +37,18 @@ def store_saved_by_two(spark: SparkSession, sf: str) -> DataFrame:
     return tables.load(spark, at, schema)
 
 
+def store_saved_by_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    """The same two sessions on a store in buckets, and a third that saves what is there already in a few of them."""
+    at, docs = _folder(spark), table(spark, sf, "documents")
+    rows = docs.select(F.col("doc_id").alias("id"), (F.col("n_chars") % 3).cast("long").alias("at"), (F.col("n_chars") % 5 == 0).alias("deleted"), (F.col("n_chars") > 4000).alias("overflowed"))
+    schema = "id long, at long, deleted boolean, overflowed boolean"
+    buckets.save(rows.filter("id % 3 > 0"), at, mutations.merged, schema, buckets=32)
+    buckets.save(rows.filter("id % 3 < 2").withColumns({"at": F.col("id") % 3, "overflowed": F.lit(False)}), at, mutations.merged, schema)
+    buckets.save(buckets.load(spark, at, schema).orderBy("id").limit(3), at, mutations.merged, schema)
+    buckets.drop_old(spark, at)
+    return buckets.load(spark, at, schema)
+
+
 def state_merge(spark: SparkSession, sf: str) -> DataFrame:
     """What a session counted, failed and finished on even days, merged with the odd days' copy on disk."""
     e, t = table(spark, sf, "events"), F.col("event_type")
@@ -222,7 +234,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         store_roundtrip, log_sides, log_filters, log_compacted, remote_hits, gateable_requests, request_keys, filters_of_cache, offline_adds, pending_adds,
-        purged_rows, replay_scopes, reconciled_ops, store_saved_by_two, state_merge, store_loaded, ops_loaded,
+        purged_rows, replay_scopes, reconciled_ops, store_saved_by_two, store_saved_by_buckets, state_merge, store_loaded, ops_loaded,
         embedding_responses, pool_of_sides, pull_summary, pull_filters,
     )
 }
@@ -281,3 +293,4 @@ ORACLE_SQL = {
         NULL::INTEGER AS failed_status FROM range(130) r(n)""",
     "pull_filters": f"WITH {binding.MEMORIES} SELECT id, user_id, NULL::VARCHAR AS app_id, 1 AS keys FROM memories",
 }
+ORACLE_SQL["store_saved_by_buckets"] = ORACLE_SQL["store_saved_by_two"]
