@@ -45,18 +45,25 @@ def cache_key(method: Column, path: Column, query: Column, body: Column) -> Colu
 
 
 def without_wildcards(body: Column) -> Column:
-    """A JSON body without the entity filters that are ``*``; a body without such filters stays as it is."""
+    """A JSON body without the entity filters that are ``*``; a body without such filters, or that is no object, stays as it
+    is. Every other value keeps its type, and fields keep their order."""
     from .ingest import ENTITY_KEYS
 
-    fields = F.from_json(body, "map<string,string>")
-    filters = F.from_json(fields["filters"], "map<string,string>")
-    star = lambda k, v: k.isin(*ENTITY_KEYS) & (v == "*")
-    some = F.coalesce(F.exists(F.map_entries(filters), lambda e: star(e["key"], e["value"])), F.lit(False))
-    quoted = lambda v: F.when(v.rlike(r"^(-?[0-9.eE+-]+|true|false|null|[\[{].*)$"), v).otherwise(F.to_json(F.array(v)).substr(F.lit(2), F.length(F.to_json(F.array(v))) - 2))
-    written = lambda m: F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ","), F.lit("}"))
-    clean = written(F.transform_values(F.map_filter(filters, lambda k, v: ~star(k, v)), lambda _, v: quoted(v)))
-    whole = written(F.transform_values(fields, lambda k, v: F.when(k == "filters", clean).otherwise(quoted(v))))
-    return F.when(some, whole).otherwise(body)
+    json = lambda v: F.substr(F.to_json(F.array(v)), F.lit(2), F.length(F.to_json(F.array(v))) - 2)
+    nested = lambda v: F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)")
+
+    def written(text: Column, drop: bool = False, filters: Column | None = None) -> Column:
+        """An object's text anew: scalars from their typed values, what is nested as it is written there."""
+        typed, raw = F.from_json(text, "map<string,variant>"), F.from_json(text, "map<string,string>")
+        entries = F.map_entries(typed) if not drop else F.filter(F.map_entries(typed), lambda e: ~star(e))
+        value = lambda e: F.when(F.coalesce(nested(e["value"]), F.lit(False)), raw[e["key"]]).otherwise(F.coalesce(F.to_json(e["value"]), F.lit("null")))
+        each = value if filters is None else (lambda e: F.when(e["key"] == "filters", filters).otherwise(value(e)))
+        return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(json(e["key"]), F.lit(":"), each(e))), ","), F.lit("}"))
+
+    star = lambda e: e["key"].isin(*ENTITY_KEYS) & F.coalesce((F.schema_of_variant(e["value"]) == "STRING") & (F.try_variant_get(e["value"], "$", "string") == "*"), F.lit(False))
+    filters = F.from_json(body, "map<string,string>")["filters"]
+    some = F.coalesce(F.exists(F.map_entries(F.from_json(filters, "map<string,variant>")), star), F.lit(False))
+    return F.when(some, written(body, filters=written(filters, drop=True))).otherwise(body)
 
 
 def filters_from_cache(cache: DataFrame) -> DataFrame:

@@ -17,12 +17,16 @@ def string_field(item: Column, key: str) -> Column:
 
 
 def harvest(responses: DataFrame, body: str = "body", at: str = "at") -> DataFrame:
-    """Rows of response bodies: a JSON array or ``{"results": [...]}``; items need a string id and a string memory."""
+    """Rows of response bodies: a JSON array or ``{"results": [...]}``; items need a string id and a string memory.
+
+    One row for each id: of several items the one of the latest ``at``, and of these the last of its answer."""
     parsed = F.try_parse_json(body)
     array = F.when(F.schema_of_variant(parsed).startswith("ARRAY"), parsed).otherwise(F.try_variant_get(parsed, "$.results", "variant"))
-    items = responses.select(F.col(at), F.explode(F.try_variant_get(array, "$", "array<variant>")).alias("item"))
-    rows = items.select(F.col(at), *[string_field(F.col("item"), k).alias(k) for k in ("id", "memory", "created_at", "updated_at", *ENTITY_KEYS)])
+    items = responses.select(F.col(at), F.posexplode(F.try_variant_get(array, "$", "array<variant>")).alias("_place", "item"))
+    rows = items.select(F.col(at), "_place", *[string_field(F.col("item"), k).alias(k) for k in ("id", "memory", "created_at", "updated_at", *ENTITY_KEYS)])
     rows = rows.filter(F.col("id").isNotNull() & F.col("memory").isNotNull())
+    columns = [c for c in rows.columns if c not in ("id", "_place")]
+    rows = rows.groupBy("id").agg(F.max_by(F.struct(*columns), F.struct(at, "_place")).alias("_last")).select("id", "_last.*")
     now = F.col(at)
     return rows.withColumns({k: F.coalesce(k, now) for k in ("created_at", "updated_at")}).drop(at)
 

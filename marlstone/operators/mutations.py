@@ -180,7 +180,7 @@ def added(writes: DataFrame, new_id: Column) -> DataFrame:
 
 def purged(store: DataFrame) -> DataFrame:
     """Without deletions that the service never knew of."""
-    return store.filter(~((F.col("source") == "local") & F.coalesce("deleted", F.lit(False))))
+    return store.filter(~(F.coalesce(F.col("source") == "local", F.lit(False)) & F.coalesce("deleted", F.lit(False))))
 
 
 def pending_adds(store: DataFrame, quarantined: DataFrame) -> DataFrame:

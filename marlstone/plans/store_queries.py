@@ -152,6 +152,25 @@ def request_keys(spark: SparkSession, sf: str) -> DataFrame:
     return clean.select("event_id", gates.cache_key(F.col("method"), F.col("path"), F.col("query"), F.col("body")).alias("key"))
 
 
+def request_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """Bodies whose filters hold digits, truth values, nulls and lists, beside the wildcards that go, with quotes in keys."""
+    d = table(spark, sf, "documents").select("doc_id", "source", "lang")
+    body = F.concat(
+        F.lit('{"query":"['), "source", F.lit('] say \\"hi\\"","filters":{"user_id":"'), F.col("doc_id").cast("string"), F.lit('","app_id":"*","run_id":"'), F.when(F.col("doc_id") % 2 == 0, "true").otherwise("*"),
+        F.lit('","n":'), F.col("doc_id").cast("string"), F.lit(',"flag":true,"none":null,"list":[1,"*"],"b":{"z":1,"a":"*"}},"top_k":5,"rerank":false,"k\\"ey":"{'), F.coalesce("lang", F.lit("")), F.lit('}"}'),
+    )
+    return d.select("doc_id", gates.without_wildcards(body).alias("body"))
+
+
+def harvest_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers that list each document twice: a store keeps the last."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.floor(F.col("doc_id") / 50).alias("page"), "source")
+    item = lambda suffix, at: F.struct(F.col("id").alias("id"), F.concat("source", F.lit(suffix)).alias("memory"), F.lit(at).alias("order"))
+    twice = d.select("page", F.explode(F.array(item(" one", 0), item(" two", 1))).alias("item"))
+    bodies = twice.groupBy("page").agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("item.order", "item.id", "item.memory"))).alias("results"))).alias("body"))
+    return ingest.harvest(bodies.withColumn("at", F.lit("now"))).select("id", "memory", "updated_at")
+
+
 def filters_of_cache(spark: SparkSession, sf: str) -> DataFrame:
     keyed = _requests(spark, sf).withColumn("body", gates.without_wildcards(F.col("body")))
     cache = keyed.select(F.col("event_id").alias("seq"), gates.cache_key(F.col("method"), F.col("path"), F.col("query"), F.col("body")).alias("key"))
@@ -233,7 +252,7 @@ def pool_of_sides(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        store_roundtrip, log_sides, log_filters, log_compacted, remote_hits, gateable_requests, request_keys, filters_of_cache, offline_adds, pending_adds,
+        store_roundtrip, log_sides, log_filters, log_compacted, remote_hits, gateable_requests, request_keys, request_bodies, harvest_repeats, filters_of_cache, offline_adds, pending_adds,
         purged_rows, replay_scopes, reconciled_ops, store_saved_by_two, store_saved_by_buckets, state_merge, store_loaded, ops_loaded,
         embedding_responses, pool_of_sides, pull_summary, pull_filters,
     )
@@ -258,6 +277,9 @@ ORACLE_SQL = {
     "gateable_requests": """SELECT event_id, k AS kind, k IN ('read-search', 'read-getall', 'read-get') AS gateable
         FROM (SELECT event_id, CASE event_type WHEN 'view' THEN 'read-search' WHEN 'click' THEN 'read-get' WHEN 'signup' THEN 'read-getall' WHEN 'error' THEN 'read-history' ELSE 'write-delete' END AS k FROM events)""",
     "request_keys": f"WITH {_CALLS} SELECT event_id, method || ' ' || path || query || ' ' || body AS key FROM asked",
+    "request_bodies": """SELECT doc_id, '{"query":"[' || source || '] say \\"hi\\"","filters":{"user_id":"' || doc_id || '"' || CASE WHEN doc_id % 2 = 0 THEN ',"run_id":"true"' ELSE '' END || ',"n":' || doc_id
+            || ',"flag":true,"none":null,"list":[1,"*"],"b":{"z":1,"a":"*"}},"top_k":5,"rerank":false,"k\\"ey":"{' || coalesce(lang, '') || '}"}' AS body FROM documents""",
+    "harvest_repeats": "SELECT doc_id::VARCHAR AS id, source || ' two' AS memory, 'now' AS updated_at FROM documents",
     "filters_of_cache": f"""WITH {_CALLS} SELECT nullif(arg_min(CASE WHEN user_id % 2 <> 0 THEN 'u' || user_id ELSE '' END, event_id) FILTER (method = 'POST'), '') AS user_id, 'web' AS app_id FROM asked""",
     "offline_adds": """SELECT 'local-' || conv_id AS id, md5(CASE WHEN coalesce(m, '') = '' THEN '(empty)' ELSE m END) AS memory_md5, 'local' AS source,
             CASE WHEN conv_id % 5 <> 0 THEN 'u' || (conv_id % 7) END AS user_id, CASE WHEN conv_id % 5 = 0 THEN 1 ELSE 2 END AS keys
