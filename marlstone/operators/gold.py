@@ -8,6 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import MAX_POOL_CHARS, is_noise, query_shape
@@ -50,16 +52,22 @@ def pool_text(text: Column) -> Column:
 STEP, SHIFTS, MASKS = 0x6D2B79F5, (15, 7, 14), (1, 61)
 
 
-def uniform(seed: int, n: int) -> np.ndarray:
-    """The first n numbers in [0, 1) of a 32-bit generator with a Weyl sequence as its state."""
+def uniform_at(seed: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The numbers in [0, 1) that a 32-bit generator with a Weyl sequence as its state has at these places (from 0): its
+    state after n steps is a product, so that no number needs the ones before."""
     with np.errstate(over="ignore"):
-        state = (np.uint32(seed) + np.arange(1, n + 1, dtype=np.uint32) * np.uint32(STEP)).astype(np.uint32)
+        state = seed.astype(np.uint32) + (place + 1).astype(np.uint32) * np.uint32(STEP)
         one, two, three = map(np.uint32, SHIFTS)
         t = (state ^ (state >> one)) * (state | np.uint32(MASKS[0]))
         t ^= t + (t ^ (t >> two)) * (t | np.uint32(MASKS[1]))
         return (t ^ (t >> three)) / 2.0**32
 
 
+def uniform(seed: int, n: int) -> np.ndarray:
+    """The first n numbers."""
+    return uniform_at(np.full(n, seed), np.arange(n))
+
+
 def shuffle(items: list, seed: int) -> list:
     """From the end, each element changes place with one at or before it."""
     out, draws = list(items), uniform(seed, max(len(items) - 1, 0))
@@ -69,23 +77,74 @@ def shuffle(items: list, seed: int) -> list:
     return out
 
 
-def sample(rows: DataFrame, size: int, seed: int, per_bucket: int, order: str = "seq") -> DataFrame:
-    """About ``size`` queries, an equal quota of each shape, by seeded shuffles of each shape's rows in order.
+def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """The rows with ``i``, their place from 0 in their group by ``order``, and ``n``, the group's size. Ranges of the whole
+    order are counted part by part, so a group may be of any size; what is broadcast is a row for each part and group."""
+    from ..sources.tables import written
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), {}
+        for batch in batches:
+            names = batch.column(group).to_pylist()
+            places = []
+            for name in names:
+                places.append(seen.get(name, 0))
+                seen[name] = places[-1] + 1
+            columns = [*batch.columns, pa.array([part] * len(names), pa.int32()), pa.array(places, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "part", "place"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", part int, place long"
+    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(rows.repartitionByRange(most, group, *order).sortWithinPartitions(group, *order).mapInArrow(run, schema), "numbered")
+    sizes = dealt.groupBy(group, "part").agg(F.count(F.lit(1)).alias("size"))
+    whole = Window.partitionBy(group)
+    before = F.coalesce(F.sum("size").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = F.broadcast(sizes.withColumns({"before": before, "n": F.sum("size").over(whole)}).drop("size"))
+    return dealt.join(known, [group, "part"]).withColumn("i", F.col("before") + F.col("place")).drop("part", "place", "before")
+
+
+def shuffled(rows: DataFrame, group: str, order: list[str], seed: Column, quota: int) -> DataFrame:
+    """The first ``quota`` rows of each group as ``shuffle`` leaves them, with ``at``, their place from 0.
+
+    No group is shuffled as a whole. A step of the shuffle exchanges place i with a place j that the generator gives for i
+    alone; so of each of the quota's places it is asked which step put there what it holds in the end, from which place
+    that came, and so on back to a row's place in the order. Rows of a null group are left out. A round of questions is one join of all steps with the
+    quota's places, which are few; there are about as many rounds as a group's size has digits, twice."""
+    from ..sources.tables import written
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i, n, own = (batch.column(c).to_numpy() for c in ("i", "n", "_seed"))
+            j = np.where(i > 0, (uniform_at(own, n - 1 - i) * (i + 1)).astype(np.int64), 0)
+            yield batch.append_column("j", pa.array(j))
+
+    counted = numbered(rows, group, order).withColumn("_seed", seed.cast("long"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counted.schema) + ", j long"
+    steps = written(counted.mapInArrow(run, schema), "shuffle-steps")
+    # (at, q): the place asked for, and where what it holds was before all steps below ``t``.
+    moved = steps.filter(F.col("i") < quota).select(group, F.col("i").alias("at"), F.when(F.col("i") > 0, F.col("j")).otherwise(F.lit(0)).alias("q"), F.when(F.col("i") > 0, F.col("i") + 1).otherwise(F.lit(1)).alias("t"))
+    done, open_ = None, written(moved, "shuffle-places")
+    made = steps.filter("i > 0").select(group, F.col("i").alias("step"), F.col("j").alias("q"))
+    while True:
+        # Of the steps that put something at q and come before t, the last: the one of the smallest number.
+        hits = made.join(F.broadcast(open_), [group, "q"]).filter("step >= t").groupBy(group, "at").agg(F.min("step").alias("step"))
+        after = written(open_.join(hits, [group, "at"], "left"), "shuffle-places")
+        still = after.filter("step IS NULL").select(group, "at", "q")
+        done = still if done is None else done.unionByName(still)
+        open_ = after.filter("step IS NOT NULL").select(group, "at", F.col("step").alias("q"), (F.col("step") + 1).alias("t"))
+        if open_.isEmpty():
+            break
+    return steps.join(F.broadcast(done.withColumnRenamed("q", "i")), [group, "i"]).drop("i", "n", "j", "_seed")
 
-    The shuffle is sequential by its definition, so one task takes a shape's ids (not its texts); the result is bounded
-    by ``size``."""
+
+def sample(rows: DataFrame, size: int, seed: int, per_bucket: int, order: str = "seq") -> DataFrame:
+    """About ``size`` queries, an equal quota of each shape, by seeded shuffles of each shape's rows in order (ties by id), and
+    of what they leave, shape by shape. No task holds a shape."""
     shapes = rows.select("shape").distinct().count()
     quota = min(max(1, -(-size // max(1, shapes))), per_bucket)
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        chosen = shuffle(list(range(len(pdf))), seed + len(pdf["shape"].iloc[0]))[:quota]
-        return pdf.iloc[chosen].assign(at=range(len(chosen)))
-
-    picked = rows.select("query_id", "shape", order).groupBy("shape").applyInPandas(pick, f"query_id long, shape string, {order} long, at int")
-    chosen = picked.orderBy("shape", "at").limit(quota * shapes).collect()
-    ids = rows.sparkSession.createDataFrame([(r.query_id,) for r in shuffle(chosen, seed)[:size]], "query_id long")
-    return rows.join(ids, "query_id", "left_semi").select(*rows.columns).orderBy("text", "query_id")
+    picked = shuffled(rows.select("query_id", "shape", order), "shape", [order, "query_id"], F.lit(seed) + F.length("shape"), quota)
+    chosen = shuffled(picked.select("query_id", F.lit("").alias("whole"), "shape", F.col("at").alias("place_")), "whole", ["shape", "place_"], F.lit(seed), size)
+    return rows.join(F.broadcast(chosen.select("query_id")), "query_id", "left_semi").select(*rows.columns).orderBy("text", "query_id")
 
 
 def merged_grades(new: DataFrame, prior: DataFrame, pools: DataFrame) -> DataFrame:

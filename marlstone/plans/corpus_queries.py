@@ -107,6 +107,13 @@ def dedupe_queries(spark: SparkSession, sf: str) -> DataFrame:
     return gold.candidates(log, log.select("query_id")).select("query_id", "shape")
 
 
+def gold_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """Sixty of the questions worth judging, an equal quota of each shape, as seeded shuffles leave them."""
+    turns = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    rows = written(gold.candidates(turns.withColumn("seq", F.col("query_id")), turns.select("query_id")), "candidates")
+    return gold.sample(rows, 60, 42, 100).select("query_id", "shape")
+
+
 def vector_norms(spark: SparkSession, sf: str) -> DataFrame:
     return binding.vectors(spark, sf).select("doc_id", F.round(norm(F.col("vec")), 5).alias("norm"))
 
@@ -204,7 +211,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scan_live_documents, clamp_overflow, quarantine, harvest_upsert, scope_filter, scope_label, scope_from_url, request_kinds,
-        tokenize_counts, doc_lengths, df_table, corpus_stats, keyword_token_counts, query_shape, length_bucket, noise_filter, dedupe_queries,
+        tokenize_counts, doc_lengths, df_table, corpus_stats, keyword_token_counts, query_shape, length_bucket, noise_filter, dedupe_queries, gold_sample,
         vector_norms, vector_targets, vector_prune, vector_coverage, batch_packing, page_stop_rule, vector_upkeep, vector_upkeep_stream, vector_failures, eval_tokens, embedding_cost, scope_sizes,
     )
 }
@@ -229,6 +236,24 @@ _SHAPE = """CASE WHEN length(q) <= 12 AND len(regexp_extract_all(q, '[a-zA-Z0-9]
 _LIVE = f"{MEMORIES}, live AS (SELECT * FROM memories WHERE NOT deleted)"
 _TARGETS = f"""{_LIVE}, {STORED}, targets AS (SELECT l.id, l.memory, sha1(l.memory) AS hash FROM live l LEFT JOIN stored s ON s.id = l.id
     WHERE sha1(l.memory) IS DISTINCT FROM s.hash)"""
+
+
+def _product_sql(x: str, y: str) -> str:
+    """The last 32 bits of a product of two such numbers."""
+    return f"((({x}) * (({y}) & 65535) + (((({x}) * (({y}) >> 16)) & 65535) << 16)) & 4294967295)"
+
+
+def _shuffle_sql(name: str, groups: str) -> str:
+    """CTEs that end in ``name`` (grp, a): the lists of ``groups`` (grp, a, seed), shuffled from the end by the generator's numbers."""
+    return f"""{name}_b AS (SELECT grp, i, (seed + (len(a) - i) * 1831565813) % 4294967296 AS s FROM {groups}, LATERAL (SELECT unnest(range(1, len(a))) AS i)),
+        {name}_t AS (SELECT grp, i, {_product_sql("xor(s, s >> 15)", "s | 1")} AS t FROM {name}_b),
+        {name}_u AS (SELECT grp, i, xor(t, (t + {_product_sql("xor(t, t >> 7)", "t | 61")}) & 4294967295) AS t FROM {name}_t),
+        {name}_d AS (SELECT grp, i, floor(xor(t, t >> 14) / 4294967296.0::DOUBLE * (i + 1))::BIGINT AS j FROM {name}_u),
+        {name}_f AS (SELECT grp, a, len(a) - 1 AS i FROM {groups} UNION ALL
+            SELECT f.grp, list_transform(a, lambda x, k: CASE WHEN k = f.i + 1 THEN a[j + 1] WHEN k = j + 1 THEN a[f.i + 1] ELSE x END), f.i - 1 FROM {name}_f f JOIN {name}_d d ON d.grp = f.grp AND d.i = f.i),
+        {name} AS (SELECT grp, a FROM {name}_f WHERE i = 0)"""
+
+
 ORACLE_SQL = {
     "scan_live_documents": f"WITH {MEMORIES} SELECT id, memory, user_id, app_id FROM memories WHERE NOT deleted",
     "clamp_overflow": f"""WITH {MEMORIES} SELECT id, substr(memory, 1, 4000) AS memory,
@@ -255,6 +280,11 @@ ORACLE_SQL = {
     "noise_filter": f"WITH {_TURNS} SELECT conv_id, turn, {_NOISE} AS noise FROM turns",
     "dedupe_queries": f"""WITH {_TURNS}, kept AS (SELECT *, row_number() OVER (PARTITION BY lower(text) ORDER BY query_id) AS nth FROM turns WHERE NOT {_NOISE})
         SELECT query_id, {_SHAPE} AS shape FROM kept WHERE nth = 1""",
+    "gold_sample": f"""WITH RECURSIVE {_TURNS}, kept AS (SELECT *, row_number() OVER (PARTITION BY lower(text) ORDER BY query_id) AS nth FROM turns WHERE NOT {_NOISE}),
+        c AS (SELECT query_id, {_SHAPE} AS shape FROM kept WHERE nth = 1),
+        g AS (SELECT shape AS grp, list(query_id ORDER BY query_id) AS a, (42 + length(shape))::BIGINT AS seed FROM c GROUP BY shape), {_shuffle_sql("first", "g")},
+        p AS (SELECT '' AS grp, flatten(list(a[1:least(greatest(1, ceil(60 / (SELECT count(*) FROM g))), 100)::BIGINT] ORDER BY grp)) AS a, 42::BIGINT AS seed FROM first), {_shuffle_sql("second", "p")}
+        SELECT query_id, shape FROM c WHERE query_id IN (SELECT unnest(a[1:60]) FROM second)""",
     "vector_norms": "SELECT vec_id AS doc_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 5) AS norm FROM embeddings",
     "vector_targets": f"WITH {_TARGETS} SELECT id, hash FROM targets",
     "vector_prune": f"WITH {_LIVE}, {STORED} SELECT id, hash FROM stored WHERE id IN (SELECT id FROM live)",

@@ -229,6 +229,32 @@ def test_sample(spark):
     assert gold.sample(rows, 12, 42, 100).collect() == gold.sample(rows.repartition(7), 12, 42, 100).collect()
 
 
+def test_places_of_a_shuffle_without_shuffling(spark):
+    sizes = {"a": 1, "bb": 2, "c": 3, "dd": 400, "e": 57}
+    rows = [(1000 * k + i, name, 7 * i % n if n % 7 else i) for k, (name, n) in enumerate(sizes.items()) for i in range(n)]
+    df = spark.createDataFrame(rows, "query_id long, shape string, seq long").repartition(5)
+    for seed, quota in ((42, 5), (2**31, 400), (0, 1)):
+        got = {}
+        for r in gold.shuffled(df, "shape", ["seq", "query_id"], F.lit(seed) + F.length("shape"), quota).orderBy("at").collect():
+            got.setdefault(r["shape"], []).append(r.query_id)
+        expected = {}
+        for name in sizes:
+            own = [q for q, _ in sorted(((q, s) for q, g, s in rows if g == name), key=lambda x: (x[1], x[0]))]
+            expected[name] = gold.shuffle(own, seed + len(name))[:quota]
+        assert got == expected
+
+
+def test_sample_equals_the_sequential_one(spark):
+    rows = [(i * 13 % 101, f"t{i}", s, i * 7 % 103) for i, s in enumerate(["latin"] * 60 + ["mixed"] * 3 + ["terse-cjk"] * 38)]
+    df = spark.createDataFrame(rows, "query_id long, text string, shape string, seq long").repartition(4)
+    for size, per_bucket in ((12, 100), (40, 9), (1, 1)):
+        shapes = sorted({s for _, _, s, _ in rows})
+        quota = min(max(1, -(-size // len(shapes))), per_bucket)
+        picked = [x for name in shapes for x in gold.shuffle(sorted((r for r in rows if r[2] == name), key=lambda r: (r[3], r[0])), 42 + len(name))[:quota]]
+        expected = sorted(gold.shuffle(picked, 42)[:size], key=lambda r: (r[1], r[0]))
+        assert [tuple(r) for r in gold.sample(df, size, 42, per_bucket).collect()] == expected
+
+
 def test_judge_replies(spark):
     assert gold.first_object('say {"a": "}{", "b": {"c": 1}} end') == {"a": "}{", "b": {"c": 1}}
     assert gold.first_object("{bad}") is None and gold.first_object('{"open": 1') is None and gold.first_object('{"q": "a\\"}b"}') == {"q": 'a"}b'}
