@@ -45,7 +45,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import census
 from .census import column, in_order
@@ -57,8 +57,6 @@ from .wordhash import Words, mix
 BLOCK, BLOCK_SHINGLES = 400, 1 << 20
 #: Fragments of the global order.
 FRAGMENTS = 4
-#: Parts into which the documents that meet at one shingle are first dealt.
-SALTS = 32
 #: Leaders of a band.
 LEADERS = 8
 #: Sets, and shingles of them, in the groups that one call takes together.
@@ -195,15 +193,13 @@ def _select(left: pa.Table, right: pa.Table, n: int, secret: int, percent: int,
 
 
 def _families(meets: DataFrame) -> DataFrame:
-    """(node, label) over one edge for each document and shingle: to the least document of a salted part of those
-    that meet there, and from these to the least of all. ``node`` is half of a set's digest: a collision joins
-    two families, which costs work and changes no result."""
-    rows = meets.select("shingle", F.col("high").alias("node")).distinct()
-    salted = Window.partitionBy("shingle", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
-    rows = rows.withColumn("near", F.min("node").over(salted))
-    heads = rows.filter("node = near").withColumn("top", F.min("near").over(Window.partitionBy("shingle")))
-    edges = rows.select("node", "near").unionByName(heads.select(F.col("near").alias("node"), F.col("top").alias("near")))
-    return components(edges.filter("node <> near"), "node", "near")
+    """(node, label) over one edge for each document and shingle: to the least document that meets there, a minimum that is
+    taken before rows move. ``node`` is half of a set's digest: a collision joins two families, which costs work and
+    changes no result."""
+    rows = stash(meets.select("shingle", F.col("high").alias("node")).distinct(), "jaccard-nodes")
+    least = rows.groupBy("shingle").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    edges = rows.join(least, "shingle").filter("node <> least").select("node", "least").distinct()
+    return components(edges, "node", "least")
 
 
 class _Forest:
