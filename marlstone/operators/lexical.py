@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +27,19 @@ _RARE = np.zeros(256, bool)
 _RARE[[0xC4, *range(0xE2, 0xF0)]] = True
 
 
-def tokenised(corpus: DataFrame, text_col: str = "text") -> DataFrame:
+#: A tokenizer: the array of a text's tokens.
+Tokenizer = Callable[[Column], Column]
+
+
+def tokenised(corpus: DataFrame, text_col: str = "text", tokenize: Tokenizer = tx.tokens) -> DataFrame:
     """The corpus with ``tokens`` in place of its text, and ``dl``, their number."""
-    out = corpus.withColumn("tokens", tx.tokens(F.col(text_col))).drop(text_col)
+    out = corpus.withColumn("tokens", tokenize(F.col(text_col))).drop(text_col)
     return out.withColumn("dl", F.size("tokens"))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
+def query_terms(queries: DataFrame, tokenize: Tokenizer = tx.tokens) -> DataFrame:
     """The queries with ``term``, one row for each distinct term."""
-    return queries.select(*[c for c in queries.columns if c != "text"], F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
+    return queries.select(*[c for c in queries.columns if c != "text"], F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term"))
 
 
 def once(queries: DataFrame, scope: list[str]) -> DataFrame:
@@ -49,7 +53,7 @@ def _scope_id(scope: list[str]) -> Column:
     return F.to_json(F.struct(*scope)) if scope else F.lit("{}")
 
 
-def bm25_scores(queries: DataFrame, corpus: DataFrame, scope: list[str] | None = None) -> DataFrame:
+def bm25_scores(queries: DataFrame, corpus: DataFrame, scope: list[str] | None = None, tokenize: Tokenizer = tx.tokens) -> DataFrame:
     """(query_id, doc_id, score) of every document that has a term of a query.
 
     ``queries``: query_id, text and the columns of ``scope``; ``corpus``: doc_id, text and the same columns. A query
@@ -63,10 +67,11 @@ def bm25_scores(queries: DataFrame, corpus: DataFrame, scope: list[str] | None =
     asked = once(queries, scope).withColumn("scope_id", _scope_id(scope))
     known = asked.select("scope_id", *scope).distinct()
     seen = lambda rows: scopes.visible(rows, known, scope).drop(*scope)
-    terms = query_terms(asked.select("query_id", "scope_id", "text"))
-    stats = seen(corpus.select(*scope, tx.token_count(F.col("text")).alias("dl"))).groupBy("scope_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    terms = query_terms(asked.select("query_id", "scope_id", "text"), tokenize)
+    length = tx.token_count(F.col("text")) if tokenize is tx.tokens else F.size(tokenize(F.col("text")))
+    stats = seen(corpus.select(*scope, length.alias("dl"))).groupBy("scope_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     wanted = terms.select("term").distinct()
-    postings = tokenised(corpus).select("doc_id", "dl", *scope, F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
+    postings = tokenised(corpus, tokenize=tokenize).select("doc_id", "dl", *scope, F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
     postings = seen(postings.groupBy("doc_id", "dl", *scope, "term").agg(F.count(F.lit(1)).alias("tf")))
     df = postings.groupBy("scope_id", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -76,13 +81,16 @@ def bm25_scores(queries: DataFrame, corpus: DataFrame, scope: list[str] | None =
     return weights.join(postings, ["scope_id", "term"]).groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
-def bm25(queries: DataFrame, corpus: DataFrame, top: int = 10, scope: list[str] | None = None, block_terms: int = BLOCK_TERMS) -> DataFrame:
+def bm25(queries: DataFrame, corpus: DataFrame, top: int = 10, scope: list[str] | None = None, block_terms: int = BLOCK_TERMS, tokenize: Tokenizer = tx.tokens) -> DataFrame:
     """(query_id, doc_id, score, rank): the best documents of each query, ties by id.
 
     If the queries have no more than ``block_terms`` distinct terms in all, they go to the documents: one pass counts
     the documents of each term, a second scores whole batches and keeps each batch's best, and all that is shuffled is
-    counts and best rows. Beyond that, postings and terms are joined. Both ways give the same rows."""
+    counts and best rows. Beyond that, and with a tokenizer of one's own, postings and terms are joined. Both ways give
+    the same rows."""
     scope = scope or []
+    if tokenize is not tx.tokens:
+        return ranked(bm25_scores(queries, corpus, scope, tokenize), ["query_id"], top=top)
     asked = once(queries, scope).select("query_id", *scope, F.array_distinct(tx.tokens(F.col("text"))).alias("terms"))
     if (asked.agg(F.sum(F.size("terms"))).first()[0] or 0) > block_terms:
         return ranked(bm25_scores(queries, corpus, scope), ["query_id"], top=top)

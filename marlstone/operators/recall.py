@@ -8,10 +8,14 @@ from dataclasses import dataclass
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import text as tx
 from ..plans import strategy as st
 from . import dense, fusion, lexical, scope as scopes
 
 Reranker = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
+#: A channel of one's own: from queries, corpus, the columns of the scope and a number of hits for each query to
+#: (query_id, doc_id, score, rank).
+Channel = Callable[[DataFrame, DataFrame, list[str] | None, int], DataFrame]
 
 
 @dataclass
@@ -36,12 +40,15 @@ def recall(
     top: int = fusion.TOP,
     scope: list[str] | None = None,
     reference_compat: bool = False,
+    also: dict[str, tuple[Channel, float]] | None = None,
+    tokenize: lexical.Tokenizer = tx.tokens,
 ) -> Found:
     """Rank ``corpus`` (doc_id, text, scope columns) for ``queries`` (query_id, text, scope columns).
 
     Every channel sees only documents in the query's scope, by the rule of `scope`: a null, empty or ``*`` value asks
     for nothing. With ``reference_compat`` the dense channel and the legacy scorer rank all documents, keep ``top`` of
-    them and only then apply the scope, so they may return fewer.
+    them and only then apply the scope, so they may return fewer. ``also``: further channels by name, with their weights,
+    that are fused with the strategy's own; ``tokenize``: another tokenizer of the lexical channel.
     """
     no_dense = None if vectors is not None and query_vectors is not None else "no embedder"
     plan = st.resolve(requested, dense=no_dense, rerank=None if reranker else "no reranker")
@@ -52,10 +59,13 @@ def recall(
         return Found(_scoped_late(hits, queries, corpus, scope) if late else hits, "legacy", {}, plan.reason)
     channels: dict[str, tuple[DataFrame, float]] = {}
     status: dict[str, str] = {}
-    for name in strategy.channels:
+    further = also or {}
+    for name in (*strategy.channels, *further):
         try:
-            if name == "lexical":
-                channels[name] = (lexical.bm25(queries, corpus, pool, scope), weight)
+            if name in further:
+                channels[name] = (further[name][0](queries, corpus, scope, pool), further[name][1])
+            elif name == "lexical":
+                channels[name] = (lexical.bm25(queries, corpus, pool, scope, tokenize=tokenize), weight)
             else:
                 channels[name] = (_dense(queries, corpus, vectors, query_vectors, scope, pool, top, reference_compat), 1.0)
             status[name] = "ok"
@@ -69,7 +79,7 @@ def recall(
     else:
         ranked = fused.filter(F.col("rank") <= top)
     ranked = ranked.select("query_id", "doc_id", "score", "rank")
-    return Found(ranked, st.served(strategy, set(channels), strategy.rerank), status, plan.reason)
+    return Found(ranked, st.served(strategy, set(channels) - set(further), strategy.rerank), status, plan.reason)
 
 
 def near(queries: DataFrame, corpus: DataFrame, vectors: DataFrame, query_vectors: DataFrame, scope: list[str] | None = None, pool: int = fusion.POOL) -> DataFrame:

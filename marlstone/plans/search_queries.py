@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions import tables
 from ..operators import cells, dense, fusion, inverted, lexical, recall, recorder
 from ..sources.tables import table, written
 from ..streaming.runs import folder
@@ -55,6 +56,25 @@ def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
     return dense.cosine_search(binding.query_vectors(spark, sf), binding.vectors(spark, sf))
 
 
+def _spaced(text: Column) -> Column:
+    """A tokenizer of one's own: what stands between spaces, in lower case."""
+    return F.filter(F.split(F.lower(text), "[ \\n\\t]+"), lambda t: t != "")
+
+
+def hybrid_three(spark: SparkSession, sf: str) -> DataFrame:
+    """Fusion with a third channel: BM25 over what stands between spaces, at half a weight."""
+    corpus = binding.corpus(spark, sf).select("doc_id", "text")
+    spaced = lambda queries, docs, scope, pool: lexical.bm25(queries, docs, pool, scope, tokenize=_spaced)
+    return recall.recall(binding.queries(spark, sf), corpus, binding.vectors(spark, sf), binding.query_vectors(spark, sf), requested="fusion", also={"spaced": (spaced, 0.5)}).rankings
+
+
+def term_counts_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """Words between spaces and how many documents have them, from a table function in a statement."""
+    tables.register(spark)
+    binding.corpus(spark, sf).select("doc_id", "text").createOrReplaceTempView("term_count_docs")
+    return spark.sql("SELECT term, count(*) AS df, sum(tf) AS n FROM term_counts(TABLE(SELECT doc_id, text FROM term_count_docs), 'whitespace') GROUP BY term")
+
+
 def cosine_pruned(spark: SparkSession, sf: str) -> DataFrame:
     """The same answers from vectors stored by cell."""
     at = folder(spark)
@@ -191,7 +211,7 @@ QUERIES = {
     for f in (
         hybrid_search, bm25_topk, bm25_scoped_topk, bm25_unmatched, legacy_topk, cosine_topk, cosine_scoped_before, cosine_scoped_after,
         rrf_fusion, rrf_zero_weight, rerank_coverage, materialize_hits, legacy_scoped_topk, legacy_scoped_after, bm25_partial_scope,
-        hybrid_scoped, ladder_auto, ladder_without_vectors, dense_rerank, rerank_responses, comparison_entries, unmatched_scoped, cosine_pruned, bm25_indexed, bm25_indexed_changed,
+        hybrid_scoped, ladder_auto, ladder_without_vectors, dense_rerank, rerank_responses, comparison_entries, unmatched_scoped, hybrid_three, term_counts_sql, cosine_pruned, bm25_indexed, bm25_indexed_changed,
     )
 }
 
@@ -268,6 +288,7 @@ def reranked_sql(pool: str) -> str:
         reranked AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, r)::INTEGER AS rank FROM share QUALIFY rank <= 10)"""
 
 
+_SPACED_SQL = bm25_sql(50, name="spaced").replace("regexp_extract_all(lower(text), '[a-z0-9_]+')", "list_filter(string_split_regex(lower(text), '[ \\n\\t]+'), lambda t: t <> '')")
 POOLS = f"{bm25_sql(50)}, {cosine_sql(50, where=KNOWN)}, {fused_sql(0.4)}"
 ORACLE_SQL = {
     "bm25_topk": f"WITH {bm25_sql(10)} SELECT query_id, doc_id, score, rank FROM bm25",
@@ -279,6 +300,11 @@ ORACLE_SQL = {
         WHERE term NOT IN (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) FROM documents)""",
     "legacy_topk": f"WITH {legacy_sql(10)} SELECT query_id, doc_id, score, rank FROM legacy",
     "cosine_topk": f"WITH {cosine_sql(10)} SELECT query_id, doc_id, score, rank FROM cosine",
+    "hybrid_three": f"""WITH {bm25_sql(50)}, {_SPACED_SQL}, {cosine_sql(50, where=KNOWN)},
+        h AS (SELECT query_id, doc_id, round(sum(w / (60 + rank)), 6) AS score FROM (SELECT query_id, doc_id, rank, 0.4::DOUBLE AS w FROM bm25 UNION ALL SELECT query_id, doc_id, rank, 0.5::DOUBLE FROM spaced
+            UNION ALL SELECT query_id, doc_id, rank, 1.0::DOUBLE FROM cosine) GROUP BY ALL)
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM h QUALIFY rank <= 10""",
+    "term_counts_sql": r"""SELECT term, count(DISTINCT doc_id) AS df, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '\s+')) AS term FROM documents) WHERE term <> '' GROUP BY term""",
     "cosine_pruned": f"WITH {cosine_sql(10)} SELECT query_id, doc_id, score, rank FROM cosine",
     "cosine_scoped_before": f"""WITH {binding.SCOPED}, {cosine_sql(10, where='v.vec_id IN (SELECT doc_id FROM documents d WHERE d.lang = s.user_id)', also='JOIN scoped s ON s.query_id = b.item_id')}
         SELECT query_id, doc_id, score FROM cosine""",
