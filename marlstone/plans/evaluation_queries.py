@@ -136,6 +136,13 @@ def grade_merge(spark: SparkSession, sf: str) -> DataFrame:
     return gold.merged_grades(new, reduce(DataFrame.unionByName, files), pool)
 
 
+def normal_grades(spark: SparkSession, sf: str) -> DataFrame:
+    """Grades of a judge that writes numbers in many ways, and words: those that are none go."""
+    written_ = F.when(F.col("event_id") % 7 == 0, "high").when(F.col("event_id") % 7 == 1, "NaN").when(F.col("event_id") % 7 == 2, "Infinity").otherwise((F.col("user_id") % 9 / 2 - 1).cast("string"))
+    rows = table(spark, sf, "events").select("event_id", gold.normal_grade(written_).alias("grade"))
+    return rows.filter("grade IS NOT NULL")
+
+
 def judge_agreement(spark: SparkSession, sf: str) -> DataFrame:
     labelled = pool_union(spark, sf).join(table(spark, sf, "labels"), "doc_id")
     first = labelled.select("query_id", "doc_id", (F.col("quality") + 1 - F.col("toxic")).alias("grade"))
@@ -189,7 +196,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         overlap_mrr, ndcg_vs_remote, overlap_full_remote, accuracy_summary, accuracy_by_stratum, accuracy_streamed, replay_eval, winloss,
-        pool_union, pool_median, pool_domination, graded_metrics, graded_summary, compare_runs, grade_merge, judge_agreement,
+        pool_union, pool_median, pool_domination, graded_metrics, graded_summary, compare_runs, grade_merge, normal_grades, judge_agreement,
         fair_subset, head_to_head, fusion_unweighted, recorded_graded, run_totals, log_by_date, judge_prompts, embed_cache,
     )
 }
@@ -260,6 +267,7 @@ ORACLE_SQL = {
         FROM metrics a JOIN metrics b ON a.query_id = b.query_id AND a.strategy = 'bm25' AND b.strategy = 'fusion'""",
     "grade_merge": f"""WITH {_POOL}, l AS (SELECT p.query_id, p.doc_id, quality, toxic FROM pool p JOIN labels l ON l.doc_id = p.doc_id)
         SELECT query_id, doc_id, CASE WHEN quality = 1 THEN 2 WHEN toxic = 0 THEN quality ELSE 1 - toxic END AS grade, CASE WHEN quality = 1 THEN 'new' ELSE 'prior' END AS source FROM l""",
+    "normal_grades": """SELECT event_id, CASE WHEN g <= 0 THEN 0 WHEN g >= 2 THEN 2 WHEN g >= 1 THEN 1 ELSE 0 END AS grade FROM (SELECT event_id, user_id % 9 / 2 - 1 AS g FROM events WHERE event_id % 7 > 2)""",
     "judge_agreement": f"""WITH {_POOL}, c AS (SELECT quality + 1 - toxic AS first, quality * 2 AS second, count(*) AS n FROM pool p JOIN labels l ON l.doc_id = p.doc_id GROUP BY ALL)
         SELECT first, second, n, round(n::DOUBLE / sum(n) OVER (), 6) AS share FROM c""",
     "fair_subset": f"""WITH {cosine_sql(5)}, judged AS (SELECT doc_id FROM documents WHERE n_chars <= 4000)

@@ -257,6 +257,17 @@ ORACLE_SQL = {
     "report_header": f"""SELECT count(*) AS entries, count(*) FILTER (event_type = 'view') AS comparisons, count(*) FILTER (event_type = 'error') AS fallbacks,
         'view signup purchase error' AS versions, count(*) FILTER (event_type = 'click') AS unfingerprinted, min({_AT}) AS first_ts, max({_AT}) AS last_ts FROM events""",
     "error_tally": "SELECT 'dense' AS channel, substr(props, 1, 60) AS error, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY ALL ORDER BY n DESC, error LIMIT 4",
+    "gate_outcomes": f"""WITH RECURSIVE r AS (SELECT user_id AS tenant, event_id AS seq, {_AT} AS "at", event_type AS key, row_number() OVER (PARTITION BY user_id ORDER BY {_AT}, event_id) AS n FROM events),
+        g AS (  -- of each tenant's requests in turn: the outcome, and what the gate remembers after it
+            SELECT DISTINCT tenant, 0::BIGINT AS seq, 0::BIGINT AS n, NULL::BIGINT AS last, 0::BIGINT AS blocked, MAP([]::VARCHAR[], []::BIGINT[]) AS saved, '' AS outcome FROM r
+            UNION ALL
+            SELECT tenant, seq, n, CASE WHEN outcome = 'miss' THEN "at" ELSE last END, CASE WHEN outcome = 'miss' THEN 0 WHEN outcome IN ('stale', 'fallback') THEN "at" + 300000 ELSE blocked END,
+                CASE WHEN outcome = 'write' THEN MAP([]::VARCHAR[], []::BIGINT[]) WHEN outcome = 'miss' THEN map_concat(saved, MAP([key], ["at"])) ELSE saved END, outcome
+            FROM (SELECT *, CASE WHEN key = 'purchase' THEN 'write' WHEN "at" - was < 86400000 THEN 'hit'
+                    WHEN "at" < blocked OR "at" - last < 3600000 THEN CASE WHEN was IS NULL THEN 'gated-local' ELSE 'gated-stale' END
+                    WHEN key <> 'error' THEN 'miss' WHEN was IS NULL THEN 'fallback' ELSE 'stale' END AS outcome
+                FROM (SELECT r.*, g.last, g.blocked, g.saved, g.saved[r.key] AS was FROM g JOIN r ON r.tenant = g.tenant AND r.n = g.n + 1)))
+        SELECT tenant, seq, outcome FROM g WHERE n > 0""",
     "stream_gate": f"WITH RECURSIVE {_OPEN} SELECT tenant, seq, open FROM opened",
     "stream_outcome_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
 }
