@@ -145,6 +145,16 @@ def report_header(spark: SparkSession, sf: str) -> DataFrame:
     return logs.header(entries)
 
 
+def log_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as log entries with measures of their own; errors fell back."""
+    n = F.col("event_id")
+    entries = table(spark, sf, "events").select(
+        F.when(F.col("event_type") == "error", "fallback").otherwise("remote").alias("mode"), (F.col("user_id") % 6).alias("overlap5"), (n % 11).alias("overlap10"),
+        F.when(n % 5 > 0, 1 / (n % 5)).otherwise(0.0).alias("mrr"),
+    )
+    return logs.summary(entries)
+
+
 def error_tally(spark: SparkSession, sf: str) -> DataFrame:
     errors = table(spark, sf, "events").filter("event_type = 'error'").select(F.lit("dense").alias("channel"), F.col("props").alias("error"))
     return gates.error_tally(errors)
@@ -176,7 +186,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         store_merge, counter_merge, op_union_minus_done, tombstone_cap, replay_order, permanent_status, retire_after_three, replay_run,
-        cache_hits, freshness_gate, breaker_windows, outcome_counts, gate_outcomes, error_tally, service_stats, offline_writes, remote_echo, replay_effects, report_header, stream_gate, stream_outcome_counts,
+        cache_hits, freshness_gate, breaker_windows, outcome_counts, gate_outcomes, error_tally, service_stats, offline_writes, remote_echo, replay_effects, report_header, log_summary, stream_gate, stream_outcome_counts,
     )
 }
 
@@ -256,6 +266,10 @@ ORACLE_SQL = {
         FROM memories m LEFT JOIN d ON d.id = m.id WHERE NOT coalesce(t = 'error' OR (t IN ('view', 'click', 'purchase') AND k >= 50), false)""",
     "report_header": f"""SELECT count(*) AS entries, count(*) FILTER (event_type = 'view') AS comparisons, count(*) FILTER (event_type = 'error') AS fallbacks,
         'view signup purchase error' AS versions, count(*) FILTER (event_type = 'click') AS unfingerprinted, min({_AT}) AS first_ts, max({_AT}) AS last_ts FROM events""",
+    "log_summary": """WITH e AS (SELECT event_type <> 'error' AS compared, user_id % 6 AS five, event_id % 11 AS ten, CASE WHEN event_id % 5 > 0 THEN 1.0::DOUBLE / (event_id % 5) ELSE 0 END AS mrr FROM events)
+        SELECT count(*) FILTER (compared) AS comparisons, count(*) FILTER (NOT compared) AS fallbacks, round(sum(five) FILTER (compared) / count(*) FILTER (compared), 6) AS mean_overlap5,
+            round(sum(ten) FILTER (compared) / count(*) FILTER (compared), 6) AS mean_overlap10, round((sum(mrr::DECIMAL(30, 12)) FILTER (compared))::DOUBLE / count(*) FILTER (compared), 6) AS mean_mrr,
+            round(count(*) FILTER (compared AND five >= 5) / count(*) FILTER (compared), 6) AS perfect5_rate, round(count(*) FILTER (compared AND mrr > 0) / count(*) FILTER (compared), 6) AS top1_recall FROM e""",
     "error_tally": "SELECT 'dense' AS channel, substr(props, 1, 60) AS error, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY ALL ORDER BY n DESC, error LIMIT 4",
     "gate_outcomes": f"""WITH RECURSIVE r AS (SELECT user_id AS tenant, event_id AS seq, {_AT} AS "at", event_type AS key, row_number() OVER (PARTITION BY user_id ORDER BY {_AT}, event_id) AS n FROM events),
         g AS (  -- of each tenant's requests in turn: the outcome, and what the gate remembers after it

@@ -80,3 +80,21 @@ def header(entries: DataFrame) -> DataFrame:
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
     )
+
+
+def summary(entries: DataFrame) -> DataFrame:
+    """One row of the logged measures (mode, overlap5, overlap10, mrr): comparisons (entries of mode ``remote``), fallbacks (all
+    others), and over the comparisons the means, the share in which the first five agree, and the share that finds the
+    remote's first at all; each 0 without a comparison."""
+    from ..operators.evaluation import mean
+
+    compared = F.coalesce(F.col("mode") == "remote", F.lit(False))
+    of = lambda c: F.round(F.coalesce(mean(F.when(compared, c)), F.lit(0.0)), 6)
+    measure = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return entries.agg(
+        F.count_if(compared).alias("comparisons"),
+        F.count_if(~compared).alias("fallbacks"),
+        *[of(measure(c)).alias(f"mean_{c}") for c in ("overlap5", "overlap10", "mrr")],
+        of((measure("overlap5") >= 5).cast("int")).alias("perfect5_rate"),
+        of((measure("mrr") > 0).cast("int")).alias("top1_recall"),
+    )

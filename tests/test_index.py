@@ -123,3 +123,21 @@ def test_means_are_rounded_once_and_do_not_depend_on_the_order(spark):
             means.add(spark.createDataFrame(rows, "i int, v double").repartition(seed + 1).agg(F.round(evaluation.mean("v"), 6).alias("m")).first().m)
         assert means == ({0.287501} if 0.125 in values else {0.274286})
     assert spark.createDataFrame([(None,)], "v double").agg(evaluation.mean("v").alias("m")).first().m is None
+
+
+def test_a_channel_and_a_tokenizer_of_ones_own(spark):
+    from marlstone.functions import tables
+    from marlstone.operators import recall
+
+    docs, asked = frame(spark, [(1, "Alpha-beta one"), (2, "alpha two"), (3, None)]), frame(spark, [(1, "alpha-beta")], "query_id")
+    spaced = lambda text: F.filter(F.split(F.lower(text), " +"), lambda t: t != "")
+    assert [(r.doc_id, r["rank"]) for r in lexical.bm25(asked, docs, tokenize=spaced).collect()] == [(1, 1)]
+    only = lambda queries, corpus, scope, pool: queries.select("query_id", F.lit(2).cast("long").alias("doc_id"), F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
+    found = recall.recall(asked, docs, requested="bm25", also={"two": (only, 5.0)})
+    assert [r.doc_id for r in found.rankings.orderBy("rank").collect()] == [2, 1] and found.status == {"lexical": "ok", "two": "ok"} and found.served == "bm25"
+    tables.register(spark, "my_terms", letters=list)
+    docs.createOrReplaceTempView("my_docs")
+    assert {tuple(r) for r in spark.sql("SELECT * FROM my_terms(TABLE(SELECT * FROM my_docs WHERE doc_id = 2), 'bm25')").collect()} == {(2, "alpha", 1, 2), (2, "two", 1, 2)}
+    assert spark.sql("SELECT sum(tf) AS n FROM my_terms(TABLE(my_docs), 'letters')").first().n == 23
+    with pytest.raises(Exception, match="no tokenizer"):
+        spark.sql("SELECT * FROM my_terms(TABLE(my_docs), 'none')").collect()
