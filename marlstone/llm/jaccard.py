@@ -22,8 +22,8 @@ connected is compared, by pairs of blocks of which one holds sets outside the
 component that most are in: among all sets of the family, or among those that
 meet at one shingle, whichever moves fewer shingles.
 
-A group holds two blocks at most and returns links that join its sets, at most
-one fewer than it has sets: other links are between sets that these connect.
+A group holds two blocks at most and returns what its links connect, as pairs of
+a set and one set that its links reach: at most one fewer than it has sets.
 Documents of one set are one node from the start. Shingles are 64-bit hashes under
 a number that is drawn for each run and known to nobody, so that no words can be
 made to collide, and sets are told apart by 128 bits of them: two documents could
@@ -212,12 +212,9 @@ class _Forest:
             x = self.parent[x]
         return x
 
-    def join(self, x: int, y: int) -> bool:
+    def join(self, x: int, y: int) -> None:
         x, y = self.root(x), self.root(y)
-        if x == y:
-            return False
         self.parent[max(x, y)] = min(x, y)
-        return True
 
 
 #: A group of sets as its fragments see it: the sets (the same in each), and the pairs with their partial overlaps.
@@ -277,7 +274,8 @@ LINK = ["high_a", "low_a", "high_b", "low_b"]
 
 
 def _sum(table: pa.Table, percent: int) -> pa.Table:
-    """The sums over fragments of each pair's partial overlaps, and a forest of the links of each group."""
+    """The sums over fragments of each pair's partial overlaps, and what the links of each group connect: each set with one
+    set of its component in the group, so that paths stay short however long the chains of links are."""
     table = table.sort_by([("unit", "ascending"), ("fragment", "ascending")]).combine_chunks()
     out: list[np.ndarray] = [np.zeros((0, 4), np.int64)]
     value = lambda name, at, kind: np.frombuffer(table.column(name)[at].as_buffer(), kind)
@@ -290,10 +288,11 @@ def _sum(table: pa.Table, percent: int) -> pa.Table:
         x, y = np.divmod(pairs, len(sizes))
         links = 100 * overlap >= percent * (sizes[x] + sizes[y] - overlap)
         forest = _Forest(len(sizes))
-        found = [(i, j) for i, j in zip(x[links].tolist(), y[links].tolist()) if forest.join(i, j)]
-        if found:
-            i, j = np.array(found, np.int64).T
-            out.append(np.stack([high[i], low[i], high[j], low[j]], axis=1))
+        for i, j in zip(x[links].tolist(), y[links].tolist()):
+            forest.join(i, j)
+        roots = np.array([forest.root(i) for i in range(len(sizes))], np.int64)
+        i = np.flatnonzero(roots != np.arange(len(sizes)))
+        out.append(np.stack([high[i], low[i], high[roots[i]], low[roots[i]]], axis=1))
     return pa.table(dict(zip(LINK, np.concatenate(out).T.copy())))
 
 
