@@ -28,15 +28,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
 from ..functions.ranking import DIGITS, ranked
-from .lexical import _RARE, _TOKEN, B, K1, once
+from .lexical import _RARE, _TOKEN, B, K1, once, token_lengths
 
-#: Ids of a chunk and of a slice, and folders of terms.
-CHUNK, SLICE, BUCKETS = 1 << 14, 128, 16
+#: Ids of a chunk and of a slice, folders of terms, and tasks that write a folder at most.
+CHUNK, SLICE, BUCKETS, SHARES = 1 << 14, 128, 16, 8
 #: Slices that are scored before bounds decide, and bytes of a block of queries.
 EAGER, BLOCK_BYTES = 4, 1 << 20
 #: Scores of a task's matrix at a time.
 CELLS = 1 << 22
 
+ROW = ["term", "chunk", "sign", "n", "docs", "counts", "lengths", "slices", "most", "least"]
 LISTS = "bucket int, term string, chunk long, sign int, n int, docs binary, counts binary, lengths binary, slices binary, most binary, least binary"
 TOTALS = "documents long, tokens long"
 
@@ -69,6 +70,14 @@ def batch_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np
     return text, number, names, np.bincount(text, minlength=len(texts))
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents and tokens of each batch by sign."""
+    for batch in batches:
+        sign = batch.column("sign").to_numpy().astype(np.int64)
+        tokens = int((sign * token_lengths(batch.column("text"))).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([int(sign.sum())]), pa.array([tokens])], ["documents", "tokens"])
+
+
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of the index, from documents that come by chunk and id: those of a chunk may come in several batches, whose
     lists stand in rows of their own."""
@@ -87,36 +96,34 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             term, doc = np.divmod(keys, CHUNK)
             place = np.empty(CHUNK, np.int64)
             place[ids] = lengths
-            length = place[doc]
-            first = np.concatenate([[0], np.flatnonzero(np.diff(term)) + 1])
-            sizes = np.diff(first, append=len(term))
-            steps = np.diff(doc, prepend=0)
-            steps[first] = doc[first]
-            part = term * (CHUNK // SLICE) + doc // SLICE
-            head = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1])
-            of = np.searchsorted(head, np.append(first, len(part)))
-
-            def binary(values: np.ndarray, kind: str, at: np.ndarray) -> pa.Array:
-                own = values.astype(kind)
-                offsets = pa.array((at * own.itemsize).astype(np.int32))
-                return pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, offsets.buffers()[1], pa.py_buffer(own.tobytes())])
-
-            at = np.append(first, len(term))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([names[t] for t in term[first].tolist()], pa.string()),
-                    pa.array(np.full(len(first), chunks[a])),
-                    pa.array(np.full(len(first), batch.column("sign")[0].as_py(), np.int32)),
-                    pa.array(sizes.astype(np.int32)),
-                    binary(steps, "<u2", at),
-                    binary(counts, "<i4", at),
-                    binary(length, "<i4", at),
-                    binary(part[head] % (CHUNK // SLICE), "<u1", of),
-                    binary(np.maximum.reduceat(counts, head), "<i4", of),
-                    binary(np.minimum.reduceat(length, head), "<i4", of),
-                ],
-                ["term", "chunk", "sign", "n", "docs", "counts", "lengths", "slices", "most", "least"],
-            )
+            first, packed = _packed(term, doc, counts, place[doc])
+            own = [pa.array([names[t] for t in term[first].tolist()], pa.string()), pa.array(np.full(len(first), chunks[a])), pa.array(np.full(len(first), batch.column("sign")[0].as_py(), np.int32))]
+            yield pa.RecordBatch.from_arrays(own + packed, ROW)
+
+
+def _packed(own: np.ndarray, doc: np.ndarray, counts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """Where each list begins, and its columns from ``n`` on, from documents that come by list and place in its chunk."""
+    first = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1])
+    steps = np.diff(doc, prepend=0)
+    steps[first] = doc[first]
+    part = own * (CHUNK // SLICE) + doc // SLICE
+    head = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1])
+    at, of = np.append(first, len(own)), np.searchsorted(head, np.append(first, len(part)))
+
+    def binary(values: np.ndarray, kind: str, at: np.ndarray) -> pa.Array:
+        raw = values.astype(kind)
+        offsets = pa.array((at * raw.itemsize).astype(np.int32))
+        return pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, offsets.buffers()[1], pa.py_buffer(raw.tobytes())])
+
+    return first, [
+        pa.array(np.diff(at).astype(np.int32)),
+        binary(steps, "<u2", at),
+        binary(counts, "<i4", at),
+        binary(lengths, "<i4", at),
+        binary(part[head] % (CHUNK // SLICE), "<u1", of),
+        binary(np.maximum.reduceat(counts, head), "<i4", of),
+        binary(np.minimum.reduceat(lengths, head), "<i4", of),
+    ]
 
 
 def _bucket(buckets: int):
@@ -129,15 +136,21 @@ def add(changes: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
     spark = changes.sparkSession
     rows = changes.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("sign").cast("int").alias("sign"))
     part = uuid.uuid4().hex
-    sums = rows.agg(F.coalesce(F.sum("sign"), F.lit(0)).alias("documents"), F.coalesce(F.sum(F.col("sign") * tx.token_count(F.col("text"))), F.lit(0)).alias("tokens"))
+    each = rows.select("sign", "text").mapInArrow(_summed, TOTALS)
+    sums = each.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("documents", "tokens")])
     dealt = rows.withColumn("chunk", F.shiftright("doc_id", CHUNK.bit_length() - 1)).repartition("chunk").sortWithinPartitions("chunk", "sign", "doc_id")
     lists = dealt.select("chunk", "sign", "doc_id", "text").mapInArrow(_listed, LISTS.removeprefix("bucket int, "))
-    _write(lists, folder, part, buckets)
+    _write(_dealt(lists, buckets), folder, part)
     sums.coalesce(1).write.parquet(f"{folder}/totals/part={part}")  # a part is there once its totals are
 
 
-def _write(rows: DataFrame, folder: str, part: str, buckets: int) -> None:
-    dealt = rows.withColumn("bucket", _bucket(buckets)).repartition("bucket").sortWithinPartitions("bucket", "term", "chunk")
+def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    """Rows by bucket, term and chunk; a bucket's terms go to several tasks, a term to one."""
+    share = F.pmod(F.xxhash64("term"), F.lit(SHARES))
+    return rows.withColumn("bucket", _bucket(buckets)).repartition("bucket", share).sortWithinPartitions("bucket", "term", "chunk")
+
+
+def _write(dealt: DataFrame, folder: str, part: str) -> None:
     dealt.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{folder}/lists/part={part}")
 
 
@@ -321,30 +334,55 @@ def search(queries: DataFrame, folder: str, top: int = 10, buckets: int = BUCKET
 def compacted(spark: SparkSession, folder: str, into: str, buckets: int = BUCKETS) -> None:
     """Write the index anew, without what came and went: lists of one term and chunk meet, and equal rows of a document
     with signs that cancel go."""
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        rows = table.combine_chunks()
-        size = np.array([len(x) // 2 for x in rows.column("docs").to_pylist()])
-        join = lambda c, kind: np.frombuffer(b"".join(rows.column(c).to_pylist()), kind).astype(np.int64)
-        steps = join("docs", "<u2")
-        run_, first = np.cumsum(steps), np.cumsum(size) - size
-        doc = run_ - np.repeat(run_[first] - steps[first], size)
-        sign = np.repeat(rows.column("sign").to_numpy(), size)
-        each = np.stack([doc, join("counts", "<i4"), join("lengths", "<i4")], axis=1)
-        distinct, at = np.unique(each, axis=0, return_inverse=True)
-        live = distinct[np.bincount(at.ravel(), weights=sign, minlength=len(distinct)) > 0]
-        if not len(live):
-            return rows.slice(0, 0).select(["term", "chunk", "sign", "n", "docs", "counts", "lengths", "slices", "most", "least"])
-        doc, counts, lengths = live.T
-        head = np.concatenate([[0], np.flatnonzero(np.diff(doc // SLICE)) + 1])
-        packed = {
-            "docs": np.diff(doc, prepend=0).astype("<u2"), "counts": counts.astype("<i4"), "lengths": lengths.astype("<i4"), "slices": (doc[head] // SLICE).astype("<u1"),
-            "most": np.maximum.reduceat(counts, head).astype("<i4"), "least": np.minimum.reduceat(lengths, head).astype("<i4"),
-        }
-        values = {"term": pa.array([key[0].as_py()]), "chunk": pa.array([key[1].as_py()], pa.int64()), "sign": pa.array([1], pa.int32()), "n": pa.array([len(live)], pa.int32())}
-        return pa.table(values | {c: pa.array([x.tobytes()], pa.binary()) for c, x in packed.items()})
-
     part = uuid.uuid4().hex
     documents, tokens = totals(spark, folder)
-    _write(lists(spark, folder).drop("bucket").groupBy("term", "chunk").applyInArrow(run, LISTS.removeprefix("bucket int, ")), into, part, buckets)
+    _write(_dealt(lists(spark, folder).drop("bucket"), buckets).mapInArrow(_met, LISTS), into, part)
     spark.createDataFrame([(documents, tokens)], TOTALS).coalesce(1).write.parquet(f"{into}/totals/part={part}")
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each term and chunk that has live documents, from rows that come by term and chunk. The last of a
+    batch waits for the next, which may go on with it."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        rows = pa.concat_batches([*waiting, batch.select(["bucket", *ROW])])
+        starts = _starts(rows)
+        waiting = [rows.slice(int(starts[-1]))] if len(starts) else []
+        yield from _live(rows.slice(0, int(starts[-1])) if len(starts) else rows, starts[:-1])
+    for rows in waiting:
+        yield from _live(rows, np.zeros(1, np.int64))
+
+
+def _starts(rows: pa.RecordBatch) -> np.ndarray:
+    """The first row of each term and chunk."""
+    if not rows.num_rows:
+        return np.zeros(0, np.int64)
+    term, n = rows.column("term"), rows.num_rows
+    other = pc.not_equal(term.slice(1), term.slice(0, n - 1)).to_numpy(zero_copy_only=False).astype(bool) | (np.diff(rows.column("chunk").to_numpy()) != 0)
+    return np.concatenate([[0], np.flatnonzero(other) + 1])
+
+
+def _live(rows: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if not rows.num_rows:
+        return
+
+    def whole(name: str, kind: str) -> np.ndarray:
+        column = rows.column(name)
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).astype(np.int64)
+
+    size = rows.column("n").to_numpy().astype(np.int64)
+    steps, first = whole("docs", "<u2"), np.cumsum(size) - size
+    run = np.cumsum(steps)
+    doc = run - np.repeat(run[first] - steps[first], size)
+    own = np.repeat(np.searchsorted(starts, np.arange(len(size)), side="right") - 1, size)
+    each = np.stack([own, doc, whole("counts", "<i4"), whole("lengths", "<i4")])
+    by = np.lexsort(each[::-1])
+    each, sign = each[:, by], np.repeat(rows.column("sign").to_numpy().astype(np.int64), size)[by]
+    head = np.concatenate([[0], np.flatnonzero((np.diff(each, axis=1) != 0).any(axis=0)) + 1])
+    own, doc, counts, lengths = each[:, head[np.add.reduceat(sign, head) > 0]]
+    if not len(own):
+        return
+    first, packed = _packed(own, doc, counts, lengths)
+    kept = rows.select(["bucket", "term", "chunk"]).take(pa.array(starts[own[first]]))
+    yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(np.ones(len(first), np.int32)), *packed], ["bucket", *ROW])

@@ -141,3 +141,24 @@ def test_a_channel_and_a_tokenizer_of_ones_own(spark):
     assert spark.sql("SELECT sum(tf) AS n FROM my_terms(TABLE(my_docs), 'letters')").first().n == 23
     with pytest.raises(Exception, match="no tokenizer"):
         spark.sql("SELECT * FROM my_terms(TABLE(my_docs), 'none')").collect()
+
+
+def test_lists_meet_across_batches_without_a_call_for_each(spark):
+    import pyarrow as pa
+
+    docs, at, then = frame(spark, corpus(spark, 300)), folder(spark), folder(spark)
+    inverted.build(docs, at)
+    inverted.changed(frame(spark, corpus(spark, 300)[:90]), frame(spark, corpus(spark, 300, seed=3)[:90]), at)
+    rows = inverted.lists(spark, at).orderBy("term", "chunk").toArrow().combine_chunks()
+    batch = rows.to_batches()[0]
+    key = lambda r: (r["bucket"], r["term"], r["chunk"])
+    one = [r for b in inverted._met(iter([batch])) for r in b.to_pylist()]
+    for step in (1, 3):  # a list's rows fall into several batches
+        parts = [batch.slice(i, step) for i in range(0, batch.num_rows, step)]
+        assert [r for b in inverted._met(iter([parts[0].slice(0, 0), *parts])) for r in b.to_pylist()] == one
+    assert len({key(r) for r in one}) == len(one) < batch.num_rows and all(r["sign"] == 1 for r in one)
+    inverted.compacted(spark, at, then)
+    assert sorted(map(key, one)) == sorted(key(r.asDict()) for r in inverted.lists(spark, then).collect())
+    # No group is a call of Python: the index's rows go through whole batches.
+    inverted.compacted(spark, then, again := folder(spark))
+    assert inverted.lists(spark, again).count() == len(one) and isinstance(batch, pa.RecordBatch)
