@@ -47,3 +47,14 @@ def test_pieces_of_texts_and_of_tokens_are_whole():
             parts = list(lexical.pieces(iter([part, part.slice(0, 0)]), "text", 2))
             assert sum((p.column("doc_id").to_pylist() for p in parts), []) == part.column("doc_id").to_pylist()
             assert max(p.num_rows for p in parts) <= 2 and len(parts) > 1
+
+
+def test_keywords_are_looked_for_in_texts_cut_by_bytes(monkeypatch):
+    whole, seen = batch(texts(300, 40)), []
+    asked, held = [(1, (), ["alpha", "delt"]), (2, (), ["備", "gamma"])], lexical.Keywords.held
+    expected = [b.to_pylist() for b in lexical.Keywords(asked, []).score(iter([whole]), 4)]
+    monkeypatch.setattr(lexical, "PIECE_BYTES", 4_000)
+    monkeypatch.setattr(lexical.Keywords, "held", lambda self, t: seen.append(t.nbytes) or held(self, t))
+    found = [b.to_pylist() for b in lexical.Keywords(asked, []).score(iter([whole.slice(0, 99), whole.slice(99)]), 4)]
+    assert found == expected and len(found) == 1 and len(found[0]) == 8
+    assert len(seen) > 10 and max(seen) < 4_000 + 4 * 300
