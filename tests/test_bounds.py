@@ -58,3 +58,13 @@ def test_keywords_are_looked_for_in_texts_cut_by_bytes(monkeypatch):
     found = [b.to_pylist() for b in lexical.Keywords(asked, []).score(iter([whole.slice(0, 99), whole.slice(99)]), 4)]
     assert found == expected and len(found) == 1 and len(found[0]) == 8
     assert len(seen) > 10 and max(seen) < 4_000 + 4 * 300
+
+
+def test_a_tokenizer_of_ones_own_needs_no_postings(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts(60, 9))] + [(99, None), (98, "")], "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(1, "alpha  delta"), (2, "備份 備份 none"), (3, None)], "query_id long, text string")
+    found = lexical.bm25(asked, docs, 5, tokenize=SPACED)
+    rows = lambda df: sorted(tuple(r) for r in df.select("query_id", "doc_id", "score", "rank").collect())
+    assert rows(found) == rows(lexical.bm25(asked, docs, 5, block_terms=0, tokenize=SPACED)) and len(rows(found)) == 10
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
