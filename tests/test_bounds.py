@@ -68,3 +68,25 @@ def test_a_tokenizer_of_ones_own_needs_no_postings(spark):
     assert rows(found) == rows(lexical.bm25(asked, docs, 5, block_terms=0, tokenize=SPACED)) and len(rows(found)) == 10
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "Join" not in plan
+
+
+def _absent(spark, **limits):
+    docs = spark.createDataFrame([(1, "alpha beta", "u", "a"), (2, "Gamma 備份", "v", "a"), (3, None, "u", "b"), (None, "x1", "u", None)], "doc_id long, text string, user_id string, app_id string")
+    asked = [(1, "alpha gamma zeta", "u", "*"), (2, "備份 alpha", "v", ""), (3, "beta x1", None, "a"), (4, None, "u", "a"), (5, "gamma eta", "", None), (6, "alpha", "w", "a")]
+    queries = spark.createDataFrame(asked, "query_id long, text string, user_id string, app_id string")
+    one, two = lexical.unmatched(queries, docs, **limits), lexical.unmatched(queries, docs, ["user_id", "app_id"], **limits)
+    return [sorted(tuple(r) for r in df.collect()) for df in (one, two)], [df._jdf.queryExecution().optimizedPlan().toString() for df in (one, two)]
+
+
+def test_few_unmatched_terms_shuffle_no_word_of_a_document(spark):
+    found, plans = _absent(spark)
+    assert found[0] == [(1, "zeta"), (5, "eta")]
+    assert found[1] == [(1, "gamma"), (1, "zeta"), (2, "alpha"), (3, "x1"), (5, "eta"), (6, "alpha")]
+    assert all("LeftSemi" not in p for p in plans)
+
+
+def test_many_unmatched_terms_meet_distinct_words(spark):
+    found, plans = _absent(spark, block_terms=0)
+    assert found == _absent(spark)[0]
+    for plan in plans:  # the words' aggregation stands below the join
+        assert "Aggregate" in plan.split("LeftSemi", 1)[1]
