@@ -163,11 +163,13 @@ def vector_upkeep_stream(spark: SparkSession, sf: str) -> DataFrame:
     at = folder(spark)
     rows, place, vectors = (f"{at}-{x}" for x in ("rows", "place", "vectors"))
     all_ = binding.memories(spark, sf)
+    # A writing task has a share of the rows whose size does not grow with them, and a batch as many files more.
+    share = max(1, -(-table(spark, sf, "documents").rdd.getNumPartitions() // 3))
     first = all_.select("id", F.substr("memory", F.lit(1), F.lit(400)).alias("memory"), F.lit(False).alias("deleted"), F.lit(1).cast("long").alias("at"))
-    first.repartition(4).write.parquet(rows)
-    upkeep.follow(spark, rows, vectors, place, _letters, MODEL, files=2)
-    all_.select("id", "memory", "deleted", F.lit(2).cast("long").alias("at")).repartition(3).write.mode("append").parquet(rows)
-    upkeep.follow(spark, rows, vectors, place, _letters, MODEL, files=2)
+    first.repartition(4 * share).write.parquet(rows)
+    upkeep.follow(spark, rows, vectors, place, _letters, MODEL, files=2 * share)
+    all_.select("id", "memory", "deleted", F.lit(2).cast("long").alias("at")).repartition(3 * share).write.mode("append").parquet(rows)
+    upkeep.follow(spark, rows, vectors, place, _letters, MODEL, files=2 * share)
     return upkeep.vectors(spark, vectors, MODEL).select("id", "hash", "dims", F.round(F.col("vec")[0], 5).alias("x"))
 
 

@@ -90,3 +90,24 @@ def test_many_unmatched_terms_meet_distinct_words(spark):
     assert found == _absent(spark)[0]
     for plan in plans:  # the words' aggregation stands below the join
         assert "Aggregate" in plan.split("LeftSemi", 1)[1]
+
+
+def test_a_stream_of_more_rows_is_written_by_more_tasks(spark, monkeypatch):
+    from pathlib import Path
+
+    from marlstone.plans import corpus_queries
+
+    calls, name = [], "spark.sql.files.maxPartitionBytes"
+    monkeypatch.setattr(corpus_queries.upkeep, "follow", lambda spark, rows, *_, files: calls.append((len(list(Path(rows.removeprefix("file://")).glob("part-*"))), files)))
+    monkeypatch.setattr(corpus_queries.upkeep, "vectors", lambda spark, *_: spark.createDataFrame([], "id long, hash string, dims int, vec array<double>"))
+    before = spark.conf.get(name)
+    opened = spark.conf.get("spark.sql.files.openCostInBytes")
+    for k, v in ((name, "150000"), ("spark.sql.files.openCostInBytes", "0")):
+        spark.conf.set(k, v)
+    try:
+        corpus_queries.vector_upkeep_stream(spark, "/root/testdata/sf0.01")
+    finally:
+        spark.conf.set(name, before)
+        spark.conf.set("spark.sql.files.openCostInBytes", opened)
+    (first, files), (both, _) = calls
+    assert first == 2 * files > 4 and both == first + 3 * files // 2
