@@ -60,6 +60,33 @@ def test_keywords_are_looked_for_in_texts_cut_by_bytes(monkeypatch):
     assert len(seen) > 10 and max(seen) < 4_000 + 4 * 300
 
 
+def test_keywords_of_every_length_are_found_without_a_call_for_each_run(monkeypatch):
+    rng = np.random.default_rng(5)
+    word = lambda least, most: "".join(rng.choice(list("ab_1"), rng.integers(least, most)))
+    tokens = list(dict.fromkeys([word(1, 12) for _ in range(60)] + ["aaaaaaaa", "aaaaaaaab", "a" * 17, "備", "份"]))
+    rows = [" ".join(word(1, 30) + rng.choice(["", "", "é", "備", "-"]) for _ in range(20)) for _ in range(50)] + ["", "a" * 40, "aaaaaaaa aaaaaaaab", " 份a"]
+    own, walked = lexical.Keywords([(7, (), tokens)], []), []
+    expected = [(d, i) for d, t in enumerate(rows) for i, token in enumerate(tokens) if token in t]
+    monkeypatch.setattr(lexical, "RUN_BYTES", 64)
+    for texts_ in (pa.array(rows), pa.array(["zz a", *rows, "b"]).slice(1, len(rows))):
+        assert list(zip(*(x.tolist() for x in own.held(texts_)))) == expected
+    assert len(own.automaton) == sum(len(t) > 8 for t in tokens) and len(own.single) == 2
+    assert own.held(pa.array([], pa.string()))[0].size == 0 and own.held(pa.array(["é", ""]))[0].size == 0
+    none = lexical.Keywords([(7, (), [])], [])
+    assert none.held(pa.array(["a b"]))[0].size == 0
+    short = lexical.Keywords([(7, (), ["ab", "b1"])], [])
+    monkeypatch.setattr(short, "automaton", walked)  # what is short goes through none
+    assert short.held(pa.array(["xab1 b", "b1"]))[1].tolist() == [0, 1, 1]
+
+
+def test_tokens_times_texts_are_bounded(monkeypatch):
+    seen, held = [], lexical.Keywords.held
+    monkeypatch.setattr(lexical, "HELD", 40)
+    monkeypatch.setattr(lexical.Keywords, "held", lambda self, t: seen.append(len(t)) or held(self, t))
+    list(lexical.Keywords([(1, (), list("abcdefgh"))], []).score(iter([batch(["a b"] * 23)]), 3))
+    assert seen == [5, 5, 5, 5, 3]
+
+
 def test_a_tokenizer_of_ones_own_needs_no_postings(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts(60, 9))] + [(99, None), (98, "")], "doc_id long, text string").repartition(3)
     asked = spark.createDataFrame([(1, "alpha  delta"), (2, "備份 備份 none"), (3, None)], "query_id long, text string")
