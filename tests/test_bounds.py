@@ -119,6 +119,21 @@ def test_many_unmatched_terms_meet_distinct_words(spark):
         assert "Aggregate" in plan.split("LeftSemi", 1)[1]
 
 
+def test_terms_of_queries_are_not_sorted_to_meet_what_is_known(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        docs = spark.createDataFrame([(1, "alpha beta"), (2, None)], "doc_id long, text string")
+        asked = spark.createDataFrame([(q, "alpha zeta") for q in range(4)], "query_id long, text string")
+        found = lexical.unmatched(asked, docs, block_terms=0)
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert sorted(tuple(r) for r in found.collect()) == [(q, "zeta") for q in range(4)]
+    finally:
+        spark.conf.set(name, before)
+    assert "ShuffledHashJoin" in plan.split("LeftAnti")[0] and plan.count("SortMergeJoin") <= 1
+
+
 def test_a_stream_of_more_rows_is_written_by_more_tasks(spark, monkeypatch):
     from pathlib import Path
 
