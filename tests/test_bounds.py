@@ -1,6 +1,9 @@
 """What a task holds does not grow with its share of the corpus."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -87,6 +90,55 @@ def test_tokens_times_texts_are_bounded(monkeypatch):
     assert seen == [5, 5, 5, 5, 3]
 
 
+def test_what_a_task_of_the_three_searches_holds_follows_neither_its_batches_nor_their_rows(monkeypatch):
+    for name, bound in (("PIECE_BYTES", 20_000), ("WAITING", 100), ("RUN_BYTES", 5_000)):
+        monkeypatch.setattr(lexical, name, bound)
+    monkeypatch.setattr(dense, "SCORES", 500)
+    rng = np.random.default_rng(3)
+
+    def rows(n):
+        found = batch([" ".join(f"w{x}" for x in rng.integers(0, 10**9, 40)) for _ in range(n)])
+        return found.append_column("vec", pa.array(list(rng.normal(size=(n, 16))), pa.list_(pa.float64())))
+
+    def peak(run, parts):
+        tracemalloc.start()
+        out = [b.to_pylist() for b in run(iter(parts))]
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most, out
+
+    asked = [(q, (), [f"w{q}", "w12", f"alpha{q}", f"{q}"]) for q in range(5)]
+    near = dense._scan(pd.DataFrame({"query_id": range(5), "vec": list(rng.normal(size=(5, 16)))}), [], 3, False)
+    whole = rows(2000)
+    own = lexical.Block(asked, [])
+    own.weigh([tuple(r.values()) for b in own.count(iter([whole])) for r in b.to_pylist()])
+    for run in (own.count, lambda b: own.score(b, 3), lambda b: lexical.Keywords(asked, []).score(b, 3), near):
+        peak(run, [whole.slice(0, 100)])
+        few, _ = peak(run, [whole.slice(0, 100)])
+        large, one = peak(run, [whole])
+        many, more = peak(run, [whole.slice(at, 100) for at in range(0, 2000, 100)])
+        assert one == more and max(large, many) < 2 * few
+
+
+def test_terms_that_many_queries_share_are_laid_out_in_parts(monkeypatch):
+    terms = [f"w{i}" for i in range(30)]
+    rng = np.random.default_rng(4)
+    whole = batch([" ".join(rng.permutation(terms)[: 30 - i % 3]) for i in range(100)] + ["", "none"])
+    asked = [(q, (), terms) for q in range(40)]
+    own = lexical.Block(asked, [])
+    own.weigh([tuple(r.values()) for b in own.count(iter([whole])) for r in b.to_pylist()])
+    for run in (lambda: own.score(iter([whole]), 3), lambda: lexical.Keywords(asked, []).score(iter([whole]), 3)):
+        found = []
+        for most in (1 << 20, 2000, 7):
+            monkeypatch.setattr(lexical, "LAID", most, raising=False)
+            tracemalloc.start()
+            found.append([b.to_pylist() for b in run()])
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            assert most > 2000 or peak < 100 * 29 * 40 * 8  # less than one number for each pair
+        assert found[0] == found[1] == found[2] and len(found[0][0]) == 120
+
+
 def test_a_tokenizer_of_ones_own_needs_no_postings(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts(60, 9))] + [(99, None), (98, "")], "doc_id long, text string").repartition(3)
     asked = spark.createDataFrame([(1, "alpha  delta"), (2, "備份 備份 none"), (3, None)], "query_id long, text string")
