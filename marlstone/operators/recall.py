@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as tx
@@ -20,7 +21,8 @@ Channel = Callable[[DataFrame, DataFrame, list[str] | None, int], DataFrame]
 
 @dataclass
 class Found:
-    """(query_id, doc_id, score, rank), the strategy that served it, and for each channel whether it did (or why not)."""
+    """(query_id, doc_id, score, rank), the strategy that served it, for each channel whether it did (or why not), and
+    the reason for the strategy and for what was left out of it."""
 
     rankings: DataFrame
     served: str
@@ -42,6 +44,7 @@ def recall(
     reference_compat: bool = False,
     also: dict[str, tuple[Channel, float]] | None = None,
     tokenize: lexical.Tokenizer = tx.tokens,
+    tolerant: bool = True,
 ) -> Found:
     """Rank ``corpus`` (doc_id, text, scope columns) for ``queries`` (query_id, text, scope columns).
 
@@ -49,6 +52,10 @@ def recall(
     for nothing. With ``reference_compat`` the dense channel and the legacy scorer rank all documents, keep ``top`` of
     them and only then apply the scope, so they may return fewer. ``also``: further channels by name, with their weights,
     that are fused with the strategy's own; ``tokenize``: another tokenizer of the lexical channel.
+
+    A channel of which a job fails fails the search. One that cannot be planned does so too unless ``tolerant``: then the
+    others are ranked without it, with a warning, and ``served``, ``status`` and ``reason`` tell. Who reads ``rankings``
+    alone can't tell these from the whole result, and wants ``tolerant=False``.
     """
     no_dense = None if vectors is not None and query_vectors is not None else "no embedder"
     plan = st.resolve(requested, dense=no_dense, rerank=None if reranker else "no reranker")
@@ -69,17 +76,21 @@ def recall(
             else:
                 channels[name] = (_dense(queries, corpus, vectors, query_vectors, scope, pool, top, reference_compat), 1.0)
             status[name] = "ok"
-        except PySparkException as error:  # a channel that cannot be planned is dropped and reported; one that fails later fails the job
+        except AnalysisException as error:  # it cannot be planned; what a job raises is no reason to go on without its channel
+            if not tolerant:
+                raise
             status[name] = str(error)
+            warnings.warn(f"the search goes on without its channel {name}: {error}", RuntimeWarning, stacklevel=2)
+    reason = "; ".join([plan.reason, *[f"{name}: {why}" for name, why in status.items() if why != "ok"]])
     if not channels:
-        return Found(queries.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int"), "none", status, plan.reason)
+        return Found(queries.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int"), "none", status, reason)
     fused = fusion.fuse(channels, pool) if len(channels) > 1 else next(iter(channels.values()))[0]
     if strategy.rerank:
         ranked = fusion.apply_rerank(fused, reranker(fused, queries, corpus), top)
     else:
         ranked = fused.filter(F.col("rank") <= top)
     ranked = ranked.select("query_id", "doc_id", "score", "rank")
-    return Found(ranked, st.served(strategy, set(channels) - set(further), strategy.rerank), status, plan.reason)
+    return Found(ranked, st.served(strategy, set(channels) - set(further), strategy.rerank), status, reason)
 
 
 def near(queries: DataFrame, corpus: DataFrame, vectors: DataFrame, query_vectors: DataFrame, scope: list[str] | None = None, pool: int = fusion.POOL) -> DataFrame:

@@ -85,7 +85,7 @@ def cosine_pruned(spark: SparkSession, sf: str) -> DataFrame:
 def _scoped(spark: SparkSession, sf: str, compat: bool) -> DataFrame:
     found = recall.recall(
         binding.scoped_queries(spark, sf), binding.corpus(spark, sf), binding.vectors(spark, sf), binding.query_vectors(spark, sf),
-        requested="dense", scope=["user_id"], reference_compat=compat,
+        requested="dense", scope=["user_id"], reference_compat=compat, tolerant=False,
     )
     return found.rankings.select("query_id", "doc_id", "score")
 
@@ -115,19 +115,19 @@ def bm25_partial_scope(spark: SparkSession, sf: str) -> DataFrame:
 def hybrid_scoped(spark: SparkSession, sf: str) -> DataFrame:
     return recall.recall(
         binding.scoped_queries(spark, sf), binding.corpus(spark, sf), binding.vectors(spark, sf), binding.query_vectors(spark, sf),
-        requested="fusion", scope=["user_id"],
+        requested="fusion", scope=["user_id"], tolerant=False,
     ).rankings
 
 
 def ladder_auto(spark: SparkSession, sf: str) -> DataFrame:
     """What serves a request for the best there is: without a reranker the dense channel alone."""
     corpus = binding.corpus(spark, sf).select("doc_id", "text")
-    return recall.recall(binding.queries(spark, sf), corpus, binding.vectors(spark, sf), binding.query_vectors(spark, sf)).rankings
+    return recall.recall(binding.queries(spark, sf), corpus, binding.vectors(spark, sf), binding.query_vectors(spark, sf), tolerant=False).rankings
 
 
 def ladder_without_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """The same request where nothing can embed a query: BM25."""
-    return recall.recall(binding.queries(spark, sf), binding.corpus(spark, sf).select("doc_id", "text")).rankings
+    return recall.recall(binding.queries(spark, sf), binding.corpus(spark, sf).select("doc_id", "text"), tolerant=False).rankings
 
 
 def dense_rerank(spark: SparkSession, sf: str) -> DataFrame:
@@ -166,7 +166,7 @@ def _recall(spark: SparkSession, sf: str, requested: str) -> DataFrame:
     corpus = binding.corpus(spark, sf).select("doc_id", "text")
     return recall.recall(
         binding.queries(spark, sf), corpus, binding.vectors(spark, sf), binding.query_vectors(spark, sf), requested=requested,
-        reranker=lambda pool, queries, docs: fusion.term_coverage(queries, docs, pool),
+        reranker=lambda pool, queries, docs: fusion.term_coverage(queries, docs, pool), tolerant=False,
     ).rankings
 
 

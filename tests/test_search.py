@@ -1,11 +1,12 @@
 import random
 
 import pytest
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import functions as F
 
 from marlstone.functions.vectors import cosine, unit
 from marlstone.operators import dense, fusion, lexical, recall
-from marlstone.plans import strategy as st
+from marlstone.plans import search_queries, strategy as st
 
 Q, D, R = "query_id long, text string", "doc_id long, text string", "query_id long, doc_id long, rank int"
 
@@ -207,6 +208,44 @@ def test_recall_drops_a_failing_channel(spark):
     assert alone.served == "none" and alone.rankings.count() == 0
 
 
+#: Tokenizers of which the job fails, and which cannot be planned.
+FAILING = [lambda text: F.array(F.raise_error(F.lit("no words")).cast("string")), lambda text: F.split(F.col("nothing"), " ")]
+
+
+def test_recall_without_a_channel_tells_so_or_fails(spark):
+    queries, corpus = spark.createDataFrame([(1, "x")], Q), spark.createDataFrame([(1, "x"), (2, "y")], D)
+    vectors, asked = (spark.createDataFrame([(1, [1.0])], f"{c} long, vec array<double>") for c in ("doc_id", "query_id"))
+    both = recall.recall(queries, corpus, vectors, asked, requested="fusion", tolerant=False)
+    assert both.served == "fusion" and both.reason == "fusion as requested"
+    for requested in ("fusion", "bm25"):
+        with pytest.raises(PySparkException, match="no words"):  # a job is no matter of the plan
+            recall.recall(queries, corpus, vectors, asked, requested=requested, tokenize=FAILING[0])
+        with pytest.raises(AnalysisException, match="nothing"):
+            recall.recall(queries, corpus, vectors, asked, requested=requested, tokenize=FAILING[1], tolerant=False)
+    with pytest.warns(RuntimeWarning, match="without its channel lexical"):
+        found = recall.recall(queries, corpus, vectors, asked, requested="fusion", tokenize=FAILING[1])
+    assert found.served == "dense" and found.reason.startswith("fusion as requested; lexical: ") and "nothing" in found.reason
+
+
+def damaged(spark, folder, **change):
+    """Tables of which some are changed."""
+    for name in ("documents", "benchmark", "embeddings"):
+        rows = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        change.get(name, lambda df: df)(rows).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_no_query_gives_the_result_of_some_of_its_channels(spark, tmp_path):
+    no_vectors = damaged(spark, tmp_path / "vectors", embeddings=lambda df: df.withColumn("embedding", F.col("embedding").cast("string")))
+    for name in ("hybrid_scoped", "hybrid_search", "rerank_coverage", "dense_rerank", "ladder_auto", "cosine_scoped_before", "cosine_scoped_after"):
+        with pytest.raises(AnalysisException, match="size"):
+            search_queries.QUERIES[name](spark, no_vectors)
+    no_texts = damaged(spark, tmp_path / "texts", documents=lambda df: df.withColumn("text", F.array("text")))
+    for name in ("hybrid_scoped", "hybrid_search", "rerank_coverage", "ladder_without_vectors"):
+        with pytest.raises(AnalysisException, match="coalesce"):
+            search_queries.QUERIES[name](spark, no_texts)
+
+
 def test_materialised_skips_tombstones(spark):
     rows = spark.createDataFrame([(1, True, "local"), (2, False, "local"), (3, None, "observed")], "doc_id long, deleted boolean, source string")
     found = recall.materialised(channel(spark, 1, 2, 3, 9), rows)
