@@ -65,7 +65,10 @@ def hybrid_three(spark: SparkSession, sf: str) -> DataFrame:
     """Fusion with a third channel: BM25 over what stands between spaces, at half a weight."""
     corpus = binding.corpus(spark, sf).select("doc_id", "text")
     spaced = lambda queries, docs, scope, pool: lexical.bm25(queries, docs, pool, scope, tokenize=_spaced)
-    return recall.recall(binding.queries(spark, sf), corpus, binding.vectors(spark, sf), binding.query_vectors(spark, sf), requested="fusion", also={"spaced": (spaced, 0.5)}).rankings
+    return recall.recall(
+        binding.queries(spark, sf), corpus, binding.vectors(spark, sf), binding.query_vectors(spark, sf),
+        requested="fusion", also={"spaced": (spaced, 0.5)}, tolerant=False,
+    ).rankings
 
 
 def term_counts_sql(spark: SparkSession, sf: str) -> DataFrame:

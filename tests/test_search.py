@@ -246,6 +246,15 @@ def test_no_query_gives_the_result_of_some_of_its_channels(spark, tmp_path):
             search_queries.QUERIES[name](spark, no_texts)
 
 
+@pytest.mark.parametrize("tokenize", FAILING)
+def test_the_third_channel_is_no_less_needed_than_the_others(spark, tmp_path, monkeypatch, tokenize):
+    with pytest.raises(AnalysisException, match="size"):
+        search_queries.hybrid_three(spark, damaged(spark, tmp_path / "vectors", embeddings=lambda df: df.withColumn("embedding", F.col("embedding").cast("string"))))
+    monkeypatch.setattr(search_queries, "_spaced", tokenize)
+    with pytest.raises(PySparkException, match="no words|nothing"):
+        search_queries.hybrid_three(spark, "/root/testdata/sf0.001")
+
+
 def test_materialised_skips_tombstones(spark):
     rows = spark.createDataFrame([(1, True, "local"), (2, False, "local"), (3, None, "observed")], "doc_id long, deleted boolean, source string")
     found = recall.materialised(channel(spark, 1, 2, 3, 9), rows)
